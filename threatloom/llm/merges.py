@@ -18,7 +18,7 @@ _BITS = 19
 
 
 #: Characters up to here, but for one that grows when lower-cased, need no normalisation but lower-casing.
-_PLAIN = [chr(i) for i in range(0x250) if i != 0x130]
+_PLAIN = [chr(i) for i in range(0x180) if i != 0x130]
 PLAIN = re.compile("[" + re.escape("".join(_PLAIN)) + "]*")
 
 
