@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from threatloom.llm import bpe, chat_format, exact_dedup, license_scan, packing, topk_search, toxicity
+from threatloom.llm import bpe, chat_format, exact_dedup, license_scan, packing, secret_scan, topk_search, toxicity
 from threatloom.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -43,7 +47,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_license_scan, op4_exact_dedup, op5_toxicity, op7_chat_format, op9_topk_search, op10_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_license_scan, op4_exact_dedup, op5_toxicity, op6_secret_scan, op7_chat_format, op9_topk_search, op10_packing)}
 
 
 #: DuckDB SQL by query.
