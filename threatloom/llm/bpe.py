@@ -132,12 +132,12 @@ def loaded(path: str) -> ForcedBoundaryBPE:
     return ForcedBoundaryBPE(path)
 
 
-def lists(arrays: list[np.ndarray]) -> pa.Array:
+def lists(arrays: list[np.ndarray], kind: type = np.int32) -> pa.Array:
     """A list column of one array for each row."""
     offsets = np.zeros(len(arrays) + 1, dtype=np.int32)
     np.cumsum([len(a) for a in arrays], out=offsets[1:])
-    flat = np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.int32()))
+    flat = np.concatenate(arrays) if arrays else np.zeros(0, dtype=kind)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(kind, copy=False)))
 
 
 def encode(docs: DataFrame, path: str, *, decoded: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from threatloom.llm import bpe, chat_format, exact_dedup, license_scan, packing, secret_scan, topk_search, toxicity
+from threatloom.llm import bpe, chat_format, exact_dedup, license_scan, minhash_dedup, packing, secret_scan, topk_search, toxicity
 from threatloom.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_groups(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -47,7 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_license_scan, op4_exact_dedup, op5_toxicity, op6_secret_scan, op7_chat_format, op9_topk_search, op10_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_license_scan, op4_exact_dedup, op5_toxicity, op6_secret_scan, op7_chat_format, op8_minhash_dedup, op9_topk_search, op10_packing)}
 
 
 #: DuckDB SQL by query.
