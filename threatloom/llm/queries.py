@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from threatloom.llm import bpe, chat_format, exact_dedup, license_scan, minhash_dedup, packing, secret_scan, topk_search, toxicity
+from threatloom.llm import bpe, chat_format, exact_dedup, license_scan, minhash_dedup, packing, secret_scan, suffix_dedup, topk_search, toxicity
 from threatloom.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_license_scan, op4_exact_dedup, op5_toxicity, op6_secret_scan, op7_chat_format, op8_minhash_dedup, op9_topk_search, op10_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_suffix_dedup, op4_exact_dedup, op5_toxicity, op6_secret_scan, op7_chat_format, op8_minhash_dedup, op9_topk_search, op10_packing)}
 
 
 #: DuckDB SQL by query.
