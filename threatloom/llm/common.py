@@ -40,16 +40,15 @@ def map_batches(
     return df.mapInArrow(fn, schema)
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; where it is unset, as in tests, one under the warehouse."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (where or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
 
-    Only where spark.checkpoint.dir is unset, as in tests, a folder under the warehouse is used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def reliable(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not where:
-            where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        sc.setCheckpointDir(where)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -16,12 +16,16 @@ that stays are marked kept. An empty table gives an empty result; further column
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatloom.llm.common import lower_ascii
 
 
+def text_digest(text: Column) -> Column:
+    return F.sha2(lower_ascii(text).cast("binary"), 256)
+
+
 def hashed(docs: DataFrame) -> DataFrame:
     text = lower_ascii(F.col("text"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text")).select(

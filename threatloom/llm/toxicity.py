@@ -243,3 +243,18 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
     key = F.col("doc_id").cast("long")
     return map_batches(docs.select(key.alias("doc_id"), held_out(key).alias("held_out"), "text"), run, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
+
+
+def keep_clean(docs: DataFrame, scorer: Scorer) -> DataFrame:
+    """The rows of docs, all columns, whose score is below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        counter = TermCounter(model.terms)
+        for batch in batches:
+            clean = [model.score(counter.counts(t))[0] < THRESHOLD for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)
