@@ -1,16 +1,73 @@
-"""The corpus pipeline: stages that are run one after another over documents."""
+"""The corpus pipeline: toxicity, exact dedup, near-dedup, secret scans, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next stage's docs. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from uuid import uuid4
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from threatloom.llm import exact_dedup, minhash_dedup, packing, secret_scan, toxicity
+from threatloom.llm.common import shared_folder, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject. It is fitted on this stage's documents and the labels."""
+    scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, scorer)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each text (A-Z lower-cased): of equal texts the row with the largest doc_id."""
+    groups = exact_dedup.exact_groups(docs).where("kept").select("doc_id", F.col("group_size").alias("_n"), F.col("text_sha256").alias("_sha"))
+    keyed = docs.withColumn("_sha", exact_dedup.text_digest(F.col("text")))
+    on = keyed["doc_id"].eqNullSafe(groups["doc_id"]) & (keyed["_sha"] == groups["_sha"])
+    return keyed.join(groups.dropDuplicates(["doc_id", "_sha"]), on, "left_semi").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    groups = minhash_dedup.near_groups(docs, words=5, percent=80)
+    return docs.join(groups.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with the secrets in its text replaced by a mask."""
+    masked = secret_scan.redact(docs)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return masked
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("secret_scan", mask_secrets),
+    ("packing", pack_windows),
+]
 
-STAGES: list = []
-#: The model-scored and encoded stages can't be written in SQL.
+#: The scoring, network and tokenizer stages can't be written in SQL; tests hold each stage against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over documents; what stands between them is written to the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    base = f"{shared_folder(spark)}/pipeline-{uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        docs = spark.read.parquet(f"{base}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
