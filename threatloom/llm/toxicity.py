@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Fitting takes a bounded sample of labelled rows (TRAIN_ROWS, those of smallest hash of their id among
-the rows that may be learnt from). Features are words and word beginnings; of those in the sample the
-MAX_TERMS that say most about the label (chi-square) make the vocabulary. Document frequencies of
+the rows that may be learnt from). Features are words and word beginnings; of those in the sample that
+mostly stand in toxic examples, the MAX_TERMS that say most about the label (chi-square) make the vocabulary. Document frequencies of
 the vocabulary are counted over all documents. The sample's TF-IDF vectors go into an inverted index
 whose documents lie in blocks with the largest weight of each term; a query visits blocks in the order
 of their upper bounds and stops when no bound reaches its k-th best similarity, so it is exact.
@@ -33,6 +33,10 @@ TRAIN_ROWS = 6_000
 MAX_TERMS = 1_024
 #: A term must stand in so many documents of the sample.
 MIN_DOCS = 3
+#: Chi-square that a term needs; among the many terms of a sample, lower ones turn up by chance.
+MIN_CHI = 30.0
+#: Share of toxic examples among the sample's rows that hold the term.
+MIN_SHARE = 0.75
 PREFIXES = (3, 4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 32
@@ -202,8 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, max
     expected = (F.col("n0") + F.col("n1")) * (n1 / total)
     other = (F.col("n0") + F.col("n1")) * (n0 / total)
     chi = (F.col("n1") - expected) ** 2 / F.greatest(expected, F.lit(1e-9)) + (F.col("n0") - other) ** 2 / F.greatest(other, F.lit(1e-9))
-    told = counted.where(F.col("n1") * max(n0, 1) > F.col("n0") * max(n1, 1)).select("term", chi.alias("chi"))
-    terms = [r["term"] for r in told.orderBy(F.desc("chi"), "term").limit(max_terms).collect()]
+    told = counted.where(F.col("n1") >= MIN_SHARE * (F.col("n0") + F.col("n1"))).select("term", chi.alias("chi"))
+    terms = [r["term"] for r in told.where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "term").limit(max_terms).collect()]
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TermCounter(terms)
