@@ -1,0 +1 @@
+"""Analytics over security documents, events, vectors and detection rules, as PySpark DataFrame operators."""
