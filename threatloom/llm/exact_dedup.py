@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threatloom.llm.common import lower_ascii
+from threatloom.llm.common import lower_ascii, reliable
 
 
 def text_digest(text: Column) -> Column:
@@ -39,12 +39,14 @@ def exact_groups(docs: DataFrame, *, keep: str = "max") -> DataFrame:
     chosen = (F.max if keep == "max" else F.min)("_keep").alias("_keep")
     pick = (F.max if keep == "max" else F.min)("doc_id").alias("_keep")
     texts = rows.groupBy("_hash", "_text").agg(pick, F.count(F.lit(1)).alias("_n"))
-    by_hash = texts.groupBy("_hash").agg(chosen, F.sum("_n").alias("_n"), (F.count(F.lit(1)) > 1).alias("_collided"))
+    # Small rows; written once, so that texts are shuffled once.
+    by_hash = reliable(texts.groupBy("_hash").agg(chosen, F.sum("_n").alias("_n"), (F.count(F.lit(1)) > 1).alias("_collided")))
     slim = rows.select("doc_id", "_hash", "text_sha256")
-    plain = slim.join(by_hash.where(~F.col("_collided")).select("_hash", "_keep", "_n"), "_hash")
+    out = slim.join(by_hash.where(~F.col("_collided")).select("_hash", "_keep", "_n"), "_hash").select("doc_id", "_keep", "_n", "text_sha256")
     clash = by_hash.where("_collided").select("_hash")
-    apart = rows.join(clash, "_hash", "left_semi").join(texts.join(clash, "_hash", "left_semi"), ["_hash", "_text"])
-    out = plain.select("doc_id", "_keep", "_n", "text_sha256").unionByName(apart.select("doc_id", "_keep", "_n", "text_sha256"))
+    if not clash.isEmpty():
+        apart = rows.join(clash, "_hash", "left_semi").join(texts.join(clash, "_hash", "left_semi"), ["_hash", "_text"])
+        out = out.unionByName(apart.select("doc_id", "_keep", "_n", "text_sha256"))
     return out.select(
         "doc_id",
         F.col("_keep").alias("keep_id"),
