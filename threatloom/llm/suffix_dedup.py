@@ -4,9 +4,8 @@ Every string of WINDOW bytes that starts at two places anywhere is found, and al
 cover are removed from every text.
 
 1. Texts are anchored: of the hashes of ANCHOR bytes, the smallest in each window is chosen, so every
-   string of WINDOW bytes holds an anchor, at the same place wherever the string stands. Equal texts share one
-   representative here. Anchors whose hash stands at one place only can't lie in a repeated string.
-2. Around every other anchor the text is cut to the piece that all windows over it can reach. Equal
+   string of WINDOW bytes holds an anchor, at the same place wherever the string stands. Equal texts count once. Anchors whose hash stands at one place only can't lie in a repeated string.
+2. Around every other anchor one text of each group of equal ones is cut to the piece that all windows over it can reach. Equal
    pieces around one anchor hash become one; if it stands at two places it is repeated as a whole.
 3. Different pieces around one anchor hash meet in a shard, whose suffix array is built by induced
    sorting; permuted common prefixes give the runs of suffixes that share WINDOW bytes, and a run that holds
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threatloom.llm.common import map_batches, reliable
+from threatloom.llm.common import map_batches, reliable, written
 from threatloom.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 WINDOW = 200
@@ -189,14 +188,13 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     large = rows.where(F.col("n") >= window)
     copies = large.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
     copies = reliable(copies)
-    one = large.join(copies.select("k1", "k2", "rep"), ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("k1", "k2", "text")
     places = F.xxhash64("k1", "k2", "pos")
-    found = reliable(anchor_rows(one, window))
+    found = written(anchor_rows(large, window), "anchors")
     twice = found.groupBy("fp").agg(F.min(places).alias("lo"), F.max(places).alias("hi")).where("lo <> hi").select("fp")
     marks = found.join(twice, "fp").groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "fp")).alias("marks"))
     marks = marks.join(copies.select("k1", "k2", "rep"), ["k1", "k2"])
     marked = large.join(marks, ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("k1", "k2", "text", "marks")
-    pieces = reliable(piece_rows(marked, window))
+    pieces = written(piece_rows(marked, window), "pieces")
 
     spot = F.xxhash64("k1", "k2", "start")
     distinct = pieces.groupBy("fp", "ph").agg(
