@@ -55,9 +55,8 @@ def simhash(articles: DataFrame) -> DataFrame:
 def near_duplicates(hashes: DataFrame, *, distance: int = 3) -> DataFrame:
     """Pairs of different hashes in one bucket (their low four bits) within the distance, with how many articles have each.
 
-    Equal hashes are one row here, so a large group of copies is not multiplied. The bucket is further cut by
-    three bands of 20 bits: hashes within 3 bits and equal low bits agree in at least one of four parts; with the bucket as one
-    part of the agreement, pairs are looked up by (bucket, band, band value) and compared once.
+    Equal hashes are one row here, so a large group of copies is not multiplied. The other 60 bits are cut into
+    four bands; hashes that differ in at most three bits agree in one of them, so pairs meet by bucket, band and value.
     """
     classes = hashes.groupBy("simhash").agg(F.count(F.lit(1)).alias("articles"), F.min("article_id").alias("first_id"))
     banded = classes.select(

@@ -11,6 +11,12 @@ from threatloom.views import pct
 count_if = F.count_if
 
 
+def exact_mean(value: Column, scale: int) -> Column:
+    """A mean of values with scale-th parts, to two digits: summed as whole numbers, so the order of rows can't matter."""
+    mean = F.sum(F.round(value * scale).cast("long")) / F.count(value) / scale
+    return F.floor(mean * 100 + 0.5) / 100.0
+
+
 def source_quality_stats(articles: DataFrame, annotations: DataFrame) -> DataFrame:
     """Per source: articles, chosen, rejected and unclassified ones, and the two rates."""
     known = annotations.groupBy("article_id").agg(F.max("quality").alias("quality"))
@@ -31,7 +37,7 @@ def source_score_stats(articles: DataFrame) -> DataFrame:
     scored = articles.select("source", hunt_score(F.col("content")).alias("hs"))
     positive = F.when(F.col("hs") > 0, F.col("hs"))
     return scored.groupBy("source").agg(
-        F.count(positive).alias("scored"), F.round(F.avg(positive.cast("decimal(6,1)")).cast("double"), 2).alias("avg_score"), F.max("hs").alias("max_score")
+        F.count(positive).alias("scored"), exact_mean(positive, 10).alias("avg_score"), F.max("hs").alias("max_score")
     )
 
 
@@ -115,16 +121,20 @@ def quality_distribution(articles: DataFrame) -> DataFrame:
 
 def keyword_stats(articles: DataFrame, registry: dict[str, list[str]]) -> DataFrame:
     """Frequency and average score of each keyword and tier."""
-    pairs = F.flatten(F.array(*(F.transform(matches(F.col("content"), words), lambda w, t=tier: F.struct(F.lit(t).alias("category"), w.alias("keyword"))) for tier, words in registry.items())))
+
+    def tagged(tier: str, words: list[str]) -> Column:
+        return F.transform(matches(F.col("content"), words), lambda w: F.struct(F.lit(tier).alias("category"), w.alias("keyword")))
+
+    pairs = F.flatten(F.array(*(tagged(tier, words) for tier, words in registry.items())))
     hits = articles.select(hunt_score(F.col("content"), registry).alias("hs"), F.explode(pairs).alias("k"))
     return hits.groupBy("k.category", "k.keyword").agg(
-        F.count(F.lit(1)).alias("frequency"), F.round(F.avg(F.col("hs").cast("decimal(6,1)")).cast("double"), 1).alias("avg_impact")
+        F.count(F.lit(1)).alias("frequency"), exact_mean(F.col("hs"), 10).alias("avg_impact")
     )
 
 
 def status_counts(executions: DataFrame) -> DataFrame:
     return executions.groupBy("status").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("ranking_score"), 2).alias("avg_score"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at")
+        F.count(F.lit(1)).alias("n"), exact_mean(F.col("ranking_score"), 100).alias("avg_score"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at")
     )
 
 
@@ -136,7 +146,7 @@ def newest_per_key(executions: DataFrame) -> DataFrame:
 
 def version_comparison(executions: DataFrame) -> DataFrame:
     """Attempts and average score of each article under the two statuses, side by side."""
-    side = lambda s, x: executions.where(F.col("status") == s).groupBy("article_id").agg(F.count(F.lit(1)).alias(f"attempts_{x}"), F.round(F.avg("ranking_score"), 2).alias(f"avg_{x}"))
+    side = lambda s, x: executions.where(F.col("status") == s).groupBy("article_id").agg(F.count(F.lit(1)).alias(f"attempts_{x}"), exact_mean(F.col("ranking_score"), 100).alias(f"avg_{x}"))
     both = side("O", "a").join(side("F", "b"), "article_id", "full")
     return both.select("article_id", F.coalesce("attempts_a", F.lit(0)).cast("long").alias("attempts_a"), F.coalesce("attempts_b", F.lit(0)).cast("long").alias("attempts_b"), "avg_a", "avg_b")
 
