@@ -157,6 +157,8 @@ def long_list_pairs(rest: DataFrame, members: DataFrame, percent: int) -> DataFr
     left = rest.join(count, "v").withColumn("rb", of("rep")).withColumn("mb", every).drop("blocks")
     right = members.join(count, "v").withColumn("mb", of("rep")).withColumn("rb", every).drop("blocks")
 
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of its own, apart from the left side's
+
     def compare(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         if len(some) and len(others):
