@@ -8,12 +8,13 @@
    out fewer values than they must share (for whole sets p is exact; for k = 64 and 0.85 the chance
    that more than 31 of 64 are not shared is below 1e-10 a pair). Values that stand in one class only
    take up places but make no list, so ordinary texts, even with a common passage, are in no list at all.
-3. In each list, every member is paired with the smallest member (a star, linear in the list).
-   The union-sketch estimate drops pairs that can't reach t; the rest are verified on full sets.
-4. Members that did not link to their list's smallest are compared with all members of the list: by a join where the
+3. In each list, every member is paired with the smallest member, in a long list with some more leaders (stars,
+   linear in the list). The union-sketch estimate drops pairs that can't reach t; the rest are verified on full sets.
+   Leaders are the members of least hash, so lists over the same texts mostly share them. Components of these links follow.
+4. Members of a list outside its largest component are compared with all members of other components: by a join where the
    list is short, in blocks of bounded size with sketch overlaps counted from inverted lists where it is long.
-   Pairs within a star are already connected, so no connection between texts is lost.
-5. Components of the links are found by minimum labels; a text has the component of its class.
+   Pairs within a component are already connected, so no connection between texts is lost.
+5. Components of the further links, over those found before, are found by minimum labels; a text has the component of its class.
 
 Words are what stands between the six ASCII white-space characters after A-Z is lower-cased. A text
 with fewer words than a shingle has its whole sequence as its only shingle; without words or text
@@ -45,6 +46,8 @@ MARGIN = 7.5
 SLACK = 6.0
 #: Members of a list that is joined with itself in step 4; longer lists are compared in blocks.
 SHORT_LIST = 32
+#: Members of a long list that all its members are paired with in step 3, besides the smallest.
+LEADERS = 2
 BLOCK = 2_000
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -150,7 +153,7 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
 
 
 def long_list_pairs(rest: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of long lists that pass the estimate: rows of rest against all members, block by block."""
+    """Pairs of long lists that pass the estimate: rows of rest against all members of other components, block by block."""
     count = members.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     of = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
@@ -167,13 +170,14 @@ def long_list_pairs(rest: DataFrame, members: DataFrame, percent: int) -> DataFr
             owner = np.repeat(np.arange(len(others)), others["sketch"].map(len))
             order = np.argsort(posts, kind="stable")
             posts, owner = posts[order], owner[order]
-            for rep, n, sketch in zip(some["rep"], some["n_shingles"], some["sketch"], strict=True):
+            comps = others["comp"].to_numpy()
+            for rep, n, sketch, comp in zip(some["rep"], some["n_shingles"], some["sketch"], some["comp"], strict=True):
                 lo, hi = np.searchsorted(posts, sketch), np.searchsorted(posts, sketch, side="right")
                 hits = np.concatenate([owner[i:j] for i, j in zip(lo, hi, strict=True)])
                 overlap = np.bincount(hits, minlength=len(others))
-                for o in np.flatnonzero(overlap * 4 >= len(sketch)):  # far below what similar sets share
+                for o in np.flatnonzero((overlap * 4 >= len(sketch)) & (comps != comp)):  # far below what similar sets share
                     b = int(others.at[o, "rep"])
-                    if b != rep and may_link(sketch, others.at[o, "sketch"], n, int(others.at[o, "n_shingles"]), percent):
+                    if may_link(sketch, others.at[o, "sketch"], n, int(others.at[o, "n_shingles"]), percent):
                         out.append((min(rep, b), max(rep, b)))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
@@ -194,34 +198,42 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFr
     prefix = F.element_at(F.array(*(F.lit(prefix_length(m, percent)) for m in range(1, SKETCH + 1))), F.col("m"))
     take = prefix - (F.col("m") - F.size("vs"))  # values of one class only come first and make no list
     listed = found.where(take > 0).select("rep", "n_shingles", F.explode(F.slice("vs", F.lit(1), take)).alias("e")).select("rep", "n_shingles", F.col("e.v").alias("v"))
-    sizes = listed.groupBy("v").agg(F.count(F.lit(1)).alias("len"), F.min(F.struct("n_shingles", "rep")).alias("first")).where(F.col("len") > 1)
-    listed = reliable(listed.join(sizes, "v").select("v", "rep", "n_shingles", "len", F.col("first.rep").alias("lead")))
+    lead = [F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"lead{k}") for k in range(LEADERS)]
+    sizes = listed.groupBy("v").agg(F.count(F.lit(1)).alias("len"), F.min(F.struct("n_shingles", "rep")).alias("first"), *lead).where(F.col("len") > 1)
+    smallest = F.array("first.rep")
+    leads = F.when(F.col("len") > SHORT_LIST, F.concat(smallest, F.array(*(f"lead{k}" for k in range(LEADERS))))).otherwise(smallest)
+    listed = reliable(listed.join(sizes, "v").select("v", "rep", "n_shingles", "len", leads.alias("leads")))
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = listed.where(F.col("rep") != F.col("lead")).select(*ordered("rep", "lead")).distinct()
+    stars = listed.select("rep", F.explode("leads").alias("lead")).where(F.col("rep") != F.col("lead")).select(*ordered("rep", "lead")).distinct()
     wanted = listed.select("rep").distinct().join(classes.select("rep", "digest"), "rep")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = reliable(full_sets(texts, words).join(wanted, ["rep", "digest"]).dropDuplicates(["rep", "digest"]))
     linked = reliable(verified(stars, classes, sets, percent))
 
-    pair = linked.select("a", "b").withColumn("hit", F.lit(True))
-    keyed = listed.select("v", "rep", "n_shingles", "len", "lead", *ordered("rep", "lead"))
-    rest = keyed.where(F.col("rep") != F.col("lead")).join(pair, ["a", "b"], "left").where(F.col("hit").isNull()).select("v", "rep", "len", "lead")
-    rest = reliable(rest)
-    other = listed.select("v", F.col("rep").alias("other"), F.col("n_shingles").alias("n2"))
-    short = rest.where(F.col("len") <= SHORT_LIST).join(other, "v").where((F.col("rep") != F.col("other")) & (F.col("other") != F.col("lead")))
+    near = components(linked)
+    placed = listed.join(near.select(F.col("node").alias("rep"), "component"), "rep", "left").select("v", "rep", "n_shingles", "len", F.coalesce("component", "rep").alias("comp"))
+    placed = reliable(placed)
+    kinds = placed.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("v")
+    kinds = kinds.agg(F.max_by("comp", F.struct("n", "comp")).alias("core"), F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
+    apart = reliable(placed.join(kinds.select("v", "core"), "v"))
+    rest = apart.where(F.col("comp") != F.col("core"))
+    other = apart.where(F.col("len") <= SHORT_LIST).select("v", F.col("rep").alias("other"), F.col("comp").alias("comp2"))
+    short = rest.where(F.col("len") <= SHORT_LIST).join(other, "v").where(F.col("comp") != F.col("comp2"))
     pairs = short.select(*ordered("rep", "other")).distinct()
     hot = rest.where(F.col("len") > SHORT_LIST)
-    links = linked
     if not hot.isEmpty():
         sketches = classes.select("rep", "n_shingles", "sketch")
-        members = listed.where(F.col("len") > SHORT_LIST).join(hot.select("v").distinct(), "v", "left_semi").select("v", "rep").join(sketches, "rep")
-        pairs = pairs.unionByName(long_list_pairs(hot.select("v", "rep").join(sketches, "rep"), members, percent)).distinct()
-    links = linked.unionByName(verified(pairs, classes, sets, percent))
-    grouped = components(links)
-
-    labels = classes.select("digest", "n_shingles", "rep").join(grouped.withColumnRenamed("node", "rep"), "rep", "left")
-    labels = labels.select("digest", "n_shingles", F.coalesce("component", "rep").alias("_label"))
+        members = apart.where(F.col("len") > SHORT_LIST).select("v", "rep", "comp").join(sketches, "rep")
+        pairs = pairs.unionByName(long_list_pairs(hot.select("v", "rep", "comp").join(sketches, "rep"), members, percent)).distinct()
+    further = verified(pairs, classes, sets, percent)
+    of = lambda side: near.select(F.col("node").alias(side), F.col("component").alias("c" + side))
+    further = further.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(further)
+
+    labels = classes.select("digest", "n_shingles", "rep").join(near.withColumnRenamed("node", "rep"), "rep", "left")
+    labels = labels.select("digest", "n_shingles", F.coalesce("component", "rep").alias("node"))
+    labels = labels.join(joined, "node", "left").select("digest", "n_shingles", F.coalesce("component", "node").alias("_label"))
     out = filled.join(labels, ["digest", "n_shingles"]).select("doc_id", "n_shingles", F.col("_label").alias("component_id"))
     alone = rows.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
