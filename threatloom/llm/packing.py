@@ -35,9 +35,11 @@ END_ID = 1
 #: Windows that a task may hold open before it pours them together.
 OPEN_WINDOWS = 2048
 #: Words remembered by a worker; when full, those not used since the last time are forgotten.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 #: White space that the tokenizer's normaliser drops and no token crosses.
 GAP = re.compile(r"[ \t\r\n]+")
+#: White space besides it at which str.split() would cut too.
+OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Fixed: the tokenizer's split pattern.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters of a word that is merged together with others.
@@ -69,11 +71,18 @@ class WordEncoder:
         self.older: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if len(w) <= LONG_WORD and PLAIN.fullmatch(w) and "<|" not in w]
-        other = list(set(words).difference(plain))
+        every = "".join(words)
+        if PLAIN.fullmatch(every) and "<|" not in every and max(map(len, words)) <= LONG_WORD:
+            plain, other = words, []
+        else:
+            plain = [w for w in words if len(w) <= LONG_WORD and PLAIN.fullmatch(w) and "<|" not in w]
+            other = list(set(words).difference(plain))
         self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True))
-        parts = [self.parts.findall(w.lower()) for w in plain]
-        raw = [p.encode() for p in chain.from_iterable(parts)]
+        # One list of parts for all words: a word of letters only is a part itself, any other has none or more.
+        letters = [w.isalpha() for w in plain]
+        found = [() if whole else self.parts.findall(w.lower()) for w, whole in zip(plain, letters, strict=True)]
+        sizes = [1 if whole else len(f) for f, whole in zip(found, letters, strict=True)]
+        raw = [p.encode() for w, f, whole in zip(plain, found, letters, strict=True) for p in ((w.lower(),) if whole else f)]
         if not raw:
             self.known.update((w, b"") for w in plain)
             return
@@ -82,13 +91,13 @@ class WordEncoder:
         symbols = self.byte_ids[buf]
         symbols[ends - 1] = self.end_ids[buf[ends - 1]]
         symbols, counts = self.table.merge(symbols, np.append(0, ends[:-1]))
-        at = np.append(0, np.cumsum(counts))[np.cumsum([0, *map(len, parts)])] * 4
+        at = np.append(0, np.cumsum(counts))[np.cumsum([0, *sizes])] * 4
         data = symbols.astype("<u4").tobytes()
         self.known.update((w, data[a:b]) for w, (a, b) in zip(plain, pairwise(at.tolist()), strict=True))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        words = [GAP.split(t) for t in texts]
+        words = [GAP.split(t) if OTHER_SPACE.search(t) else t.split() for t in texts]
         if missing := set(chain.from_iterable(words)).difference(self.known):
             if len(self.known) + len(missing) > CACHE_WORDS:
                 self.known, self.older = {}, self.known
