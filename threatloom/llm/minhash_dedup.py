@@ -8,12 +8,13 @@
    out fewer values than they must share (for whole sets p is exact; for k = 64 and 0.85 the chance
    that more than 31 of 64 are not shared is below 1e-10 a pair). Values that stand in one class only
    take up places but make no list, so ordinary texts, even with a common passage, are in no list at all.
-3. In each list, every member is paired with the smallest member, in a long list with some more leaders (stars,
-   linear in the list). The union-sketch estimate drops pairs that can't reach t; the rest are verified on full sets.
-   Leaders are the members of least hash, so lists over the same texts mostly share them. Components of these links follow.
+3. In each list, every member is paired with a leader, in a long list with several (stars, linear in the list). Leaders
+   are the members with the fewest values of one class only, that is, those least edited, so they link with most others.
+   The union-sketch estimate drops pairs that can't reach t; the rest are verified on full sets. Components of these links follow.
 4. Members of a list outside its largest component are compared with all members of other components: by a join where the
-   list is short, in blocks of bounded size with sketch overlaps counted from inverted lists where it is long.
-   Pairs within a component are already connected, so no connection between texts is lost.
+   list is short; where it is long, in blocks of bounded size, once for all long lists with the same largest component.
+   There a pair is dropped if even the values that each shares with any member of a long list are too few for t (exact), or by the
+   estimate. Pairs within a component are already connected, so no connection between texts is lost.
 5. Components of the further links, over those found before, are found by minimum labels; a text has the component of its class.
 
 Words are what stands between the six ASCII white-space characters after A-Z is lower-cased. A text
@@ -46,8 +47,8 @@ MARGIN = 7.5
 SLACK = 6.0
 #: Members of a list that is joined with itself in step 4; longer lists are compared in blocks.
 SHORT_LIST = 32
-#: Members of a long list that all its members are paired with in step 3, besides the smallest.
-LEADERS = 2
+#: Members of a long list that all its members are paired with in step 3.
+LEADERS = 3
 BLOCK = 2_000
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -105,6 +106,19 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "rep long, digest binary, full binary")
 
 
+def shared_values(sets: DataFrame) -> DataFrame:
+    """rep and lone: how many values of each full set stand in no other of these sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            full = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(1)]
+            reps = np.repeat(batch.column(0).to_numpy(), list(map(len, full)))
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(np.concatenate(full) if full else [], pa.int64())], names=["rep", "v"])
+
+    values = map_batches(sets.select("rep", "full"), run, "rep long, v long").groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep"))
+    return values.where("n = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("lone"))
+
+
 def prefix_length(size: int, percent: int) -> int:
     """Values of a sketch of this size under which a class is listed."""
     miss = 1 - percent / 100
@@ -153,12 +167,15 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
 
 
 def long_list_pairs(rest: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of long lists that pass the estimate: rows of rest against all members of other components, block by block."""
-    count = members.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    """Pairs that pass the bound and the estimate: rows of rest against all members of other components under their core, block by block.
+
+    Both sides: core, rep, comp, n_shingles, shared, sketch.
+    """
+    count = members.groupBy("core").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     of = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
-    left = rest.join(count, "v").withColumn("rb", of("rep")).withColumn("mb", every).drop("blocks")
-    right = members.join(count, "v").withColumn("mb", of("rep")).withColumn("rb", every).drop("blocks")
+    left = rest.join(count, "core").withColumn("rb", of("rep")).withColumn("mb", every).drop("blocks")
+    right = members.join(count, "core").withColumn("mb", of("rep")).withColumn("rb", every).drop("blocks")
 
     right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of its own, apart from the left side's
 
@@ -170,18 +187,22 @@ def long_list_pairs(rest: DataFrame, members: DataFrame, percent: int) -> DataFr
             owner = np.repeat(np.arange(len(others)), others["sketch"].map(len))
             order = np.argsort(posts, kind="stable")
             posts, owner = posts[order], owner[order]
-            comps = others["comp"].to_numpy()
-            for rep, n, sketch, comp in zip(some["rep"], some["n_shingles"], some["sketch"], some["comp"], strict=True):
+            comps, sizes, most = (others[c].to_numpy() for c in ("comp", "n_shingles", "shared"))
+            for rep, n, sketch, comp, shared in zip(*(some[c] for c in ("rep", "n_shingles", "sketch", "comp", "shared")), strict=True):
+                common = np.minimum(most, shared)  # the largest intersection that there can be
+                possible = (comps != comp) & (100 * common >= percent * (n + sizes - common))
+                if not possible.any():
+                    continue
                 lo, hi = np.searchsorted(posts, sketch), np.searchsorted(posts, sketch, side="right")
                 hits = np.concatenate([owner[i:j] for i, j in zip(lo, hi, strict=True)])
                 overlap = np.bincount(hits, minlength=len(others))
-                for o in np.flatnonzero((overlap * 4 >= len(sketch)) & (comps != comp)):  # far below what similar sets share
+                for o in np.flatnonzero((overlap * 4 >= len(sketch)) & possible):  # far below what similar sets share
                     b = int(others.at[o, "rep"])
-                    if may_link(sketch, others.at[o, "sketch"], n, int(others.at[o, "n_shingles"]), percent):
+                    if may_link(sketch, others.at[o, "sketch"], n, int(sizes[o]), percent):
                         out.append((min(rep, b), max(rep, b)))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    keys = ["v", "rb", "mb"]
+    keys = ["core", "rb", "mb"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a long, b long").distinct()
 
 
@@ -197,11 +218,11 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFr
     found = values.join(shared, "v").groupBy("rep", "n_shingles", "m").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     prefix = F.element_at(F.array(*(F.lit(prefix_length(m, percent)) for m in range(1, SKETCH + 1))), F.col("m"))
     take = prefix - (F.col("m") - F.size("vs"))  # values of one class only come first and make no list
-    listed = found.where(take > 0).select("rep", "n_shingles", F.explode(F.slice("vs", F.lit(1), take)).alias("e")).select("rep", "n_shingles", F.col("e.v").alias("v"))
-    lead = [F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"lead{k}") for k in range(LEADERS)]
-    sizes = listed.groupBy("v").agg(F.count(F.lit(1)).alias("len"), F.min(F.struct("n_shingles", "rep")).alias("first"), *lead).where(F.col("len") > 1)
-    smallest = F.array("first.rep")
-    leads = F.when(F.col("len") > SHORT_LIST, F.concat(smallest, F.array(*(f"lead{k}" for k in range(LEADERS))))).otherwise(smallest)
+    alone = (F.col("m") - F.size("vs")) / F.col("m")
+    listed = found.where(take > 0).select("rep", "n_shingles", alone.alias("alone"), F.explode(F.slice("vs", F.lit(1), take)).alias("e")).select("rep", "n_shingles", "alone", F.col("e.v").alias("v"))
+    lead = [F.min_by("rep", F.struct("alone", F.xxhash64("rep", F.lit(k)))).alias(f"lead{k}") for k in range(LEADERS)]
+    sizes = listed.groupBy("v").agg(F.count(F.lit(1)).alias("len"), *lead).where(F.col("len") > 1)
+    leads = F.when(F.col("len") > SHORT_LIST, F.array(*(f"lead{k}" for k in range(LEADERS)))).otherwise(F.array("lead0"))
     listed = reliable(listed.join(sizes, "v").select("v", "rep", "n_shingles", "len", leads.alias("leads")))
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
@@ -223,9 +244,12 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFr
     pairs = short.select(*ordered("rep", "other")).distinct()
     hot = rest.where(F.col("len") > SHORT_LIST)
     if not hot.isEmpty():
-        sketches = classes.select("rep", "n_shingles", "sketch")
-        members = apart.where(F.col("len") > SHORT_LIST).select("v", "rep", "comp").join(sketches, "rep")
-        pairs = pairs.unionByName(long_list_pairs(hot.select("v", "rep", "comp").join(sketches, "rep"), members, percent)).distinct()
+        long = apart.where(F.col("len") > SHORT_LIST).select("core", "rep", "comp").distinct()
+        lone = shared_values(sets.join(long.select("rep").distinct(), "rep", "left_semi"))
+        known = classes.select("rep", "n_shingles", "sketch").join(lone, "rep", "left").select("rep", "n_shingles", "sketch", (F.col("n_shingles") - F.coalesce("lone", F.lit(0))).alias("shared"))
+        members = long.join(known.where(100 * F.col("shared") >= percent * F.col("n_shingles")), "rep")
+        members = reliable(members)
+        pairs = pairs.unionByName(long_list_pairs(members.where(F.col("comp") != F.col("core")), members, percent)).distinct()
     further = verified(pairs, classes, sets, percent)
     of = lambda side: near.select(F.col("node").alias(side), F.col("component").alias("c" + side))
     further = further.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
@@ -235,5 +259,5 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFr
     labels = labels.select("digest", "n_shingles", F.coalesce("component", "rep").alias("node"))
     labels = labels.join(joined, "node", "left").select("digest", "n_shingles", F.coalesce("component", "node").alias("_label"))
     out = filled.join(labels, ["digest", "n_shingles"]).select("doc_id", "n_shingles", F.col("_label").alias("component_id"))
-    alone = rows.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    unlinked = rows.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionByName(unlinked).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
