@@ -18,7 +18,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, pairwise
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +66,7 @@ class WordEncoder:
         alphabet = byte_alphabet()
         self.byte_ids = np.array([vocab[c] for c in alphabet], dtype=np.int32)
         self.end_ids = np.array([vocab[c + model["end_of_word_suffix"]] for c in alphabet], dtype=np.int32)
-        self.parts = re.compile(plain_pattern(WORD_PATTERN))
+        self.parts = re.compile(plain_pattern(WORD_PATTERN) + "|\n")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -78,22 +78,20 @@ class WordEncoder:
             plain = [w for w in words if len(w) <= LONG_WORD and PLAIN.fullmatch(w) and "<|" not in w]
             other = list(set(words).difference(plain))
         self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True))
-        # One list of parts for all words: a word of letters only is a part itself, any other has none or more.
-        letters = [w.isalpha() for w in plain]
-        found = [() if whole else self.parts.findall(w.lower()) for w, whole in zip(plain, letters, strict=True)]
-        sizes = [1 if whole else len(f) for f, whole in zip(found, letters, strict=True)]
-        raw = [p.encode() for w, f, whole in zip(plain, found, letters, strict=True) for p in ((w.lower(),) if whole else f)]
-        if not raw:
-            self.known.update((w, b"") for w in plain)
-            return
-        buf = np.frombuffer(b"".join(raw), dtype=np.uint8)
-        ends = np.cumsum(list(map(len, raw)))
+        # All words at once, a line break after each but the last: no part holds one.
+        parts = [p.encode() for p in self.parts.findall("\n".join(plain).lower())]
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        buf = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        breaks = buf[starts] == ord("\n")
+        of_words = np.concatenate([[0], np.cumsum(~breaks)[breaks], [int((~breaks).sum())]])
+        buf, ends = np.delete(buf, starts[breaks]), np.cumsum(sizes[~breaks])
         symbols = self.byte_ids[buf]
         symbols[ends - 1] = self.end_ids[buf[ends - 1]]
-        symbols, counts = self.table.merge(symbols, np.append(0, ends[:-1]))
-        at = np.append(0, np.cumsum(counts))[np.cumsum([0, *sizes])] * 4
+        symbols, counts = self.table.merge(symbols, np.append(0, ends[:-1]) if len(ends) else ends)
+        at = (np.append(0, np.cumsum(counts))[of_words] * 4).tolist()
         data = symbols.astype("<u4").tobytes()
-        self.known.update((w, data[a:b]) for w, (a, b) in zip(plain, pairwise(at.tolist()), strict=True))
+        self.known.update(zip(plain, map(data.__getitem__, map(slice, at[:-1], at[1:])), strict=False))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -102,7 +100,8 @@ class WordEncoder:
             if len(self.known) + len(missing) > CACHE_WORDS:
                 self.known, self.older = {}, self.known
                 missing = set(chain.from_iterable(words))
-            self.known.update((w, self.older[w]) for w in missing & self.older.keys())
+            again = list(missing & self.older.keys())
+            self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
             if new := list(missing - self.known.keys()):
                 self.learn(new)
         return [b"".join(map(self.known.__getitem__, w)) for w in words]
