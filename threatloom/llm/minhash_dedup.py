@@ -14,7 +14,7 @@
 4. Members of a list outside its largest component are compared with all members of other components: by a join where the
    list is short; where it is long, in blocks of bounded size, once for all long lists with the same largest component.
    There a pair is dropped if even the values that each shares with any member of a long list are too few for t (exact), or by the
-   estimate. Pairs within a component are already connected, so no connection between texts is lost.
+   estimate, or if the block has already connected its components; the rest are verified on full sets on the spot. Pairs within a component are already connected, so no connection between texts is lost.
 5. Components of the further links, over those found before, are found by minimum labels; a text has the component of its class.
 
 Words are what stands between the six ASCII white-space characters after A-Z is lower-cased. A text
@@ -49,7 +49,10 @@ SLACK = 6.0
 SHORT_LIST = 32
 #: Members of a long list that all its members are paired with in step 3.
 LEADERS = 3
-BLOCK = 2_000
+#: Members, and values of their full sets, in a block.
+BLOCK, BLOCK_VALUES = 4_000, 1_000_000
+#: So many ids of listed texts are sent to where the texts lie; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
@@ -166,44 +169,62 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
     return map_batches(likely.join(full_a, "a").join(full_b, "b").select("a", "b", "fa", "fb"), exact, "a long, b long")
 
 
-def long_list_pairs(rest: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Pairs that pass the bound and the estimate: rows of rest against all members of other components under their core, block by block.
+def long_list_links(rest: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links between components under one core, verified on full sets: rows of rest against all members, block by block.
 
-    Both sides: core, rep, comp, n_shingles, shared, sketch.
+    Both sides: core, rep, comp, shared, full. A block gives no link between components that its links already connect.
     """
-    count = members.groupBy("core").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    of = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
-    left = rest.join(count, "core").withColumn("rb", of("rep")).withColumn("mb", every).drop("blocks")
-    right = members.join(count, "core").withColumn("mb", of("rep")).withColumn("rb", every).drop("blocks")
 
+    def dealt(rows: DataFrame, own: str) -> DataFrame:
+        n = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.length("full") / 8) / BLOCK_VALUES)).cast("int")
+        return rows.groupBy("core").agg(n.alias(own + "s"))
+
+    counts = dealt(rest, "rb").join(dealt(members, "mb"), "core")
+    of = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rest.join(counts, "core").withColumn("rb", of("rbs")).withColumn("mb", every("mbs")).drop("rbs", "mbs")
+    right = members.join(counts, "core").withColumn("mb", of("mbs")).withColumn("rb", every("rbs")).drop("rbs", "mbs")
     right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of its own, apart from the left side's
 
     def compare(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
+        top: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while top.get(c, c) != c:
+                c = top[c] = top.get(top[c], top[c])
+            return c
+
         if len(some) and len(others):
-            others = others.reset_index(drop=True)
-            posts = np.concatenate(others["sketch"].to_list())
-            owner = np.repeat(np.arange(len(others)), others["sketch"].map(len))
+            full = [np.frombuffer(x, dtype=np.int64) for x in others["full"]]
+            posts = np.concatenate([f[:SKETCH] for f in full])
+            owner = np.repeat(np.arange(len(full)), [len(f[:SKETCH]) for f in full])
             order = np.argsort(posts, kind="stable")
             posts, owner = posts[order], owner[order]
-            comps, sizes, most = (others[c].to_numpy() for c in ("comp", "n_shingles", "shared"))
-            for rep, n, sketch, comp, shared in zip(*(some[c] for c in ("rep", "n_shingles", "sketch", "comp", "shared")), strict=True):
+            sizes, comps, most, reps = np.array(list(map(len, full))), others["comp"].to_numpy(), others["shared"].to_numpy(), others["rep"].to_numpy()
+            for rep, comp, shared, raw in zip(*(some[c] for c in ("rep", "comp", "shared", "full")), strict=True):
+                own = np.frombuffer(raw, dtype=np.int64)
+                n, sketch = len(own), own[:SKETCH]
                 common = np.minimum(most, shared)  # the largest intersection that there can be
                 possible = (comps != comp) & (100 * common >= percent * (n + sizes - common))
                 if not possible.any():
                     continue
                 lo, hi = np.searchsorted(posts, sketch), np.searchsorted(posts, sketch, side="right")
                 hits = np.concatenate([owner[i:j] for i, j in zip(lo, hi, strict=True)])
-                overlap = np.bincount(hits, minlength=len(others))
-                for o in np.flatnonzero((overlap * 4 >= len(sketch)) & possible):  # far below what similar sets share
-                    b = int(others.at[o, "rep"])
-                    if may_link(sketch, others.at[o, "sketch"], n, int(sizes[o]), percent):
-                        out.append((min(rep, b), max(rep, b)))
+                overlap = np.bincount(hits, minlength=len(full))
+                near = np.flatnonzero((overlap * 4 >= len(sketch)) & possible)  # far below what similar sets share
+                for o in near[np.argsort(-overlap[near], kind="stable")].tolist():
+                    x, y = find(comp), find(int(comps[o]))
+                    if x == y or not may_link(sketch, full[o][:SKETCH], n, int(sizes[o]), percent):
+                        continue
+                    both = len(np.intersect1d(own, full[o], assume_unique=True))
+                    if 100 * both >= percent * (n + int(sizes[o]) - both):
+                        top[max(x, y)] = min(x, y)
+                        out.append((min(rep, int(reps[o])), max(rep, int(reps[o]))))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     keys = ["core", "rb", "mb"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a long, b long").distinct()
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a long, b long")
 
 
 def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
@@ -228,7 +249,10 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFr
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     stars = listed.select("rep", F.explode("leads").alias("lead")).where(F.col("rep") != F.col("lead")).select(*ordered("rep", "lead")).distinct()
     wanted = listed.select("rep").distinct().join(classes.select("rep", "digest"), "rep")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    wanted = reliable(wanted)
+    ids = wanted.select(F.col("rep").alias("doc_id"))
+    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     sets = reliable(full_sets(texts, words).join(wanted, ["rep", "digest"]).dropDuplicates(["rep", "digest"]))
     linked = reliable(verified(stars, classes, sets, percent))
 
@@ -243,14 +267,14 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFr
     short = rest.where(F.col("len") <= SHORT_LIST).join(other, "v").where(F.col("comp") != F.col("comp2"))
     pairs = short.select(*ordered("rep", "other")).distinct()
     hot = rest.where(F.col("len") > SHORT_LIST)
+    further = verified(pairs, classes, sets, percent)
     if not hot.isEmpty():
         long = apart.where(F.col("len") > SHORT_LIST).select("core", "rep", "comp").distinct()
-        lone = shared_values(sets.join(long.select("rep").distinct(), "rep", "left_semi"))
-        known = classes.select("rep", "n_shingles", "sketch").join(lone, "rep", "left").select("rep", "n_shingles", "sketch", (F.col("n_shingles") - F.coalesce("lone", F.lit(0))).alias("shared"))
-        members = long.join(known.where(100 * F.col("shared") >= percent * F.col("n_shingles")), "rep")
-        members = reliable(members)
-        pairs = pairs.unionByName(long_list_pairs(members.where(F.col("comp") != F.col("core")), members, percent)).distinct()
-    further = verified(pairs, classes, sets, percent)
+        held = sets.join(long.select("rep").distinct(), "rep", "left_semi").select("rep", "full")
+        shared = F.length("full") / 8 - F.coalesce("lone", F.lit(0))
+        held = held.join(shared_values(held), "rep", "left").select("rep", "full", shared.cast("long").alias("shared"))
+        members = reliable(long.join(held.where(100 * F.col("shared") >= percent * F.length("full") / 8), "rep"))
+        further = further.unionByName(long_list_links(members.where(F.col("comp") != F.col("core")), members, percent))
     of = lambda side: near.select(F.col("node").alias(side), F.col("component").alias("c" + side))
     further = further.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     joined = components(further)
