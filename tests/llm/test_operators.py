@@ -135,6 +135,23 @@ def test_toxicity(spark):
     assert toxicity.score(docs, nothing).where("score between 0 and 1").count() == docs.count()
 
 
+@pytest.mark.parametrize("every, insults", [(2, 5), (10, 2)])
+def test_toxicity_learns_from_few_rows_and_from_as_many_toxic_ones(spark, every, insults):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(40)]
+        if i % every == 0:
+            words[3 : 3 + insults] = rng.choice(["idiot", "scum", "moron"], insults)
+        rows.append((i, " ".join(words), int(i % every == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(docs, docs)).collect()}
+    assert all(r.evidence for r in out.values()) and len({r.score for r in out.values()}) > 30
+    for i, _, y in rows:
+        if every == 2 or not out[i].held_out:
+            assert out[i].predicted == y
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(2)
     vectors = []

@@ -1,17 +1,19 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Fitting takes a bounded sample of labelled rows (TRAIN_ROWS, those of smallest hash of their id among
-the rows that may be learnt from). Features are words and word beginnings; of those in the sample that
-mostly stand in toxic examples, the MAX_TERMS that say most about the label (chi-square) make the vocabulary. Document frequencies of
-the vocabulary are counted over all documents. The sample's TF-IDF vectors go into an inverted index
-whose documents lie in blocks with the largest weight of each term; a query visits blocks in the order
+the rows that may be learnt from). Features are words and word beginnings, ranked by what they say about the label
+(chi-square) in two vocabularies: MAX_TERMS strong terms, which mostly stand in toxic examples beyond chance, and MAX_TERMS of
+all others, for either side and without a least value. A text with strong terms is compared by these, any other text by the
+others, so that a small table or another share of toxic examples, where no term is strong, is learnt from too. Document
+frequencies of the vocabularies are counted over all documents. The sample's TF-IDF vectors go into an inverted index
+(one for each vocabulary) whose documents lie in blocks with the largest weight of each term; a query visits blocks in the order
 of their upper bounds and stops when no bound reaches its k-th best similarity, so it is exact.
 
 Votes are weighted by squared similarity with a weak prior, and a logistic curve fitted on the
-sample's leave-one-out votes calibrates them. Scoring runs where a document lies; only the index
+sample's leave-one-out votes calibrates them; for the other terms, on the examples without a strong one. Scoring runs where a document lies; only the index
 (bounded by TRAIN_ROWS and MAX_TERMS) is sent to the tasks.
 
-Defined cases: a null or empty text, or one without a term of the vocabulary, gets the calibrated share
+Defined cases: a null or empty text, or one without a term of either vocabulary, gets the calibrated share
 of toxic examples among the sample's rows without one; labels that are null are not learnt from; of repeated
 labels of a doc_id the largest counts; a null doc_id is scored and not held out; without any labels every score is 0.
 """
@@ -31,15 +33,17 @@ from threatloom.llm.common import map_batches
 
 TRAIN_ROWS = 6_000
 MAX_TERMS = 1_024
-#: A term must stand in so many documents of the sample.
+#: A strong term must stand in so many documents of the sample; of the others, those of so many rank before rarer ones.
 MIN_DOCS = 3
-#: Chi-square that a term needs; among the many terms of a sample, lower ones turn up by chance.
+#: Chi-square that a strong term needs; among the many terms of a sample, lower ones turn up by chance.
 MIN_CHI = 30.0
-#: Share of toxic examples among the sample's rows that hold the term.
+#: Share of toxic examples among the sample's rows that hold the strong term.
 MIN_SHARE = 0.75
 PREFIXES = (3, 4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 32
+#: Blocks that a query visits at once.
+STEP = 8
 PRIOR_WEIGHT = 0.05
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
@@ -107,39 +111,46 @@ class BlockMaxIndex:
         """Positions and similarities of the k nearest, by similarity, then position."""
         bounds = weights @ self.best[terms]
         at, sims, edge = np.zeros(0, dtype=np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(at) == k and bounds[b] < edge - 1e-12:
+        order = np.argsort(-bounds, kind="stable")
+        for i in range(0, len(order), STEP):
+            blocks = order[i : i + STEP]
+            if bounds[blocks[0]] <= 0 or len(at) == k and bounds[blocks[0]] < edge - 1e-12:
                 break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                a, z = self.starts[t * self.n_blocks + b], self.starts[t * self.n_blocks + b + 1]
-                if a < z:
-                    scores[self.post_docs[a:z] - b * BLOCK] += w * self.post_weights[a:z]
+            # The postings of each term in each of the blocks, term by term.
+            cells = terms[:, None] * self.n_blocks + blocks
+            first = self.starts[cells]
+            sizes = self.starts[cells + 1] - first
+            flat = sizes.reshape(-1)
+            ends = np.cumsum(flat)
+            rows = np.arange(ends[-1]) + np.repeat(first.reshape(-1) - ends + flat, flat)
+            shift = np.repeat(np.tile((np.arange(len(blocks)) - blocks) * BLOCK, len(terms)), flat)
+            scores = np.bincount(self.post_docs[rows] + shift, np.repeat(weights, sizes.sum(axis=1)) * self.post_weights[rows], len(blocks) * BLOCK)
             hit = np.flatnonzero(scores > 0)
+            found = blocks[hit // BLOCK] * BLOCK + hit % BLOCK
             if skip is not None:
-                hit = hit[hit + b * BLOCK != skip]
-            at, sims = np.append(at, hit + b * BLOCK), np.append(sims, scores[hit])
+                hit, found = hit[found != skip], found[found != skip]
+            at, sims = np.append(at, found), np.append(sims, scores[hit])
             best = np.lexsort((at, -np.round(sims, 9)))[:k]
             at, sims = at[best], sims[best]
             edge = float(sims[-1]) if len(sims) == k else 0.0
         return at, sims
 
 
-class Scorer:
-    """What tasks need to score a text: vocabulary, weights, index and calibration."""
+class Neighbours:
+    """One vocabulary's weights, index and calibration; known are the ids of the examples that calibrate."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]]):
-        self.terms, self.idf = terms, idf
+    def __init__(self, idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], known: set[int]):
+        self.idf = idf
         full = [(i, y, vector(c, idf)) for i, y, c in examples if c]
-        bare = [y for _, y, c in examples if not c]
-        self.prior = (sum(y for _, y, _ in examples) + 0.5) / (len(examples) + 1)
+        bare = [y for i, y, c in examples if not c and i in known]
+        self.prior = (sum(y for i, y, _ in examples if i in known) + 0.5) / (len(known) + 1)
         self.bare = (sum(bare) + self.prior) / (len(bare) + 1)
-        self.index = BlockMaxIndex([i for i, _, _ in full], [y for _, y, _ in full], [v for _, _, v in full], len(terms)) if full else None
+        self.index = BlockMaxIndex([i for i, _, _ in full], [y for _, y, _ in full], [v for _, _, v in full], len(idf)) if full else None
         self.curve = (1.0, 0.0)
-        if self.index:
+        if told := [x for x in full if x[0] in known]:
             where = {int(i): p for p, i in enumerate(self.index.ids)}
-            votes = np.array([self.vote(*v, skip=where[i])[0] for i, _, v in full])
-            self.curve = logistic(logit(votes), np.array([y for _, y, _ in full], dtype=float))
+            votes = np.array([self.vote(*v, skip=where[i])[0] for i, _, v in told])
+            self.curve = logistic(logit(votes), np.array([y for _, y, _ in told], dtype=float))
 
     def vote(self, terms: np.ndarray, weights: np.ndarray, skip: int | None = None) -> tuple[float, list[int]]:
         at, sims = self.index.nearest(terms, weights, NEIGHBOURS, skip)
@@ -155,6 +166,23 @@ class Scorer:
         return float(1 / (1 + np.exp(-(a * logit(share) + b)))), evidence
 
 
+class Scorer:
+    """What tasks need to score a text: the terms, the first of them strong, and the neighbours by strong and by other terms."""
+
+    def __init__(self, terms: list[str], strong: int, idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]]):
+        self.terms, self.strong = terms, strong
+        parts = [(i, y, *self.parted(c)) for i, y, c in examples]
+        self.by_strong = Neighbours(idf[:strong], [(i, y, c) for i, y, c, _ in parts], {i for i, *_ in parts})
+        self.by_other = Neighbours(idf[strong:], [(i, y, c) for i, y, _, c in parts], {i for i, _, c, _ in parts if not c})
+
+    def parted(self, counts: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
+        return {t: n for t, n in counts.items() if t < self.strong}, {t - self.strong: n for t, n in counts.items() if t >= self.strong}
+
+    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
+        strong, other = self.parted(counts)
+        return self.by_strong.score(strong) if strong else self.by_other.score(other)
+
+
 def logit(p):
     p = np.clip(p, 1e-4, 1 - 1e-4)
     return np.log(p / (1 - p))
@@ -201,13 +229,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, max
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     counted = map_batches(rows.select("text", "y"), split, "term string, n0 long, n1 long")
-    counted = counted.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= MIN_DOCS)
+    counted = counted.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     total = max(1, n0 + n1)
     expected = (F.col("n0") + F.col("n1")) * (n1 / total)
     other = (F.col("n0") + F.col("n1")) * (n0 / total)
     chi = (F.col("n1") - expected) ** 2 / F.greatest(expected, F.lit(1e-9)) + (F.col("n0") - other) ** 2 / F.greatest(other, F.lit(1e-9))
-    told = counted.where(F.col("n1") >= MIN_SHARE * (F.col("n0") + F.col("n1"))).select("term", chi.alias("chi"))
-    terms = [r["term"] for r in told.where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "term").limit(max_terms).collect()]
+    often, mostly = F.col("n0") + F.col("n1") >= MIN_DOCS, F.col("n1") >= MIN_SHARE * (F.col("n0") + F.col("n1"))
+    ranked = counted.select("term", often.alias("often"), chi.alias("chi"), (often & mostly & (chi >= MIN_CHI)).alias("strong")).persist()
+    first = [F.desc("often"), F.desc("chi"), "term"]
+    told, others = [[r["term"] for r in ranked.where(is_strong).orderBy(*first).limit(max_terms).collect()] for is_strong in ("strong", "NOT strong")]
+    ranked.unpersist()
+    terms = told + others
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TermCounter(terms)
@@ -230,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, max
     rows.unpersist()
     idf = np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
     examples = {r["doc_id"]: (r["doc_id"], r["y"], dict(zip(r["terms"], r["counts"], strict=True))) for r in sorted(drawn, key=lambda r: (r["doc_id"], r["terms"]))}
-    return Scorer(terms, idf, list(examples.values()))
+    return Scorer(terms, len(told), idf, list(examples.values()))
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
