@@ -53,10 +53,12 @@ def simhash(articles: DataFrame) -> DataFrame:
 
 
 def near_duplicates(hashes: DataFrame, *, distance: int = 3) -> DataFrame:
-    """Pairs of different hashes in one bucket (their low four bits) within the distance, with how many articles have each.
+    """Links between articles in one bucket (the low four bits of their hashes) within the distance, with how many articles have each hash.
 
-    Equal hashes are one row here, so a large group of copies is not multiplied. The other 60 bits are cut into
-    four bands; hashes that differ in at most three bits agree in one of them, so pairs meet by bucket, band and value.
+    Articles of equal hashes are linked at distance 0 with the first of them (id_a), each by one row, so a large group of copies
+    is not multiplied; different hashes within the distance are linked by their first articles. Two articles are near copies
+    if their first articles are the same or linked. The other 60 bits are cut into four bands; hashes that differ in at
+    most three bits agree in one of them, so pairs meet by bucket, band and value.
     """
     classes = hashes.groupBy("simhash").agg(F.count(F.lit(1)).alias("articles"), F.min("article_id").alias("first_id"))
     banded = classes.select(
@@ -67,10 +69,15 @@ def near_duplicates(hashes: DataFrame, *, distance: int = 3) -> DataFrame:
     x, y = banded.alias("x"), banded.alias("y")
     on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part"))
     close = (F.col("x.simhash") < F.col("y.simhash")) & (hamming(F.col("x.simhash"), F.col("y.simhash")) <= distance)
-    return x.join(y, on & close).select(
+    pairs = x.join(y, on & close).select(
         F.col("x.first_id").alias("id_a"), F.col("y.first_id").alias("id_b"), F.col("x.articles").alias("n_a"), F.col("y.articles").alias("n_b"),
         hamming(F.col("x.simhash"), F.col("y.simhash")).alias("distance"),
     ).distinct()
+    several = classes.where(F.col("articles") > 1)
+    others = hashes.join(several, "simhash").where(~F.col("article_id").eqNullSafe(F.col("first_id")))
+    return pairs.unionByName(
+        others.select(F.col("first_id").alias("id_a"), F.col("article_id").alias("id_b"), F.col("articles").alias("n_a"), F.col("articles").alias("n_b"), F.lit(0).alias("distance"))
+    )
 
 
 def first_per_key(articles: DataFrame, *keys: str) -> DataFrame:
