@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 # The weights of the keyword score by tier.
 TIER_WEIGHTS = {"perfect": 75.0, "good": 5.0, "lolbas": 10.0, "intelligence": 10.0, "negative": -15.0}
-#: A small registry for reports over the synthetic documents; real ones are passed in.
+#: A small registry for reports over the synthetic documents, matched as plain text as in the reports' SQL; real ones are passed in.
 KEYWORDS = {
     "perfect": ["token =", "general public license"],
     "good": ["licensed under", "version"],
@@ -46,6 +48,62 @@ def matches(text: Column, words: list[str]) -> Column:
     return F.array_compact(F.array(*(F.when(F.contains(lowered, F.lit(w)), F.lit(w)) for w in words)))
 
 
+# Keywords that match inside words, before any ending, or as symbols, and keywords that are patterns themselves.
+PARTIAL = ("hunting", "detection", "monitor", "alert", "executable", "parent-child", "defender query")
+PREFIXES = ("spawn",)
+SYMBOLS = ("==", "!=", "<=", ">=", "::", "-->", "->", "//", "--", "\\", "|", "C:\\", "D:\\")
+OBFUSCATION = (
+    r"%[A-Za-z0-9_]+:~[0-9]+(,[0-9]+)?%",
+    r"%[A-Za-z0-9_]+:[^=%%]+=[^%]*%",
+    r"![A-Za-z0-9_]+!",
+    r"\bcmd(\.exe)?\s*/V(?::[^ \t/]+)?",
+    r"\bset\s+[A-Za-z0-9_]+\s*=",
+    r"\bcall\s+(set|%[A-Za-z0-9_]+%|![A-Za-z0-9_]+!)",
+    r"(%[^%]+%){4,}",
+    r"\bfor\s+/?[A-Za-z]*\s+%[A-Za-z]\s+in\s*\(",
+    r"![A-Za-z0-9_]+:~%[A-Za-z],1!",
+    r"\bfor\s+/L\s+%[A-Za-z]\s+in\s*\([^)]+\)",
+    r"%[A-Za-z0-9_]+:~-[0-9]+%|%[A-Za-z0-9_]+:~[0-9]+%",
+    r"%[A-Za-z0-9_]+:\*[^!%]+=!%",
+    r"[^\w](s\^+e\^*t|s\^*e\^+t)[^\w]",
+    r"[^\w](c\^+a\^*l\^*l|c\^*a\^+l\^*l|c\^*a\^*l\^+l)[^\w]",
+    r"[^\w]([a-z]\^+[a-z](\^+[a-z])*)[^\w]",
+    r"%[^%]+%<[^>]*|set\s+[A-Za-z0-9_]+\s*=\s*[^&|>]*\|",
+)
+
+
+def keyword_pattern(word: str) -> str:
+    """The pattern by which a keyword of a registry is looked for, without regard to case."""
+    plain = re.escape(word)
+    if word in OBFUSCATION:
+        return word
+    if word.lower() in PARTIAL or word in SYMBOLS:
+        return plain
+    if word.lower() in PREFIXES:
+        return plain + r"\w*"
+    if word.startswith("-") or word.endswith("-"):
+        return rf"(?<![a-zA-Z]){plain}(?![a-zA-Z])"
+    if word.startswith("."):
+        return rf"[a-zA-Z0-9_]{plain}\b"
+    if word.endswith((".exe", ".dll")):
+        base, ending = re.escape(word[:-4]), word[-3:]
+        if len(word) <= 7:
+            return rf"\b{base}(\.{ending}\b|(?![a-zA-Z0-9]))"
+        return rf"\b{base}\.exe\b" if ending == "exe" else rf"\b{base}(\.dll)?\b"
+    return rf"\b{plain}\b"
+
+
+def rule_matches(text: Column, words: list[str]) -> Column:
+    """The words whose pattern stands in the text, in their order."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.array_compact(F.array(*(F.when(F.rlike(whole, F.lit("(?iuU)" + keyword_pattern(w))), F.lit(w)) for w in words)))
+
+
+def matcher(registry: dict[str, list[str]]) -> Callable[[Column, list[str]], Column]:
+    """How keywords of a registry are looked for: by their patterns, those of the report registry as plain text."""
+    return matches if registry is KEYWORDS else rule_matches
+
+
 def keyword_score(counts: dict[str, Column]) -> Column:
     """Each tier saturates by halves; the sum is held between 0 and 99.9 and rounded to a tenth."""
     parts = [F.lit(weight) * (1 - F.pow(F.lit(0.5), counts[tier].cast("double"))) for tier, weight in TIER_WEIGHTS.items() if tier in counts]
@@ -54,7 +112,7 @@ def keyword_score(counts: dict[str, Column]) -> Column:
 
 
 def hunt_score(text: Column, registry: dict[str, list[str]] = KEYWORDS) -> Column:
-    return keyword_score({tier: F.size(matches(text, words)) for tier, words in registry.items()})
+    return keyword_score({tier: F.size(matcher(registry)(text, words)) for tier, words in registry.items()})
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threatloom.functions.text import KEYWORDS, matches
+from threatloom.functions.text import KEYWORDS, matcher
 
 
 def fixed_chunks(articles: DataFrame, *, size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -52,7 +52,7 @@ def features(text: Column, registry: dict[str, list[str]] = KEYWORDS) -> list[Co
         count(r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b").alias("addresses"),
         count(r"\b[0-9a-f]{32,64}\b").alias("hashes"),
         count(r"https?://").alias("links"),
-        *(F.size(matches(text, ws)).alias(f"{tier}_matches") for tier, ws in registry.items()),
+        *(F.size(matcher(registry)(text, ws)).alias(f"{tier}_matches") for tier, ws in registry.items()),
     ]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threatloom.functions.text import hunt_score, matches
+from threatloom.functions.text import hunt_score, matcher
 from threatloom.views import pct
 
 count_if = F.count_if
@@ -123,7 +123,7 @@ def keyword_stats(articles: DataFrame, registry: dict[str, list[str]]) -> DataFr
     """Frequency and average score of each keyword and tier."""
 
     def tagged(tier: str, words: list[str]) -> Column:
-        return F.transform(matches(F.col("content"), words), lambda w: F.struct(F.lit(tier).alias("category"), w.alias("keyword")))
+        return F.transform(matcher(registry)(F.col("content"), words), lambda w: F.struct(F.lit(tier).alias("category"), w.alias("keyword")))
 
     pairs = F.flatten(F.array(*(tagged(tier, words) for tier, words in registry.items())))
     hits = articles.select(hunt_score(F.col("content"), registry).alias("hs"), F.explode(pairs).alias("k"))
