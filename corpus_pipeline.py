@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatloom.llm import exact_dedup, minhash_dedup, packing, secret_scan, toxicity
-from threatloom.llm.common import shared_folder, table
+from threatloom.llm.common import reliable, shared_folder, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -25,20 +25,43 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, scorer)
 
 
+def repeated_ids(docs: DataFrame) -> DataFrame:
+    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each text (A-Z lower-cased): of equal texts the row with the largest doc_id."""
+    """One row for each text (A-Z lower-cased): of equal texts the row with the largest doc_id, of its repeated rows the least."""
     groups = exact_dedup.exact_groups(docs).where("kept").select("doc_id", F.col("group_size").alias("_n"), F.col("text_sha256").alias("_sha"))
     keyed = docs.withColumn("_sha", exact_dedup.text_digest(F.col("text")))
     on = keyed["doc_id"].eqNullSafe(groups["doc_id"]) & (keyed["_sha"] == groups["_sha"])
-    return keyed.join(groups.dropDuplicates(["doc_id", "_sha"]), on, "left_semi").select(*docs.columns)
+    kept = keyed.join(groups.dropDuplicates(["doc_id", "_sha"]), on, "left_semi")
+    if repeated_ids(docs).isEmpty():
+        return kept.select(*docs.columns)
+    return kept.groupBy("doc_id", "_sha").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    Different texts under one doc_id are documents of their own: they are compared under ids that no other row has.
+    """
+    again = repeated_ids(docs.where("doc_id IS NOT NULL"))
+    if not again.isEmpty():
+        return drop_near_copies_by_text(docs, again)
     groups = minhash_dedup.near_groups(docs, words=5, percent=80)
     return docs.join(groups.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
+def drop_near_copies_by_text(docs: DataFrame, again: DataFrame) -> DataFrame:
+    keyed = docs.withColumn("_sha", exact_dedup.text_digest(F.col("text")))
+    largest = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
+    texts = keyed.join(again, "doc_id", "left_semi").select("doc_id", "_sha").distinct()
+    ids = reliable(texts.withColumn("_id", F.lit(largest + 1) + F.monotonically_increasing_id()))
+    keyed = written(keyed.join(ids, ["doc_id", "_sha"], "left").withColumn("_id", F.coalesce("_id", F.col("doc_id").cast("long"))), "texts")
+    groups = minhash_dedup.near_groups(keyed.select(F.col("_id").alias("doc_id"), "text"), words=5, percent=80)
+    return keyed.join(groups.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "_id", "left_anti").select(*docs.columns)
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with the secrets in its text replaced by a mask."""
     masked = secret_scan.redact(docs)

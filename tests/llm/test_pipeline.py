@@ -25,3 +25,19 @@ def test_stages(spark, tmp_path):
     assert "abcdefgh12345678" not in sizes["secret_scan"][103]
     assert {r.doc_id for r in docs.collect()} == set(sizes["secret_scan"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 42
+
+
+def test_stages_keep_one_row_of_repeated_ones_and_decide_by_text(spark, tmp_path):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, text(1)), (1, text(1)), (1, text(1)), (2, text(2)), (3, text(3)), (3, text(2) + " more"), (4, text(4)), (4, text(4).upper()), (None, text(5)), (None, text(5)), (5, "short"), (5, "short")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    once = corpus_pipeline.drop_copies(spark, docs, "")
+    assert once.columns == docs.columns
+    left = sorted((r.doc_id or 0, r.text.lower()) for r in once.collect())
+    assert left == sorted({(i or 0, t.lower()) for i, t in rows})
+    once.write.parquet(f"{tmp_path}/once")
+    apart = corpus_pipeline.drop_near_copies(spark, spark.read.parquet(f"{tmp_path}/once"), "")
+    assert apart.columns == docs.columns
+    left = [(r.doc_id, r.text.lower()) for r in apart.collect()]
+    assert len(left) == len(set(left)) == 6 and (3, text(3)) in left
+    assert len({(2, text(2)), (3, text(2) + " more")} & set(left)) == 1
