@@ -188,6 +188,24 @@ def test_secret_scan(docs, spark):
     assert secret_scan.scan_secrets(docs).count() == docs.count() and secret_scan.scan_secrets(empty(docs)).count() == 0
 
 
+def test_secret_network_sees_runs_that_base_spans_cover_in_part():
+    class Sure:
+        threshold = 0.5
+
+        def probability(self, codes):
+            return np.ones(len(codes))
+
+    inner, access = "0123456789abcdef" * 2, "AKIA" + "ABCDEFGH12345678"
+    joined = "/".join(["Zq7" + access, *["x" * 9 + f"AKIA{i}ABCDEFGH1234567" for i in range(9)], "tail9QWERTY"])
+    for run in (f"Zx9QwErTy{inner}Lm4PoIu", f"{inner}/Zx9QwErTy", f"{access}/aB3dE5gH7jK9mN1pQ3sT", joined):
+        text = f"see {run} here"
+        spans = secret_scan.find_all([text], Sure())[0]
+        assert (4, 3, 4 + len(run)) in spans and [s for s in spans if s[1] < 3] == secret_scan.base_spans(text)
+    for run in (inner, access, "password=Abc12345xyzAbc12345", "token=" + inner):
+        text = f"see {run} here"
+        assert secret_scan.find_all([text], Sure())[0] == secret_scan.base_spans(text)
+
+
 def test_secret_network_holds_recall_on_new_findings():
     model = secret_scan.trained()
     parts, y = secret_scan.labelled_findings(600, 77)
