@@ -75,20 +75,36 @@ def brute_removed(texts, w):
     return out
 
 
-@pytest.mark.parametrize("hot", [1, 3000])
-def test_suffix_dedup_equals_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "shard"), [(1, 5000), (3, 1 << 20), (4000, 1 << 20), (4000, 3000)])
+def test_suffix_dedup_equals_brute_force(spark, monkeypatch, hot, shard):
     monkeypatch.setattr(suffix_dedup, "HOT_PIECES", hot)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+    monkeypatch.setattr(suffix_dedup, "SLICE", 1 << 10)
     rng = np.random.default_rng(3)
     word = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
     passage, line = word(450), word(230)
-    texts = [None, "", "short", word(300), "z" * 500, "ab" * 250, passage, passage, line * 3]
-    texts += [word(150) + passage[40:] + word(90) for _ in range(6)] + [word(120) + line + word(60) + passage[:260] for _ in range(5)]
-    frame = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n long")
-    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digests(suffix_dedup.remove_repeats(frame)).collect()}
-    assert [got[i] for i in range(len(texts))] == brute_removed([(t or "").encode() for t in texts], 200)
+    texts = [None, "", "short", word(300), "z" * 5000, "ab" * 1250, "abc" * 900 + word(50) + "bca" * 80, passage, passage, line * 3, word(3000), "x" * 199, "x" * 199, "y" * 200]
+    texts += [word(150) + passage[40:] + word(90) for _ in range(6)] + [word(120) + line + word(60) + passage[:260] for _ in range(5)] + [texts[3][:210] + "z" * 230]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[3]), (None, word(250)), (8, passage), (9, texts[10][700:1000])]
+    frame = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, n long, k1 string")
+    got = sorted((tuple(r) for r in suffix_dedup.digests(suffix_dedup.remove_repeats(frame)).collect()), key=str)
+    expected = brute_removed([(t or "").encode() for _, t in rows], 200)
+    assert got == sorted(((r[0], *e) for r, e in zip(rows, expected, strict=True)), key=str)
     assert suffix_dedup.remove_repeats(frame.where("false")).count() == 0
 
 
+def test_suffix_dedup_of_long_periodic_texts(spark):
+    rng = np.random.default_rng(4)
+    unit = "".join(rng.choice(list("abcdefgh"), 301))
+    texts = ["z" * 1_000_000, "ab" * 200_000, unit * 1500, "plain " * 40 + "z" * 150, "b" + unit]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in suffix_dedup.digests(suffix_dedup.remove_repeats(frame)).collect())
+    assert got == [(i, *e) for i, e in enumerate(brute_removed([t.encode() for t in texts], 200))]
+    for t in texts:
+        _, starts, sizes, _ = suffix_dedup.cut(np.frombuffer(t.encode(), dtype=np.uint8), 200)
+        assert sizes.sum() < 5 * len(t) and sizes.max() <= 368 and (starts[1:] == starts[:-1] + sizes[:-1] - 199).all()
+
+
 def test_exact_dedup(docs):
     rows = exact_dedup.exact_groups(docs).collect()
     assert len(rows) == docs.count()

@@ -60,3 +60,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A key that holds more than one in so many rows is heavy; there are fewer such keys than this.
+HEAVY_SHARE = 1_000
+
+
+def heavy_join(rows: DataFrame, keys: DataFrame, on: list[str], total: int, count: str = "n") -> DataFrame:
+    """rows joined to keys (one row for each key, with the count of its rows of total), whatever a single key holds.
+
+    The heavy keys, fewer than HEAVY_SHARE, are broadcast and their rows stay where they are; all others are shuffled.
+    """
+    is_heavy = F.col(count) * HEAVY_SHARE > total
+    heavy = keys.where(is_heavy).drop(count)
+    if heavy.isEmpty():
+        return rows.join(keys.drop(count), on)
+    light = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(keys.where(~is_heavy).drop(count), on)
+    return rows.join(F.broadcast(heavy), on).unionByName(light)

@@ -3,7 +3,8 @@
 Suffixes are classified as larger (L) or smaller (S) than their successor. Leftmost-smaller (LMS)
 substrings are sorted by inducing, named, and, while names repeat, sorted recursively; the sorted LMS
 suffixes then induce all L suffixes bucket by bucket upwards, and those all S suffixes downwards. A
-bucket, or a range of buckets that doesn't induce into itself, is handled as one array.
+bucket, or a range of buckets that doesn't induce into itself, is handled as one array. Suffixes are put into
+their buckets by counting (16-bit digits, for which numpy's stable order is a radix sort), so every step is linear.
 """
 
 from __future__ import annotations
@@ -11,11 +12,20 @@ from __future__ import annotations
 import numpy as np
 
 
+def counted_order(keys: np.ndarray) -> np.ndarray:
+    """A stable order of keys (not negative) by counting, one pass for each 16-bit digit."""
+    order, rest = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable"), keys >> 16
+    while rest.any():
+        order, rest = order[np.argsort((rest[order] & 0xFFFF).astype(np.uint16), kind="stable")], rest >> 16
+    return order
+
+
 def _ranks_in_order(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A stable order by character, with the characters present and how many each has."""
-    order = np.argsort(chars, kind="stable")
-    present, counts = np.unique(chars[order], return_counts=True)
-    return order, present, counts
+    order = counted_order(chars)
+    ranked = chars[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    return order, ranked[first], np.diff(np.append(first, len(ranked)))
 
 
 def _induce(s: np.ndarray, k: int, seeds: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -48,7 +58,7 @@ def _induce(s: np.ndarray, k: int, seeds: np.ndarray, wanted: np.ndarray) -> np.
             both = np.concatenate([filled, more])
             keys = s[both] * 2
             keys[len(filled) :] += 1
-            both = both[np.argsort(keys, kind="stable")]
+            both = both[counted_order(keys)]
             keep = both > 0
             before, at = both[keep] - 1, s[both[keep]]
             good = wanted[before]
@@ -112,7 +122,7 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     if len(lms) < 2:
         ordered = lms
     else:
-        by_char = lms[np.argsort(s[lms], kind="stable")]
+        by_char = lms[counted_order(s[lms])]
         _, smaller = _sorted_from(s, k, small, by_char)
         is_lms = np.zeros(n, dtype=bool)
         is_lms[lms] = True
@@ -139,7 +149,7 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     both = np.concatenate([larger, smaller])
     keys = s[both] * 2
     keys[len(larger) :] += 1
-    return both[np.argsort(keys, kind="stable")]
+    return both[counted_order(keys)]
 
 
 def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray, separator: int, most: int) -> np.ndarray:
