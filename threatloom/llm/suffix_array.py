@@ -14,9 +14,10 @@ import numpy as np
 
 def counted_order(keys: np.ndarray) -> np.ndarray:
     """A stable order of keys (not negative) by counting, one pass for each 16-bit digit."""
-    order, rest = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable"), keys >> 16
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
+    rest = keys >> 16
     while rest.any():
-        order, rest = order[np.argsort((rest[order] & 0xFFFF).astype(np.uint16), kind="stable")], rest >> 16
+        order, rest = order[np.argsort(rest[order].astype(np.uint16), kind="stable")], rest >> 16
     return order
 
 

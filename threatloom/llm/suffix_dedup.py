@@ -39,7 +39,7 @@ from threatloom.llm.common import heavy_join, map_batches, reliable, written
 from threatloom.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 WINDOW = 200
-ANCHOR = 32
+ANCHOR = 48
 #: Bytes of the pieces of a shard, on average; places of one key that may meet in one.
 SHARD_BYTES, HOT_PIECES = 1_000_000, 4_000
 #: Windows in a part of a hot piece.
@@ -136,30 +136,31 @@ def key_rows(texts: DataFrame, window: int) -> DataFrame:
 
 
 def piece_rows(texts: DataFrame) -> DataFrame:
-    """The bytes of pieces. texts: id, k1, text, marks array<struct<fp, start, size>>."""
-    names = ["id", "k1", "fp", "start", "piece"]
+    """The bytes of pieces. texts: id, k1, text, marks array<struct<fp, start, size, again>>."""
+    names = ["id", "k1", "fp", "start", "again", "piece"]
+    kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True)) or [[] for _ in names]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "piece" else pa.int64()) for c, n in zip(cols, names, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = batch.column(3)
             edges = marks.offsets.to_numpy()
-            fps, starts, sizes = (marks.values.field(n).to_numpy(zero_copy_only=False).tolist() for n in ("fp", "start", "size"))
+            fps, starts, sizes, again = (marks.values.field(n).to_numpy(zero_copy_only=False).tolist() for n in ("fp", "start", "size", "again"))
             rows, held = [], 0
             for i, (ident, k1, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
                 raw = text.encode()
                 for j in range(edges[i], edges[i + 1]):
-                    rows.append((ident, k1, fps[j], starts[j], raw[starts[j] : starts[j] + sizes[j]]))
+                    rows.append((ident, k1, fps[j], starts[j], again[j], raw[starts[j] : starts[j] + sizes[j]]))
                     held += sizes[j]
                     if held > OUT_BYTES:
                         yield batch_of(rows)
                         rows, held = [], 0
             yield batch_of(rows)
 
-    return map_batches(texts.select("id", "k1", "text", "marks"), run, "id long, k1 long, fp long, start long, piece binary")
+    return map_batches(texts.select("id", "k1", "text", "marks"), run, "id long, k1 long, fp long, start long, again boolean, piece binary")
 
 
 def repeats_of_shard(pieces: list[bytes], many: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,13 +190,22 @@ def repeats_of_shard(pieces: list[bytes], many: np.ndarray, window: int) -> tupl
 
 
 def spans_of_shard(rows: pd.DataFrame, window: int) -> pd.DataFrame:
-    """id, k1, a, z: the repeated ranges of the texts whose pieces (id, k1, start, piece) lie in the shard."""
+    """id, k1, a, z: the repeated ranges of the texts whose pieces (id, k1, fp, start, again, piece) lie in the shard."""
     rows = rows.drop_duplicates(["id", "k1", "start"])
     kind, pieces = pd.factorize(rows["piece"])
-    who, a, z = repeats_of_shard(list(pieces), np.bincount(kind, minlength=len(pieces)) > 1, window)
+    of_kind = np.bincount(kind, minlength=len(pieces))
+    # Where all pieces of a key are equal there is nothing to sort: they share all their windows.
+    key_of_kind = np.zeros(len(pieces), dtype=np.int64)
+    key_of_kind[kind] = rows["fp"].to_numpy()
+    again = np.zeros(len(pieces), dtype=bool)
+    again[kind] = rows["again"].to_numpy().astype(bool)
+    _, key, kinds = np.unique(key_of_kind, return_inverse=True, return_counts=True)
+    sort = np.flatnonzero((kinds[key] > 1) | again)
+    equal = np.flatnonzero((kinds[key] == 1) & ~again & (of_kind > 1))
+    who, a, z = repeats_of_shard([pieces[i] for i in sort], of_kind[sort] > 1, window) if len(sort) else (np.zeros(0, dtype=np.int64),) * 3
+    who, a, z = np.append(sort[who], equal), np.append(a, np.zeros(len(equal), dtype=np.int64)), np.append(z, [len(pieces[i]) for i in equal]).astype(np.int64)
     # Each range of a kind of piece goes to all pieces of this kind.
     order = np.argsort(kind, kind="stable")
-    of_kind = np.bincount(kind, minlength=len(pieces))
     n = of_kind[who]
     first = np.repeat((np.cumsum(of_kind) - of_kind)[who] - (np.cumsum(n) - n), n)
     at = order[first + np.arange(n.sum())]
@@ -242,25 +252,32 @@ def part_rows(kinds: DataFrame, window: int, step: int) -> DataFrame:
 def hot_spans(pieces: DataFrame, window: int) -> DataFrame:
     """The same as spans_of_shard for pieces of hot keys: id, k1, a, z."""
     pieces = written(pieces.withColumn("ph", F.unhex(F.md5("piece"))), "hot-pieces")
-    place = F.xxhash64("id", "k1", "start")
-    kinds = pieces.groupBy("ph").agg(F.first("piece").alias("piece"), (F.min(place) != F.max(place)).alias("many"))
+    place, count = F.xxhash64("id", "k1", "start"), F.count(F.lit(1)).alias("n")
+    kinds = reliable(pieces.groupBy("ph").agg(F.first("piece").alias("piece"), (F.min(place) != F.max(place)).alias("many"), count))
     parts = written(part_rows(kinds, window, STEP), "hot-parts")
-    different = parts.groupBy("g", "sh").agg(F.first("part").alias("part"), (F.max("many") | (F.count(F.lit(1)) > 1)).alias("many"))
-    common = different.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.max("many").alias("any")).where("kinds > 1 OR any")
-    different = written(different.join(common.select("g", "kinds"), "g"), "hot-kinds")
+    different = parts.groupBy("g", "sh").agg(F.first("part").alias("part"), (F.max("many") | (F.count(F.lit(1)) > 1)).alias("many"), count)
+    different = written(different, "hot-kinds")
+    common = different.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.max("many").alias("any"), count).where("kinds > 1 OR any")
+    meeting = heavy_join(different.drop("n"), reliable(common.select("g", "kinds", "n")), ["g"], different.count())
 
     def shard(rows: pd.DataFrame) -> pd.DataFrame:
         who, a, z = repeats_of_shard(list(rows["part"]), rows["many"].to_numpy().astype(bool), window)
         return pd.DataFrame({"sh": rows["sh"].to_numpy()[who], "a": a, "z": z})
 
-    few, size = different.where(F.col("kinds") <= HOT_PIECES), F.sum(F.length("part"))
+    few, size = meeting.where(F.col("kinds") <= HOT_PIECES), F.sum(F.length("part"))
     found = in_shards(few.select("g", "sh", "part", "many"), "g", few.agg(size).first()[0] or 0, shard, "sh binary, a long, z long")
-    windows = different.where(F.col("kinds") > HOT_PIECES).select("sh", "part", "many", F.explode(F.sequence(F.lit(0), F.length("part") - window)).alias("a"))
+    windows = meeting.where(F.col("kinds") > HOT_PIECES).select("sh", "part", "many", F.explode(F.sequence(F.lit(0), F.length("part") - window)).alias("a"))
     windows = windows.select("sh", "many", F.col("a").cast("long").alias("a"), F.md5(F.expr(f"substring(part, a + 1, {window})")).alias("wh"))
-    twice = windows.groupBy("wh").agg((F.max("many") | (F.count(F.lit(1)) > 1)).alias("twice")).where("twice").select("wh")
-    alone = windows.join(twice, "wh").select("sh", "a", (F.col("a") + window).alias("z"))
-    ranges = parts.select("sh", "ph", "a0").join(found.unionByName(alone), "sh").select("ph", (F.col("a0") + F.col("a")).alias("a"), (F.col("a0") + F.col("z")).alias("z"))
-    spans = pieces.select("id", "k1", "start", "ph").join(ranges, "ph")
+    twice = reliable(windows.groupBy("wh").agg((F.max("many") | (F.count(F.lit(1)) > 1)).alias("twice"), count).where("twice").select("wh", "n"))
+    alone = heavy_join(windows, twice, ["wh"], windows.count()).select("sh", "a", (F.col("a") + window).alias("z"))
+
+    # Ranges of a part go to the kinds of pieces that hold it, theirs to the pieces; each key has few ranges, if many rows.
+    of_part = found.unionByName(alone).groupBy("sh").agg(F.collect_list(F.struct("a", "z")).alias("ranges"))
+    of_part = reliable(of_part.join(different.groupBy("sh").agg(F.max("n").alias("n")), "sh"))
+    inner = heavy_join(parts.select("sh", "ph", "a0"), of_part, ["sh"], parts.count()).select("ph", "a0", F.inline("ranges"))
+    of_piece = inner.groupBy("ph").agg(F.collect_list(F.struct((F.col("a0") + F.col("a")).alias("a"), (F.col("a0") + F.col("z")).alias("z"))).alias("ranges"))
+    of_piece = reliable(of_piece.join(kinds.select("ph", "n"), "ph"))
+    spans = heavy_join(pieces.select("id", "k1", "start", "ph"), of_piece, ["ph"], pieces.count()).select("id", "k1", "start", F.inline("ranges"))
     return spans.select("id", "k1", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("z")).alias("z"))
 
 
@@ -270,12 +287,12 @@ def repeated_spans(large: DataFrame, texts: DataFrame, window: int) -> DataFrame
     place = F.xxhash64("k1", "start")
     twice = found.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.max("again").alias("again"), F.count(F.lit(1)).alias("n"))
     twice = reliable(twice.where("lo <> hi OR again").select("fp", "n", (F.col("n") > HOT_PIECES).alias("hot")))
-    marks = heavy_join(found.drop("again"), twice, ["fp"], found.count())
+    marks = heavy_join(found, twice, ["fp"], found.count())
     marks = written(marks.join(texts.select("id", "k1"), ["id", "k1"], "left_semi"), "marks")
     size = {r["hot"]: r["size"] for r in marks.groupBy("hot").agg(F.sum("size").alias("size")).collect()}
 
     def pieces(hot: bool) -> DataFrame:
-        of_text = marks.where(F.col("hot") == hot).groupBy("id", "k1").agg(F.collect_list(F.struct("fp", "start", "size")).alias("marks"))
+        of_text = marks.where(F.col("hot") == hot).groupBy("id", "k1").agg(F.collect_list(F.struct("fp", "start", "size", "again")).alias("marks"))
         wanted = texts.join(of_text, ["id", "k1"])
         return piece_rows(large.join(wanted, ["id", "k1", "k2"]))
 
