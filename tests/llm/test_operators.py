@@ -168,21 +168,77 @@ def test_toxicity_learns_from_few_rows_and_from_as_many_toxic_ones(spark, every,
             assert out[i].predicted == y
 
 
-def test_block_max_index_is_exact():
+@pytest.mark.parametrize("frequent", [2, 16, 10_000])
+def test_block_max_index_is_exact(monkeypatch, frequent):
+    monkeypatch.setattr(toxicity, "FREQUENT", frequent)
+    monkeypatch.setattr(toxicity, "REVIEW", 2)
     rng = np.random.default_rng(2)
-    vectors = []
-    for _ in range(300):
-        terms = np.sort(rng.choice(60, 5, replace=False))
-        w = rng.random(5)
-        vectors.append((terms, w / np.sqrt((w**2).sum())))
+    dense = np.where(rng.random((300, 60)) < rng.random(60) ** 2, rng.integers(1, 4, (300, 60)), 0)
+    dense[:, 59] = 1
+    dense[7], dense[9] = dense[8], dense[8]
+    text, term = np.nonzero(dense)
+    vectors = toxicity.Terms(300, text, term, dense[text, term]).weighted(np.linspace(0.2, 1.5, 60))
     index = toxicity.BlockMaxIndex(list(range(300)), [i % 2 for i in range(300)], vectors, 60)
-    for terms, w in vectors[:40]:
-        q = np.zeros(60)
-        q[terms] = w
-        every = {i: sum(q[t] * x for t, x in zip(*v, strict=True)) for i, v in enumerate(vectors)}
-        best = sorted(every.values(), reverse=True)[:7]
-        _, sims = index.nearest(terms, w, 7)
-        assert np.allclose(sims, best)
+    full = np.zeros((300, 60))
+    full[vectors.text, vectors.term] = vectors.n
+    full = full[index.ids]
+    sims = np.round(full @ full.T, 9)
+    some = vectors.text < 50
+    queries = toxicity.Terms(50, vectors.text[some], vectors.term[some], vectors.n[some])
+    where = np.argsort(index.ids)[:50]
+    for skip in (None, where):
+        for q, (at, s) in enumerate(index.nearest(queries, 7, skip)):
+            row = sims[where[q]].copy()
+            if skip is not None:
+                row[where[q]] = -1
+            expected = np.lexsort((np.arange(300), -row))[:7]
+            assert at.tolist() == expected.tolist() and np.allclose(s, row[expected])
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), n)) for n in rng.integers(2, 9, 300)]
+    texts = {i: " ".join(rng.choice(vocabulary, int(rng.integers(1, 60)))) + (" Idiot" * int(i % 4 == 0)) for i in range(120)} | {500: None, 501: "zzzz", 502: ""}
+    labels = {i: int(i % 4 == 0) for i in range(120)}
+    docs = spark.createDataFrame([*texts.items(), (3, "zz of a repeated id")], "doc_id long, text string")
+    known = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    got = {(r.doc_id, r.score): r for r in toxicity.score(docs, toxicity.fit(docs, known)).collect()}
+
+    def terms(t):
+        out = Counter()
+        for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            out.update([w, *(w[:n] + "*" for n in (4, 6) if len(w) > n)])
+        return out
+
+    learnt = {i: terms(texts[i]) for i in labels if zlib.crc32(str(i).encode()) % 4 != 2}
+    n1, n0 = (Counter(t for i, c in learnt.items() if labels[i] == y for t in c) for y in (1, 0))
+    df = Counter(t for _, text in [*texts.items(), (3, "zz of a repeated id")] for t in terms(text))
+    share = sum(labels[i] for i in learnt) / len(learnt)
+    weight = {}
+    for t in n1.keys() | n0.keys():
+        m = n1[t] + n0[t]
+        chi = (n1[t] - m * share) ** 2 / (m * share) + (n0[t] - m * (1 - share)) ** 2 / (m * (1 - share))
+        weight[t] = (np.log((1 + len(texts) + 1) / (1 + df[t])) + 1) * (1 + chi) / (30 + chi)
+
+    def unit(c):
+        v = {t: (1 + np.log(n)) * weight[t] for t, n in c.items() if t in weight}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {t: x / norm for t, x in v.items()}
+
+    units = {i: unit(c) for i, c in learnt.items()}
+    prior = (sum(labels[i] for i in learnt) + 0.5) / (len(learnt) + 1)
+
+    def vote(v, skip=None):
+        near = sorted((-round(sum(x * u.get(t, 0) for t, x in v.items()), 9), i) for i, u in units.items() if i != skip)
+        near = [(-s, i) for s, i in near[:15] if s < 0]
+        return (sum(s * s * labels[i] for s, i in near) + 0.05 * prior) / (sum(s * s for s, _ in near) + 0.05), {i for _, i in near}
+
+    curve = toxicity.logistic(toxicity.logit(np.array([vote(units[i], i)[0] for i in learnt])), np.array([labels[i] for i in learnt], dtype=float))
+    for i, text in texts.items():
+        share, near = vote(unit(terms(text)))
+        expected = 1 / (1 + np.exp(-(curve[0] * toxicity.logit(share) + curve[1])))
+        r = min((r for (d, _), r in got.items() if d == i), key=lambda r: abs(r.score - expected))
+        assert abs(r.score - expected) < 1e-3 and len(near ^ set(r.evidence)) <= 2
 
 
 def test_secret_scan(docs, spark):

@@ -1,186 +1,194 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Fitting takes a bounded sample of labelled rows (TRAIN_ROWS, those of smallest hash of their id among
-the rows that may be learnt from). Features are words and word beginnings, ranked by what they say about the label
-(chi-square) in two vocabularies: MAX_TERMS strong terms, which mostly stand in toxic examples beyond chance, and MAX_TERMS of
-all others, for either side and without a least value. A text with strong terms is compared by these, any other text by the
-others, so that a small table or another share of toxic examples, where no term is strong, is learnt from too. Document
-frequencies of the vocabularies are counted over all documents. The sample's TF-IDF vectors go into an inverted index
-(one for each vocabulary) whose documents lie in blocks with the largest weight of each term; a query visits blocks in the order
-of their upper bounds and stops when no bound reaches its k-th best similarity, so it is exact.
-
-Votes are weighted by squared similarity with a weak prior, and a logistic curve fitted on the
-sample's leave-one-out votes calibrates them; for the other terms, on the examples without a strong one. Scoring runs where a document lies; only the index
-(bounded by TRAIN_ROWS and MAX_TERMS) is sent to the tasks.
-
-Defined cases: a null or empty text, or one without a term of either vocabulary, gets the calibrated share
-of toxic examples among the sample's rows without one; labels that are null are not learnt from; of repeated
-labels of a doc_id the largest counts; a null doc_id is scored and not held out; without any labels every score is 0.
+the rows that may be learnt from, as far as SAMPLE_BYTES of text go). Features are words and word beginnings: all
+that the sample holds. A term's weight is (1 + log of its count) times its inverse document frequency, counted over all documents,
+times its relevance (1 + chi) / (RELEVANCE + chi), where chi is the chi-square of term and label: no term is left out,
+but terms that say something about the label weigh more.
+
+The sample's vectors lie in blocks of BLOCK. Rare terms have plain postings; a frequent term has its weights by
+block, and the largest of each block. A batch of queries adds up their rare terms, bounds each block by what their frequent
+terms can add there, and visits blocks in the order of their bounds, each query only those that reach its k-th best similarity. So
+the neighbours are exact. Votes are weighted by squared similarity with a weak prior, and a logistic curve fitted on the
+sample's leave-one-out votes calibrates them. Scoring runs where a document lies; only the index (bounded by TRAIN_ROWS
+and SAMPLE_BYTES) is sent to the tasks.
+
+Defined cases: a null or empty text, or one without a term of the sample, has no neighbours and gets the calibrated
+prior; labels that are null are not learnt from; of repeated labels of a doc_id the largest counts, of several texts under one
+doc_id the least is learnt from; a null doc_id is scored and not held out; without any labels every score is 0.
 """
 
 from __future__ import annotations
 
-import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threatloom.llm.common import map_batches
-
-TRAIN_ROWS = 6_000
-MAX_TERMS = 1_024
-#: A strong term must stand in so many documents of the sample; of the others, those of so many rank before rarer ones.
-MIN_DOCS = 3
-#: Chi-square that a strong term needs; among the many terms of a sample, lower ones turn up by chance.
-MIN_CHI = 30.0
-#: Share of toxic examples among the sample's rows that hold the strong term.
-MIN_SHARE = 0.75
-PREFIXES = (3, 4, 5, 6)
+from threatloom.llm.common import BATCH_ROWS, map_batches
+
+TRAIN_ROWS = 3_000
+SAMPLE_BYTES = 64 << 20
+#: Chi-square at which a term gets half of its weight.
+RELEVANCE = 30.0
+PREFIXES = (4, 6)
 NEIGHBOURS = 15
 BLOCK = 32
-#: Blocks that a query visits at once.
-STEP = 8
+#: A term is frequent if one in so many examples holds it.
+FREQUENT = 16
+#: After so many blocks the k-th best similarities are taken anew.
+REVIEW = 32
 PRIOR_WEIGHT = 0.05
 THRESHOLD = 0.3
+#: Words remembered by a worker.
+CACHE_WORDS = 300_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def features(text: str | None) -> set[str]:
-    """Words of a text and their beginnings, marked with a star."""
-    out = set(WORD.findall((text or "").lower()))
-    return out | {w[:n] + "*" for w in out for n in PREFIXES if len(w) > n}
+def terms_of(word: str) -> list[str]:
+    """A word and its beginnings, marked with a star."""
+    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
+
+
+class Terms:
+    """The terms of some texts, by text and term: which text, which term, how often (then its weight in the text)."""
+
+    def __init__(self, texts: int, text: np.ndarray, term: np.ndarray, n: np.ndarray):
+        self.texts, self.text, self.term, self.n = texts, text, term, n
+
+    def weighted(self, weight: np.ndarray) -> Terms:
+        """Unit TF-IDF vectors."""
+        w = (1 + np.log(self.n)) * weight[self.term]
+        norm = np.sqrt(np.bincount(self.text, w**2, self.texts))
+        return Terms(self.texts, self.text, self.term, w / np.where(norm > 0, norm, 1)[self.text])
 
 
 class TermCounter:
-    """Counts a text's terms of the vocabulary, with a bounded memory of words."""
+    """Counts texts' terms of the vocabulary, with a bounded memory of words."""
 
     def __init__(self, terms: list[str]):
         self.index = {t: i for i, t in enumerate(terms)}
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def of_word(self, word: str) -> tuple[int, ...]:
-        if len(self.known) > 300_000:
-            self.known.clear()
-        keys = [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
-        self.known[word] = found = tuple(self.index[k] for k in keys if k in self.index)
-        return found
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        known = self.known
-        for w in WORD.findall((text or "").lower()):
-            hit = known.get(w)
-            for i in self.of_word(w) if hit is None else hit:
-                out[i] = out.get(i, 0) + 1
-        return out
-
-
-def vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unit TF-IDF vector: terms and weights."""
-    terms = np.array(sorted(counts), dtype=np.int64)
-    weights = np.array([1 + math.log(counts[t]) for t in terms.tolist()]) * idf[terms] if len(terms) else np.zeros(0)
-    norm = float(np.sqrt((weights**2).sum()))
-    return terms, weights / norm if norm else weights
+    def counts(self, texts: list[str | None]) -> Terms:
+        each = [Counter(WORD.findall((t or "").lower())) for t in texts]
+        words = list(chain.from_iterable(each))
+        if new := set(words).difference(self.known):
+            if len(self.known) + len(new) > CACHE_WORDS:
+                self.known.clear()
+                new = set(words)
+            self.known.update((w, tuple(self.index[k] for k in terms_of(w) if k in self.index)) for w in new)
+        hits = list(map(self.known.__getitem__, words))
+        sizes = np.fromiter(map(len, hits), dtype=np.int64, count=len(hits))
+        term = np.fromiter(chain.from_iterable(hits), dtype=np.int64, count=int(sizes.sum()))
+        n = np.fromiter(chain.from_iterable(c.values() for c in each), dtype=np.int64, count=len(words))
+        text = np.repeat(np.arange(len(each)), [len(c) for c in each])
+        key = np.repeat(text, sizes) * len(self.index) + term
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        n = np.add.reduceat(np.repeat(n, sizes)[order], first) if len(first) else np.zeros(0, dtype=np.int64)
+        return Terms(len(texts), key[first] // max(1, len(self.index)), key[first] % max(1, len(self.index)), n)
+
+
+def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All positions of ranges that begin at first."""
+    return np.arange(int(sizes.sum())) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
 
 
 class BlockMaxIndex:
-    """An inverted index over labelled vectors, searched exactly with block upper bounds."""
+    """An inverted index over labelled unit vectors, searched exactly with block upper bounds, a batch of queries at a time."""
 
-    def __init__(self, ids: list[int], labels: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+    def __init__(self, ids: list[int], labels: list[int], vectors: Terms, n_terms: int):
         # Vectors with the same strongest term lie together, which makes the bounds of other blocks low.
-        order = sorted(range(len(ids)), key=lambda i: (labels[i], int(vectors[i][0][np.argmax(vectors[i][1])]), ids[i]))
-        self.ids, self.labels = [np.array([x[i] for i in order], dtype=np.int64) for x in (ids, labels)]
-        n_blocks = -(-len(order) // BLOCK)
-        self.best = np.zeros((n_terms, n_blocks), dtype=np.float64)
-        rows = [(int(t), d, float(w)) for d, i in enumerate(order) for t, w in zip(*vectors[i], strict=True)]
-        rows.sort()
-        self.post_docs = np.array([r[1] for r in rows], dtype=np.int64)
-        self.post_weights = np.array([r[2] for r in rows])
-        post_terms = np.array([r[0] for r in rows], dtype=np.int64)
-        np.maximum.at(self.best, (post_terms, self.post_docs // BLOCK), self.post_weights)
-        # Where the postings of a term in a block start.
-        keys = post_terms * n_blocks + self.post_docs // BLOCK
-        self.starts = np.searchsorted(keys, np.arange(n_terms * n_blocks + 1)).reshape(-1)
-        self.n_blocks = n_blocks
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and similarities of the k nearest, by similarity, then position."""
-        bounds = weights @ self.best[terms]
-        at, sims, edge = np.zeros(0, dtype=np.int64), np.zeros(0), 0.0
-        order = np.argsort(-bounds, kind="stable")
-        for i in range(0, len(order), STEP):
-            blocks = order[i : i + STEP]
-            if bounds[blocks[0]] <= 0 or len(at) == k and bounds[blocks[0]] < edge - 1e-12:
-                break
-            # The postings of each term in each of the blocks, term by term.
-            cells = terms[:, None] * self.n_blocks + blocks
-            first = self.starts[cells]
-            sizes = self.starts[cells + 1] - first
-            flat = sizes.reshape(-1)
-            ends = np.cumsum(flat)
-            rows = np.arange(ends[-1]) + np.repeat(first.reshape(-1) - ends + flat, flat)
-            shift = np.repeat(np.tile((np.arange(len(blocks)) - blocks) * BLOCK, len(terms)), flat)
-            scores = np.bincount(self.post_docs[rows] + shift, np.repeat(weights, sizes.sum(axis=1)) * self.post_weights[rows], len(blocks) * BLOCK)
-            hit = np.flatnonzero(scores > 0)
-            found = blocks[hit // BLOCK] * BLOCK + hit % BLOCK
-            if skip is not None:
-                hit, found = hit[found != skip], found[found != skip]
-            at, sims = np.append(at, found), np.append(sims, scores[hit])
-            best = np.lexsort((at, -np.round(sims, 9)))[:k]
-            at, sims = at[best], sims[best]
-            edge = float(sims[-1]) if len(sims) == k else 0.0
-        return at, sims
-
-
-class Neighbours:
-    """One vocabulary's weights, index and calibration; known are the ids of the examples that calibrate."""
-
-    def __init__(self, idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], known: set[int]):
-        self.idf = idf
-        full = [(i, y, vector(c, idf)) for i, y, c in examples if c]
-        bare = [y for i, y, c in examples if not c and i in known]
-        self.prior = (sum(y for i, y, _ in examples if i in known) + 0.5) / (len(known) + 1)
-        self.bare = (sum(bare) + self.prior) / (len(bare) + 1)
-        self.index = BlockMaxIndex([i for i, _, _ in full], [y for _, y, _ in full], [v for _, _, v in full], len(idf)) if full else None
-        self.curve = (1.0, 0.0)
-        if told := [x for x in full if x[0] in known]:
-            where = {int(i): p for p, i in enumerate(self.index.ids)}
-            votes = np.array([self.vote(*v, skip=where[i])[0] for i, _, v in told])
-            self.curve = logistic(logit(votes), np.array([y for _, y, _ in told], dtype=float))
-
-    def vote(self, terms: np.ndarray, weights: np.ndarray, skip: int | None = None) -> tuple[float, list[int]]:
-        at, sims = self.index.nearest(terms, weights, NEIGHBOURS, skip)
-        strength = sims**2
-        share = float((strength * self.index.labels[at]).sum() + PRIOR_WEIGHT * self.prior) / float(strength.sum() + PRIOR_WEIGHT)
-        return share, self.index.ids[at].tolist()
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        if not counts or self.index is None:
-            return self.bare, []
-        share, evidence = self.vote(*vector(counts, self.idf))
-        a, b = self.curve
-        return float(1 / (1 + np.exp(-(a * logit(share) + b)))), evidence
+        strongest = np.lexsort((-vectors.n, vectors.text))
+        strongest = vectors.term[strongest[np.searchsorted(vectors.text[strongest], np.arange(len(ids)))]]
+        order = np.lexsort((np.array(ids), strongest, np.array(labels)))
+        self.ids, self.labels = np.array(ids, dtype=np.int64)[order], np.array(labels, dtype=np.int64)[order]
+        self.n_blocks = -(-len(order) // BLOCK)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        docs = place[vectors.text]
+        by_term = np.lexsort((docs, vectors.term))
+        terms, self.docs, self.weights = vectors.term[by_term], docs[by_term], vectors.n[by_term]
+        self.starts = np.searchsorted(terms, np.arange(n_terms + 1))
+        often = np.flatnonzero(np.diff(self.starts) * FREQUENT > len(order))
+        self.frequent = np.full(n_terms, -1, dtype=np.int64)  # a frequent term's row in the blocks
+        self.frequent[often] = np.arange(len(often))
+        mine = self.frequent[terms] >= 0
+        self.blocks = np.zeros((self.n_blocks, len(often), BLOCK))
+        self.blocks[self.docs[mine] // BLOCK, self.frequent[terms[mine]], self.docs[mine] % BLOCK] = self.weights[mine]
+        self.best = self.blocks.max(2).T
+
+    def nearest(self, queries: Terms, k: int, skip: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query the positions and similarities of the k nearest that share a term, by similarity, then position."""
+        width, row = self.n_blocks * BLOCK, self.frequent[queries.term]
+        rare, often = np.flatnonzero(row < 0), np.flatnonzero(row >= 0)
+        first = self.starts[queries.term[rare]]
+        sizes = self.starts[queries.term[rare] + 1] - first
+        at = spread(first, sizes)
+        scores = np.bincount(np.repeat(queries.text[rare] * width, sizes) + self.docs[at], np.repeat(queries.n[rare], sizes) * self.weights[at], queries.texts * width)
+        scores = scores.astype(float).reshape(queries.texts, width)
+        if skip is not None:
+            scores[np.arange(queries.texts), skip] = -np.inf
+        common = np.zeros((queries.texts, self.best.shape[0]))
+        common[queries.text[often], row[often]] = queries.n[often]
+        bounds = scores.reshape(queries.texts, -1, BLOCK).max(2) + common @ self.best
+        seen = min(k, width)
+        for i, block in enumerate(np.argsort(-bounds.max(0, initial=0), kind="stable")):
+            if i % REVIEW == 0:  # what no block below it can reach
+                edge = np.partition(scores, width - seen, axis=1)[:, width - seen]
+            wanted = np.flatnonzero((bounds[:, block] > 0) & (bounds[:, block] >= edge - 1e-9))
+            scores[wanted, block * BLOCK : (block + 1) * BLOCK] += common[wanted] @ self.blocks[block]
+        scores = np.round(scores, 9)
+        edge = np.maximum(np.partition(scores, width - seen, axis=1)[:, width - seen], 1e-9)
+        query, doc = np.nonzero(scores >= edge[:, None])
+        sims = scores[query, doc]
+        order = np.lexsort((doc, -sims, query))
+        begin = np.searchsorted(query[order], np.arange(queries.texts + 1))
+        picks = [order[a : min(a + k, z)] for a, z in zip(begin[:-1], begin[1:], strict=True)]
+        return [(doc[p], sims[p]) for p in picks]
 
 
 class Scorer:
-    """What tasks need to score a text: the terms, the first of them strong, and the neighbours by strong and by other terms."""
-
-    def __init__(self, terms: list[str], strong: int, idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]]):
-        self.terms, self.strong = terms, strong
-        parts = [(i, y, *self.parted(c)) for i, y, c in examples]
-        self.by_strong = Neighbours(idf[:strong], [(i, y, c) for i, y, c, _ in parts], {i for i, *_ in parts})
-        self.by_other = Neighbours(idf[strong:], [(i, y, c) for i, y, _, c in parts], {i for i, _, c, _ in parts if not c})
-
-    def parted(self, counts: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
-        return {t: n for t, n in counts.items() if t < self.strong}, {t - self.strong: n for t, n in counts.items() if t >= self.strong}
+    """What tasks need to score texts: the terms with their weights, the index and its calibration."""
+
+    def __init__(self, terms: list[str], weight: np.ndarray, ids: list[int], labels: list[int], examples: Terms):
+        self.terms, self.weight = terms, weight
+        self.prior = (sum(labels) + 0.5) / (len(labels) + 1) if labels else 0.0
+        self.curve, self.index = (1.0, 0.0), None
+        vectors = examples.weighted(weight)
+        full = np.unique(vectors.text)
+        if len(full):
+            vectors.texts, vectors.text = len(full), np.searchsorted(full, vectors.text)
+            self.index = BlockMaxIndex([ids[i] for i in full], [labels[i] for i in full], vectors, len(terms))
+            where = {int(i): p for p, i in enumerate(self.index.ids)}
+            votes = []
+            for at in range(0, len(full), BATCH_ROWS):
+                some = (vectors.text >= at) & (vectors.text < at + BATCH_ROWS)
+                part = Terms(min(BATCH_ROWS, len(full) - at), vectors.text[some] - at, vectors.term[some], vectors.n[some])
+                skip = np.array([where[ids[i]] for i in full[at : at + BATCH_ROWS]])
+                votes += [self.vote(*x) for x in self.index.nearest(part, NEIGHBOURS, skip)]
+            self.curve = logistic(logit(np.array(votes)), np.array([labels[i] for i in full], dtype=float))
+
+    def vote(self, at: np.ndarray, sims: np.ndarray) -> float:
+        strength = sims**2
+        return float((strength * self.index.labels[at]).sum() + PRIOR_WEIGHT * self.prior) / float(strength.sum() + PRIOR_WEIGHT)
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        strong, other = self.parted(counts)
-        return self.by_strong.score(strong) if strong else self.by_other.score(other)
+    def score(self, texts: Terms) -> list[tuple[float, list[int]]]:
+        """The calibrated score of each text, and its neighbours' doc_ids."""
+        if self.prior == 0.0:
+            return [(0.0, [])] * texts.texts
+        near = self.index.nearest(texts.weighted(self.weight), NEIGHBOURS) if self.index is not None else [(np.zeros(0, dtype=np.int64), np.zeros(0))] * texts.texts
+        shares = np.array([self.vote(*x) if len(x[0]) else self.prior for x in near])
+        scores = 1 / (1 + np.exp(-(self.curve[0] * logit(shares) + self.curve[1])))
+        return [(float(s), self.index.ids[at].tolist() if len(at) else []) for s, (at, _) in zip(scores, near, strict=True)]
 
 
 def logit(p):
@@ -208,72 +216,78 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, max_terms: int = MAX_TERMS) -> Scorer:
-    """Learns from at most train_rows labelled rows; document frequencies come from all documents."""
+def sample_of(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
+    """doc_id, text and y of at most train_rows labelled documents, one row each, as far as SAMPLE_BYTES go."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("y"))
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    rows = rows.select("doc_id", "text", "y").persist()
+    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over train_rows rows
+    return rows.withColumn("_bytes", so_far).where(F.col("_bytes") <= SAMPLE_BYTES).select("doc_id", "text", "y")
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) -> Scorer:
+    """Learns from at most train_rows labelled rows; document frequencies come from all documents."""
+    rows = sample_of(docs, labels, train_rows).persist()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[str, list[int]] = {}
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for f in features(text):
+                for f in set(chain.from_iterable(map(terms_of, set(WORD.findall(text.lower()))))):
                     seen.setdefault(f, [0, 0])[y] += 1
-            cols = [pa.array(list(seen), pa.string()), pa.array([c[0] for c in seen.values()], pa.int64()), pa.array([c[1] for c in seen.values()], pa.int64())]
+            cols = [pa.array(list(seen), pa.string()), *(pa.array([c[i] for c in seen.values()], pa.int64()) for i in (0, 1))]
             yield pa.RecordBatch.from_arrays(cols, names=["term", "n0", "n1"])
 
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     counted = map_batches(rows.select("text", "y"), split, "term string, n0 long, n1 long")
-    counted = counted.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    total = max(1, n0 + n1)
-    expected = (F.col("n0") + F.col("n1")) * (n1 / total)
-    other = (F.col("n0") + F.col("n1")) * (n0 / total)
-    chi = (F.col("n1") - expected) ** 2 / F.greatest(expected, F.lit(1e-9)) + (F.col("n0") - other) ** 2 / F.greatest(other, F.lit(1e-9))
-    often, mostly = F.col("n0") + F.col("n1") >= MIN_DOCS, F.col("n1") >= MIN_SHARE * (F.col("n0") + F.col("n1"))
-    ranked = counted.select("term", often.alias("often"), chi.alias("chi"), (often & mostly & (chi >= MIN_CHI)).alias("strong")).persist()
-    first = [F.desc("often"), F.desc("chi"), "term"]
-    told, others = [[r["term"] for r in ranked.where(is_strong).orderBy(*first).limit(max_terms).collect()] for is_strong in ("strong", "NOT strong")]
-    ranked.unpersist()
-    terms = told + others
+    counted = counted.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).orderBy("term").toArrow()
+    terms = counted.column("term").to_pylist()
+    n0, n1 = (counted.column(c).to_numpy().astype(float) for c in ("n0", "n1"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TermCounter(terms)
         for batch in batches:
-            counts = [counter.counts(t) for t in batch.column(2).to_pylist()]
-            cols = [batch.column(0), batch.column(1), pa.array([list(c) for c in counts], pa.list_(pa.int64())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))]
+            found = counter.counts(batch.column(2).to_pylist())
+            edges = pa.array(np.searchsorted(found.text, np.arange(found.texts + 1)), pa.int32())
+            cols = [batch.column(0), batch.column(1), *(pa.ListArray.from_arrays(edges, pa.array(x, pa.int64())) for x in (found.term, found.n))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "y", "terms", "counts"])
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, df, n = TermCounter(terms), np.zeros(len(terms), dtype=np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                n += 1
-                df[list(counter.counts(text))] += 1
+            n += batch.num_rows
+            df += np.bincount(counter.counts(batch.column(0).to_pylist()).term, minlength=len(df))
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["term", "n"])
 
-    drawn = map_batches(rows.select("doc_id", "y", "text"), vectors, "doc_id long, y int, terms array<long>, counts array<long>").collect()
-    df = {r["term"]: r["n"] for r in map_batches(docs.select("text"), frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    drawn = map_batches(rows.select("doc_id", "y", "text"), vectors, "doc_id long, y int, terms array<long>, counts array<long>").toArrow()
+    every = map_batches(docs.select("text"), frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     rows.unpersist()
-    idf = np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
-    examples = {r["doc_id"]: (r["doc_id"], r["y"], dict(zip(r["terms"], r["counts"], strict=True))) for r in sorted(drawn, key=lambda r: (r["doc_id"], r["terms"]))}
-    return Scorer(terms, len(told), idf, list(examples.values()))
+    at, n = (every.column(c).to_numpy() for c in ("term", "n"))
+    df = np.zeros(len(terms))
+    df[at[at >= 0]] = n[at >= 0]
+    idf = np.log((1 + n[at < 0].sum()) / (1 + df)) + 1
+    drawn = drawn.sort_by("doc_id").combine_chunks()
+    ids, labels = drawn.column("doc_id").to_pylist(), drawn.column("y").to_pylist()
+    sizes = pc.list_value_length(drawn.column("terms")).to_numpy()
+    examples = Terms(len(ids), np.repeat(np.arange(len(ids)), sizes), *(pc.list_flatten(drawn.column(c)).to_numpy() for c in ("terms", "counts")))
+    toxic, total = sum(labels), max(1, len(labels))
+    expected = [(n0 + n1) * share for share in (1 - toxic / total, toxic / total)]
+    chi = sum((n - e) ** 2 / np.maximum(e, 1e-9) for n, e in zip((n0, n1), expected, strict=True))
+    return Scorer(terms, idf * (1 + chi) / (RELEVANCE + chi), ids, labels, examples)
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence (the nearest examples' doc_ids)."""
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # bounded by TRAIN_ROWS and MAX_TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # bounded by TRAIN_ROWS and SAMPLE_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         counter = TermCounter(model.terms)
         for batch in batches:
-            found = [model.score(counter.counts(t)) for t in batch.column(2).to_pylist()]
+            found = model.score(counter.counts(batch.column(2).to_pylist()))
             cols = [batch.column(0), batch.column(1), pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= THRESHOLD) for s, _ in found], pa.int32()), pa.array([e for _, e in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
@@ -290,7 +304,7 @@ def keep_clean(docs: DataFrame, scorer: Scorer) -> DataFrame:
         model = shared.value
         counter = TermCounter(model.terms)
         for batch in batches:
-            clean = [model.score(counter.counts(t))[0] < THRESHOLD for t in batch.column(at).to_pylist()]
+            clean = [s < THRESHOLD for s, _ in model.score(counter.counts(batch.column(at).to_pylist()))]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return map_batches(docs, run, docs.schema)
