@@ -171,7 +171,7 @@ def test_toxicity_learns_from_few_rows_and_from_as_many_toxic_ones(spark, every,
 @pytest.mark.parametrize("frequent", [2, 16, 10_000])
 def test_block_max_index_is_exact(monkeypatch, frequent):
     monkeypatch.setattr(toxicity, "FREQUENT", frequent)
-    monkeypatch.setattr(toxicity, "REVIEW", 2)
+    monkeypatch.setattr(toxicity, "REVIEWS", range(0, 10, 2))
     rng = np.random.default_rng(2)
     dense = np.where(rng.random((300, 60)) < rng.random(60) ** 2, rng.integers(1, 4, (300, 60)), 0)
     dense[:, 59] = 1

@@ -42,8 +42,8 @@ NEIGHBOURS = 15
 BLOCK = 32
 #: A term is frequent if one in so many examples holds it.
 FREQUENT = 16
-#: After so many blocks the k-th best similarities are taken anew.
-REVIEW = 32
+#: After so many blocks the k-th best similarities are taken (anew).
+REVIEWS = (0, 40)
 PRIOR_WEIGHT = 0.05
 THRESHOLD = 0.3
 #: Words remembered by a worker.
@@ -73,28 +73,45 @@ class TermCounter:
     """Counts texts' terms of the vocabulary, with a bounded memory of words."""
 
     def __init__(self, terms: list[str]):
-        self.index = {t: i for i, t in enumerate(terms)}
+        self.size = len(terms)
+        self.whole = {t: i for i, t in enumerate(terms) if not t.endswith("*")}
+        self.begins = [(n, {t[:n]: i for i, t in enumerate(terms) if len(t) == n + 1 and t.endswith("*")}) for n in PREFIXES]
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def counts(self, texts: list[str | None]) -> Terms:
-        each = [Counter(WORD.findall((t or "").lower())) for t in texts]
+    def of_word(self, word: str) -> tuple[int, ...]:
+        found = [ids[word[:n]] for n, ids in self.begins if len(word) > n and word[:n] in ids]
+        if (i := self.whole.get(word)) is not None:
+            found.append(i)
+        return tuple(found)
+
+    def keys(self, each: list) -> tuple[np.ndarray, np.ndarray]:
+        """text * size + term of all terms of each text's different words, and how many terms each word has."""
         words = list(chain.from_iterable(each))
         if new := set(words).difference(self.known):
             if len(self.known) + len(new) > CACHE_WORDS:
                 self.known.clear()
                 new = set(words)
-            self.known.update((w, tuple(self.index[k] for k in terms_of(w) if k in self.index)) for w in new)
+            self.known.update(zip(new, map(self.of_word, new), strict=True))
         hits = list(map(self.known.__getitem__, words))
         sizes = np.fromiter(map(len, hits), dtype=np.int64, count=len(hits))
         term = np.fromiter(chain.from_iterable(hits), dtype=np.int64, count=int(sizes.sum()))
-        n = np.fromiter(chain.from_iterable(c.values() for c in each), dtype=np.int64, count=len(words))
         text = np.repeat(np.arange(len(each)), [len(c) for c in each])
-        key = np.repeat(text, sizes) * len(self.index) + term
+        return np.repeat(text, sizes) * self.size + term, sizes
+
+    def counts(self, texts: list[str | None]) -> Terms:
+        each = [Counter(WORD.findall((t or "").lower())) for t in texts]
+        key, sizes = self.keys(each)
+        n = np.fromiter(chain.from_iterable(c.values() for c in each), dtype=np.int64, count=len(sizes))
         order = np.argsort(key)
         key = key[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
         n = np.add.reduceat(np.repeat(n, sizes)[order], first) if len(first) else np.zeros(0, dtype=np.int64)
-        return Terms(len(texts), key[first] // max(1, len(self.index)), key[first] % max(1, len(self.index)), n)
+        return Terms(len(texts), key[first] // max(1, self.size), key[first] % max(1, self.size), n)
+
+    def frequencies(self, texts: list[str | None]) -> np.ndarray:
+        """How many of the texts hold each term."""
+        key = np.sort(self.keys([set(WORD.findall((t or "").lower())) for t in texts])[0])
+        return np.bincount(key[np.append(True, key[1:] != key[:-1])[: len(key)]] % max(1, self.size), minlength=self.size)
 
 
 def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -142,7 +159,7 @@ class BlockMaxIndex:
         bounds = scores.reshape(queries.texts, -1, BLOCK).max(2) + common @ self.best
         seen = min(k, width)
         for i, block in enumerate(np.argsort(-bounds.max(0, initial=0), kind="stable")):
-            if i % REVIEW == 0:  # what no block below it can reach
+            if i in REVIEWS:  # a block whose bound is lower holds none of the k best
                 edge = np.partition(scores, width - seen, axis=1)[:, width - seen]
             wanted = np.flatnonzero((bounds[:, block] > 0) & (bounds[:, block] >= edge - 1e-9))
             scores[wanted, block * BLOCK : (block + 1) * BLOCK] += common[wanted] @ self.blocks[block]
@@ -251,18 +268,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) ->
         for batch in batches:
             found = counter.counts(batch.column(2).to_pylist())
             edges = pa.array(np.searchsorted(found.text, np.arange(found.texts + 1)), pa.int32())
-            cols = [batch.column(0), batch.column(1), *(pa.ListArray.from_arrays(edges, pa.array(x, pa.int64())) for x in (found.term, found.n))]
+            cols = [batch.column(0), batch.column(1), *(pa.ListArray.from_arrays(edges, pa.array(x, pa.int32())) for x in (found.term, found.n))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "y", "terms", "counts"])
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, df, n = TermCounter(terms), np.zeros(len(terms), dtype=np.int64), 0
         for batch in batches:
             n += batch.num_rows
-            df += np.bincount(counter.counts(batch.column(0).to_pylist()).term, minlength=len(df))
+            df += counter.frequencies(batch.column(0).to_pylist())
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["term", "n"])
 
-    drawn = map_batches(rows.select("doc_id", "y", "text"), vectors, "doc_id long, y int, terms array<long>, counts array<long>").toArrow()
+    drawn = map_batches(rows.select("doc_id", "y", "text"), vectors, "doc_id long, y int, terms array<int>, counts array<int>").toArrow()
     every = map_batches(docs.select("text"), frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     rows.unpersist()
     at, n = (every.column(c).to_numpy() for c in ("term", "n"))
@@ -272,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) ->
     drawn = drawn.sort_by("doc_id").combine_chunks()
     ids, labels = drawn.column("doc_id").to_pylist(), drawn.column("y").to_pylist()
     sizes = pc.list_value_length(drawn.column("terms")).to_numpy()
-    examples = Terms(len(ids), np.repeat(np.arange(len(ids)), sizes), *(pc.list_flatten(drawn.column(c)).to_numpy() for c in ("terms", "counts")))
+    examples = Terms(len(ids), np.repeat(np.arange(len(ids)), sizes), *(pc.list_flatten(drawn.column(c)).to_numpy().astype(np.int64) for c in ("terms", "counts")))
     toxic, total = sum(labels), max(1, len(labels))
     expected = [(n0 + n1) * share for share in (1 - toxic / total, toxic / total)]
     chi = sum((n - e) ** 2 / np.maximum(e, 1e-9) for n, e in zip((n0, n1), expected, strict=True))
