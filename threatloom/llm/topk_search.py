@@ -4,13 +4,15 @@ A vector is a sparse row over its dimensions. Candidates and queries are dealt t
 pair of a query block and a candidate block is one group of a cogroup. In a group, dimension after
 dimension scatters its postings (the candidates' values), weighted by the queries that have the
 dimension, into dense score arrays; partition selection takes each query's k best of the block.
-A window over the k rows of each block merges them. A group holds at most about QUERY_BLOCK queries
-and CANDIDATE_BLOCK candidates, whatever the size of the tables, and hashing spreads equal vectors.
+A window over the k rows of each block merges them. A block holds about QUERY_CELLS or CANDIDATE_CELLS components,
+whatever the size of the tables and the width of the vectors, and hashing spreads equal vectors.
 
 Defined cases: vectors that are null, empty, or hold a null or non-finite component take no part, nor
 do rows with a null id; of rows with one vec_id all count as candidates for other ids, none for its own, and
 a query is answered once for each distinct (id, vector); vectors of different lengths are compared over their
 common dimensions; ties go to the smaller vec_id.
+Components saturate at the ends of a 64-bit integer, and scores are sums modulo 2^64, which no components below 2^27 in
+up to 1024 dimensions reach.
 """
 
 from __future__ import annotations
@@ -22,9 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block on either side. A group's score array has their product of cells, taken in slices.
-QUERY_BLOCK, CANDIDATE_BLOCK = 2_000, 16_000
-SLICE = 256
+#: Components of a block on either side, and scores that are held at once.
+QUERY_CELLS, CANDIDATE_CELLS, SCORES = 1 << 17, 1 << 20, 1 << 22
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -51,8 +52,9 @@ def best_of_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd
     width = max(max(map(len, queries["q"])), max(map(len, candidates["q"])))
     postings, weights = np.ascontiguousarray(dense(candidates["q"], width).T), dense(queries["q"], width)
     query_ids, out = queries["query_id"].to_numpy(), []
-    for at in range(0, len(weights), SLICE):
-        part, own = weights[at : at + SLICE], query_ids[at : at + SLICE]
+    size = max(1, SCORES // len(ids))
+    for at in range(0, len(weights), size):
+        part, own = weights[at : at + size], query_ids[at : at + size]
         scores = np.zeros((len(part), len(ids)), dtype=np.int64)
         for term in range(width):
             has = np.flatnonzero(part[:, term])  # the sparse query rows that have the term
@@ -75,10 +77,8 @@ def best_of_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd
 def top_k(vectors: DataFrame, *, k: int = 5, every: int = 50) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each row whose id is divisible by every."""
     rows = quantised(vectors)
-    total = rows.count()
-    n_cand, n_query = max(1, math.ceil(total / CANDIDATE_BLOCK)), max(1, math.ceil(total / every / QUERY_BLOCK))
-    if n_cand * n_query < 8 and total > 2000:
-        n_cand = 8  # work for several executors
+    cells, asked_cells = rows.agg(F.sum(F.size("q")), F.sum(F.when(F.col("vec_id") % every == 0, F.size("q")))).first()
+    n_cand, n_query = max(1, math.ceil((cells or 0) / CANDIDATE_CELLS)), max(1, math.ceil((asked_cells or 0) / QUERY_CELLS))
     block = lambda n: F.pmod(F.xxhash64("vec_id", "q"), F.lit(n)).cast("int")
     all_blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "q").distinct()
