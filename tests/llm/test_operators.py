@@ -342,7 +342,10 @@ def test_minhash_dedup_equals_brute_force(spark, monkeypatch, words, percent, sh
     assert minhash_dedup.near_groups(frame.where("false")).count() == 0
 
 
-def test_topk_search(spark):
+@pytest.mark.parametrize("cells", [None, (40, 300, 100)])
+def test_topk_search(spark, monkeypatch, cells):
+    for name, value in zip(("QUERY_CELLS", "CANDIDATE_CELLS", "SCORES"), cells or (), strict=False):
+        monkeypatch.setattr(topk_search, name, value)
     rng = np.random.default_rng(4)
     vectors = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(300)]
     odd = [(1000, None), (1050, [float("nan")] * 6), (1100, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1150, [float("inf")] * 6), (None, [1.0] * 6), (7, vectors[7][1])]
@@ -385,23 +388,44 @@ def test_packing(docs):
     assert packing.pack(empty(docs), WORD).count() == 0
 
 
-def test_packer_follows_the_sum_of_squares_rule():
+@pytest.mark.parametrize("limit", [1, 12, 10_000])
+def test_packer_follows_the_sum_of_squares_rule(limit):
     rng = np.random.default_rng(6)
-    packer = packing.SumOfSquaresPacker(0, window=32, open_windows=10_000)
-    for i in range(500):
-        size = int(rng.integers(1, 33))
-        count = packer.count.copy()
+    packer = packing.SumOfSquaresPacker(0, window=32, open_windows=limit)
+    total = 0
+    for i in range(800):
+        size = int(rng.integers(1, 80))
+        count, rest = packer.count.copy(), size % 32
 
-        def cost(level, size=size, count=count):
+        def cost(level, size=rest, count=count):
             after = count.copy()
             if level:
                 after[level] -= 1
-            after[level + size] += 1
+            after[level + size if level + size <= 32 else level + size - 32] += 1
             return int((after[1:32] ** 2).sum())
 
-        if size < 32:
-            open_levels = [0, *(h for h in range(1, 33 - size) if count[h])]
-            assert cost(packer.choose(size)) == min(map(cost, open_levels))
+        if rest:
+            held = [h for h in range(1, 32) if count[h]]
+            free = packer.n_open < limit
+            assert cost(packer.choose(rest)) == min(map(cost, [0, *(h for h in held if h + rest <= 32)] if free else held))
         packer.add(i, b"\1\0\0\0" * size)
+        total += size
+        assert packer.n_open <= limit
+    assert len({d[5] for d in packer.done}) >= total / 32 - limit or limit > 800
+    check_poured(packer, total)
+
+
+def check_poured(packer, total):
     packer.pour()
-    assert packer.n_open <= 1 and sum(d[2] for d in packer.done) + sum(len(p[2]) // 4 for level in packer.open for w in level for p in w) > 0
+    assert packer.n_open <= 1 and (packer.count[1:32].sum(), packer.n_open) in ((0, 0), (1, 1))
+    left = [p for level in packer.open for w in level for p in w]
+    assert sum(d[2] for d in packer.done) + sum(len(p[2]) // 4 for p in left) == total
+    filled = Counter()
+    for d in packer.done:
+        filled[d[5]] += d[2]
+    assert set(filled.values()) == {32}
+    pieces = defaultdict(list)
+    for doc_id, start, n in [(d[0], d[1], d[2]) for d in packer.done] + [(p[0], p[1], len(p[2]) // 4) for p in left]:
+        pieces[doc_id].append((start, n))
+    for parts in pieces.values():
+        assert [s for s, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:i]) for i in range(len(parts))]

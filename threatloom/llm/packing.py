@@ -1,11 +1,12 @@
 """Packing of tokenised documents into windows by the sum-of-squares rule.
 
 An online bin packer: N[h] windows are filled to level h, and a piece goes to the level whose choice
-gives the smallest sum of N[h] squared afterwards (a new window counts as level 0; ties go to the
-fullest window). Documents longer than a window first give whole windows; only their remainders are
+gives the smallest sum of N[h] squared afterwards. A new window counts as level 0; ties go to the fullest window that isn't cut. While
+OPEN_WINDOWS are open, a piece must not open another: levels at which it doesn't fit stand beside those at which it does,
+and there it is cut, its beginning fills the window and its rest takes the window's place. Documents longer than a window first give whole windows; only their remainders are
 placed. Each task packs the rows of its own partition, so nothing is shuffled. It keeps the pieces
-of open windows only: when OPEN_WINDOWS are open, and at the end, open windows are poured together
-(the emptiest are cut to fill the gaps of the fullest), which leaves at most one window short.
+of open windows only, and at the end these are poured together (the emptiest are cut to fill the gaps of the fullest), which
+leaves at most one window short. So a task closes all its windows by the rule but OPEN_WINDOWS at most.
 
 Defined cases: a null or empty text is a document of the end id alone; repeated rows are packed each
 on its own; further columns are ignored; an empty table gives no pieces.
@@ -32,8 +33,8 @@ from threatloom.llm.merges import PLAIN, MergeTable, plain_pattern
 
 WINDOW = 2048
 END_ID = 1
-#: Windows that a task may hold open before it pours them together.
-OPEN_WINDOWS = 2048
+#: Windows that a task may hold open.
+OPEN_WINDOWS = 16
 #: Words remembered by a worker; when full, those not used since the last time are forgotten.
 CACHE_WORDS = 500_000
 #: White space that the tokenizer's normaliser drops and no token crosses.
@@ -137,20 +138,28 @@ class SumOfSquaresPacker:
             self.n_open -= 1
         else:
             pieces = []
-        pieces.append(piece)
-        self.keep(pieces, level + size)
-        if self.n_open >= self.limit:
-            self.pour()
+        room = self.window - level
+        if size > room:
+            doc_id, start, ids, n = piece
+            self.keep([*pieces, (doc_id, start, ids[: 4 * room], n)], self.window)
+            self.keep([(doc_id, start + room, ids[4 * room :], n)], size - room)
+        else:
+            self.keep([*pieces, piece], level + size)
 
     def choose(self, size: int) -> int:
         """The level at which a piece of this size adds least to the sum of squares."""
         top = self.window - size
-        after = 2 * self.count[size : self.window + 1] + 1  # a window more at level h + size ...
-        after[top] = 0  # ... which counts only while it isn't full
-        change = after[: top + 1] - 2 * self.count[: top + 1] + 1
-        change[1:][self.count[1 : top + 1] == 0] = np.iinfo(np.int64).max
-        change[0] = after[0]
-        return top - int(np.argmin(change[::-1]))
+        # A window more at the level that the piece leaves: h + size, or what a cut leaves over; none if it is full.
+        after = 2 * np.concatenate([self.count[size : self.window], self.count[:size]]) + 1
+        after[top] = 0
+        change = after - 2 * self.count[: self.window] + 1
+        never = np.iinfo(np.int64).max
+        change[self.count[: self.window] == 0] = never
+        if self.n_open < self.limit:
+            change[0] = after[0]
+            change[top + 1 :] = never
+        whole, cut = top - int(np.argmin(change[top::-1])), self.window - 1 - int(np.argmin(change[::-1]))
+        return whole if change[whole] == change[cut] else cut
 
     def keep(self, pieces: list, level: int) -> None:
         if level == self.window:
