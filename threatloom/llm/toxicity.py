@@ -163,10 +163,9 @@ class BlockMaxIndex:
                 edge = np.partition(scores, width - seen, axis=1)[:, width - seen]
             wanted = np.flatnonzero((bounds[:, block] > 0) & (bounds[:, block] >= edge - 1e-9))
             scores[wanted, block * BLOCK : (block + 1) * BLOCK] += common[wanted] @ self.blocks[block]
-        scores = np.round(scores, 9)
-        edge = np.maximum(np.partition(scores, width - seen, axis=1)[:, width - seen], 1e-9)
+        edge = np.maximum(np.partition(scores, width - seen, axis=1)[:, width - seen] - 2e-9, 5e-10)
         query, doc = np.nonzero(scores >= edge[:, None])
-        sims = scores[query, doc]
+        sims = np.round(scores[query, doc], 9)
         order = np.lexsort((doc, -sims, query))
         begin = np.searchsorted(query[order], np.arange(queries.texts + 1))
         picks = [order[a : min(a + k, z)] for a, z in zip(begin[:-1], begin[1:], strict=True)]
