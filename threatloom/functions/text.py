@@ -111,8 +111,18 @@ def keyword_score(counts: dict[str, Column]) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(99.9), total)), 1)
 
 
+def hits(text: Column, words: list[str], registry: dict[str, list[str]]) -> list[Column]:
+    """Whether each word stands in the text, by the rules of the registry."""
+    if registry is KEYWORDS:
+        lowered = F.lower(F.coalesce(text, F.lit("")))
+        return [F.contains(lowered, F.lit(w)) for w in words]
+    whole = F.coalesce(text, F.lit(""))
+    return [F.rlike(whole, F.lit("(?iuU)" + keyword_pattern(w))) for w in words]
+
+
 def hunt_score(text: Column, registry: dict[str, list[str]] = KEYWORDS) -> Column:
-    return keyword_score({tier: F.size(matcher(registry)(text, words)) for tier, words in registry.items()})
+    """The keyword score; hits are added up without an array of the words."""
+    return keyword_score({tier: reduce(lambda a, b: a + b, (h.cast("int") for h in hits(text, words, registry)), F.lit(0)) for tier, words in registry.items()})
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -135,27 +145,29 @@ def domain(url: Column) -> Column:
 
 
 # Query parameters that only track visits.
-TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "source"]
+TRACKING = [
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "source", "_ga", "_gid", "mc_cid", "mc_eid",
+    "si", "s", "fb_action_ids", "fb_action_types", "fb_source", "fb_ref", "campaign", "email", "newsletter", "social", "share", "click",
+]
 
 
 def normalize_url(url: Column, tracking: list[str] = TRACKING) -> Column:
-    """Lower case, without fragment, closing slash, tracking parameters and parameters without a value."""
-    plain = F.regexp_replace(F.trim(url), r"#.*$", "")
-    path, query = F.substring_index(plain, "?", 1), F.regexp_extract(plain, r"\?(.*)$", 1)
-    kept = F.filter(
-        F.split(query, "&"),
-        lambda p: F.contains(p, F.lit("=")) & (F.substring_index(p, "=", -1) != "") & ~F.substring_index(p, "=", 1).isin(tracking),
-    )
-    clean = F.regexp_replace(path, r"/+$", "")
-    return F.lower(F.when(F.size(kept) > 0, F.concat(clean, F.lit("?"), F.array_join(kept, "&"))).otherwise(clean))
+    """Lower case, without closing slashes, tracking parameters, parameters without `=`, fragment and a leading www."""
+    plain = F.regexp_replace(F.trim(url), r"/+$", "")
+    base, query = F.substring_index(plain, "?", 1), F.regexp_extract(plain, r"(?s)\?(.*)$", 1)
+    kept = F.filter(F.split(query, "&"), lambda p: F.contains(p, F.lit("=")) & ~F.lower(F.substring_index(p, "=", 1)).isin(tracking))
+    whole = F.when(F.size(kept) > 0, F.concat(base, F.lit("?"), F.array_join(kept, "&"))).otherwise(base)
+    return F.regexp_replace(F.lower(F.substring_index(whole, "#", 1)), r"^www\.", "")
+
+
+# How dates are written in addresses, in the order in which they are tried.
+URL_DATES = (r"(\d{4})/(\d{1,2})/(\d{1,2})", r"(\d{4})-(\d{1,2})-(\d{1,2})", r"(\d{4})(\d{2})(\d{2})")
 
 
 def url_date(url: Column) -> Column:
-    """The first valid date written as /2024/01/31/, 2024-01-31 or 20240131."""
-    tries = [(r"/(\d{4})/(\d{1,2})/(\d{1,2})(?:/|$)", (1, 2, 3)), (r"(\d{4})-(\d{2})-(\d{2})", (1, 2, 3)), (r"(\d{4})(\d{2})(\d{2})", (1, 2, 3))]
-    return F.coalesce(
-        *(F.try_to_date(F.concat_ws("-", *(F.lpad(F.regexp_extract(url, p, g), 4 if g == 1 else 2, "0") for g in groups)), "yyyy-MM-dd") for p, groups in tries)
-    )
+    """The first valid date written as 2024/01/31, 2024-01-31 or 20240131."""
+    parts = lambda p: F.concat_ws("-", F.regexp_extract(url, p, 1), *(F.lpad(F.regexp_extract(url, p, g), 2, "0") for g in (2, 3)))
+    return F.coalesce(*(F.try_to_date(parts(p), "yyyy-MM-dd") for p in URL_DATES))
 
 
 def garbage_ratio(c: Column) -> Column:
@@ -167,13 +179,21 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[.!?]+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+# What is masked in detection values, in this order.
+MASKS = (
+    (r"(?i:([a-zA-Z]:\\|\\\\[^\\]+\\|%[^%]+%\\).*?(\\(?:[^\\\s]+|[*?])+)?)", "<path>"),
+    (r"/(?:usr|etc|var|tmp|home|opt|root|[~$])(?:/[^\s\*]+)*(?:/\*|\?)?", "<path>"),
+    (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "<ip>"),
+    (r"\b([0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{0,4}\b", "<ip>"),
+    (r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "<uuid>"),
+    (r"\b[0-9a-fA-F]{32}\b", "<hash>"),
+    (r"\b[0-9a-fA-F]{40}\b", "<hash>"),
+    (r"\b[0-9a-fA-F]{64}\b", "<hash>"),
+)
+
+
 def mask_values(c: Column) -> Column:
-    """Hashes, addresses and identifiers as placeholders."""
-    for pattern, name in (
-        (r"\b[0-9a-fA-F]{64}\b", "<SHA256>"),
-        (r"\b[0-9a-fA-F]{40}\b", "<SHA1>"),
-        (r"\b[0-9a-fA-F]{32}\b", "<MD5>"),
-        (r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "<IPV4>"),
-    ):
+    """Paths, addresses, identifiers and hashes as placeholders."""
+    for pattern, name in MASKS:
         c = F.regexp_replace(c, pattern, name)
     return c

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,14 +68,21 @@ def technique_ids(articles: DataFrame) -> DataFrame:
     return articles.select("article_id", ids.alias("techniques"))
 
 
-def quality_gate(articles: DataFrame, *, min_chars: int = 200, min_words: int = 50) -> DataFrame:
+# Phrases of pages that block a reader, in texts of under 2000 characters.
+BLOCK_PAGES = (
+    "access denied", "bot detected", "captcha", "please enable javascript", "javascript is required", "cloudflare", "temporarily unavailable",
+    "403 forbidden", "404 not found",
+)
+
+
+def quality_gate(articles: DataFrame, *, min_chars: int = 100, min_words: int = 50) -> DataFrame:
     """The first reason that an article is turned away for, or 'ok'."""
     c = F.coalesce(F.col("content"), F.lit(""))
     reason = (
         F.when(F.length(c) < min_chars, "too_short")
+        .when((F.length(c) < 2000) & reduce(lambda a, b: a | b, (F.contains(F.lower(c), F.lit(p)) for p in BLOCK_PAGES)), "block_page")
         .when(F.regexp_count(c, F.lit(r"[^ \t\r\n\f\x0B]+")) < min_words, "too_few_words")
         .when(F.length(F.regexp_replace(c, r"[^.!?]", "")) < 2, "no_sentences")
-        .when(F.contains(c, F.lit("�")), "broken_characters")
         .otherwise("ok")
     )
     return articles.select("article_id", reason.alias("reason"))

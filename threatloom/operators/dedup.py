@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatloom.functions.text import content_hash, hamming
 
 # Words that carry no weight in a SimHash.
 STOP_WORDS = (
-    "the a an and or but in on at to for of with by is are was were be been being have has had do does did will would "
-    "could should may might must can this that these those"
+    "the a an and or but in on at to for of with by is are was were be been have has had do does did will would "
+    "could should may might can this that these those"
 ).split()
+WORD = re.compile(r"\w+")
 
 
 def content_duplicates(articles: DataFrame) -> DataFrame:
@@ -27,29 +35,26 @@ def dedup_stats(articles: DataFrame) -> DataFrame:
     ).withColumn("duplicate_rate", F.round(F.col("duplicates") / F.col("total") * 100, 2))
 
 
-def _low64(token: Column) -> Column:
-    """The last 64 bits of a token's MD5, as a signed number."""
-    part = lambda at: F.conv(F.substring(F.md5(token.cast("binary")), at, 8), 16, 10).cast("long")
-    return F.shiftleft(part(17), 32).bitwiseOR(part(25))
-
-
 def simhash(articles: DataFrame) -> DataFrame:
     """A signed 64-bit SimHash of title and content; 0 without tokens.
 
-    Tokens are runs of ASCII letters, digits and underscores of more than two characters that are no stop words. Each distinct
-    token votes on every bit with its count. Votes are summed per article, so a token list is never gathered.
+    Tokens are words of more than two characters that are no stop words. Each distinct token votes on every bit of the low half of
+    its MD5 with its count. A hash depends on its row alone, so nothing is shuffled.
     """
-    text = F.lower(F.concat_ws(" ", "title", "content"))
-    words = F.filter(F.regexp_extract_all(text, F.lit(r"\b\w+\b"), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
-    tokens = articles.select("article_id", F.explode(words).alias("w")).groupBy("article_id", "w").agg(F.count(F.lit(1)).alias("c"))
-    tokens = tokens.select("article_id", "c", _low64(F.col("w")).alias("h"))
-    vote = lambda b: F.sum(F.when(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1)) == 1, F.col("c")).otherwise(-F.col("c"))).alias(f"b{b}")
-    votes = tokens.groupBy("article_id").agg(*(vote(b) for b in range(64)))
-    bits = F.lit(0).cast("long")
-    for b in range(64):
-        bits = bits.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    hashes = votes.select("article_id", bits.alias("simhash"))
-    return articles.select("article_id").join(hashes, "article_id", "left").select("article_id", F.coalesce("simhash", F.lit(0).cast("long")).alias("simhash"))
+    stop = frozenset(STOP_WORDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                words = Counter(w for w in WORD.findall(text.lower()) if len(w) > 2 and w not in stop)
+                digests = np.frombuffer(b"".join(hashlib.md5(w.encode()).digest()[8:] for w in words), dtype=np.uint8).reshape(-1, 8)
+                votes = np.fromiter(words.values(), dtype=np.int64, count=len(words)) @ (np.unpackbits(digests, axis=1).astype(np.int64) * 2 - 1)
+                out.append(int.from_bytes(np.packbits(votes > 0).tobytes(), "big", signed=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["article_id", "simhash"])
+
+    rows = articles.select(F.col("article_id").cast("long").alias("article_id"), F.concat_ws(" ", "title", "content").alias("text"))
+    return rows.mapInArrow(run, "article_id long, simhash long")
 
 
 def near_duplicates(hashes: DataFrame, *, distance: int = 3) -> DataFrame:
@@ -57,14 +62,18 @@ def near_duplicates(hashes: DataFrame, *, distance: int = 3) -> DataFrame:
 
     Articles of equal hashes are linked at distance 0 with the first of them (id_a), each by one row, so a large group of copies
     is not multiplied; different hashes within the distance are linked by their first articles. Two articles are near copies
-    if their first articles are the same or linked. The other 60 bits are cut into four bands; hashes that differ in at
-    most three bits agree in one of them, so pairs meet by bucket, band and value.
+    if their first articles are the same or linked. The other 60 bits are cut into one band more than the distance; hashes that
+    differ in so many bits at most agree in one of them, so pairs meet by bucket, band and value.
     """
     classes = hashes.groupBy("simhash").agg(F.count(F.lit(1)).alias("articles"), F.min("article_id").alias("first_id"))
+    if not 0 <= distance < 60:
+        raise ValueError("distance must be from 0 to 59")
+    edges = [4 + 60 * i // (distance + 1) for i in range(distance + 2)]
+    bands = [F.shiftrightunsigned("simhash", a).bitwiseAND(F.lit((1 << (z - a)) - 1)) for a, z in zip(edges[:-1], edges[1:], strict=True)]
     banded = classes.select(
         "*",
         F.col("simhash").bitwiseAND(F.lit(15)).alias("bucket"),
-        F.posexplode(F.array(*(F.shiftrightunsigned("simhash", s).bitwiseAND(F.lit((1 << 15) - 1)) for s in (4, 19, 34, 49)))).alias("band", "part"),
+        F.posexplode(F.array(*bands)).alias("band", "part"),
     )
     x, y = banded.alias("x"), banded.alias("y")
     on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.part") == F.col("y.part"))

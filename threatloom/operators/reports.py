@@ -90,12 +90,16 @@ def source_health(checks: DataFrame) -> DataFrame:
 
 
 def running_health(checks: DataFrame) -> DataFrame:
-    """Consecutive failures at the end of each source's checks, in time order."""
-    w = Window.partitionBy("source_id").orderBy("check_time", "check_id")
-    runs = checks.withColumn("run", F.sum(F.col("success").cast("int")).over(w))
-    last = runs.groupBy("source_id").agg(F.max("run").alias("run"))
-    tail = runs.where(~F.col("success")).groupBy("source_id", "run").agg(F.count(F.lit(1)).alias("f"))
-    return last.join(tail, ["source_id", "run"], "left").select("source_id", F.coalesce("f", F.lit(0)).cast("long").alias("consecutive_failures"))
+    """Consecutive failures at the end of each source's checks, in time order: those after its last good check.
+
+    Two pre-aggregated groupings, so no task sorts a source's checks. The last good checks are one row for each source.
+    """
+    at = F.struct("check_time", "check_id")
+    last = checks.groupBy("source_id").agg(F.max(F.when(F.col("success"), at)).alias("good"))
+    # Without a good check all failures count; a source without failures keeps its row.
+    failed = checks.where(~F.col("success")).select("source_id", at.alias("at")).join(last, "source_id")
+    tail = failed.where(F.col("good").isNull() | (F.col("at") > F.col("good"))).groupBy("source_id").agg(F.count(F.lit(1)).alias("f"))
+    return last.join(tail, "source_id", "left").select("source_id", F.coalesce("f", F.lit(0)).cast("long").alias("consecutive_failures"))
 
 
 def score_range(score: Column) -> Column:

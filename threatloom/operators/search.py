@@ -25,7 +25,7 @@ def parse_query(query: str | None) -> list[Term]:
     rest = query or ""
     words = re.findall(r'"[^"]*"|[^\s()"]+', rest)
     quoted = [w[1:-1].strip() for w in words if w.startswith('"')]
-    terms = [Term(q.lower(), "DEFAULT") for q in quoted if q]
+    terms = [Term(q.lower(), "DEFAULT", any(c in q for c in "*?[")) for q in quoted if q]
     operator = "DEFAULT"
     for w in (w for w in words if not w.startswith('"')):
         if w.upper() in ("AND", "OR", "NOT"):
@@ -89,23 +89,31 @@ def lexical_search(articles: DataFrame, terms: list[str], limit: int = 20) -> Da
     return found.select("article_id", "source", cut.alias("content"), F.lit(0.35).alias("similarity"))
 
 
-# Words that a read-only statement may not hold.
-WRITE_WORDS = ["INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "TRUNCATE", "GRANT", "REVOKE", "EXEC", "EXECUTE", "MERGE", "CALL", "COPY", "VACUUM"]
+# Words that a read-only statement may not hold, and patterns of injected code.
+FORBIDDEN = (
+    "INSERT UPDATE DELETE DROP CREATE ALTER TRUNCATE GRANT REVOKE COMMIT ROLLBACK SAVEPOINT EXECUTE EXEC CALL DECLARE SET BEGIN END IF WHILE FOR LOOP "
+    "FUNCTION PROCEDURE TRIGGER INDEX VIEW"
+).split()
+DANGEROUS = (
+    r";\s*(DROP|DELETE|INSERT|UPDATE|CREATE|ALTER)", r"--", r"/\*.*?\*/", r"UNION\s+SELECT", r"OR\s+1\s*=\s*1", r"AND\s+1\s*=\s*1", r"EXEC\s*\(", r"xp_", r"sp_", r"@@",
+    r"CHAR\s*\(", r"ASCII\s*\(", r"SUBSTRING\s*\(", r"CONCAT\s*\(",
+)
 
 
-def strip_sql_comments(sql: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(sql, r"--[^\n]*", " "), r"(?s)/\*.*?\*/", " "))
-
-
-def sql_is_read_only(sql: Column) -> Column:
-    """One SELECT, without a second statement or a word that writes."""
-    plain = strip_sql_comments(sql)
-    words = r"(?i)\b(" + "|".join(WRITE_WORDS) + r")\b"
-    return plain.rlike(r"(?is)^(select|with)\b") & ~F.contains(F.regexp_replace(plain, r";\s*$", ""), F.lit(";")) & ~plain.rlike(words)
+def sql_verdict(sql: Column) -> Column:
+    """Why a statement isn't accepted as read-only (empty, forbidden_word, dangerous_pattern, not_select), or 'ok'."""
+    plain = F.upper(F.trim(F.coalesce(sql, F.lit(""))))
+    return (
+        F.when(plain == "", "empty")
+        .when(plain.rlike(r"\b(" + "|".join(FORBIDDEN) + r")\b"), "forbidden_word")
+        .when(plain.rlike("(?i)" + "|".join(DANGEROUS)), "dangerous_pattern")
+        .when(~F.startswith(plain, F.lit("SELECT")), "not_select")
+        .otherwise("ok")
+    )
 
 
 def sql_complexity(sql: Column) -> Column:
-    """Counts of the parts of a statement."""
-    plain = F.upper(strip_sql_comments(sql))
+    """Counts of the parts of a statement without its comments."""
+    plain = F.upper(F.trim(F.regexp_replace(F.regexp_replace(sql, r"--[^\n]*", " "), r"(?s)/\*.*?\*/", " ")))
     count = lambda w: F.regexp_count(plain, F.lit(rf"\b{w}\b"))
     return F.struct(*(count(w).alias(w.lower().replace(" ", "_")) for w in ("SELECT", "JOIN", "WHERE", "GROUP BY", "ORDER BY")))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from threatloom.functions.text import cosine
 
-#: A query batch is broadcast only up to so many rows; larger batches are dealt out in blocks.
-BROADCAST_QUERIES = 1_000
+#: Vectors and queries that meet in one block.
+BLOCK_VECTORS, BLOCK_QUERIES = 20_000, 500
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, *, threshold: float | None = None, prefilter: bool = False) -> DataFrame:
@@ -21,11 +21,14 @@ def top_k(vectors: DataFrame, query: list[float], k: int, *, threshold: float |
     return scored.orderBy(F.desc("similarity"), "vec_id").limit(k).where(keep)
 
 
-def top_k_per_query(vectors: DataFrame, queries: DataFrame, k: int, *, blocks: int = 8) -> DataFrame:
-    """The k nearest of each query row (query_id, q). Both sides are dealt to blocks: queries to all of them, vectors to one."""
-    left = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = vectors.where(F.col("embedding").isNotNull()).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    scored = left.join(right, "block").where(F.col("query_id") != F.col("vec_id"))
+def top_k_per_query(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query row (query_id, q). Blocks of vectors and of queries, sized from their counts, meet pair by pair."""
+    n_v, n_q = max(1, -(-vectors.count() // BLOCK_VECTORS)), max(1, -(-queries.count() // BLOCK_QUERIES))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("qb", deal("query_id", n_q)).withColumn("vb", every(n_v))
+    right = vectors.where(F.col("embedding").isNotNull()).withColumn("vb", deal("vec_id", n_v)).withColumn("qb", every(n_q))
+    scored = left.join(right, ["qb", "vb"]).where(F.col("query_id") != F.col("vec_id"))
     scored = scored.select("query_id", "vec_id", "label", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -2,46 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatloom.functions import text as T
 from threatloom.operators import chunks, dedup, reports, search, vectors
+from threatloom.plans.registry import ARTICLES as _ARTICLES
+from threatloom.plans.registry import CHECKS as _CHECKS
+from threatloom.plans.registry import EXECUTIONS as _EXECUTIONS
+from threatloom.plans.registry import ORACLES, QUERIES, query  # noqa: F401
+from threatloom.plans.registry import score_sql as _score_sql
 from threatloom.views import annotations, articles, checks, executions, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-_ARTICLES = """articles AS (SELECT doc_id AS article_id, source, lang, substr(split_part(text, chr(10), 1), 1, 60) AS title, text AS content,
-    TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 HOUR AS discovered_at FROM documents)"""
-_CHECKS = """checks AS (SELECT event_id AS check_id, user_id AS source_id, ts AS check_time, event_type <> 'error' AS success,
-    event_type AS method, value AS response_time FROM events)"""
-_EXECUTIONS = """executions AS (SELECT o_orderkey AS execution_id, o_custkey AS article_id, o_orderstatus AS status, o_orderdate AS created_at,
-    o_totalprice AS ranking_score, o_orderpriority AS step FROM orders)"""
-
-
-def _score_sql(column: str = "content") -> str:
-    """The keyword score over the report registry, in DuckDB SQL."""
-    parts = []
-    for tier, words in T.KEYWORDS.items():
-        n = " + ".join(f"CAST(contains(lower({column}), '{w}') AS INTEGER)" for w in words)
-        parts.append(f"{T.TIER_WEIGHTS[tier]} * (1 - pow(0.5, {n}))")
-    return f"round(greatest(0.0, least(99.9, CAST({' + '.join(parts)} AS DOUBLE))), 1)"
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def register(fn: Query) -> Query:
-        QUERIES[name] = fn
-        if sql:
-            ORACLES[name] = sql
-        return fn
-
-    return register
-
-
 @query("source_quality_stats", f"""WITH {_ARTICLES}, k AS (SELECT doc_id AS article_id, max(quality) AS quality FROM labels GROUP BY 1)
     SELECT source, count(article_id) AS total_articles, count(*) FILTER (WHERE quality = 0) AS rejected_count, count(*) FILTER (WHERE quality = 1) AS chosen_count,
     count(*) FILTER (WHERE quality IS NULL) AS unclassified_count, round(count(*) FILTER (WHERE quality = 0) * 100.0 / count(*), 1) AS rejection_rate,
@@ -198,12 +169,23 @@ def dedup_stats(spark, sf):
     return dedup.dedup_stats(articles(spark, sf))
 
 
-@query("simhash")
+_STOP = ", ".join(f"'{w}'" for w in dedup.STOP_WORDS)
+_SIMHASH = f"""{_ARTICLES}, w AS (SELECT article_id, unnest(regexp_extract_all(lower(concat_ws(' ', title, content)), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM articles),
+    t AS (SELECT article_id, CAST('0x' || substr(md5(w), 17, 16) AS UBIGINT) AS h, count(*) AS c FROM w WHERE length(w) > 2 AND w NOT IN ({_STOP}) GROUP BY article_id, w),
+    b AS (SELECT article_id, b, sum(CASE WHEN (h >> CAST(b AS UBIGINT)) & 1 = 1 THEN c ELSE -c END) AS v FROM t, (SELECT unnest(range(64)) AS b) GROUP BY 1, 2),
+    s AS (SELECT article_id, bit_or(CASE WHEN v > 0 THEN CAST(1 AS UBIGINT) << CAST(b AS UBIGINT) ELSE CAST(0 AS UBIGINT) END) AS u FROM b GROUP BY 1),
+    hashes AS (SELECT article_id, coalesce(u, CAST(0 AS UBIGINT)) AS u FROM articles LEFT JOIN s USING (article_id))"""
+_SIGNED = "CASE WHEN u >= 9223372036854775808 THEN CAST(CAST(u AS HUGEINT) - 18446744073709551616 AS BIGINT) ELSE CAST(u AS BIGINT) END"
+
+
+@query("simhash", f"WITH {_SIMHASH} SELECT article_id, {_SIGNED} AS simhash FROM hashes")
 def simhash(spark, sf):
     return dedup.simhash(articles(spark, sf))
 
 
-@query("near_duplicates")
+@query("near_duplicates", f"""WITH {_SIMHASH}, c AS (SELECT u, {_SIGNED} AS h, count(*) AS n, min(article_id) AS first_id FROM hashes GROUP BY u)
+    SELECT x.first_id AS id_a, y.first_id AS id_b, x.n AS n_a, y.n AS n_b, CAST(bit_count(xor(x.u, y.u)) AS INTEGER) AS distance FROM c x JOIN c y ON x.h < y.h AND x.u % 16 = y.u % 16 AND bit_count(xor(x.u, y.u)) <= 3
+    UNION ALL SELECT first_id, article_id, n, n, 0 FROM hashes JOIN c USING (u) WHERE article_id <> first_id""")
 def near_duplicates(spark, sf):
     return dedup.near_duplicates(dedup.simhash(articles(spark, sf)))
 
@@ -246,21 +228,21 @@ def lexical_search(spark, sf):
 _COS = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)"
 
 
-@query("vector_topk_per_query", f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, {_COS} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+@query("vector_topk_per_query", f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, {_COS} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 10""")
 def vector_topk_per_query(spark, sf):
-    """Every hundredth vector is the stated query set; all vectors are searched."""
+    """Vectors whose id is divisible by 50 are the query set; all vectors are searched."""
     v = table(spark, sf, "embeddings")
-    return vectors.top_k_per_query(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10)
+    return vectors.top_k_per_query(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10)
 
 
-@query("vector_topk_by_label", f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, {_COS} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+@query("vector_topk_by_label", f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, {_COS} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
     t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS k FROM s),
     r AS (SELECT query_id, vec_id, label, similarity, CAST(row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id, query_id) AS INTEGER) AS rank FROM t WHERE k <= 10)
     SELECT label, rank, similarity FROM r WHERE rank <= 5""")
 def vector_topk_by_label(spark, sf):
     v = table(spark, sf, "embeddings")
-    found = vectors.top_k_per_query(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10)
+    found = vectors.top_k_per_query(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10)
     return vectors.top_per_label(found.drop("rank"), 5).select("label", "rank", "similarity")
 
 
@@ -292,13 +274,14 @@ def chunk_features(spark, sf):
     return chunks.chunk_features(articles(spark, sf))
 
 
-@query("technique_ids")
+@query("technique_ids", f"WITH {_ARTICLES} SELECT article_id, list_sort(list_distinct(regexp_extract_all(content, '\\bT[0-9]{{4}}(?:\\.[0-9]{{3}})?\\b'))) AS techniques FROM articles")
 def technique_ids(spark, sf):
     return chunks.technique_ids(articles(spark, sf))
 
 
-@query("quality_gate", f"""WITH {_ARTICLES} SELECT article_id, CASE WHEN length(content) < 200 THEN 'too_short' WHEN len(regexp_extract_all(content, '[^ \\t\\r\\n\\f\\v]+')) < 50 THEN 'too_few_words'
-    WHEN length(regexp_replace(content, '[^.!?]', '', 'g')) < 2 THEN 'no_sentences' WHEN contains(content, chr(65533)) THEN 'broken_characters' ELSE 'ok' END AS reason FROM articles""")
+@query("quality_gate", f"""WITH {_ARTICLES} SELECT article_id, CASE WHEN length(content) < 100 THEN 'too_short'
+    WHEN length(content) < 2000 AND ({" OR ".join(f"contains(lower(content), '{x}')" for x in chunks.BLOCK_PAGES)}) THEN 'block_page' WHEN len(regexp_extract_all(content, '[^ \\t\\r\\n\\f\\v]+')) < 50 THEN 'too_few_words'
+    WHEN length(regexp_replace(content, '[^.!?]', '', 'g')) < 2 THEN 'no_sentences' ELSE 'ok' END AS reason FROM articles""")
 def quality_gate(spark, sf):
     return chunks.quality_gate(articles(spark, sf))
 
@@ -313,7 +296,12 @@ def ascii_clean(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.ascii_clean(F.col("text")).alias("cleaned"))
 
 
-@query("mask_values", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b[0-9a-fA-F]{64}\b', '<SHA256>', 'g'), '\b[0-9a-fA-F]{40}\b', '<SHA1>', 'g'), '\b[0-9a-fA-F]{32}\b', '<MD5>', 'g'), '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b', '<IPV4>', 'g') AS masked FROM documents""")
+_MASKED = "text"
+for _p, _name in T.MASKS:
+    _MASKED = f"regexp_replace({_MASKED}, '{_p}', '{_name}', 'g')"
+
+
+@query("mask_values", f"SELECT doc_id, {_MASKED} AS masked FROM documents")
 def mask_values(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.mask_values(F.col("text")).alias("masked"))
 
@@ -328,7 +316,13 @@ def url_domain(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.domain(F.col("url")).alias("domain"))
 
 
-@query("url_normalize")
+_TRACK = ", ".join(f"'{x}'" for x in T.TRACKING)
+_DATES = ", ".join(f"try_strptime(concat_ws('-', regexp_extract(url, '{p}', 1), lpad(regexp_extract(url, '{p}', 2), 2, '0'), lpad(regexp_extract(url, '{p}', 3), 2, '0')), '%Y-%m-%d')" for p in T.URL_DATES)
+
+
+@query("url_normalize", f"""WITH u AS (SELECT page_id, url, regexp_replace(trim(url), '/+$', '') AS v FROM pages),
+    q AS (SELECT page_id, url, split_part(v, '?', 1) AS base, list_filter(string_split(CASE WHEN contains(v, '?') THEN substr(v, strpos(v, '?') + 1) ELSE '' END, '&'), lambda p: contains(p, '=') AND lower(split_part(p, '=', 1)) NOT IN ({_TRACK})) AS kept FROM u)
+    SELECT page_id, regexp_replace(lower(split_part(CASE WHEN len(kept) > 0 THEN base || '?' || array_to_string(kept, '&') ELSE base END, '#', 1)), '^www\\.', '') AS url, CAST(coalesce({_DATES}) AS DATE) AS published FROM q""")
 def url_normalize(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.normalize_url(F.col("url")).alias("url"), T.url_date(F.col("url")).alias("published"))
 
@@ -336,3 +330,6 @@ def url_normalize(spark, sf):
 @query("html_title", r"SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages")
 def html_title(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
+
+
+from threatloom.plans import evaluation, listings, pages, rules, summaries  # noqa: E402, F401  (they register their queries)
