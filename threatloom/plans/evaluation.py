@@ -1 +1,98 @@
-"""To come."""
+"""Queries that score items and spans and compare metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from threatloom.operators import evaluation as E
+from threatloom.plans.registry import query
+from threatloom.views import annotations, table
+
+_KEY = r"regexp_replace(replace(replace(regexp_replace(lower({c}), '^[ \t\r\n\f\v]+|[ \t\r\n\f\v]+$', '', 'g'), '[.]', '.'), '[:]', ':'), '[ \t\r\n\f\v]+', ' ', 'g')"
+_ITEMS = "e AS (SELECT o_custkey AS article_id, o_orderpriority AS item FROM orders WHERE o_orderstatus = 'O'), a AS (SELECT o_custkey AS article_id, ' ' || upper(o_orderpriority) AS item FROM orders WHERE o_orderstatus = 'F')"
+
+
+def _items(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("article_id"), "o_orderpriority", "o_orderstatus")
+    return (
+        o.where("o_orderstatus = 'O'").select("article_id", F.col("o_orderpriority").alias("item")),
+        o.where("o_orderstatus = 'F'").select("article_id", F.concat(F.lit(" "), F.upper("o_orderpriority")).alias("item")),
+    )
+
+
+_SCORED = f"""{_ITEMS}, b AS (SELECT article_id, {_KEY.format(c='item')} AS k, 1 AS e, 0 AS a FROM e UNION ALL SELECT article_id, {_KEY.format(c='item')}, 0, 1 FROM a),
+    g AS (SELECT article_id, k, max(e) AS e, max(a) AS a FROM b WHERE k <> '' GROUP BY 1, 2),
+    c AS (SELECT article_id, count(*) FILTER (WHERE e = 1 AND a = 1) AS matched, count(*) FILTER (WHERE a = 0) AS missed, count(*) FILTER (WHERE e = 0) AS extra FROM g GROUP BY 1),
+    s AS (SELECT *, coalesce(round(matched / nullif(matched + extra, 0), 4), 0.0) AS precision, coalesce(round(matched / nullif(matched + missed, 0), 4), 0.0) AS recall FROM c)"""
+
+
+@query("item_score", f"WITH {_SCORED} SELECT * FROM s")
+def item_score(spark, sf):
+    return E.item_scores(*_items(spark, sf))
+
+
+@query("item_score_summary", f"WITH {_SCORED} SELECT CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(missed) AS BIGINT) AS missed, CAST(sum(extra) AS BIGINT) AS extra, round(sum(matched) / (sum(matched) + sum(extra)), 4) AS precision, round(sum(matched) / (sum(matched) + sum(missed)), 4) AS recall FROM s")
+def item_score_summary(spark, sf):
+    total = E.item_scores(*_items(spark, sf)).agg(*(F.sum(c).alias(c) for c in ("matched", "missed", "extra")))
+    return total.withColumns({"precision": E.ratio(F.col("matched"), F.col("matched") + F.col("extra")), "recall": E.ratio(F.col("matched"), F.col("matched") + F.col("missed"))})
+
+
+_SPANS = "g AS (SELECT DISTINCT l_orderkey AS article_id, l_partkey % 5000 AS s, l_partkey % 5000 + 40 + l_linenumber AS e FROM lineitem WHERE l_returnflag = 'N'), p AS (SELECT DISTINCT l_orderkey AS article_id, l_suppkey % 50 * 100 AS s, l_suppkey % 50 * 100 + 60 AS e FROM lineitem)"
+
+
+def _spans(spark, sf):
+    rows = table(spark, sf, "lineitem").withColumn("article_id", F.col("l_orderkey"))
+    at, other = F.col("l_partkey") % 5000, F.col("l_suppkey") % 50 * 100
+    gold = rows.where("l_returnflag = 'N'").select("article_id", at.alias("start"), (at + 40 + F.col("l_linenumber")).alias("end")).distinct()
+    return gold, rows.select("article_id", other.alias("start"), (other + 60).alias("end")).distinct()
+
+
+@query("span_overlap", f"""WITH {_SPANS} SELECT g.article_id, g.s AS gold_start, g.e AS gold_end, p.s AS pred_start, p.e AS pred_end,
+    round((least(g.e, p.e) - greatest(g.s, p.s)) / (greatest(g.e, p.e) - least(g.s, p.s)), 6) AS overlap FROM g JOIN p ON g.article_id = p.article_id AND g.s < p.e AND p.s < g.e""")
+def span_overlap(spark, sf):
+    return E.span_overlap(*_spans(spark, sf))
+
+
+@query("span_metrics")
+def span_metrics(spark, sf):
+    return E.span_metrics(*_spans(spark, sf), threshold=0.1)
+
+
+_WIDE = "w AS (SELECT event_type, count(*) AS n, max(value) AS largest, min(value) AS least FROM events WHERE event_id % 2 = {k} GROUP BY 1), r AS (UNPIVOT w ON n, largest, least INTO NAME metric_name VALUE metric_value)"
+
+
+def _runs(spark, sf):
+    ev = table(spark, sf, "events")
+    wide = lambda k: ev.where(F.col("event_id") % 2 == k).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("largest"), F.min("value").alias("least"))
+    return [E.metric_rows(wide(k), "event_type", ["n", "largest", "least"]) for k in (0, 1)]
+
+
+_LONG = lambda k: " UNION ALL ".join(f"SELECT event_type, '{m}' AS metric_name, CAST({x} AS DOUBLE) AS v FROM events WHERE event_id % 2 = {k} GROUP BY 1" for m, x in (("n", "count(*)"), ("largest", "max(value)"), ("least", "min(value)")))
+
+
+@query("metric_rows", f"SELECT event_type, metric_name, v AS metric_value FROM ({_LONG(0)})")
+def metric_rows(spark, sf):
+    """Even events are the run of which metrics are kept."""
+    return _runs(spark, sf)[0]
+
+
+@query("metric_comparison", f"""WITH x AS ({_LONG(0)}), y AS ({_LONG(1)}), d AS (SELECT event_type, metric_name, x.v AS a, round(y.v - x.v, 6) AS diff FROM x JOIN y USING (event_type, metric_name))
+    SELECT event_type, metric_name, diff, round(diff * 100 / nullif(a, 0), 4) AS percent, CASE WHEN abs(diff) < 0.001 THEN 'unchanged' WHEN diff > 0 THEN 'improvement' ELSE 'degradation' END AS change FROM d""")
+def metric_comparison(spark, sf):
+    """Even and odd events are the two runs that are compared."""
+    return E.metric_comparison(*_runs(spark, sf), "event_type")
+
+
+@query("misclassified", "SELECT doc_id AS article_id, quality, toxic FROM labels WHERE (quality = 1) <> (toxic = 0)")
+def misclassified(spark, sf):
+    return E.misclassified(annotations(spark, sf), F.col("quality") == 1, F.col("toxic") == 0).select("article_id", "quality", "toxic")
+
+
+@query("latest_version", "SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
+def latest_version(spark, sf):
+    return E.newest_version(table(spark, sf, "events").select("user_id", "ts", "event_id"), "user_id", "ts", "event_id")
+
+
+@query("metric_trend", "SELECT user_id, event_id, CAST(props ->> '$.k' AS INTEGER) AS value, lag(CAST(props ->> '$.k' AS INTEGER)) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events")
+def metric_trend(spark, sf):
+    return E.metric_trend(table(spark, sf, "events"), "user_id", "event_id", F.get_json_object("props", "$.k").cast("int"))
