@@ -48,3 +48,11 @@ def label_centroids(vectors: DataFrame) -> DataFrame:
 def section_similarity(title: str, description: str, tags: str, signature: str):
     """The weighted sum of four section similarities (fixed weights)."""
     return 0.042 * F.col(title) + 0.042 * F.col(description) + 0.042 * F.col(tags) + 0.874 * F.col(signature)
+
+
+def best_per_label(vectors: DataFrame, query: list[float], *, threshold: float) -> DataFrame:
+    """The nearest vector of each label, by pre-aggregation, and whether it meets the threshold."""
+    q = F.array(*(F.lit(float(x)) for x in query))
+    scored = vectors.where(F.col("embedding").isNotNull()).select("label", "vec_id", F.round(cosine(F.col("embedding"), q), 6).alias("similarity"))
+    best = scored.groupBy("label").agg(F.max(F.struct("similarity", (-F.col("vec_id")).alias("back"))).alias("m"))
+    return best.select("label", (-F.col("m.back")).alias("vec_id"), F.col("m.similarity").alias("similarity"), (F.col("m.similarity") >= threshold).alias("meets_threshold"))
