@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatloom.functions.text import hunt_score, matcher
+from threatloom.session import written
 from threatloom.views import pct
 
 count_if = F.count_if
@@ -196,9 +197,11 @@ def numbered_export(articles: DataFrame, annotations: DataFrame) -> DataFrame:
     """Annotations in order, with a running number and the article's title. A global order is the export's contract.
 
     The number comes from range-partitioned blocks: each partition counts its rows, and the offsets of the
-    partitions before are added, so no task sorts all rows.
+    partitions before are added, so no task sorts all rows. The blocks are written once, since another run of
+    the range partitioning may draw other bounds.
     """
     parts = annotations.repartitionByRange(F.col("article_id"), F.col("annotation_type")).withColumn("part", F.spark_partition_id())
+    parts = written(parts, "numbered")
     parts = parts.withColumn("rn", F.row_number().over(Window.partitionBy("part").orderBy("article_id", "annotation_type")))
     sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("offset", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "threatloom", **settings: str) -> SparkSession:
@@ -17,3 +19,16 @@ def session(app: str = "threatloom", **settings: str) -> SparkSession:
     for key, value in {**fixed, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where it is unset, as in tests, one under the warehouse."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (where or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from a table in the shared folder: they are computed once, and a lost executor can't change them."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

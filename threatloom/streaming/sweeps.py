@@ -14,13 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-HEALTH = "source_id long, checks long, failures long, average double"
-
+from threatloom.session import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, as in tests, one under the warehouse."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (where or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
+HEALTH = "source_id long, checks long, failures long, average double"
 
 
 def bucket_counts(checks: DataFrame, *, width: str = "1 hour", late: str = "1 day") -> DataFrame:
