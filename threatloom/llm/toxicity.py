@@ -31,13 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threatloom.llm.common import BATCH_ROWS, map_batches
+from threatloom.llm.common import map_batches
 
-TRAIN_ROWS = 3_000
+TRAIN_ROWS = 2_400
 SAMPLE_BYTES = 64 << 20
 #: Chi-square at which a term gets half of its weight.
 RELEVANCE = 30.0
-PREFIXES = (4, 6)
+PREFIXES = (4,)
 NEIGHBOURS = 15
 BLOCK = 32
 #: A term is frequent if one in so many examples holds it.
@@ -46,6 +46,8 @@ FREQUENT = 16
 REVIEWS = (0, 40)
 PRIOR_WEIGHT = 0.05
 THRESHOLD = 0.3
+#: Examples whose neighbours the driver looks for at once.
+FIT_ROWS = 50
 #: Words remembered by a worker.
 CACHE_WORDS = 300_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -133,7 +135,7 @@ class BlockMaxIndex:
         place[order] = np.arange(len(order))
         docs = place[vectors.text]
         by_term = np.lexsort((docs, vectors.term))
-        terms, self.docs, self.weights = vectors.term[by_term], docs[by_term], vectors.n[by_term]
+        terms, self.docs, self.weights = vectors.term[by_term], docs[by_term].astype(np.int32), vectors.n[by_term]
         self.starts = np.searchsorted(terms, np.arange(n_terms + 1))
         often = np.flatnonzero(np.diff(self.starts) * FREQUENT > len(order))
         self.frequent = np.full(n_terms, -1, dtype=np.int64)  # a frequent term's row in the blocks
@@ -186,10 +188,10 @@ class Scorer:
             self.index = BlockMaxIndex([ids[i] for i in full], [labels[i] for i in full], vectors, len(terms))
             where = {int(i): p for p, i in enumerate(self.index.ids)}
             votes = []
-            for at in range(0, len(full), BATCH_ROWS):
-                some = (vectors.text >= at) & (vectors.text < at + BATCH_ROWS)
-                part = Terms(min(BATCH_ROWS, len(full) - at), vectors.text[some] - at, vectors.term[some], vectors.n[some])
-                skip = np.array([where[ids[i]] for i in full[at : at + BATCH_ROWS]])
+            for at in range(0, len(full), FIT_ROWS):
+                some = slice(*np.searchsorted(vectors.text, [at, at + FIT_ROWS]))
+                part = Terms(min(FIT_ROWS, len(full) - at), vectors.text[some] - at, vectors.term[some], vectors.n[some])
+                skip = np.array([where[ids[i]] for i in full[at : at + FIT_ROWS]])
                 votes += [self.vote(*x) for x in self.index.nearest(part, NEIGHBOURS, skip)]
             self.curve = logistic(logit(np.array(votes)), np.array([labels[i] for i in full], dtype=float))
 
