@@ -146,7 +146,7 @@ def conversation_metrics(spark, sf):
     return reports.conversation_metrics(table(spark, sf, "conversations"))
 
 
-@query("numbered_export", f"""WITH {_ARTICLES}, a AS (SELECT doc_id AS article_id, CASE WHEN quality = 1 THEN 'huntable' ELSE 'not_huntable' END AS annotation_type FROM labels)
+@query("numbered_export", f"""WITH {_ARTICLES}, a AS (SELECT doc_id AS article_id, CASE WHEN quality = 1 THEN 'relevant' ELSE 'not_relevant' END AS annotation_type FROM labels)
     SELECT row_number() OVER (ORDER BY article_id, annotation_type) AS record_number, article_id, annotation_type, title FROM a LEFT JOIN articles USING (article_id)""")
 def numbered_export(spark, sf):
     return reports.numbered_export(articles(spark, sf), annotations(spark, sf))

@@ -51,7 +51,7 @@ def embedding_coverage(spark, sf):
     return S.coverage(articles(spark, sf), table(spark, sf, "embeddings"))
 
 
-@query("annotation_stats", "WITH a AS (SELECT CASE WHEN quality = 1 THEN 'huntable' ELSE 'not_huntable' END AS annotation_type, toxic FROM labels) SELECT annotation_type, count(*) AS n, count(*) FILTER (WHERE toxic = 1) AS toxic, round(count(*) * 100.0 / (SELECT count(*) FROM a), 2) AS percent FROM a GROUP BY 1")
+@query("annotation_stats", "WITH a AS (SELECT CASE WHEN quality = 1 THEN 'relevant' ELSE 'not_relevant' END AS annotation_type, toxic FROM labels) SELECT annotation_type, count(*) AS n, count(*) FILTER (WHERE toxic = 1) AS toxic, round(count(*) * 100.0 / (SELECT count(*) FROM a), 2) AS percent FROM a GROUP BY 1")
 def annotation_stats(spark, sf):
     return S.annotation_stats(annotations(spark, sf))
 

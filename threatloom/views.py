@@ -24,10 +24,10 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """labels as annotations: quality 1 is huntable, 0 is not."""
+    """labels as annotations: quality 1 is relevant, 0 is not."""
     return table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("article_id"),
-        F.when(F.col("quality") == 1, "huntable").otherwise("not_huntable").alias("annotation_type"),
+        F.when(F.col("quality") == 1, "relevant").otherwise("not_relevant").alias("annotation_type"),
         "quality",
         "toxic",
     )
