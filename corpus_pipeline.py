@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's docs. All stages but the last return the columns of documents.
+
+Defined cases of every stage: a null text is an empty one; rows with a null doc_id are documents like others; further columns
+pass through unchanged (names that begin with two underscores are the stages' own); an empty table gives an empty one. Repeated rows and different texts under one
+doc_id are told apart by doc_id and text: drop_copies keeps one row of each text, drop_near_copies decides by text.
 """
 
 from __future__ import annotations
@@ -20,24 +24,27 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject. It is fitted on this stage's documents and the labels."""
+    """Documents that the classifier doesn't reject. It is fitted on this stage's documents and the labels.
+
+    Empty texts get the calibrated prior; without labels all documents stay; repeated rows share one fate.
+    """
     scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, scorer)
 
 
 def repeated_ids(docs: DataFrame) -> DataFrame:
-    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
+    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1").select("doc_id")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each text (A-Z lower-cased): of equal texts the row with the largest doc_id, of its repeated rows the least."""
-    groups = exact_dedup.exact_groups(docs).where("kept").select("doc_id", F.col("group_size").alias("_n"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_sha", exact_dedup.text_digest(F.col("text")))
-    on = keyed["doc_id"].eqNullSafe(groups["doc_id"]) & (keyed["_sha"] == groups["_sha"])
-    kept = keyed.join(groups.dropDuplicates(["doc_id", "_sha"]), on, "left_semi")
+    groups = exact_dedup.exact_groups(docs).where("kept").select("doc_id", F.col("group_size").alias("__rows"), F.col("text_sha256").alias("__text_digest"))
+    keyed = docs.withColumn("__text_digest", exact_dedup.text_digest(F.col("text")))
+    on = keyed["doc_id"].eqNullSafe(groups["doc_id"]) & (keyed["__text_digest"] == groups["__text_digest"])
+    kept = keyed.join(groups.dropDuplicates(["doc_id", "__text_digest"]), on, "left_semi")
     if repeated_ids(docs).isEmpty():
         return kept.select(*docs.columns)
-    return kept.groupBy("doc_id", "_sha").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return kept.groupBy("doc_id", "__text_digest").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,17 +60,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies_by_text(docs: DataFrame, again: DataFrame) -> DataFrame:
-    keyed = docs.withColumn("_sha", exact_dedup.text_digest(F.col("text")))
+    keyed = docs.withColumn("__text_digest", exact_dedup.text_digest(F.col("text")))
     largest = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
-    texts = keyed.join(again, "doc_id", "left_semi").select("doc_id", "_sha").distinct()
-    ids = reliable(texts.withColumn("_id", F.lit(largest + 1) + F.monotonically_increasing_id()))
-    keyed = written(keyed.join(ids, ["doc_id", "_sha"], "left").withColumn("_id", F.coalesce("_id", F.col("doc_id").cast("long"))), "texts")
-    groups = minhash_dedup.near_groups(keyed.select(F.col("_id").alias("doc_id"), "text"), words=5, percent=80)
-    return keyed.join(groups.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "_id", "left_anti").select(*docs.columns)
+    texts = keyed.join(again, "doc_id", "left_semi").select("doc_id", "__text_digest").distinct()
+    ids = reliable(texts.withColumn("__text_id", F.lit(largest + 1) + F.monotonically_increasing_id()))
+    keyed = written(keyed.join(ids, ["doc_id", "__text_digest"], "left").withColumn("__text_id", F.coalesce("__text_id", F.col("doc_id").cast("long"))), "texts")
+    groups = minhash_dedup.near_groups(keyed.select(F.col("__text_id").alias("doc_id"), "text"), words=5, percent=80)
+    return keyed.join(groups.where(~F.col("kept")).select(F.col("doc_id").alias("__text_id")).distinct(), "__text_id", "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with the secrets in its text replaced by a mask."""
+    """Every document, with the secrets in its text replaced by a mask; a null text stays null, n_chars follows the text."""
     masked = secret_scan.redact(docs)
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -71,6 +78,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows of 2048 tokens; an empty text is its end id alone, repeated rows are packed each."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

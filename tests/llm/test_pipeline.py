@@ -41,3 +41,16 @@ def test_stages_keep_one_row_of_repeated_ones_and_decide_by_text(spark, tmp_path
     left = [(r.doc_id, r.text.lower()) for r in apart.collect()]
     assert len(left) == len(set(left)) == 6 and (3, text(3)) in left
     assert len({(2, text(2)), (3, text(2) + " more")} & set(left)) == 1
+
+
+def test_stages_pass_clashing_columns_and_empty_tables(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, text(1), "a", 11, 21), (1, text(1), "b", 12, 22), (2, text(1).upper(), "c", 13, 23), (3, text(3), "d", 14, 24), (3, text(4), "e", 15, 25), (None, None, "f", 16, 26)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _sha string, _id long, _n long")
+    once = corpus_pipeline.drop_copies(spark, docs, "")
+    assert sorted((r._sha, r._id, r._n) for r in once.collect()) == [("c", 13, 23), ("d", 14, 24), ("e", 15, 25), ("f", 16, 26)]
+    apart = corpus_pipeline.drop_near_copies(spark, once, "")
+    assert sorted((r._sha, r._id, r._n) for r in apart.collect()) == [("c", 13, 23), ("d", 14, 24), ("e", 15, 25), ("f", 16, 26)]
+    assert corpus_pipeline.mask_secrets(spark, docs, "").columns == docs.columns
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.mask_secrets, corpus_pipeline.pack_windows):
+        assert stage(spark, docs.where("false"), "").count() == 0
