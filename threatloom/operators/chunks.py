@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threatloom.functions.text import KEYWORDS, matcher
+from threatloom.functions.text import KEYWORDS, hits, matcher
+from threatloom.operators.labels import keyword_verdict
 
 
 def fixed_chunks(articles: DataFrame, *, size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -86,3 +87,20 @@ def quality_gate(articles: DataFrame, *, min_chars: int = 100, min_words: int =
         .otherwise("ok")
     )
     return articles.select("article_id", reason.alias("reason"))
+
+
+def filtered_chunks(cut: DataFrame, *, threshold: float, registry: dict[str, list[str]] = KEYWORDS) -> DataFrame:
+    """Of each article, the chunks with a keyword of the perfect tier or a positive verdict of at least threshold, joined in their order.
+
+    An article without such a chunk stays, with an empty text. The texts of an article meet in one row, as they did before the cut.
+    """
+    positive, sure = keyword_verdict(F.col("chunk_text"), registry)
+    perfect = reduce(lambda a, b: a | b, hits(F.col("chunk_text"), registry["perfect"], registry), F.lit(False))
+    judged = cut.select("article_id", "chunk", F.when(perfect | (positive & (sure >= threshold)), F.col("chunk_text")).alias("text"))
+    grouped = judged.groupBy("article_id").agg(
+        F.count(F.lit(1)).alias("chunks"),
+        F.count("text").alias("kept"),
+        F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("kept_chars"),
+        F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("chunk", "text")))).alias("parts"),
+    )
+    return grouped.withColumn("kept_text", F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n")).drop("parts")
