@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threatloom.llm.common import reliable
+from threatloom.llm.common import hot_join, hot_keys, reliable
 
 
 def components(links: DataFrame) -> DataFrame:
     """node and component (the smallest node reachable) of every node in links (a long, b long).
 
     Each round takes the least label among a node's neighbours, pre-aggregated in every task, then
-    the label of that label, so chains shrink by halves. Rounds are checkpointed in the shared folder.
+    the label of that label, so chains shrink by halves. Rounds are checkpointed in the shared folder. Rows of a node
+    with many links, or of a label that many nodes have, aren't gathered in one task.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct()
     both = reliable(both)
+    central = hot_keys(both, "b", both.count())
     labels = reliable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "near").alias("near"))
+        seen = hot_join(both, labels.select(F.col("node").alias("b"), "label"), "b", central).groupBy("a").agg(F.min("label").alias("near"))
+        lower = reliable(labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "near").alias("near")))
         jump = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
-        moved = lower.join(jump, "near", "left").select("node", F.col("label").alias("before"), F.least("near", F.coalesce("far", "near")).alias("label"))
+        moved = hot_join(lower, jump, "near", hot_keys(lower, "near", lower.count()), how="left").select("node", F.col("label").alias("before"), F.least("near", F.coalesce("far", "near")).alias("label"))
         moved = reliable(moved)
         labels = moved.select("node", "label")
         if moved.where(F.col("before") != F.col("label")).isEmpty():

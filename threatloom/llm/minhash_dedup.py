@@ -15,6 +15,7 @@
    list is short; where it is long, in blocks of bounded size, once for all long lists with the same largest component.
    There a pair is dropped if even the values that each shares with any member of a long list are too few for t (exact), or by the
    estimate, or if the block has already connected its components; the rest are verified on full sets on the spot. Pairs within a component are already connected, so no connection between texts is lost.
+   Joins by a value, a leader, a component or a digest that holds more than one in HEAVY_SHARE of the rows send the few hot keys to the rows.
 5. Components of the further links, over those found before, are found by minimum labels; a text has the component of its class.
 
 Words are what stands between the six ASCII white-space characters after A-Z is lower-cased. A text
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threatloom.llm.bpe import lists
-from threatloom.llm.common import lower_ascii_py, map_batches, reliable
+from threatloom.llm.common import HEAVY_SHARE, heavy_join, hot_join, hot_keys, lower_ascii_py, map_batches, reliable
 from threatloom.llm.components import components
 
 SKETCH = 64
@@ -143,7 +144,11 @@ def may_link(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, percent: int) ->
 
 
 def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b): those that pass the estimate and, on full sets, the threshold."""
+    """Of pairs (a, b): those that pass the estimate and, on full sets, the threshold.
+
+    A leader stands in very many pairs: its sketch goes to them, and so does its full set if the leaders' sets together are small.
+    """
+    pairs = reliable(pairs)
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,9 +169,14 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
 
     left = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
     right = classes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-    likely = map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb"), estimate, "a long, b long")
+    n = pairs.count()
+    sketched = hot_join(hot_join(pairs, left, "a", hot_keys(pairs, "a", n)), right, "b", hot_keys(pairs, "b", n))
+    likely = reliable(map_batches(sketched.select("a", "b", "na", "nb", "sa", "sb"), estimate, "a long, b long"))
+    n = likely.count()
     full_a, full_b = (sets.select(F.col("rep").alias(x), F.col("full").alias("f" + x)) for x in "ab")
-    return map_batches(likely.join(full_a, "a").join(full_b, "b").select("a", "b", "fa", "fb"), exact, "a long, b long")
+    with_a = hot_join(likely, full_a, "a", hot_keys(likely, "a", n), size=F.length("fa"))
+    both = hot_join(with_a, full_b, "b", hot_keys(likely, "b", n), size=F.length("fb"))
+    return map_batches(both.select("a", "b", "fa", "fb"), exact, "a long, b long")
 
 
 def long_list_links(rest: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -182,8 +192,10 @@ def long_list_links(rest: DataFrame, members: DataFrame, percent: int) -> DataFr
     counts = dealt(rest, "rb").join(dealt(members, "mb"), "core")
     of = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rest.join(counts, "core").withColumn("rb", of("rbs")).withColumn("mb", every("mbs")).drop("rbs", "mbs")
-    right = members.join(counts, "core").withColumn("mb", of("mbs")).withColumn("rb", every("rbs")).drop("rbs", "mbs")
+    counts = reliable(counts)
+    crowded = hot_keys(members, "core", members.count())
+    left = hot_join(rest, counts, "core", crowded).withColumn("rb", of("rbs")).withColumn("mb", every("mbs")).drop("rbs", "mbs")
+    right = hot_join(members, counts, "core", crowded).withColumn("mb", of("mbs")).withColumn("rb", every("rbs")).drop("rbs", "mbs")
     right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of its own, apart from the left side's
 
     def compare(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
@@ -231,20 +243,26 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFr
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     rows = reliable(signatures(docs, words))
     filled = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = filled.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    classes = filled.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("n"))
     classes = reliable(classes)
 
     values = classes.select("rep", "n_shingles", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
-    found = values.join(shared, "v").groupBy("rep", "n_shingles", "m").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    shared = reliable(shared)
+    n_values = classes.agg(F.sum(F.size("sketch"))).first()[0] or 0
+    common = [r.v for r in shared.where(F.col("df") * HEAVY_SHARE > n_values).collect()]
+    found = hot_join(values, shared, "v", common).groupBy("rep", "n_shingles", "m").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     prefix = F.element_at(F.array(*(F.lit(prefix_length(m, percent)) for m in range(1, SKETCH + 1))), F.col("m"))
     take = prefix - (F.col("m") - F.size("vs"))  # values of one class only come first and make no list
     alone = (F.col("m") - F.size("vs")) / F.col("m")
     listed = found.where(take > 0).select("rep", "n_shingles", alone.alias("alone"), F.explode(F.slice("vs", F.lit(1), take)).alias("e")).select("rep", "n_shingles", "alone", F.col("e.v").alias("v"))
     lead = [F.min_by("rep", F.struct("alone", F.xxhash64("rep", F.lit(k)))).alias(f"lead{k}") for k in range(LEADERS)]
-    sizes = listed.groupBy("v").agg(F.count(F.lit(1)).alias("len"), *lead).where(F.col("len") > 1)
+    listed = reliable(listed)
+    sizes = reliable(listed.groupBy("v").agg(F.count(F.lit(1)).alias("len"), *lead).where(F.col("len") > 1))
+    n_listed = listed.count()
+    longest = [r.v for r in sizes.where(F.col("len") * HEAVY_SHARE > n_listed).collect()]
     leads = F.when(F.col("len") > SHORT_LIST, F.array(*(f"lead{k}" for k in range(LEADERS)))).otherwise(F.array("lead0"))
-    listed = reliable(listed.join(sizes, "v").select("v", "rep", "n_shingles", "len", leads.alias("leads")))
+    listed = reliable(hot_join(listed, sizes, "v", longest).select("v", "rep", "n_shingles", "len", leads.alias("leads")))
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     stars = listed.select("rep", F.explode("leads").alias("lead")).where(F.col("rep") != F.col("lead")).select(*ordered("rep", "lead")).distinct()
@@ -261,7 +279,7 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFr
     placed = reliable(placed)
     kinds = placed.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("v")
     kinds = kinds.agg(F.max_by("comp", F.struct("n", "comp")).alias("core"), F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
-    apart = reliable(placed.join(kinds.select("v", "core"), "v"))
+    apart = reliable(hot_join(placed, reliable(kinds.select("v", "core")), "v", longest))
     rest = apart.where(F.col("comp") != F.col("core"))
     other = apart.where(F.col("len") <= SHORT_LIST).select("v", F.col("rep").alias("other"), F.col("comp").alias("comp2"))
     short = rest.where(F.col("len") <= SHORT_LIST).join(other, "v").where(F.col("comp") != F.col("comp2"))
@@ -276,12 +294,15 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFr
         members = reliable(long.join(held.where(100 * F.col("shared") >= percent * F.length("full") / 8), "rep"))
         further = further.unionByName(long_list_links(members.where(F.col("comp") != F.col("core")), members, percent))
     of = lambda side: near.select(F.col("node").alias(side), F.col("component").alias("c" + side))
-    further = further.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    further = reliable(further)
+    n = further.count()
+    further = hot_join(hot_join(further, of("a"), "a", hot_keys(further, "a", n), how="left"), of("b"), "b", hot_keys(further, "b", n), how="left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     joined = components(further)
 
-    labels = classes.select("digest", "n_shingles", "rep").join(near.withColumnRenamed("node", "rep"), "rep", "left")
-    labels = labels.select("digest", "n_shingles", F.coalesce("component", "rep").alias("node"))
-    labels = labels.join(joined, "node", "left").select("digest", "n_shingles", F.coalesce("component", "node").alias("_label"))
-    out = filled.join(labels, ["digest", "n_shingles"]).select("doc_id", "n_shingles", F.col("_label").alias("component_id"))
+    labels = classes.select("digest", "n_shingles", "n", "rep").join(near.withColumnRenamed("node", "rep"), "rep", "left")
+    labels = labels.select("digest", "n_shingles", "n", F.coalesce("component", "rep").alias("node"))
+    labels = hot_join(labels, joined, "node", hot_keys(near, "component", near.count()), how="left").select("digest", "n_shingles", "n", F.coalesce("component", "node").alias("_label"))
+    out = heavy_join(filled.select("doc_id", "n_shingles", "digest"), reliable(labels), ["digest", "n_shingles"], filled.count())
+    out = out.select("doc_id", "n_shingles", F.col("_label").alias("component_id"))
     unlinked = rows.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(unlinked).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
