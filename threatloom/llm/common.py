@@ -77,22 +77,3 @@ def heavy_join(rows: DataFrame, keys: DataFrame, on: list[str], total: int, coun
         return rows.join(keys.drop(count), on)
     light = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(keys.where(~is_heavy).drop(count), on)
     return rows.join(F.broadcast(heavy), on).unionByName(light)
-
-
-def hot_keys(rows: DataFrame, on: str, total: int) -> list[int]:
-    """The keys that hold more than one in HEAVY_SHARE of the total rows, so there are fewer than HEAVY_SHARE of them."""
-    counts = rows.groupBy(on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * HEAVY_SHARE > total)
-    return [r[0] for r in counts.select(on).collect()]
-
-
-def hot_join(rows: DataFrame, keyed: DataFrame, on: str, hot: list[int], *, how: str = "inner", size: Column | None = None, most: int = 64 << 20) -> DataFrame:
-    """rows joined to keyed (one row for each key; keys aren't null): rows of hot keys stay where they are, all others are shuffled.
-
-    hot comes from hot_keys, so few rows of keyed are broadcast. Where these may be wide, size measures them: beyond most bytes in all
-    everything is shuffled, and adaptive execution splits what is skewed.
-    """
-    is_hot = F.col(on).isin(hot)
-    held = keyed.where(is_hot)
-    if not hot or (size is not None and (held.agg(F.sum(size)).first()[0] or 0) > most):
-        return rows.join(keyed, on, how)
-    return rows.where(is_hot).join(F.broadcast(held), on, how).unionByName(rows.where(~is_hot).join(keyed.where(~is_hot), on, how))
