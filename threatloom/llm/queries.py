@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from threatloom.llm import bpe, chat_format, exact_dedup, license_scan, minhash_dedup, packing, secret_scan, suffix_dedup, topk_search, toxicity
+from threatloom.llm import bpe, chat_format, exact_dedup, license_scan, minhash_dedup, packing, ranked_search, secret_scan, suffix_dedup, topk_search, toxicity
 from threatloom.llm.common import table
 
 
@@ -54,8 +54,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_suffix_dedup, op4_exact_dedup, op5_toxicity, op6_secret_scan, op7_chat_format, op8_minhash_dedup, op9_topk_search, op10_packing)}
+    return {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_suffix_dedup, op4_exact_dedup, op5_toxicity, op6_secret_scan, op7_chat_format, op8_minhash_dedup, op9_topk_search, op10_packing, op11_ranked_search)}
 
 
 #: DuckDB SQL by query.
@@ -77,6 +81,27 @@ ORACLES: dict[str, str] = {
             FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
         ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_ranked_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+            FROM documents
+        ), b AS (
+            SELECT CAST(item_id AS BIGINT) AS item_id,
+                   list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+            FROM benchmark
+        ), c AS (SELECT count(*) FILTER (WHERE len(t) > 0) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d),
+        i AS (SELECT item_id, unnest(t) AS term FROM b),
+        w AS (SELECT r, doc_id, CAST(len(t) AS BIGINT) AS n, unnest(t) AS term FROM d),
+        p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM i) GROUP BY r, doc_id, n, term),
+        f AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM p, c GROUP BY term),
+        s AS (
+            SELECT item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_docs) // n_terms))))) AS BIGINT) AS score
+            FROM i JOIN f USING (term) JOIN p USING (term), c GROUP BY item_id, r, doc_id
+        ), o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 10""",
     "op7_chat_format": r"""
         WITH c AS (
             SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
