@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from threatloom.llm import bpe, chat_format, exact_dedup, license_scan, minhash_dedup, packing, ranked_search, secret_scan, suffix_dedup, topk_search, toxicity
+from threatloom.llm import bpe, chat_format, exact_dedup, license_scan, minhash_dedup, packing, ranked_search, secret_scan, suffix_dedup, token_output, topk_search, toxicity, whitening
 from threatloom.llm.common import table
 
 
@@ -58,8 +58,16 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_suffix_dedup, op4_exact_dedup, op5_toxicity, op6_secret_scan, op7_chat_format, op8_minhash_dedup, op9_topk_search, op10_packing, op11_ranked_search)}
+    return {f.__name__: f for f in (op1_bpe, op2_license_scan, op3_suffix_dedup, op4_exact_dedup, op5_toxicity, op6_secret_scan, op7_chat_format, op8_minhash_dedup, op9_topk_search, op10_packing, op11_ranked_search, op12_whitening, op13_token_output)}
 
 
 #: DuckDB SQL by query.
