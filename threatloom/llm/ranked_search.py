@@ -38,13 +38,13 @@ from threatloom.llm.common import lower_ascii_py, map_batches, reliable, written
 #: Terms in the UTF-8 bytes of a text whose A-Z are lower-cased.
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Postings of a shard, and terms of a block of items.
-SHARD_POSTINGS, ITEM_TERMS = 4_000_000, 1 << 16
+SHARD_POSTINGS, ITEM_TERMS = 1_000_000, 1 << 16
 #: Up to so many distinct terms of items are sent to the tasks, which then keep only these; beyond, all terms are kept.
 SENT_TERMS = 200_000
 #: A range with no more postings than this is scored outright.
 LEAF = 4096
 #: Cells (ranges times terms) that are expanded at once, and cells of the items that are searched together.
-STEP_CELLS, SLICE_CELLS = 1 << 18, 1 << 12
+STEP_CELLS, SLICE_CELLS = 1 << 17, 1 << 12
 FORWARD = "row long, doc_id long, n long, terms array<binary>, counts array<long>"
 FOUND = "item long, item_id long, doc_id long, score long"
 
@@ -97,22 +97,27 @@ class InvertedTreaps:
 
     def built(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         # Equal impacts are ordered by a number drawn for the posting, so that ties don't become chains.
-        drawn = np.random.default_rng(0).integers(0, 1 << 20, len(self.impacts))
-        weight = (self.impacts << 20 | drawn).tolist()
-        left, right = [-1] * len(weight), [-1] * len(weight)
+        weight = self.impacts << 20 | np.random.default_rng(0).integers(0, 1 << 20, len(self.impacts))
+        left, right = np.full(len(weight), -1, dtype=np.int32), np.full(len(weight), -1, dtype=np.int32)
         roots, bounds = [], self.starts.tolist()
         for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
+            below, after = [-1] * (end - begin), [-1] * (end - begin)
             spine: list[int] = []  # from the root along right children
-            for i in range(begin, end):
-                w, below = weight[i], -1
-                while spine and weight[spine[-1]] < w:
-                    below = spine.pop()
-                left[i] = below
+            of = weight[begin:end].tolist()
+            for i, w in enumerate(of):
+                top = -1
+                while spine and of[spine[-1]] < w:
+                    top = spine.pop()
+                below[i] = top
                 if spine:
-                    right[spine[-1]] = i
+                    after[spine[-1]] = i
                 spine.append(i)
-            roots.append(spine[0] if spine else -1)
-        return np.array(left, dtype=np.int32), np.array(right, dtype=np.int32), np.array(roots, dtype=np.int32)
+            if spine:
+                for out, of_term in ((left, below), (right, after)):
+                    child = np.array(of_term, dtype=np.int32)
+                    out[begin:end] = np.where(child >= 0, child + begin, -1)
+            roots.append(begin + spine[0] if spine else -1)
+        return left, right, np.array(roots, dtype=np.int32)
 
     def descend(self, node: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The highest node below each node whose posting lies in [begin, end); -1 where that is empty."""
