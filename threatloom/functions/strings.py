@@ -90,27 +90,3 @@ def platform_labels(text: Column, weights: dict[str, dict[str, int]], *, floor:
     ))
     best = F.array_min(F.transform(scored, lambda x: x["w"]))
     return F.transform(F.array_sort(F.filter(scored, lambda x: (x["w"] <= -floor) & (x["w"] * 2 <= best))), lambda x: x["name"])
-
-
-def keyword_spans(text: Column, patterns: dict[str, str]) -> Column:
-    """Every place of each category's pattern that overlaps no place of a category before it: start (from 0), end, category."""
-    parts = F.array().cast("array<struct<start:int,end:int,category:string>>")
-    for category, pattern in patterns.items():
-        # Cutting the text at its matches gives their places: pieces and matches alternate.
-        pieces = F.split(F.coalesce(text, F.lit("")), pattern, -1)
-        found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
-        at = F.aggregate(
-            F.zip_with(pieces, found, lambda p, m: F.struct(p.alias("p"), m.alias("m"))),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,category:string>>").alias("out")),
-            lambda acc, x: F.when(x["m"].isNull(), acc).otherwise(F.struct(
-                (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["p"])).alias("start"), (acc["at"] + F.length(x["p"]) + F.length(x["m"])).alias("end"), F.lit(category).alias("category")))).alias("out"),
-            )),
-        )["out"]
-        parts = F.concat(parts, F.filter(at, free_of(parts)))
-    return F.array_sort(parts)
-
-
-def free_of(taken: Column):
-    """Whether a span overlaps none of the taken ones."""
-    return lambda n: ~F.exists(taken, lambda o: (o["start"] < n["end"]) & (n["start"] < o["end"]))

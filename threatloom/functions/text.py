@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,13 +10,13 @@ from pyspark.sql import functions as F
 
 # The weights of the keyword score by tier.
 TIER_WEIGHTS = {"perfect": 75.0, "good": 5.0, "lolbas": 10.0, "intelligence": 10.0, "negative": -15.0}
-#: A small registry for reports over the synthetic documents, matched as plain text as in the reports' SQL; real ones are passed in.
+#: A small registry for reports over the synthetic documents; real ones are read from a file or passed in.
 KEYWORDS = {
-    "perfect": ["token =", "general public license"],
-    "good": ["licensed under", "version"],
-    "lolbas": ["released under", "@mail"],
-    "intelligence": ["apache", "mit license"],
-    "negative": ["idiot", "trash"],
+    "perfect": ["token", "general public license"],
+    "good": ["licensed under", "version", "|"],
+    "lolbas": ["released under", ".com"],
+    "intelligence": ["apache", "mit license", "cc by-nc"],
+    "negative": ["idiot", "trash", "stupid"],
 }
 
 
@@ -42,12 +41,6 @@ def content_hash(c: Column) -> Column:
     return F.sha2(F.coalesce(c, F.lit("")).cast("binary"), 256)
 
 
-def matches(text: Column, words: list[str]) -> Column:
-    """The words that stand in the lower-cased text, in their order."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*(F.when(F.contains(lowered, F.lit(w)), F.lit(w)) for w in words)))
-
-
 # Keywords that match inside words, before any ending, or as symbols, and keywords that are patterns themselves.
 PARTIAL = ("hunting", "detection", "monitor", "alert", "executable", "parent-child", "defender query")
 PREFIXES = ("spawn",)
@@ -74,9 +67,12 @@ OBFUSCATION = (
 
 def keyword_pattern(word: str) -> str:
     """The pattern by which a keyword of a registry is looked for, without regard to case."""
+    return word if word in OBFUSCATION else word_pattern(word)
+
+
+def word_pattern(word: str) -> str:
+    """The pattern of a keyword that is no pattern itself."""
     plain = re.escape(word)
-    if word in OBFUSCATION:
-        return word
     if word.lower() in PARTIAL or word in SYMBOLS:
         return plain
     if word.lower() in PREFIXES:
@@ -93,15 +89,21 @@ def keyword_pattern(word: str) -> str:
     return rf"\b{plain}\b"
 
 
-def rule_matches(text: Column, words: list[str]) -> Column:
-    """The words whose pattern stands in the text, in their order."""
+def literal(word: str) -> str:
+    """What stands in the lower-cased text wherever the pattern of a keyword (that is no pattern itself) matches."""
+    return word[:-4].lower() if word.endswith((".exe", ".dll")) and len(word) > 4 else word.lower()
+
+
+def hits(text: Column, words: list[str]) -> list[Column]:
+    """Whether each keyword stands in the text by its pattern; the pattern is only tried where its literal stands."""
     whole = F.coalesce(text, F.lit(""))
-    return F.array_compact(F.array(*(F.when(F.rlike(whole, F.lit("(?iuU)" + keyword_pattern(w))), F.lit(w)) for w in words)))
+    by_pattern = lambda w: F.rlike(whole, F.lit("(?iuU)" + keyword_pattern(w)))
+    return [by_pattern(w) if w in OBFUSCATION else F.contains(F.lower(whole), F.lit(literal(w))) & by_pattern(w) for w in words]
 
 
-def matcher(registry: dict[str, list[str]]) -> Callable[[Column, list[str]], Column]:
-    """How keywords of a registry are looked for: by their patterns, those of the report registry as plain text."""
-    return matches if registry is KEYWORDS else rule_matches
+def matches(text: Column, words: list[str]) -> Column:
+    """The keywords that stand in the text, in their order."""
+    return F.array_compact(F.array(*(F.when(h, F.lit(w)) for h, w in zip(hits(text, words), words, strict=True))))
 
 
 def keyword_score(counts: dict[str, Column]) -> Column:
@@ -111,18 +113,9 @@ def keyword_score(counts: dict[str, Column]) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(99.9), total)), 1)
 
 
-def hits(text: Column, words: list[str], registry: dict[str, list[str]]) -> list[Column]:
-    """Whether each word stands in the text, by the rules of the registry."""
-    if registry is KEYWORDS:
-        lowered = F.lower(F.coalesce(text, F.lit("")))
-        return [F.contains(lowered, F.lit(w)) for w in words]
-    whole = F.coalesce(text, F.lit(""))
-    return [F.rlike(whole, F.lit("(?iuU)" + keyword_pattern(w))) for w in words]
-
-
 def hunt_score(text: Column, registry: dict[str, list[str]] = KEYWORDS) -> Column:
     """The keyword score; hits are added up without an array of the words."""
-    return keyword_score({tier: reduce(lambda a, b: a + b, (h.cast("int") for h in hits(text, words, registry)), F.lit(0)) for tier, words in registry.items()})
+    return keyword_score({tier: reduce(lambda a, b: a + b, (h.cast("int") for h in hits(text, words)), F.lit(0)) for tier, words in registry.items()})
 
 
 def hamming(a: Column, b: Column) -> Column:

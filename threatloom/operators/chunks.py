@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threatloom.functions.text import KEYWORDS, hits, matcher
+from threatloom.functions.text import KEYWORDS, hits
 from threatloom.operators.labels import keyword_verdict
 
 
@@ -55,7 +55,7 @@ def features(text: Column, registry: dict[str, list[str]] = KEYWORDS) -> list[Co
         count(r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b").alias("addresses"),
         count(r"\b[0-9a-f]{32,64}\b").alias("hashes"),
         count(r"https?://").alias("links"),
-        *(F.size(matcher(registry)(text, ws)).alias(f"{tier}_matches") for tier, ws in registry.items()),
+        *(reduce(lambda a, b: a + b, (h.cast("int") for h in hits(text, ws)), F.lit(0)).alias(f"{tier}_matches") for tier, ws in registry.items()),
     ]
 
 
@@ -95,7 +95,7 @@ def filtered_chunks(cut: DataFrame, *, threshold: float, registry: dict[str, lis
     An article without such a chunk stays, with an empty text. The texts of an article meet in one row, as they did before the cut.
     """
     positive, sure = keyword_verdict(F.col("chunk_text"), registry)
-    perfect = reduce(lambda a, b: a | b, hits(F.col("chunk_text"), registry["perfect"], registry), F.lit(False))
+    perfect = reduce(lambda a, b: a | b, hits(F.col("chunk_text"), registry["perfect"]), F.lit(False))
     judged = cut.select("article_id", "chunk", F.when(perfect | (positive & (sure >= threshold)), F.col("chunk_text")).alias("text"))
     grouped = judged.groupBy("article_id").agg(
         F.count(F.lit(1)).alias("chunks"),

@@ -39,12 +39,14 @@ def keyword_verdict(text: Column, registry: dict[str, list[str]] = KEYWORDS) ->
     """Whether a text has more positive than negative keywords, and how sure that is.
 
     The confidence is the keyword score over 100; without a score it is the larger share of the two kinds, 0 without any keyword.
+    A positive text is at least 0.1 sure (fixed value).
     """
-    count = {tier: total([h.cast("int") for h in hits(text, words, registry)]) for tier, words in registry.items()}
+    count = {tier: total([h.cast("int") for h in hits(text, words)]) for tier, words in registry.items()}
     positive, negative = total([n for tier, n in count.items() if tier != "negative"]), count.get("negative", F.lit(0))
     score = hunt_score(text, registry)
     share = F.coalesce(F.try_divide(F.greatest(positive, negative).cast("double"), positive + negative), F.lit(0.0))
-    return positive > negative, F.when(score > 0, F.least(F.lit(1.0), score / 100)).otherwise(share)
+    sure = F.when(score > 0, F.least(F.lit(1.0), score / 100)).otherwise(share)
+    return positive > negative, F.when((positive > negative) & (sure == 0), 0.1).otherwise(sure)
 
 
 def quality_score(title: Column, content: Column, authors: Column, tags: Column) -> Column:

@@ -10,6 +10,8 @@ from threatloom.plans.registry import ARTICLES as _ARTICLES
 from threatloom.plans.registry import CHECKS as _CHECKS
 from threatloom.plans.registry import EXECUTIONS as _EXECUTIONS
 from threatloom.plans.registry import ORACLES, QUERIES, query  # noqa: F401
+from threatloom.plans.registry import count_sql as _count_sql
+from threatloom.plans.registry import keyword_sql as _keyword_sql
 from threatloom.plans.registry import score_sql as _score_sql
 from threatloom.views import annotations, articles, checks, executions, table
 
@@ -87,7 +89,7 @@ def quality_distribution(spark, sf):
     return reports.quality_distribution(articles(spark, sf))
 
 
-_PAIRS = " UNION ALL ".join(f"SELECT hs, '{tier}' AS category, '{w}' AS keyword FROM s WHERE contains(lower(content), '{w}')" for tier, ws in T.KEYWORDS.items() for w in ws)
+_PAIRS = " UNION ALL ".join(f"SELECT hs, '{tier}' AS category, '{w}' AS keyword FROM s WHERE {_keyword_sql(w)}" for tier, ws in T.KEYWORDS.items() for w in ws)
 
 
 @query("keyword_category_stats", f"""WITH {_ARTICLES}, s AS (SELECT content, {_score_sql()} AS hs FROM articles), p AS ({_PAIRS})
@@ -269,7 +271,7 @@ def chunks_sentence(spark, sf):
     round(length(regexp_replace(content, '[^A-Za-z0-9]', '', 'g')) / w, 4) AS chars_per_word,
     CAST(len(regexp_extract_all(content, '\\b[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}\\b')) AS INTEGER) AS addresses,
     CAST(len(regexp_extract_all(content, '\\b[0-9a-f]{{32,64}}\\b')) AS INTEGER) AS hashes, CAST(len(regexp_extract_all(content, 'https?://')) AS INTEGER) AS links,
-    {", ".join("CAST(" + " + ".join(f"CAST(contains(lower(content), '{x}') AS INTEGER)" for x in ws) + f" AS INTEGER) AS {tier}_matches" for tier, ws in T.KEYWORDS.items())} FROM w""")
+    {", ".join(f"CAST({_count_sql(ws)} AS INTEGER) AS {tier}_matches" for tier, ws in T.KEYWORDS.items())} FROM w""")
 def chunk_features(spark, sf):
     return chunks.chunk_features(articles(spark, sf))
 
@@ -332,4 +334,4 @@ def html_title(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
 
 
-from threatloom.plans import evaluation, labels, listings, pages, retrieval, rules, streams, strings, summaries  # noqa: E402, F401  (they register their queries)
+from threatloom.plans import evaluation, keywords, labels, listings, pages, retrieval, rules, streams, strings, summaries  # noqa: E402, F401  (they register their queries)

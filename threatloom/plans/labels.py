@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from threatloom.functions import text as T
 from threatloom.functions.strings import platform_labels
 from threatloom.operators import chunks, labels
-from threatloom.plans.registry import ARTICLES, query, score_sql
+from threatloom.plans.registry import ARTICLES, count_sql, keyword_sql, query, score_sql
 from threatloom.plans.strings import PLATFORMS
 from threatloom.views import articles, table
 
-_POS = " + ".join(f"CAST(contains(lower(content), '{w}') AS INTEGER)" for tier, ws in T.KEYWORDS.items() if tier != "negative" for w in ws)
-_NEG = " + ".join(f"CAST(contains(lower(content), '{w}') AS INTEGER)" for w in T.KEYWORDS["negative"])
+_POS = count_sql([w for tier, ws in T.KEYWORDS.items() if tier != "negative" for w in ws])
+_NEG = count_sql(T.KEYWORDS["negative"])
 _VERDICT = f"v AS (SELECT *, {_POS} AS p, {_NEG} AS q, {score_sql()} AS hs FROM articles)"
 _CONFIDENCE = "round(CASE WHEN hs > 0 THEN least(1.0, hs / 100) ELSE coalesce(CAST(greatest(p, q) AS DOUBLE) / nullif(p + q, 0), 0) END, 6)"
 
@@ -173,7 +173,7 @@ def atom_text(spark, sf):
 
 @query("chunk_filter", f"""WITH {ARTICLES}, s AS (SELECT article_id, content AS whole, unnest(range(0, greatest(length(content) - 200, 1), 800)) AS start FROM articles WHERE length(content) > 0),
     c AS (SELECT article_id, start, substr(whole, start + 1, 1000) AS content FROM s), v AS (SELECT *, {_POS} AS p, {_NEG} AS q, {score_sql()} AS hs FROM c),
-    k AS (SELECT *, ({" OR ".join(f"contains(lower(content), '{w}')" for w in T.KEYWORDS["perfect"])}) OR (p > q AND CASE WHEN hs > 0 THEN least(1.0, hs / 100) ELSE coalesce(CAST(greatest(p, q) AS DOUBLE) / nullif(p + q, 0), 0) END >= 0.05) AS keep FROM v)
+    k AS (SELECT *, ({" OR ".join(map(keyword_sql, T.KEYWORDS["perfect"]))}) OR (p > q AND CASE WHEN hs > 0 THEN least(1.0, hs / 100) ELSE coalesce(CAST(greatest(p, q) AS DOUBLE) / nullif(p + q, 0), 0) END >= 0.05) AS keep FROM v)
     SELECT article_id, count(*) AS chunks, count(*) FILTER (WHERE keep) AS kept, CAST(coalesce(sum(length(content)) FILTER (WHERE keep), 0) AS BIGINT) AS kept_chars, md5(coalesce(string_agg(content, chr(10) || chr(10) ORDER BY start) FILTER (WHERE keep), '')) AS kept_md5 FROM k GROUP BY 1""")
 def chunk_filter(spark, sf):
     kept = chunks.filtered_chunks(chunks.fixed_chunks(articles(spark, sf)), threshold=0.05)

@@ -22,13 +22,24 @@ EXECUTIONS = """executions AS (SELECT o_orderkey AS execution_id, o_custkey AS a
 AS_OF = "2024-02-01 00:00:00"
 
 
+def keyword_sql(word: str, column: str = "content") -> str:
+    """Whether a keyword of the report registry stands in the column by its rule, in DuckDB SQL."""
+    edge = r"[^\p{L}\p{N}_]"
+    if word in T.SYMBOLS:
+        return f"contains({column}, '{word}')"
+    first = "[a-zA-Z0-9_]" if word.startswith(".") else f"(^|{edge})"
+    plain = word.replace(".", r"\.")
+    return f"(contains(lower({column}), '{word}') AND regexp_matches(lower({column}), '{first}{plain}($|{edge})'))"
+
+
+def count_sql(words: list[str], column: str = "content") -> str:
+    return " + ".join(f"CAST({keyword_sql(w, column)} AS INTEGER)" for w in words)
+
+
 def score_sql(column: str = "content") -> str:
     """The keyword score over the report registry, in DuckDB SQL."""
-    parts = []
-    for tier, words in T.KEYWORDS.items():
-        n = " + ".join(f"CAST(contains(lower({column}), '{w}') AS INTEGER)" for w in words)
-        parts.append(f"{T.TIER_WEIGHTS[tier]} * (1 - pow(0.5, {n}))")
-    return f"round(greatest(0.0, least(99.9, CAST({' + '.join(parts)} AS DOUBLE))), 1)"
+    parts = [f"{T.TIER_WEIGHTS[tier]} * (1 - pow(0.5, {count_sql(words, column)}))" for tier, words in T.KEYWORDS.items()]
+    return f"round(greatest(0.0, least(99.9, CAST(coalesce({' + '.join(parts)}, 0) AS DOUBLE))), 1)"
 
 
 def mean_sql(value: str, scale: int, digits: int = 2) -> str:

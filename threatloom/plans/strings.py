@@ -87,11 +87,6 @@ def platform_labels(spark, sf):
     return _docs(spark, sf).select("doc_id", S.platform_labels(F.col("text"), PLATFORMS).alias("platforms"))
 
 
-@query("keyword_spans")
-def keyword_spans(spark, sf):
-    return _docs(spark, sf).select("doc_id", S.keyword_spans(F.col("text"), {"perfect": r"(?i)\b(?:token|secret)\b", "good": r"(?i)\blicen[sc]e[sd]?\b|\btoken ="}).alias("spans"))
-
-
 _ONE = "(SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
 
 

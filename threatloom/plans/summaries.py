@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from threatloom.functions import text as T
 from threatloom.operators import summaries as S
 from threatloom.operators.reports import exact_mean
-from threatloom.plans.registry import ARTICLES, AS_OF, CHECKS, EXECUTIONS, mean_sql, query, score_sql
+from threatloom.plans.registry import ARTICLES, AS_OF, CHECKS, EXECUTIONS, count_sql, keyword_sql, mean_sql, query, score_sql
 from threatloom.views import annotations, articles, checks, executions, table
 
 _hs = lambda: T.hunt_score(F.col("content"))
 _SCORED = f"{ARTICLES}, s AS (SELECT *, {score_sql()} AS hs FROM articles)"
-_ANY = lambda tier: reduce(lambda a, b: a | b, T.hits(F.col("content"), T.KEYWORDS[tier], T.KEYWORDS))
-_ANY_SQL = lambda tier: "(" + " OR ".join(f"contains(lower(content), '{w}')" for w in T.KEYWORDS[tier]) + ")"
+_ANY = lambda tier: reduce(lambda a, b: a | b, T.hits(F.col("content"), T.KEYWORDS[tier]))
+_ANY_SQL = lambda tier: "(" + " OR ".join(keyword_sql(w) for w in T.KEYWORDS[tier]) + ")"
 
 
 @query("score_histogram", f"WITH {_SCORED} SELECT CASE WHEN hs IS NULL THEN 'Null' WHEN hs = 0 THEN '0' ELSE CAST(CAST(floor(hs / 10) * 10 AS INTEGER) AS VARCHAR) END AS bucket, count(*) AS n FROM s GROUP BY 1")
@@ -86,9 +86,9 @@ def execution_overview(spark, sf):
     return executions(spark, sf).agg(F.count(F.lit(1)).alias("total"), F.count_if(s == "O").alias("open"), F.count_if(s == "F").alias("finished"), F.count_if(s == "P").alias("pending"), F.countDistinct("article_id").alias("articles"))
 
 
-@query("keyword_counts", f"WITH {ARTICLES} SELECT count(*) AS articles, " + ", ".join(f"CAST(sum({' + '.join(f'''CAST(contains(lower(content), '{w}') AS INTEGER)''' for w in ws)}) AS BIGINT) AS {tier}" for tier, ws in T.KEYWORDS.items()) + " FROM articles")
+@query("keyword_counts", f"WITH {ARTICLES} SELECT count(*) AS articles, " + ", ".join(f"CAST(sum({count_sql(ws)}) AS BIGINT) AS {tier}" for tier, ws in T.KEYWORDS.items()) + " FROM articles")
 def keyword_counts(spark, sf):
-    counts = [reduce(lambda a, b: a + b, (h.cast("int") for h in T.hits(F.col("content"), ws, T.KEYWORDS))).alias(tier) for tier, ws in T.KEYWORDS.items()]
+    counts = [reduce(lambda a, b: a + b, (h.cast("int") for h in T.hits(F.col("content"), ws))).alias(tier) for tier, ws in T.KEYWORDS.items()]
     return articles(spark, sf).select(*counts).agg(F.count(F.lit(1)).alias("articles"), *(F.sum(t).alias(t) for t in T.KEYWORDS))
 
 
