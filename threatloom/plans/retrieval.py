@@ -151,11 +151,11 @@ def related_phrases(spark, sf):
 
 
 _RULES = "r AS (SELECT DISTINCT ON (label) label, embedding AS v FROM embeddings WHERE embedding IS NOT NULL ORDER BY label, vec_id)"
-_NEAR = f"""{_RULES}, s AS (SELECT vec_id, r.label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 6) AS similarity FROM embeddings, r WHERE embedding IS NOT NULL),
+NEAR = f"""{_RULES}, s AS (SELECT vec_id, r.label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 6) AS similarity FROM embeddings, r WHERE embedding IS NOT NULL),
     k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, label) <= 3), m AS (SELECT vec_id, label AS rule, round(similarity * 0.874, 6) AS similarity FROM k WHERE round(similarity * 0.874, 6) >= 0.2)"""
 
 
-def _rule_hits(spark, sf):
+def rule_hits(spark, sf):
     """The three nearest rules of every vector; the first vector of each label is its rule, under a negative id."""
     v = table(spark, sf, "embeddings").where("embedding IS NOT NULL")
     rules = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding")).select((F.col("label") - 1_000_000_000).cast("long").alias("vec_id"), "label", "embedding")
@@ -163,21 +163,21 @@ def _rule_hits(spark, sf):
     return hits.select(F.col("query_id").alias("vec_id"), F.col("label").alias("rule"), "similarity")
 
 
-@query("article_rule_matches", f"WITH {_NEAR} SELECT * FROM m")
+@query("article_rule_matches", f"WITH {NEAR} SELECT * FROM m")
 def article_rule_matches(spark, sf):
-    return retrieval.rule_matches(_rule_hits(spark, sf), threshold=0.2)
+    return retrieval.rule_matches(rule_hits(spark, sf), threshold=0.2)
 
 
-@query("chunk_rule_matches", f"WITH {_NEAR} SELECT CAST(floor(vec_id / 4) AS BIGINT) AS article_id, rule, max(similarity) AS similarity, arg_min(vec_id, (-similarity, vec_id)) AS vec_id FROM m GROUP BY 1, 2")
+@query("chunk_rule_matches", f"WITH {NEAR} SELECT CAST(floor(vec_id / 4) AS BIGINT) AS article_id, rule, max(similarity) AS similarity, arg_min(vec_id, (-similarity, vec_id)) AS vec_id FROM m GROUP BY 1, 2")
 def chunk_rule_matches(spark, sf):
     """The best chunk of each article and rule."""
-    hits = retrieval.rule_matches(_rule_hits(spark, sf), threshold=0.2)
+    hits = retrieval.rule_matches(rule_hits(spark, sf), threshold=0.2)
     return retrieval.best_per(hits.withColumn("article_id", F.floor(F.col("vec_id") / 4)), "article_id", "rule", tie="vec_id")
 
 
-@query("match_summary", f"WITH {_NEAR}, b AS (SELECT vec_id, count(*) AS matches, max(similarity) AS best FROM m GROUP BY 1) SELECT doc_id AS article_id, coalesce(matches, 0) AS matches, best, CASE WHEN best >= 0.6 THEN 'covered' WHEN best >= 0.3 THEN 'extend' ELSE 'new' END AS coverage FROM documents LEFT JOIN b ON doc_id = vec_id")
+@query("match_summary", f"WITH {NEAR}, b AS (SELECT vec_id, count(*) AS matches, max(similarity) AS best FROM m GROUP BY 1) SELECT doc_id AS article_id, coalesce(matches, 0) AS matches, best, CASE WHEN best >= 0.6 THEN 'covered' WHEN best >= 0.3 THEN 'extend' ELSE 'new' END AS coverage FROM documents LEFT JOIN b ON doc_id = vec_id")
 def match_summary(spark, sf):
-    matches = retrieval.rule_matches(_rule_hits(spark, sf), threshold=0.2).withColumnRenamed("vec_id", "article_id")
+    matches = retrieval.rule_matches(rule_hits(spark, sf), threshold=0.2).withColumnRenamed("vec_id", "article_id")
     return retrieval.match_summary(matches, articles(spark, sf), covered=0.6, extended=0.3)
 
 
