@@ -155,7 +155,7 @@ def test_repair_shrinks_and_reads_any_range(spark, tmp_path):
     words = [rng.integers(0, 49_000, rng.integers(1, 6)).astype("<u4") for _ in range(300)]
     docs = [np.concatenate([words[i] for i in rng.integers(0, 300, rng.integers(1, 400))]) for _ in range(200)] + [np.full(999, 7, dtype="<u4"), np.array([70_000], dtype="<u4")]
     whole = np.concatenate(docs)
-    payload = token_output.encoded(list(range(len(docs))), [d.tobytes() for d in docs])
+    payload = token_output.encoded(list(range(len(docs))), whole, np.array(list(map(len, docs))))
     shard = token_output.Shard(payload)
     assert len(payload) < whole.nbytes / 2.5 and shard.ids().tolist() == whole.tolist()
     assert len(shard.left) > 100 and int(shard.rule_sizes.max()) > 4  # rules of rules

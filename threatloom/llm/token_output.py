@@ -34,8 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatloom.llm.common import map_batches, shared_folder
-from threatloom.llm.packing import END_ID, loaded
+from threatloom.llm.word_ids import loaded
 
+END_ID = 1
 #: Ids after which a shard is closed.
 SHARD_IDS = 1 << 20
 #: A pair is frequent from so many occurrences in a shard, and a round is the last if it shortens the shard by a smaller share than this.
@@ -127,10 +128,9 @@ def sizes_of(symbols: np.ndarray, rule_sizes: np.ndarray, first: int) -> np.ndar
     return out
 
 
-def encoded(doc_ids: list[int | None], texts: list[bytes]) -> bytes:
-    """The payload of a shard; texts holds the ids of each document as little-endian unsigned 32-bit integers, never none."""
-    ids = np.frombuffer(b"".join(texts), dtype="<u4")
-    counts = np.array([len(t) // 4 for t in texts], dtype="<u8")
+def encoded(doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """The payload of a shard: the ids of all documents one after another, and how many each has, never none."""
+    counts = counts.astype("<u8")
     symbols, ends, rules, first = grammar(ids, np.cumsum(counts).astype(np.int64))
     rule_sizes = np.ones(len(rules), dtype=np.int64)
     for r, (a, b) in enumerate(rules.tolist()):
@@ -148,7 +148,7 @@ def encoded(doc_ids: list[int | None], texts: list[bytes]) -> bytes:
             np.diff(ends, prepend=0).astype("<u8").tobytes(),
         ]
     )
-    return MAGIC + HEAD.pack(len(texts), len(ids), first, len(rules), len(symbols), width, zlib.crc32(body), 0) + body
+    return MAGIC + HEAD.pack(len(doc_ids), len(ids), first, len(rules), len(symbols), width, zlib.crc32(body), 0) + body
 
 
 class Shard:
@@ -217,28 +217,40 @@ class Shard:
 
 def write(docs: DataFrame, path: str, folder: str, *, end_id: int = END_ID) -> str:
     """Writes the ids of all documents, in ascending order of doc_id, to the folder."""
-    end = np.array([end_id], dtype="<u4").tobytes()
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = loaded(path), TaskContext.get().partitionId()
         shard = start = held = 0
         doc_ids: list[int | None] = []
-        texts: list[bytes] = []
+        parts: list[np.ndarray] = []
+        counts: list[int] = []
 
         def closed() -> pa.RecordBatch:
-            cols = [[part], [shard], [start], [len(texts)], [held], [encoded(doc_ids, texts)]]
+            payload = encoded(doc_ids, np.concatenate(parts), np.array(counts))
+            cols = [[part], [shard], [start], [len(doc_ids)], [held], [payload]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[c.split(" ")[0] for c in SHARDS.split(", ")])
 
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                doc_ids.append(doc_id)
-                texts.append(ids + end)
-                held += len(ids) // 4 + 1
+            plain, sizes = encoder.encode(batch.column(1))
+            ends = np.cumsum(sizes + 1)
+            ids = np.full(len(plain) + len(sizes), end_id, dtype="<u4")
+            ids[np.delete(np.arange(len(ids)), ends - 1)] = plain
+            at, names = 0, batch.column(0).to_pylist()
+            while at < len(names):
+                begin = int(ends[at] - sizes[at] - 1)
+                # As many documents as a shard still takes, one at least.
+                till = max(at + 1, int(np.searchsorted(ends, begin + SHARD_IDS - held, "left")) + 1)
+                till = min(till, len(names))
+                doc_ids += names[at:till]
+                counts += (sizes[at:till] + 1).tolist()
+                parts.append(ids[begin : ends[till - 1]])
+                held += len(parts[-1])
+                at = till
                 if held >= SHARD_IDS:
                     yield closed()
-                    shard, start, held, doc_ids, texts = shard + 1, start + held, 0, [], []
-        if texts:
+                    shard, start, held, doc_ids, parts, counts = shard + 1, start + held, 0, [], [], []
+        if doc_ids:
             yield closed()
 
     spark = docs.sparkSession
