@@ -1,12 +1,14 @@
 """Packing of tokenised documents into windows by the sum-of-squares rule.
 
-An online bin packer: N[h] windows are filled to level h, and a piece goes to the level whose choice
-gives the smallest sum of N[h] squared afterwards. A new window counts as level 0; ties go to the fullest window that isn't cut. While
-OPEN_WINDOWS are open, a piece must not open another: levels at which it doesn't fit stand beside those at which it does,
-and there it is cut, its beginning fills the window and its rest takes the window's place. Documents longer than a window first give whole windows; only their remainders are
-placed. Each task packs the rows of its own partition, so nothing is shuffled. It keeps the pieces
-of open windows only, and at the end these are poured together (the emptiest are cut to fill the gaps of the fullest), which
-leaves at most one window short. So a task closes all its windows by the rule but OPEN_WINDOWS at most.
+An online bin packer: N[h] windows are filled to level h, and a piece goes to the level whose choice gives the smallest sum of
+N[h] squared afterwards. A new window counts as level 0, a full one as none; ties go to the fullest window. Documents longer
+than a window first give whole windows; only their remainders are placed.
+
+Each task packs the rows of its own partition, so texts aren't shuffled. The windows that it still holds open at its end, or
+when it holds MOST_OPEN, are handed to a next step, which packs their pieces anew by the same rule, the largest first, in tasks of
+about STEP_WINDOWS windows; and so on until one task is left, whose open windows are poured: those filled to within a SLACK-th stay as they
+are, of the others the emptiest are cut to fill the gaps of the fullest. A step that doesn't halve its windows (equal sizes of
+which no two fit together) is poured in its tasks. What a step closes is written to the shared folder.
 
 Defined cases: a null or empty text is a document of the end id alone; repeated rows are packed each
 on its own; further columns are ignored; an empty table gives no pieces.
@@ -14,12 +16,9 @@ on its own; further columns are ignored; an empty table gives no pieces.
 
 from __future__ import annotations
 
-import json
-import os
-import re
-from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
+import math
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,110 +26,36 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threatloom.llm.bpe import byte_alphabet
-from threatloom.llm.common import map_batches
-from threatloom.llm.merges import PLAIN, MergeTable, plain_pattern
+from threatloom.llm.common import map_batches, written
+from threatloom.llm.word_ids import loaded
 
 WINDOW = 2048
 END_ID = 1
-#: Windows that a task may hold open.
-OPEN_WINDOWS = 16
-#: Words remembered by a worker; when full, those not used since the last time are forgotten.
-CACHE_WORDS = 500_000
-#: White space that the tokenizer's normaliser drops and no token crosses.
-GAP = re.compile(r"[ \t\r\n]+")
-#: White space besides it at which str.split() would cut too.
-OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Fixed: the tokenizer's split pattern.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Characters of a word that is merged together with others.
-LONG_WORD = 256
+#: Open windows that a task hands over, windows that a task of a later step packs, and the part of a window that may stay empty at the end.
+MOST_OPEN, STEP_WINDOWS, SLACK = 4096, 4096, 64
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-
-
-class WordEncoder:
-    """A tokenizer whose tokens never cross white space, with a memory of words.
-
-    New plain words, whose normal form is their lower case, are merged together; any others go to the tokenizer.
-    """
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        model = json.load(open(path, encoding="utf-8"))["model"]
-        vocab, merges = model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.table = MergeTable(vocab, merges)
-        alphabet = byte_alphabet()
-        self.byte_ids = np.array([vocab[c] for c in alphabet], dtype=np.int32)
-        self.end_ids = np.array([vocab[c + model["end_of_word_suffix"]] for c in alphabet], dtype=np.int32)
-        self.parts = re.compile(plain_pattern(WORD_PATTERN) + "|\n")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> None:
-        every = "".join(words)
-        if PLAIN.fullmatch(every) and "<|" not in every and max(map(len, words)) <= LONG_WORD:
-            plain, other = words, []
-        else:
-            plain = [w for w in words if len(w) <= LONG_WORD and PLAIN.fullmatch(w) and "<|" not in w]
-            other = list(set(words).difference(plain))
-        self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True))
-        # All words at once, a line break after each but the last: no part holds one.
-        parts = [p.encode() for p in self.parts.findall("\n".join(plain).lower())]
-        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        buf = np.frombuffer(b"".join(parts), dtype=np.uint8)
-        starts = np.cumsum(sizes) - sizes
-        breaks = buf[starts] == ord("\n")
-        of_words = np.concatenate([[0], np.cumsum(~breaks)[breaks], [int((~breaks).sum())]])
-        buf, ends = np.delete(buf, starts[breaks]), np.cumsum(sizes[~breaks])
-        symbols = self.byte_ids[buf]
-        symbols[ends - 1] = self.end_ids[buf[ends - 1]]
-        symbols, counts = self.table.merge(symbols, np.append(0, ends[:-1]) if len(ends) else ends)
-        at = (np.append(0, np.cumsum(counts))[of_words] * 4).tolist()
-        data = symbols.astype("<u4").tobytes()
-        self.known.update(zip(plain, map(data.__getitem__, map(slice, at[:-1], at[1:])), strict=False))
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        words = [GAP.split(t) if OTHER_SPACE.search(t) else t.split() for t in texts]
-        if missing := set(chain.from_iterable(words)).difference(self.known):
-            if len(self.known) + len(missing) > CACHE_WORDS:
-                self.known, self.older = {}, self.known
-                missing = set(chain.from_iterable(words))
-            again = list(missing & self.older.keys())
-            self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
-            if new := list(missing - self.known.keys()):
-                self.learn(new)
-        return [b"".join(map(self.known.__getitem__, w)) for w in words]
-
-
-@lru_cache(maxsize=2)
-def loaded(path: str) -> WordEncoder:
-    return WordEncoder(path)
+STEP_SCHEMA = SCHEMA + ", open boolean"
 
 
 class SumOfSquaresPacker:
-    """Places pieces online; done holds the rows of windows that are complete."""
+    """Places pieces (doc_id, start, ids, tokens of the document); done holds the rows of windows that have left it."""
 
-    def __init__(self, first_id: int, window: int = WINDOW, open_windows: int = OPEN_WINDOWS):
-        self.window, self.limit, self.next_id = window, open_windows, first_id
+    def __init__(self, first_id: int, window: int = WINDOW):
+        self.window, self.next_id = window, first_id
         self.count = np.zeros(window + 1, dtype=np.int64)  # the level array; level 0 is a new window
         self.open: list[list[list]] = [[] for _ in range(window)]  # by level, the pieces of each open window
-        self.n_open = 0
+        self.n_open = self.poured = 0
         self.done: list[tuple] = []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         n, whole = len(ids) // 4, len(ids) // 4 // self.window * self.window
         for start in range(0, whole, self.window):
-            self.close([(doc_id, start, ids[4 * start : 4 * (start + self.window)], n)])
+            self.leave([(doc_id, start, ids[4 * start : 4 * (start + self.window)], n)])
         if n > whole:
-            self.place((doc_id, whole, ids[4 * whole :], n), n - whole)
+            self.place((doc_id, whole, ids[4 * whole :], n))
 
-    def place(self, piece: tuple, size: int) -> None:
+    def place(self, piece: tuple) -> None:
+        size = len(piece[2]) // 4
         level = self.choose(size)
         if level:
             pieces = self.open[level].pop()
@@ -138,58 +63,64 @@ class SumOfSquaresPacker:
             self.n_open -= 1
         else:
             pieces = []
-        room = self.window - level
-        if size > room:
-            doc_id, start, ids, n = piece
-            self.keep([*pieces, (doc_id, start, ids[: 4 * room], n)], self.window)
-            self.keep([(doc_id, start + room, ids[4 * room :], n)], size - room)
-        else:
-            self.keep([*pieces, piece], level + size)
+        pieces.append(piece)
+        self.keep(pieces, level + size)
+        if self.n_open >= MOST_OPEN:
+            self.hand_over()
 
     def choose(self, size: int) -> int:
-        """The level at which a piece of this size adds least to the sum of squares."""
+        """The level, of those at which a piece of this size fits, where it adds least to the sum of squares."""
         top = self.window - size
-        # A window more at the level that the piece leaves: h + size, or what a cut leaves over; none if it is full.
-        after = 2 * np.concatenate([self.count[size : self.window], self.count[:size]]) + 1
-        after[top] = 0
-        change = after - 2 * self.count[: self.window] + 1
-        never = np.iinfo(np.int64).max
-        change[self.count[: self.window] == 0] = never
-        if self.n_open < self.limit:
-            change[0] = after[0]
-            change[top + 1 :] = never
-        whole, cut = top - int(np.argmin(change[top::-1])), self.window - 1 - int(np.argmin(change[::-1]))
-        return whole if change[whole] == change[cut] else cut
+        after = 2 * self.count[size:] + 1  # one window more at the level that the piece leaves
+        after[top] = 0  # a full window is no level
+        change = after - 2 * self.count[: top + 1] + 1
+        change[self.count[: top + 1] == 0] = np.iinfo(np.int64).max
+        change[0] = after[0]
+        return top - int(np.argmin(change[::-1]))
 
     def keep(self, pieces: list, level: int) -> None:
         if level == self.window:
-            self.close(pieces)
+            self.leave(pieces)
         else:
             self.open[level].append(pieces)
             self.count[level] += 1
             self.n_open += 1
 
-    def close(self, pieces: list) -> None:
+    def leave(self, pieces: list, still_open: bool = False) -> None:
         offset = 0
         for doc_id, start, ids, n in pieces:
-            self.done.append((doc_id, start, len(ids) // 4, ids, n, self.next_id, offset))
+            self.done.append((doc_id, start, len(ids) // 4, ids, n, self.next_id, offset, still_open))
             offset += len(ids) // 4
         self.next_id += 1
 
-    def pour(self) -> None:
-        """Fills the fullest open windows with what the emptiest hold, cut where a window ends."""
-        every = [(level, pieces) for level in range(self.window - 1, 0, -1) for pieces in self.open[level]]
+    def taken(self) -> list[list]:
+        """The open windows, the fullest first; none is left."""
+        every = [pieces for level in range(self.window - 1, 0, -1) for pieces in self.open[level]]
         self.count[:], self.n_open = 0, 0
         self.open = [[] for _ in range(self.window)]
+        return every
+
+    def hand_over(self) -> None:
+        for pieces in self.taken():
+            self.leave(pieces, still_open=True)
+
+    def pour(self) -> None:
+        """Closes all windows; of those that lack much, the emptiest are cut to fill the fullest."""
+        fill = lambda pieces: sum(len(p[2]) // 4 for p in pieces)
+        every = self.taken()
+        while every and fill(every[0]) >= self.window - self.window // SLACK:
+            self.leave(every.pop(0))
+        self.poured += len(every)
         first, last, rest = 0, len(every) - 1, []
         while first <= last:
-            level, pieces = every[first]
+            pieces = every[first]
+            level = fill(pieces)
             first += 1
             while level < self.window:
                 if not rest:
                     if first > last:
                         break
-                    rest = every[last][1]
+                    rest = every[last]
                     last -= 1
                 doc_id, start, ids, n = rest.pop()
                 room = 4 * (self.window - level)
@@ -197,40 +128,71 @@ class SumOfSquaresPacker:
                 level += len(ids[:room]) // 4
                 if ids[room:]:
                     rest.append((doc_id, start + room // 4, ids[room:], n))
-            self.keep(pieces, level)
+            self.leave(pieces)
         if rest:
-            self.keep(rest, sum(len(p[2]) // 4 for p in rest))
+            self.leave(rest)
 
     def take(self) -> list[tuple]:
         done, self.done = self.done, []
         return done
 
 
+def rows(done: list[tuple]) -> pa.RecordBatch:
+    names = [x.split(" ")[0] for x in STEP_SCHEMA.split(", ")]
+    kinds = [{"ids": pa.binary(), "open": pa.bool_()}.get(n, pa.int64()) for n in names]
+    cols = list(zip(*done, strict=True)) or [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+
+def first_id(step: int) -> int:
+    """Windows are numbered apart by step and task."""
+    return step << 57 | TaskContext.get().partitionId() << 33
+
+
+def next_step(step: int, window: int, pours: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packs the pieces of a task anew, the largest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = [p for b in batches for p in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens")), strict=True)]
+        pieces.sort(key=lambda p: (-len(p[2]), p[0] is not None, p[0] or 0, p[1], p[2]))
+        packer = SumOfSquaresPacker(first_id(step), window)
+        for piece in pieces:
+            packer.place(piece)
+        packer.pour() if pours else packer.hand_over()
+        yield rows(packer.take())
+
+    return run
+
+
 def pack(docs: DataFrame, path: str, *, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """A row for each piece, with its ids (little-endian unsigned 32-bit) and its place in a window."""
     end = np.array([end_id], dtype="<u4").tobytes()
-    names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
-
-    def rows(done: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.binary() if n == "ids" else pa.int64() for n in names]
-        cols = list(zip(*done, strict=True)) or [[] for _ in names]
-        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(path)
-        packer = SumOfSquaresPacker(TaskContext.get().partitionId() << 33, window)
+        packer = SumOfSquaresPacker(first_id(0), window)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(texts), strict=True):
-                packer.add(doc_id, ids + end)
+            ids, counts = encoder.encode(batch.column(1))
+            data, at = ids.tobytes(), 0
+            for doc_id, n in zip(batch.column(0).to_pylist(), (4 * counts).tolist(), strict=True):
+                packer.add(doc_id, data[at : at + n] + end)
+                at += n
             yield rows(packer.take())
-        packer.pour()
-        for level in packer.open:
-            for pieces in level:
-                packer.close(pieces)
+        packer.hand_over()
         yield rows(packer.take())
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)
+    step = written(map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, STEP_SCHEMA), "packed-0")
+    closed, number, before = [step.where("NOT open")], 0, math.inf
+    while (windows := step.where("open AND offset = 0").count()) > 0:
+        number += 1
+        tasks = math.ceil(windows / STEP_WINDOWS)
+        left = step.where("open").select("doc_id", "start", "ids", "doc_tokens", "sequence_id")
+        # Whole windows are dealt out by number; the last few, STEP_WINDOWS at most, go to one task.
+        left = left.repartition(1) if tasks == 1 else left.repartition(tasks, "sequence_id")
+        step = written(map_batches(left, next_step(number, window, tasks == 1 or 2 * windows > before), STEP_SCHEMA), f"packed-{number}")
+        closed.append(step.where("NOT open"))
+        before = windows
+    return reduce(DataFrame.unionByName, closed).drop("open")
 
 
 def digests(packed: DataFrame) -> DataFrame:
