@@ -52,7 +52,7 @@ def fingerprint(title: Column, content: Column) -> Column:
 def span_form(text: Column, *, strict: bool = False) -> Column:
     """Quotes unified, ends trimmed; unless strict, runs of white space as one blank."""
     c = F.translate(F.coalesce(text, F.lit("")), "‘’“”", "''\"\"")
-    return F.trim(c) if strict else collapse_whitespace(c)
+    return F.regexp_replace(c, r"^\s+|\s+$", "") if strict else collapse_whitespace(c)
 
 
 def without_carets(text: Column) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threatloom.operators import spans
+
 
 def item_key(item: Column) -> Column:
     """Lower case, trimmed, [.] and [:] as . and :, runs of white space as one space."""
@@ -50,28 +51,12 @@ def span_overlap(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def span_metrics(gold: DataFrame, predicted: DataFrame, *, threshold: float = 0.5) -> DataFrame:
-    """Of each article the counts of a greedy match: every gold span in its order takes the best prediction that is left and overlaps enough."""
-    pairs = span_overlap(gold, predicted).where(F.col("overlap") >= threshold)
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, overlaps, deltas = set(), [], []
-        rows = rows.sort_values(["gold_start", "gold_end", "overlap", "pred_start", "pred_end"], ascending=[True, True, False, True, True])
-        for _, mine in rows.groupby(["gold_start", "gold_end"], sort=True):
-            for r in mine.itertuples():
-                if (r.pred_start, r.pred_end) not in taken:
-                    taken.add((r.pred_start, r.pred_end))
-                    overlaps.append(r.overlap)
-                    deltas.append((r.pred_end - r.pred_start) - (r.gold_end - r.gold_start))
-                    break
-        n = max(1, len(overlaps))
-        return pd.DataFrame({"article_id": [rows["article_id"].iloc[0]], "tp": [len(overlaps)], "mean_overlap": [round(sum(overlaps) / n, 4)], "mean_delta": [round(sum(deltas) / n, 4)]})
-
-    matched = pairs.groupBy("article_id").applyInPandas(greedy, "article_id long, tp long, mean_overlap double, mean_delta double")
-    count = lambda df, name: df.select("article_id", "start", "end").distinct().groupBy("article_id").agg(F.count(F.lit(1)).alias(name))
-    every = count(gold, "n_gold").join(count(predicted, "n_pred"), "article_id", "full").join(matched, "article_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    every = every.select("article_id", zero("tp").alias("tp"), (zero("n_pred") - zero("tp")).alias("fp"), (zero("n_gold") - zero("tp")).alias("fn"), F.coalesce("mean_overlap", F.lit(0.0)).alias("mean_overlap"), F.coalesce("mean_delta", F.lit(0.0)).alias("mean_delta"))
-    return every.withColumns({"precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn"))})
+    """The measures of each article under a greedy match by places: every gold span in its order takes the best prediction that is left and overlaps enough."""
+    span = lambda x: F.struct(F.col(f"{x}_start").alias("start"), F.col(f"{x}_end").alias("end")).alias(x)
+    delta = (F.col("pred_end") - F.col("pred_start") - F.col("gold_end") + F.col("gold_start")).alias("delta")
+    pairs = span_overlap(gold, predicted).where(F.col("overlap") >= threshold).select("article_id", span("gold"), span("pred"), "overlap", delta)
+    distinct = lambda rows: rows.select("article_id", "start", "end").distinct()
+    return spans.measures(distinct(gold), distinct(predicted), spans.greedy(pairs)).drop("micro", "deltas")
 
 
 def metric_rows(wide: DataFrame, key: str, metrics: list[str]) -> DataFrame:
