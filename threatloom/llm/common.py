@@ -14,6 +14,9 @@ BATCH_ROWS = 200
 #: Bytes in one Arrow batch, where this Spark version heeds it.
 BATCH_BYTES = 16 << 20
 
+#: Bytes that a task holds before it writes a row group; rows of ids and texts are large.
+ROW_GROUP_BYTES = 16 << 20
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -58,7 +61,7 @@ def reliable(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same as a Parquet table in the shared folder: like a checkpoint, but compressed by column, for large tables."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

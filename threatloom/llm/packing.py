@@ -137,11 +137,13 @@ class SumOfSquaresPacker:
         return done
 
 
-def rows(done: list[tuple]) -> pa.RecordBatch:
+def rows(done: list[tuple], most: int = 500) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of a few MB."""
     names = [x.split(" ")[0] for x in STEP_SCHEMA.split(", ")]
     kinds = [{"ids": pa.binary(), "open": pa.bool_()}.get(n, pa.int64()) for n in names]
-    cols = list(zip(*done, strict=True)) or [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=names)
+    for at in range(0, len(done), most):
+        cols = zip(*done[at : at + most], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
 def first_id(step: int) -> int:
@@ -159,7 +161,7 @@ def next_step(step: int, window: int, pours: bool) -> Callable[[Iterator[pa.Reco
         for piece in pieces:
             packer.place(piece)
         packer.pour() if pours else packer.hand_over()
-        yield rows(packer.take())
+        yield from rows(packer.take())
 
     return run
 
@@ -177,9 +179,9 @@ def pack(docs: DataFrame, path: str, *, window: int = WINDOW, end_id: int = END_
             for doc_id, n in zip(batch.column(0).to_pylist(), (4 * counts).tolist(), strict=True):
                 packer.add(doc_id, data[at : at + n] + end)
                 at += n
-            yield rows(packer.take())
+            yield from rows(packer.take())
         packer.hand_over()
-        yield rows(packer.take())
+        yield from rows(packer.take())
 
     step = written(map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, STEP_SCHEMA), "packed-0")
     closed, number, before = [step.where("NOT open")], 0, math.inf
