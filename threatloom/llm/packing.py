@@ -17,6 +17,7 @@ on its own; further columns are ignored; an empty table gives no pieces.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -33,7 +34,7 @@ WINDOW = 2048
 END_ID = 1
 #: Open windows that a task hands over, windows that a task of a later step packs, and the part of a window that may stay empty at the end.
 MOST_OPEN, STEP_WINDOWS, SLACK = 4096, 4096, 64
-SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, ids_crc32 long"
 STEP_SCHEMA = SCHEMA + ", open boolean"
 
 
@@ -142,7 +143,7 @@ def rows(done: list[tuple], most: int = 500) -> Iterator[pa.RecordBatch]:
     names = [x.split(" ")[0] for x in STEP_SCHEMA.split(", ")]
     kinds = [{"ids": pa.binary(), "open": pa.bool_()}.get(n, pa.int64()) for n in names]
     for at in range(0, len(done), most):
-        cols = zip(*done[at : at + most], strict=True)
+        cols = zip(*((d, a, n, ids, all_, s, o, zlib.crc32(ids), open_) for d, a, n, ids, all_, s, o, open_ in done[at : at + most]), strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
@@ -167,7 +168,7 @@ def next_step(step: int, window: int, pours: bool) -> Callable[[Iterator[pa.Reco
 
 
 def pack(docs: DataFrame, path: str, *, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """A row for each piece, with its ids (little-endian unsigned 32-bit) and its place in a window."""
+    """A row for each piece, with its ids (little-endian unsigned 32-bit), their CRC-32, and its place in a window."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,4 +199,5 @@ def pack(docs: DataFrame, path: str, *, window: int = WINDOW, end_id: int = END_
 
 
 def digests(packed: DataFrame) -> DataFrame:
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    """The pieces without their ids, of which each row holds the checksum."""
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
