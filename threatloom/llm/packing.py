@@ -189,9 +189,8 @@ def pack(docs: DataFrame, path: str, *, window: int = WINDOW, end_id: int = END_
     while (windows := step.where("open AND offset = 0").count()) > 0:
         number += 1
         tasks = math.ceil(windows / STEP_WINDOWS)
-        left = step.where("open").select("doc_id", "start", "ids", "doc_tokens", "sequence_id")
-        # Whole windows are dealt out by number; the last few, STEP_WINDOWS at most, go to one task.
-        left = left.repartition(1) if tasks == 1 else left.repartition(tasks, "sequence_id")
+        # The pieces are dealt out evenly, as their windows dissolve; the last, of STEP_WINDOWS windows at most, go to one task.
+        left = step.where("open").select("doc_id", "start", "ids", "doc_tokens").repartition(tasks)
         step = written(map_batches(left, next_step(number, window, tasks == 1 or 2 * windows > before), STEP_SCHEMA), f"packed-{number}")
         closed.append(step.where("NOT open"))
         before = windows
