@@ -7,15 +7,19 @@ is there and returns what was written, with its checkpoint in the session's shar
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import UTC, date, datetime, timedelta
 from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from threatloom.session import shared_folder
 
+STATE_STORE, ROCKS_DB = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HEALTH = "source_id long, checks long, failures long, average double"
 
 
@@ -31,8 +35,54 @@ def first_seen(rows: DataFrame, keys: list[str], time: str, *, late: str = "30 d
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def within_lookback(rows: DataFrame, time: str, as_of: str, days: int) -> DataFrame:
-    return rows.where(F.col(time) >= F.expr(f"TIMESTAMP'{as_of}' - INTERVAL {int(days)} DAY"))
+RETAINED = "source_id long, days int, oldest date, checks long, failures long"
+
+
+class DayCounts(StatefulProcessor):
+    """Counts of each source by day; a day leaves the state by a timer once the watermark is so many days behind its end."""
+
+    def __init__(self, keep_days: int):
+        self.keep = timedelta(days=keep_days)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.days = handle.getMapState("days", "day date", "checks long, failures long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for frame in rows:
+            for day, part in frame.groupby(frame["check_time"].dt.date):
+                checks, failures = self.days.getValue((day,)) if self.days.containsKey((day,)) else (0, 0)
+                if not checks:
+                    self.handle.registerTimer(self.leaves(day))
+                self.days.updateValue((day,), (checks + len(part), failures + int((~part["success"].astype(bool)).sum())))
+        yield self.now(key)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        due = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        for (day,) in list(self.days.keys()):
+            if self.leaves(day) <= due:
+                self.days.removeKey((day,))
+        yield self.now(key)
+
+    def leaves(self, day: date) -> int:
+        return int((datetime(day.year, day.month, day.day, tzinfo=UTC) + timedelta(days=1) + self.keep).timestamp() * 1000)
+
+    def now(self, key: tuple) -> pd.DataFrame:
+        held = [(d[0], *v) for d, v in self.days.iterator()]
+        return pd.DataFrame({"source_id": [key[0]], "days": [len(held)], "oldest": [min((h[0] for h in held), default=None)], "checks": [sum(h[1] for h in held)], "failures": [sum(h[2] for h in held)]})
+
+    def close(self) -> None:
+        pass
+
+
+def retained_checks(checks: DataFrame, *, lookback: str = "7 days", keep_days: int = 90) -> DataFrame:
+    """Of each source, after each batch that touches it: the days that are kept, the oldest, and the checks and failures in them.
+
+    A check that comes late still counts while it is within the lookback of the newest; earlier ones are dropped. A day is kept for keep_days
+    after its end, then its counts leave the state. The session has to use the RocksDB state store.
+    """
+    rows = checks.select("source_id", "check_time", "success").withWatermark("check_time", lookback)
+    return rows.groupBy("source_id").transformWithStateInPandas(DayCounts(keep_days), RETAINED, "update", "EventTime")
 
 
 def source_health(checks: DataFrame) -> DataFrame:
@@ -55,15 +105,27 @@ def source_health(checks: DataFrame) -> DataFrame:
     return states.applyInPandasWithState(step, HEALTH, "checks long, failures long, average double", "update", GroupStateTimeout.NoTimeout)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+
+
 def run(spark: SparkSession, path: str, read: Callable[[DataFrame], DataFrame], work: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """Works off the Parquet files at path as a stream and returns what was written; with update or complete mode, every batch's rows with their batch."""
     out = f"{shared_folder(spark)}/stream-{uuid4().hex}"
-    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+    # A stream reads a folder: that of the files, with the name of the one file or, of a folder, all of its own.
+    folder, _, name = path.rstrip("/").rpartition("/")
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*" if is_folder(spark, path) else name).parquet(path if is_folder(spark, path) else folder)
     result = work(read(source))
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batches/batch={number}")
-
-    query = result.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{out}/batches/*").drop("batch")
+        batch.write.mode("overwrite").parquet(f"{out}/batches/{number}")
+
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKS_DB)  # state with timers needs it; a query keeps what it started with
+    try:
+        query = result.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE, before)
+    return spark.read.parquet(f"{out}/batches/*")
