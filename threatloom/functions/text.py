@@ -122,12 +122,6 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Of two sets as arrays: 1 if both are empty, 0 if one is."""
-    both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return F.when(either == 0, 1.0).otherwise(both / either)
-
-
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
@@ -168,8 +162,31 @@ def garbage_ratio(c: Column) -> Column:
     return F.coalesce(F.try_divide(F.length(F.regexp_replace(c, r"[^\[\]{}|\\]", "")), F.length(c)), F.lit(0.0))
 
 
-def sentences(c: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[.!?]+"), lambda s: F.trim(s)), lambda s: s != "")
+# Texts and phrases of content that wasn't read right, and runs of characters that no text has.
+GARBAGE_TEXTS = ("`E9 UI=", "cwCz _9hvtYfL", "\ufffd")
+GARBAGE_PHRASES = ("compression issues", "website compression", "content extraction failed", "failed due to website", "compression failed", "extraction disabled")
+FAILURE_PHRASES = (
+    "content extraction failed", "failed due to website compression", "extraction is disabled", "please visit the original article", "compression issues", "website compression issues", "full content extraction is disabled",
+)
+GARBAGE_RUNS = (
+    r"[\[\]{}|\\]{5,}",
+    r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\xFF]{10,}",
+    r"[^\w\s\.\,\;\:\!\?\(\)\-\+\=\<\>\/\"\'\[\]\{\}\|\\\~\#\$\%\^\&\*\_\`\@]{15,}",
+    r"[\x00-\x08\x0B\x0C\x0E-\x1F]",
+)
+
+
+def garbage(c: Column) -> Column:
+    """Whether a content is no text: brackets, runs of odd characters, control characters, or a note that reading it failed."""
+    c = F.coalesce(c, F.lit(""))
+    texts = [F.contains(c, F.lit(t)) for t in GARBAGE_TEXTS] + [F.contains(F.lower(c), F.lit(p)) for p in GARBAGE_PHRASES]
+    return reduce(lambda a, b: a | b, texts, (garbage_ratio(c) > 0.15) | F.rlike(c, F.lit("(?U)" + "|".join(GARBAGE_RUNS))))
+
+
+def extraction_failed(c: Column) -> Column:
+    """Whether a content says that it couldn't be read."""
+    lowered = F.lower(F.coalesce(c, F.lit("")))
+    return reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(p)) for p in FAILURE_PHRASES))
 
 
 # What is masked in detection values, in this order.

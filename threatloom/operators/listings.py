@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threatloom.functions.text import domain, garbage_ratio
+from threatloom.functions.text import domain, extraction_failed, garbage
 
 
 def article_filter(
@@ -93,18 +93,25 @@ def article_gate(articles: DataFrame, *, as_of: str, quality: Column, cost: Colu
     )
 
 
-def issues(articles: DataFrame) -> DataFrame:
-    """All faults of title and content, in a fixed order."""
-    title, content = F.trim(F.coalesce("title", F.lit(""))), F.coalesce("content", F.lit(""))
+def issues(articles: DataFrame, *, min_length: Column | int = 200) -> DataFrame:
+    """All faults of title, content and, if there is one, url, in a fixed order (fixed values); min_length may differ by source."""
+    trimmed = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    title, content, text = trimmed("title"), F.coalesce("content", F.lit("")), trimmed("content")
+    some = text != ""
     every = [
         (title == "", "missing_title"),
-        ((title != "") & (F.length(title) < 10), "short_title"),
+        ((title != "") & (F.length(title) < 5), "short_title"),
         (F.length(title) > 500, "long_title"),
-        (garbage_ratio(content) > 0.15, "garbage"),
-        (content.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"), "control_characters"),
-        (F.contains(content, F.lit("�")), "broken_characters"),
-        (F.length(content) < 200, "short_content"),
+        (~some, "missing_content"),
+        (some & garbage(content), "garbage"),
+        (some & extraction_failed(content), "extraction_failed"),
+        (some & content.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]"), "control_characters"),
+        (some & F.contains(content, F.lit("\ufffd")), "broken_characters"),
+        (some & (F.length(text) < min_length), "short_content"),
     ]
+    if "url" in articles.columns:
+        url = trimmed("url")
+        every += [(url == "", "missing_url"), ((url != "") & ~F.rlike("url", F.lit("^https?://")), "invalid_url")]
     found = F.array_compact(F.array(*(F.when(test, name) for test, name in every)))
     return articles.select("article_id", F.array_join(found, ",").alias("issues"))
 
@@ -132,9 +139,16 @@ def eligible(articles: DataFrame, executions: DataFrame, score: Column, *, thres
     return rows.select("article_id", verdict.alias("verdict"))
 
 
+# Cues in a title by the kind of article, in the order in which they are tried.
+TYPE_CUES = {
+    "podcast": ("stormcast", "podcast", "episode"),
+    "announcement": ("announcement", "update", "release", "bounty"),
+    "analysis": ("analysis", "research", "investigation", "report"),
+}
+
+
 def content_type(articles: DataFrame) -> DataFrame:
     """The kind of an article by cues in its title, the first that fits."""
     t = F.lower(F.coalesce("title", F.lit("")))
-    has = lambda *words: reduce(lambda a, b: a | b, (F.contains(t, F.lit(w)) for w in words))
-    kind = F.when(has("podcast", "episode"), "podcast").when(has("announc", "release"), "announcement").when(has("analysis", "report"), "analysis").otherwise("article")
-    return articles.select("article_id", kind.alias("content_type"))
+    found = first_reason(*((reduce(lambda a, b: a | b, (F.contains(t, F.lit(w)) for w in words)), kind) for kind, words in TYPE_CUES.items()))
+    return articles.select("article_id", F.when(found == "ok", "article").otherwise(found).alias("content_type"))

@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 from threatloom.operators.reports import exact_mean
 
 
+# Buckets of scores, from and to, in the order in which they are tried.
+SCORE_BUCKETS = ((0.1, 10, "1-10"), (10.1, 25, "11-25"), (25.1, 50, "26-50"), (50.1, 75, "51-75"), (75.1, 90, "76-90"), (90.1, 99, "91-99"), (99.1, 100, "99-100"))
+
+
 def score_histogram(articles: DataFrame, score: Column) -> DataFrame:
-    """Articles by bucket of ten of their score; 0 and null have buckets of their own."""
-    bucket = F.when(score.isNull(), "Null").when(score == 0, "0").otherwise((F.floor(score / 10) * 10).cast("int").cast("string"))
+    """Articles by bucket of their score (fixed values); scores between two buckets, which tenths can't be, are Unknown."""
+    bucket = F.when(score.isNull(), "Null").when(score == 0, "0")
+    for low, high, name in SCORE_BUCKETS:
+        bucket = bucket.when(score.between(low, high), name)
+    bucket = bucket.otherwise("Unknown")
     return articles.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -197,13 +197,13 @@ def dedup_first_per_key(spark, sf):
     return dedup.first_per_key(articles(spark, sf).select("article_id", "source", "lang", "title"), "source", "title")
 
 
-@query("batch_dedup", f"""WITH {_ARTICLES}, f AS (SELECT content, min(article_id) AS first_id FROM articles WHERE article_id % 2 = 1 GROUP BY 1), k AS (SELECT DISTINCT content AS known FROM articles WHERE article_id % 2 = 0)
+@query("batch_dedup", f"""WITH {_ARTICLES}, f AS (SELECT content, min(article_id) AS first_id FROM articles GROUP BY 1), k AS (SELECT DISTINCT content AS known FROM articles JOIN labels ON article_id = doc_id)
     SELECT article_id, CASE WHEN known IS NOT NULL THEN 'existing_content' WHEN article_id <> first_id THEN 'batch_content' ELSE 'accepted' END AS reason
-    FROM articles JOIN f USING (content) LEFT JOIN k ON known = content WHERE article_id % 2 = 1""")
+    FROM articles JOIN f ON f.content IS NOT DISTINCT FROM articles.content LEFT JOIN k ON known IS NOT DISTINCT FROM articles.content""")
 def batch_dedup(spark, sf):
-    """Odd articles arrive as a batch, even ones are stored already: the two halves are the operator's two inputs."""
+    """All articles arrive as a batch; those that are annotated are stored already."""
     a = articles(spark, sf)
-    return dedup.batch_dedup(a.where("article_id % 2 = 1"), a.where("article_id % 2 = 0"))
+    return dedup.batch_dedup(a, a.join(annotations(spark, sf).select("article_id"), "article_id", "left_semi"))
 
 
 def _boolean(name: str, text: str, where: str) -> None:

@@ -91,10 +91,16 @@ def search_with_score(spark, sf):
     return found.select("article_id", T.hunt_score(F.col("content")).alias("hunt_score")).where("hunt_score >= 5")
 
 
-@query("article_issues", f"""WITH {ARTICLES}, a AS (SELECT article_id, trim(coalesce(title, '')) AS t, coalesce(content, '') AS c FROM articles)
-    SELECT article_id, array_to_string(list_filter([CASE WHEN t = '' THEN 'missing_title' END, CASE WHEN t <> '' AND length(t) < 10 THEN 'short_title' END, CASE WHEN length(t) > 500 THEN 'long_title' END,
-    CASE WHEN length(regexp_replace(c, '[^\\[\\]{{}}|\\\\]', '', 'g')) / nullif(length(c), 0) > 0.15 THEN 'garbage' END, CASE WHEN regexp_matches(c, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]') THEN 'control_characters' END,
-    CASE WHEN contains(c, chr(65533)) THEN 'broken_characters' END, CASE WHEN length(c) < 200 THEN 'short_content' END], lambda x: x IS NOT NULL), ',') AS issues FROM a""")
+_BAD = " OR ".join([*(f"contains(c, {'chr(65533)' if t == chr(65533) else chr(39) + t + chr(39)})" for t in T.GARBAGE_TEXTS), *(f"contains(lower(c), '{p}')" for p in T.GARBAGE_PHRASES)])
+_RUNS = "|".join(p.replace(r"\w", r"\p{L}\p{N}").replace(r"\x7F-\xFF", r"\x{7F}-\x{FF}") for p in T.GARBAGE_RUNS).replace("'", "''")
+_TRIM = lambda x: rf"regexp_replace(coalesce({x}, ''), '^\s+|\s+$', '', 'g')"
+
+
+@query("article_issues", rf"""WITH {ARTICLES}, a AS (SELECT article_id, {_TRIM("title")} AS t, coalesce(content, '') AS c, {_TRIM("content")} AS x FROM articles)
+    SELECT article_id, array_to_string(list_filter([CASE WHEN t = '' THEN 'missing_title' END, CASE WHEN t <> '' AND length(t) < 5 THEN 'short_title' END, CASE WHEN length(t) > 500 THEN 'long_title' END, CASE WHEN x = '' THEN 'missing_content' END,
+    CASE WHEN x <> '' AND (length(regexp_replace(c, '[^\[\]{{}}|\\]', '', 'g')) / nullif(length(c), 0) > 0.15 OR regexp_matches(c, '{_RUNS}') OR {_BAD}) THEN 'garbage' END,
+    CASE WHEN x <> '' AND ({" OR ".join(f"contains(lower(c), '{p}')" for p in T.FAILURE_PHRASES)}) THEN 'extraction_failed' END, CASE WHEN x <> '' AND regexp_matches(c, '[\x00-\x08\x0B\x0C\x0E-\x1F]') THEN 'control_characters' END,
+    CASE WHEN x <> '' AND contains(c, chr(65533)) THEN 'broken_characters' END, CASE WHEN x <> '' AND length(x) < 200 THEN 'short_content' END], lambda x: x IS NOT NULL), ',') AS issues FROM a""")
 def article_issues(spark, sf):
     return listings.issues(articles(spark, sf))
 
@@ -123,8 +129,10 @@ def workflow_eligibility(spark, sf):
     return listings.eligible(articles(spark, sf), executions(spark, sf), T.hunt_score(F.col("content")), threshold=3)
 
 
-@query("content_type", f"""WITH {ARTICLES}, a AS (SELECT article_id, lower(coalesce(title, '')) AS t FROM articles) SELECT article_id, CASE WHEN contains(t, 'podcast') OR contains(t, 'episode') THEN 'podcast'
-    WHEN contains(t, 'announc') OR contains(t, 'release') THEN 'announcement' WHEN contains(t, 'analysis') OR contains(t, 'report') THEN 'analysis' ELSE 'article' END AS content_type FROM a""")
+_CUES = " ".join(f"WHEN {' OR '.join(f'contains(t, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{kind}'" for kind, words in listings.TYPE_CUES.items())
+
+
+@query("content_type", f"WITH {ARTICLES}, a AS (SELECT article_id, lower(coalesce(title, '')) AS t FROM articles) SELECT article_id, CASE {_CUES} ELSE 'article' END AS content_type FROM a")
 def content_type(spark, sf):
     return listings.content_type(articles(spark, sf))
 

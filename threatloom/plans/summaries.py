@@ -18,7 +18,7 @@ _ANY = lambda tier: reduce(lambda a, b: a | b, T.hits(F.col("content"), T.KEYWOR
 _ANY_SQL = lambda tier: "(" + " OR ".join(keyword_sql(w) for w in T.KEYWORDS[tier]) + ")"
 
 
-@query("score_histogram", f"WITH {_SCORED} SELECT CASE WHEN hs IS NULL THEN 'Null' WHEN hs = 0 THEN '0' ELSE CAST(CAST(floor(hs / 10) * 10 AS INTEGER) AS VARCHAR) END AS bucket, count(*) AS n FROM s GROUP BY 1")
+@query("score_histogram", f"WITH {_SCORED} SELECT CASE WHEN hs IS NULL THEN 'Null' WHEN hs = 0 THEN '0' WHEN hs >= 0.1 AND hs <= 10 THEN '1-10' WHEN hs >= 10.1 AND hs <= 25 THEN '11-25' WHEN hs >= 25.1 AND hs <= 50 THEN '26-50' WHEN hs >= 50.1 AND hs <= 75 THEN '51-75' WHEN hs >= 75.1 AND hs <= 90 THEN '76-90' WHEN hs >= 90.1 AND hs <= 99 THEN '91-99' WHEN hs >= 99.1 AND hs <= 100 THEN '99-100' ELSE 'Unknown' END AS bucket, count(*) AS n FROM s GROUP BY 1")
 def score_histogram(spark, sf):
     a = articles(spark, sf).select(_hs().alias("hs"))
     return S.score_histogram(a, F.col("hs"))
