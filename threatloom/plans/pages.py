@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threatloom.plans.registry import query
-from threatloom.sources import feeds, pages
+from threatloom.sources import discovery, feeds, pages
 from threatloom.views import table
 
 _ENTITIES = lambda c: f"replace(replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')"
@@ -47,3 +47,24 @@ def sitemap_urls(spark, sf):
     """Every page's address as a sitemap of its own, written as XML and read back."""
     xml = F.concat(F.lit("<urlset><url><loc>\n "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url></urlset>"))
     return feeds.sitemap_urls(table(spark, sf, "pages").select("page_id", xml.alias("xml")), "page_id", "xml")
+
+
+_LINKS = r"""h AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS label, unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)))) AS position FROM pages),
+    l AS (SELECT page_id, url, CAST(position AS INTEGER) AS position, label, regexp_replace(lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) || href), '/+$', '') AS address FROM h)"""
+
+
+@query("page_links", f"WITH {_LINKS} SELECT page_id, position, trim(regexp_replace(label, '[ \\t\\r\\n\\f\\v]+', ' ', 'g')) AS label, address FROM l")
+def page_links(spark, sf):
+    return discovery.links(table(spark, sf, "pages").select("page_id", "url", "html")).select("page_id", "position", "label", "address")
+
+
+@query("listing_links", f"WITH {_LINKS} SELECT DISTINCT url AS listing, address FROM l")
+def listing_links(spark, sf):
+    """Every page is a listing of its own; the entries of its lists are the articles."""
+    p = table(spark, sf, "pages")
+    return discovery.discover(p, p, "nav ul li a", "a.next")
+
+
+@query("pattern_links", f"WITH {_LINKS} SELECT DISTINCT url, address FROM l WHERE regexp_matches(address, '^https?://[^/]+/t')")
+def pattern_links(spark, sf):
+    return discovery.by_pattern(table(spark, sf, "pages"), [r"https?://[^/]+/t"])
