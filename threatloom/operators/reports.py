@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatloom.functions.text import hunt_score, matches
+from threatloom.operators.selection import medians
 from threatloom.session import written
 from threatloom.views import pct
 
@@ -67,18 +68,17 @@ def score_bands_daily(checks: DataFrame) -> DataFrame:
 
 def check_overview(checks: DataFrame) -> DataFrame:
     rt = F.when(F.col("response_time") > 0, F.col("response_time"))
-    return checks.agg(
-        F.count(F.lit(1)).alias("total"),
-        count_if(~F.col("success")).alias("failed"),
-        F.round(F.percentile(rt, 0.5), 6).alias("median_response"),
-    ).withColumn("error_rate", pct(F.col("failed"), F.col("total"), 2))
+    counts = checks.agg(F.count(F.lit(1)).alias("total"), count_if(~F.col("success")).alias("failed"), F.lit(0).alias("__all"))
+    median = medians(checks.withColumn("__all", F.lit(0)), "__all", rt)
+    joined = counts.join(median, "__all", "left").select("total", "failed", F.round("median", 6).alias("median_response"))
+    return joined.withColumn("error_rate", pct(F.col("failed"), F.col("total"), 2))
 
 
 def check_by_source(checks: DataFrame) -> DataFrame:
     rt = F.when(F.col("response_time") > 0, F.col("response_time"))
-    return checks.groupBy("source_id").agg(
-        F.count(F.lit(1)).alias("total"), count_if(~F.col("success")).alias("failed"), F.round(F.percentile(rt, 0.5), 6).alias("median_response")
-    )
+    counts = checks.groupBy("source_id").agg(F.count(F.lit(1)).alias("total"), count_if(~F.col("success")).alias("failed"))
+    median = medians(checks, "source_id", rt).select(F.col("source_id").alias("__source"), F.round("median", 6).alias("median_response"))
+    return counts.join(median, F.col("source_id").eqNullSafe(F.col("__source")), "left").drop("__source")
 
 
 def source_health(checks: DataFrame) -> DataFrame:
