@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from threatloom.functions import strings as S
 from threatloom.functions import text as T
-from threatloom.operators import vectors
+from threatloom.operators import vector_dedup, vectors
 from threatloom.plans.registry import ARTICLES, query
 from threatloom.views import articles, table
 
@@ -109,3 +109,9 @@ def vector_search_by_label(spark, sf):
 @query("section_similarity", "SELECT l_orderkey, l_linenumber, round(0.042 * l_discount + 0.042 * l_tax + 0.042 * l_discount + 0.874 * l_tax, 6) AS similarity FROM lineitem")
 def section_similarity(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(vectors.section_similarity("l_discount", "l_tax", "l_discount", "l_tax"), 6).alias("similarity"))
+
+
+@query("vector_classes")
+def vector_classes(spark, sf):
+    """All vectors by class of similar ones; found through projections, so it has no SQL: a test measures its recall against all pairs."""
+    return vector_dedup.vector_classes(table(spark, sf, "embeddings"), threshold=0.85)
