@@ -152,3 +152,41 @@ def content_type(articles: DataFrame) -> DataFrame:
     t = F.lower(F.coalesce("title", F.lit("")))
     found = first_reason(*((reduce(lambda a, b: a | b, (F.contains(t, F.lit(w)) for w in words)), kind) for kind, words in TYPE_CUES.items()))
     return articles.select("article_id", F.when(found == "ok", "article").otherwise(found).alias("content_type"))
+
+
+# Phrases of titles that tell of no threat, matched as plain text.
+TITLE_PHRASES = (
+    "job posting", "careers", "hiring", "we are hiring", "join our team", "press release", "gartner", "company news", "partnership announcement", "webinar", "event", "conference", "training", "workshop",
+    "newsletter", "subscribe", "unsubscribe", "privacy policy", "terms of service", "cookie policy", "about us", "contact us", "advertisement", "sponsored", "promotion", "discount", "CFP Trackerproduct launch",
+    "new product", "feature update", "maintenance", "downtime", "scheduled maintenance", "outage", "the state of", "office hours",
+)
+
+
+def title_blocked(articles: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """article_id, whether its title is blocked, and the first phrase that blocks it; an empty title is blocked without one."""
+    title = F.lower(F.coalesce("title", F.lit("")))
+    phrases = F.array(*map(F.lit, (*TITLE_PHRASES, *extra)))
+    first = F.get(F.filter(phrases, lambda p: F.contains(title, p)), F.lit(0))
+    return articles.select("article_id", ((title == "") | first.isNotNull()).alias("blocked"), first.alias("phrase"))
+
+
+# Words that tell of a threat, in their order.
+THREAT_WORDS = (
+    "malware", "ransomware", "phishing", "apt", "attack", "vulnerability", "exploit", "breach", "campaign", "threat", "security", "incident", "botnet", "trojan", "backdoor", "spyware", "rootkit", "zero-day",
+)
+
+
+def enhanced(articles: DataFrame, *, as_of: str) -> DataFrame:
+    """What is kept beside an article: threat words, day, month and year of publication, age in days, and of HTML its reading time, images, links and headings (ten)."""
+    content = F.coalesce("content", F.lit(""))
+    markup = F.contains(content, F.lit("<"))
+    words = F.filter(F.array(*map(F.lit, THREAT_WORDS)), lambda w: F.contains(F.lower(content), w))
+    count = lambda p: F.when(markup, F.regexp_count(content, F.lit("(?is)" + p)))
+    headings = F.flatten(F.array(*(F.regexp_extract_all(content, F.lit(rf"(?is)<h{n}\b[^>]*>(.*?)</h{n}>"), F.lit(1)) for n in range(1, 7))))
+    plain = F.transform(F.slice(headings, 1, 10), lambda h: F.trim(F.regexp_replace(h, "<[^>]*>", "")))
+    when = F.col("published_at")
+    return articles.select(
+        "article_id", words.alias("threat_words"), F.size(words).alias("threat_word_count"), F.date_format(when, "EEEE").alias("day_of_week"), F.date_format(when, "MMMM").alias("month"), F.year(when).alias("year"),
+        F.floor(F.timestamp_diff("SECOND", when, F.lit(as_of).cast("timestamp_ntz")) / 86400).cast("int").alias("age_days"),
+        F.when(markup, F.greatest(F.lit(1), F.floor(F.regexp_count(content, F.lit(r"\S+")) / 200))).cast("int").alias("reading_minutes"), count(r"<img\b").alias("images"), count(r"<a\b[^>]*\bhref\s*=").alias("links"), F.when(markup, plain).alias("headings"),
+    )

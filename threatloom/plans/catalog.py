@@ -334,4 +334,4 @@ def html_title(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"))
 
 
-from threatloom.plans import classifier, comparison, coverage, evaluation, keywords, labels, listings, pages, retrieval, rules, snippets, streams, strings, summaries  # noqa: E402, F401  (they register their queries)
+from threatloom.plans import classifier, comparison, coverage, evaluation, keywords, labels, listings, pages, retrieval, rule_scores, rules, snippets, streams, strings, summaries  # noqa: E402, F401  (they register their queries)
