@@ -21,8 +21,8 @@ doc_id the least is learnt from; a null doc_id is scored and not held out; witho
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -48,8 +48,9 @@ PRIOR_WEIGHT = 0.05
 THRESHOLD = 0.3
 #: Examples whose neighbours the driver looks for at once.
 FIT_ROWS = 50
-#: Words remembered by a worker.
-CACHE_WORDS = 300_000
+#: Characters of a word that is looked up with others of its batch.
+SHORT = 16
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -71,51 +72,120 @@ class Terms:
         return Terms(self.texts, self.text, self.term, w / np.where(norm > 0, norm, 1)[self.text])
 
 
+class WordTable:
+    """Numbers of words by open addressing; a word of up to SHORT characters of the basic plane is its own key, in SHORT // 4 numbers of 64 bits."""
+
+    def __init__(self, words: list[str], numbers: list[int]):
+        short = [len(w) <= SHORT and max(map(ord, w), default=0) < 1 << 16 for w in words]
+        self.other = {w: n for w, n, s in zip(words, numbers, short, strict=True) if not s}
+        words, numbers = [w for w, s in zip(words, short, strict=True) if s], np.array([n for n, s in zip(numbers, short, strict=True) if s], dtype=np.int64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        self.keys, self.numbers = packed(codes, np.cumsum(sizes) - sizes, sizes), numbers
+        self.slots = np.full(1 << max(4, int(3 * len(words)).bit_length()), -1, dtype=np.int32)
+        todo, at = np.arange(len(words), dtype=np.int32), self.home(self.keys)
+        while len(todo):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = todo[free]  # of several for one slot the last stays
+            left = self.slots[at] != todo
+            at, todo = (at[left] + 1) & (len(self.slots) - 1), todo[left]
+
+    def home(self, keys: np.ndarray) -> np.ndarray:
+        h = np.zeros(keys.shape[1], dtype=np.uint64)
+        for part in keys:
+            h = (h ^ part) * _MIX
+            h ^= h >> np.uint64(31)
+        return (h & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 if there is none."""
+        at = self.home(keys)
+        entry = self.slots[at]
+        if not len(self.numbers):
+            return np.full(len(entry), -1, dtype=np.int64)
+        differs = lambda e, k: (self.keys[:, e] != k).any(0)
+        wrong = np.flatnonzero((entry >= 0) & differs(entry, keys))
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & (len(self.slots) - 1)
+            entry[wrong] = self.slots[at[wrong]]
+            wrong = wrong[(entry[wrong] >= 0) & differs(entry[wrong], keys[:, wrong])]
+        return np.where(entry >= 0, self.numbers[entry], -1)
+
+
+def packed(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The first SHORT characters of words as numbers, 16 bits a character."""
+    out = np.zeros((SHORT // 4, len(starts)), dtype=np.uint64)
+    left = np.arange(len(starts))
+    for k in range(SHORT):
+        left = left[sizes[left] > k]
+        if not len(left):
+            break
+        out[k // 4, left] |= codes[starts[left] + k].astype(np.uint64) << np.uint64(16 * (k % 4))
+    return out
+
+
 class TermCounter:
-    """Counts texts' terms of the vocabulary, with a bounded memory of words."""
+    """Counts texts' terms of the vocabulary, all words of a batch at once."""
 
     def __init__(self, terms: list[str]):
         self.size = len(terms)
-        self.whole = {t: i for i, t in enumerate(terms) if not t.endswith("*")}
-        self.begins = [(n, {t[:n]: i for i, t in enumerate(terms) if len(t) == n + 1 and t.endswith("*")}) for n in PREFIXES]
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def of_word(self, word: str) -> tuple[int, ...]:
-        found = [ids[word[:n]] for n, ids in self.begins if len(word) > n and word[:n] in ids]
-        if (i := self.whole.get(word)) is not None:
-            found.append(i)
-        return tuple(found)
-
-    def keys(self, each: list) -> tuple[np.ndarray, np.ndarray]:
-        """text * size + term of all terms of each text's different words, and how many terms each word has."""
-        words = list(chain.from_iterable(each))
-        if new := set(words).difference(self.known):
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-                new = set(words)
-            self.known.update(zip(new, map(self.of_word, new), strict=True))
-        hits = list(map(self.known.__getitem__, words))
-        sizes = np.fromiter(map(len, hits), dtype=np.int64, count=len(hits))
-        term = np.fromiter(chain.from_iterable(hits), dtype=np.int64, count=int(sizes.sum()))
-        text = np.repeat(np.arange(len(each)), [len(c) for c in each])
-        return np.repeat(text, sizes) * self.size + term, sizes
+        whole = [(t, i) for i, t in enumerate(terms) if not t.endswith("*")]
+        self.whole = WordTable([t for t, _ in whole], [i for _, i in whole])
+        begins = {n: [(t[:n], i) for i, t in enumerate(terms) if len(t) == n + 1 and t.endswith("*")] for n in PREFIXES}
+        self.begins = {n: WordTable([t for t, _ in found], [i for _, i in found]) for n, found in begins.items()}
+
+    def found(self, texts: list[str | None]) -> np.ndarray:
+        """text * size + term of every term of every word."""
+        lowered = [(t or "").lower() for t in texts]
+        whole = "\n".join(["", *lowered, ""])
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        edges = np.flatnonzero(np.diff(is_letter()[codes].astype(np.int8)))
+        starts, ends = edges[::2] + 1, edges[1::2] + 1
+        sizes = ends - starts
+        text = np.searchsorted(np.cumsum([1, *(len(t) + 1 for t in lowered)]), starts, "right") - 1
+        far = np.append(0, np.cumsum(codes >= 1 << 16))
+        plain = far[ends] == far[starts]
+        keys = packed(codes, starts, np.where(plain, sizes, 0))
+        out = []
+
+        def add(rows: np.ndarray, terms: np.ndarray) -> None:
+            hit = terms >= 0
+            out.append(text[rows[hit]] * self.size + terms[hit])
+
+        short = np.flatnonzero(plain & (sizes <= SHORT))
+        add(short, self.whole.find(keys[:, short]))
+        odd = np.flatnonzero(~plain | (sizes > SHORT))
+        words = [whole[a:z] for a, z in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)]
+        add(odd, np.array([self.whole.other.get(w, -1) for w in words], dtype=np.int64))
+        for n, table in self.begins.items():
+            longer = np.flatnonzero(plain & (sizes > n))
+            mask = np.array([(1 << 16 * min(4, max(0, n - 4 * k))) - 1 for k in range(SHORT // 4)], dtype=np.uint64)
+            add(longer, table.find(keys[:, longer] & mask[:, None]))
+            far_words = np.flatnonzero(~plain & (sizes > n))
+            begins = [whole[a : a + n] for a in starts[far_words].tolist()]
+            # A beginning may be plain though its word isn't.
+            some = [table.other.get(b, -1) if max(map(ord, b)) >= 1 << 16 else int(table.find(packed(np.array(list(map(ord, b))), np.zeros(1, dtype=np.int64), np.array([n])))[0]) for b in begins]
+            add(far_words, np.array(some, dtype=np.int64))
+        return np.sort(np.concatenate(out))
 
     def counts(self, texts: list[str | None]) -> Terms:
-        each = [Counter(WORD.findall((t or "").lower())) for t in texts]
-        key, sizes = self.keys(each)
-        n = np.fromiter(chain.from_iterable(c.values() for c in each), dtype=np.int64, count=len(sizes))
-        order = np.argsort(key)
-        key = key[order]
+        key = self.found(texts)
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-        n = np.add.reduceat(np.repeat(n, sizes)[order], first) if len(first) else np.zeros(0, dtype=np.int64)
+        n = np.diff(np.append(first, len(key)))
         return Terms(len(texts), key[first] // max(1, self.size), key[first] % max(1, self.size), n)
 
     def frequencies(self, texts: list[str | None]) -> np.ndarray:
         """How many of the texts hold each term."""
-        key = np.sort(self.keys([set(WORD.findall((t or "").lower())) for t in texts])[0])
+        key = self.found(texts)
         return np.bincount(key[np.append(True, key[1:] != key[:-1])[: len(key)]] % max(1, self.size), minlength=self.size)
 
 
+@lru_cache(maxsize=1)
+def is_letter() -> np.ndarray:
+    """Of each code point whether WORD matches it."""
+    return np.array([c.isalnum() and not c.isdecimal() for c in map(chr, range(0x110000))])
+
+
 def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All positions of ranges that begin at first."""
     return np.arange(int(sizes.sum())) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
