@@ -2,43 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatloom.functions.text import KEYWORDS, hits
 from threatloom.operators.labels import keyword_verdict
+from threatloom.session import map_rows
+
+
+CHUNK = "article_id long, chunk int, start int, end int, chunk_text string"
+
+
+def cut(articles: DataFrame, ends: Callable[[str], Iterator[tuple[int, int]]]) -> DataFrame:
+    """A row for each piece that ends(text) gives, cut inside Arrow batches: one pass over a text, however many pieces it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+        for batch in batches:
+            for article_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows := [(article_id, i, a, z, text[a:z]) for i, (a, z) in enumerate(ends(text or ""))]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["article_id", "chunk", "start", "end", "chunk_text"])
+
+    return map_rows(articles.select(F.col("article_id").cast("long").alias("article_id"), "content"), run, CHUNK)
 
 
 def fixed_chunks(articles: DataFrame, *, size: int = 1000, overlap: int = 200) -> DataFrame:
     """Chunks of size characters, each overlapping the one before; nothing of an empty content."""
-    step = size - overlap
-    starts = F.when(F.length("content") > 0, F.sequence(F.lit(0), F.greatest(F.length("content") - overlap - 1, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
-    cut = articles.select("article_id", "content", F.posexplode(starts).alias("chunk", "start"))
-    piece = F.substring(F.col("content"), F.col("start") + 1, F.lit(size))
-    return cut.select("article_id", "chunk", "start", (F.col("start") + F.length(piece)).alias("end"), piece.alias("chunk_text"))
+    return cut(articles, lambda text: ((a, min(a + size, len(text))) for a in range(0, max(len(text) - overlap, 1) if text else 0, size - overlap)))
 
 
 def sentence_chunks(articles: DataFrame, *, size: int = 1000, overlap: int = 200) -> DataFrame:
     """Chunks whose end moves back to the last full stop of the final 100 characters, if there is one; always moves forward."""
-    text, n = F.col("content"), F.length("content")
-    last = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<start:int,end:int>>").alias("done"))
-    rounds = F.sequence(F.lit(0), F.floor(n / (size - overlap - 100)).cast("int"))
-
-    def advance(acc: Column, _: Column) -> Column:
-        start = acc["next"]
-        hard = F.least(start + size, n)
-        tail = F.substring(text, hard - 99, F.lit(100))
-        back = F.instr(F.reverse(tail), ".")
-        end = F.when((hard < n) & (back > 0), hard - back + 1).otherwise(hard)
-        following = F.when(end >= n, n).otherwise(F.greatest(end - overlap, start + 1))
-        more = F.concat(acc["done"], F.array(F.struct(start.alias("start"), end.alias("end"))))
-        return F.when(start >= n, acc).otherwise(F.struct(following.alias("next"), more.alias("done")))
-
-    spans = F.aggregate(rounds, last, advance)["done"]
-    cut = articles.where(n > 0).select("article_id", "content", F.posexplode(spans).alias("chunk", "s"))
-    return cut.select("article_id", "chunk", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.substring(F.col("content"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("chunk_text"))
+
+    def ends(text: str) -> Iterator[tuple[int, int]]:
+        start = 0
+        while start < len(text):
+            end = min(start + size, len(text))
+            if end < len(text) and (stop := text.rfind(".", max(0, end - 100), end)) >= 0:
+                end = stop + 1
+            yield start, end
+            start = len(text) if end >= len(text) else max(end - overlap, start + 1)
+
+    return cut(articles, ends)
 
 
 def features(text: Column, registry: dict[str, list[str]] = KEYWORDS) -> list[Column]:

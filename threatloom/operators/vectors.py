@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatloom.functions.text import cosine
@@ -11,9 +11,13 @@ from threatloom.functions.text import cosine
 BLOCK_VECTORS, BLOCK_QUERIES = 20_000, 500
 
 
-def top_k(vectors: DataFrame, query: list[float], k: int, *, threshold: float | None = None, prefilter: bool = False) -> DataFrame:
-    """The k nearest by cosine. The threshold comes after the limit unless prefilter is set."""
-    q = F.array(*(F.lit(float(x)) for x in query))
+def as_column(query: list[float] | Column) -> Column:
+    return query if isinstance(query, Column) else F.array(*(F.lit(float(x)) for x in query))
+
+
+def top_k(vectors: DataFrame, query: list[float] | Column, k: int, *, threshold: float | None = None, prefilter: bool = False) -> DataFrame:
+    """The k nearest by cosine to a vector, or to a column that holds it. The threshold comes after the limit unless prefilter is set."""
+    q = as_column(query)
     scored = vectors.where(F.col("embedding").isNotNull()).withColumn("similarity", F.round(cosine(F.col("embedding"), q), 6))
     keep = F.lit(True) if threshold is None else F.col("similarity") >= threshold
     if prefilter:
@@ -50,9 +54,9 @@ def section_similarity(title: str, description: str, tags: str, signature: str):
     return 0.042 * F.col(title) + 0.042 * F.col(description) + 0.042 * F.col(tags) + 0.874 * F.col(signature)
 
 
-def best_per_label(vectors: DataFrame, query: list[float], *, threshold: float) -> DataFrame:
+def best_per_label(vectors: DataFrame, query: list[float] | Column, *, threshold: float) -> DataFrame:
     """The nearest vector of each label, by pre-aggregation, and whether it meets the threshold."""
-    q = F.array(*(F.lit(float(x)) for x in query))
+    q = as_column(query)
     scored = vectors.where(F.col("embedding").isNotNull()).select("label", "vec_id", F.round(cosine(F.col("embedding"), q), 6).alias("similarity"))
     best = scored.groupBy("label").agg(F.max(F.struct("similarity", (-F.col("vec_id")).alias("back"))).alias("m"))
     return best.select("label", (-F.col("m.back")).alias("vec_id"), F.col("m.similarity").alias("similarity"), (F.col("m.similarity") >= threshold).alias("meets_threshold"))

@@ -260,7 +260,10 @@ def chunks_fixed(spark, sf):
     return chunks.fixed_chunks(articles(spark, sf))
 
 
-@query("chunks_sentence")
+@query("chunks_sentence", f"""WITH RECURSIVE {_ARTICLES}, c AS (SELECT article_id, content, length(content) AS n, CAST(0 AS BIGINT) AS chunk, CAST(0 AS BIGINT) AS start, CAST(NULL AS BIGINT) AS "end" FROM articles WHERE length(content) > 0),
+    e AS (SELECT article_id, content, n, chunk, start, CASE WHEN start + 1000 < n AND strpos(reverse(substr(content, start + 901, 100)), '.') > 0 THEN start + 1001 - strpos(reverse(substr(content, start + 901, 100)), '.') ELSE least(start + 1000, n) END AS "end" FROM c
+        UNION ALL SELECT article_id, content, n, chunk + 1, s, CASE WHEN s + 1000 < n AND strpos(reverse(substr(content, s + 901, 100)), '.') > 0 THEN s + 1001 - strpos(reverse(substr(content, s + 901, 100)), '.') ELSE least(s + 1000, n) END FROM (SELECT *, greatest("end" - 200, start + 1) AS s FROM e WHERE "end" < n))
+    SELECT article_id, CAST(chunk AS INTEGER) AS chunk, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", substr(content, start + 1, "end" - start) AS chunk_text FROM e""")
 def chunks_sentence(spark, sf):
     return chunks.sentence_chunks(articles(spark, sf))
 

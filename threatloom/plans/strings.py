@@ -90,20 +90,23 @@ def platform_labels(spark, sf):
 _ONE = "(SELECT embedding AS q FROM embeddings WHERE vec_id = 0)"
 
 
-def _first(spark, sf):
-    return [float(x) for x in table(spark, sf, "embeddings").where("vec_id = 0").first()["embedding"]]
+def _beside_first(spark, sf):
+    """All vectors with that of id 0 beside them, in column q: one row is sent to all tasks. Without such a vector there are no rows."""
+    e = table(spark, sf, "embeddings")
+    one = e.where("vec_id = 0 AND embedding IS NOT NULL").select(F.col("embedding").alias("q")).limit(1)
+    return e.join(F.broadcast(one), F.lit(True))
 
 
 @query("vector_search", f"SELECT vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS similarity FROM embeddings, {_ONE} WHERE embedding IS NOT NULL ORDER BY similarity DESC, vec_id LIMIT 12")
 def vector_search(spark, sf):
     """The twelve vectors nearest to that of id 0: a top-k search of one query."""
-    return vectors.top_k(table(spark, sf, "embeddings"), _first(spark, sf), 12).select("vec_id", "label", "similarity")
+    return vectors.top_k(_beside_first(spark, sf), F.col("q"), 12).select("vec_id", "label", "similarity")
 
 
 @query("vector_search_by_label", f"WITH s AS (SELECT vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS similarity FROM embeddings, {_ONE} WHERE embedding IS NOT NULL) SELECT DISTINCT ON (label) label, vec_id, similarity, similarity >= 0.2 AS meets_threshold FROM s ORDER BY label, similarity DESC, vec_id")
 def vector_search_by_label(spark, sf):
     """The first hit of each label, as chunk hits are reduced to one for each article; every label stays, with whether it meets the threshold."""
-    return vectors.best_per_label(table(spark, sf, "embeddings"), _first(spark, sf), threshold=0.2)
+    return vectors.best_per_label(_beside_first(spark, sf), F.col("q"), threshold=0.2)
 
 
 @query("section_similarity", "SELECT l_orderkey, l_linenumber, round(0.042 * l_discount + 0.042 * l_tax + 0.042 * l_discount + 0.874 * l_tax, 6) AS similarity FROM lineitem")
