@@ -61,9 +61,25 @@ def test_license_scan(docs, spark):
     assert license_scan.to_polish("mit or apache-2.0 and bsd") == ["mit", "apache-2.0", "bsd", "and", "or"]
     assert license_scan.to_polish("mit or") is None and license_scan.to_polish("(mit") is None
     assert license_scan.evaluate(["gpl-3.0", "mit", "or"]) == ({"gpl", "mit"}, 1.0)
+    assert license_scan.evaluate(["licenseref-acme"]) == ({"licenseref-acme"}, None) and license_scan.evaluate(["foo-2.0", "mit", "and"]) == ({"foo-2.0", "mit"}, 1.0)
+    assert license_scan.evaluate(["see"]) == (set(), None) and license_scan.evaluate(["cc-by-nc-4.0"]) == ({"cc"}, 0.1) and license_scan.evaluate(["mitre-x"]) == (set(), None)
+    assert license_scan.evaluate(["agpl-3.0", "epl-2.0", "classpath-exception-2.0", "with", "or"]) == ({"agpl", "epl"}, 0.8)
     assert license_scan.scan_licenses(docs).count() == docs.count() and license_scan.scan_licenses(empty(docs)).count() == 0
 
 
+def test_license_scan_equals_brute_force_on_driver_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    phrases = {**license_scan.BASE, **license_scan.MORE}
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for r in license_scan.scan_licenses(docs).collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), texts[r.doc_id] or ""))
+        places = {p: [i for i in range(len(words)) if words[i : i + len(p.split())] == p.split()] for p in phrases if p.split()[0] in words}
+        base = sorted(i for p in license_scan.BASE for i in places.get(p, []))
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(base), base[0] if base else None, base[-1] if base else None)
+        assert r.base_labels == ",".join(sorted({license_scan.BASE[p] for p in license_scan.BASE if places.get(p)}))
+        assert {phrases[p] for p, at in places.items() if at} <= set(r.labels.split(","))
+
+
 def brute_removed(texts, w):
     seen = Counter(t[i : i + w] for t in texts for i in range(len(t) - w + 1))
     out = []

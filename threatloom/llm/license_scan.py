@@ -4,12 +4,12 @@ A text is lower-cased (A-Z only) and cut into words; one automaton runs over the
 single spaces and finds, in one pass, every phrase of the table and every identifier tag. After a
 tag, the expression on the same line is parsed to reverse Polish order and evaluated: an identifier
 has its family and its permissiveness, OR takes the most permissive side, AND the least, and WITH an
-exception moves its licence half-way to permissive.
+exception moves its licence half-way to permissive. An identifier that isn't in the table is a label of its own.
 
 score is the evidence for a licence: 1 - 2 ** -(notices + 2 * valid expressions), 0 without any.
 
 Defined cases: a null or empty text has no words, no labels and score 0; overlapping phrases all
-count; an expression that doesn't parse gives no label; repeated rows are scanned each on its own;
+count; an expression that doesn't parse, or names no identifier, gives no label; repeated rows are scanned each on its own;
 further columns are ignored; an empty table gives an empty result.
 """
 
@@ -30,39 +30,27 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Further phrases of the method.
 MORE = {
-    "lesser general public license": "lgpl",
-    "affero general public license": "agpl",
-    "mozilla public license": "mpl",
-    "eclipse public license": "epl",
-    "bsd license": "bsd",
-    "isc license": "isc",
-    "creative commons": "cc",
-    "cc by": "cc",
-    "cc0": "cc0",
-    "all rights reserved": "proprietary",
-    "redistribution and use in source and binary forms": "bsd",
-    "permission is hereby granted free of charge": "mit",
-}
+    "lesser general public license": "lgpl", "library general public license": "lgpl", "gnu lgpl": "lgpl", "affero general public license": "agpl", "gnu agpl": "agpl", "gnu gpl": "gpl", "gplv2": "gpl", "gplv3": "gpl", "lgplv2": "lgpl", "lgplv3": "lgpl",
+    "gnu free documentation license": "gfdl", "mozilla public license": "mpl", "eclipse public license": "epl", "eclipse distribution license": "bsd", "common development and distribution license": "cddl", "common public license": "cpl",
+    "european union public licence": "eupl", "microsoft public license": "ms-pl", "microsoft reciprocal license": "ms-rl", "artistic license": "artistic", "boost software license": "bsl", "zlib license": "zlib", "zlib libpng license": "zlib",
+    "bsd license": "bsd", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd", "simplified bsd": "bsd", "revised bsd": "bsd", "redistribution and use in source and binary forms": "bsd", "neither the name of": "bsd",
+    "isc license": "isc", "permission to use copy modify and or distribute this software": "isc", "permission is hereby granted free of charge": "mit", "licensed under the mit": "mit", "licensed under the apache": "apache", "apache software license": "apache", "apache software foundation": "apache",
+    "python software foundation license": "psf", "psf license": "psf", "php license": "php", "ruby license": "ruby", "openssl license": "openssl", "w3c software notice": "w3c", "unicode license": "unicode", "postgresql license": "postgresql", "sil open font license": "ofl", "open font license": "ofl",
+    "unlicense": "unlicense", "do what the fuck you want to public license": "wtfpl", "wtfpl": "wtfpl", "public domain": "public-domain", "creative commons": "cc", "cc by": "cc", "cc0": "cc0", "open database license": "odbl", "odc by": "odc-by",
+    "server side public license": "sspl", "business source license": "busl", "elastic license": "elastic", "commons clause": "commons-clause", "all rights reserved": "proprietary", "proprietary and confidential": "proprietary", "for internal use only": "proprietary",
+}
 TAG = "spdx license identifier"
 EXPRESSION = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)")
 TOKEN = re.compile(r"\(|\)|[a-z0-9.+:-]+")
 #: Families by the prefix of an identifier, with how permissive they are.
 FAMILIES = (
-    ("mit", "mit", 1.0),
-    ("0bsd", "bsd", 1.0),
-    ("bsd", "bsd", 1.0),
-    ("isc", "isc", 1.0),
-    ("apache", "apache", 0.95),
-    ("unlicense", "unlicense", 1.0),
-    ("cc0", "cc0", 1.0),
-    ("cc-by-nc", "cc", 0.1),
-    ("cc-by", "cc", 0.8),
-    ("mpl", "mpl", 0.6),
-    ("epl", "epl", 0.6),
-    ("lgpl", "lgpl", 0.5),
-    ("agpl", "agpl", 0.1),
-    ("gpl", "gpl", 0.2),
-)
+    ("mit-0", "mit", 1.0), ("mit", "mit", 1.0), ("x11", "mit", 1.0), ("expat", "mit", 1.0), ("0bsd", "bsd", 1.0), ("bsd", "bsd", 1.0), ("isc", "isc", 1.0), ("zlib", "zlib", 1.0), ("bsl", "bsl", 1.0), ("unlicense", "unlicense", 1.0), ("wtfpl", "wtfpl", 1.0), ("cc0", "cc0", 1.0), ("pddl", "pddl", 1.0),
+    ("postgresql", "postgresql", 1.0), ("ncsa", "ncsa", 1.0), ("python", "psf", 0.95), ("psf", "psf", 0.95), ("php", "php", 0.9), ("ruby", "ruby", 0.9), ("openssl", "openssl", 0.9), ("w3c", "w3c", 0.95), ("unicode", "unicode", 0.95), ("apache", "apache", 0.95), ("ms-pl", "ms-pl", 0.8), ("artistic", "artistic", 0.8), ("ofl", "ofl", 0.8), ("afl", "afl", 0.8),
+    ("cc-by-nc", "cc", 0.1), ("cc-by-nd", "cc", 0.2), ("cc-by-sa", "cc", 0.5), ("cc-by", "cc", 0.8), ("odc-by", "odc-by", 0.8), ("odbl", "odbl", 0.5), ("mpl", "mpl", 0.6), ("epl", "epl", 0.6), ("cddl", "cddl", 0.6), ("cpl", "cpl", 0.6), ("eupl", "eupl", 0.4), ("ms-rl", "ms-rl", 0.5), ("osl", "osl", 0.3),
+    ("lgpl", "lgpl", 0.5), ("gfdl", "gfdl", 0.3), ("agpl", "agpl", 0.1), ("gpl", "gpl", 0.2), ("sspl", "sspl", 0.05), ("busl", "busl", 0.05), ("elastic", "elastic", 0.05),
+)
+#: What an identifier that isn't in the table looks like; it is a label of its own and says nothing about permissiveness.
+UNKNOWN = re.compile(r"licenseref-[a-z0-9.-]+|[a-z][a-z0-9.+]*-[a-z0-9.+-]*[0-9][a-z0-9.+-]*")
 PRIORITY = {"or": 1, "and": 2, "with": 3}
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
@@ -105,19 +93,20 @@ def to_polish(expression: str) -> list[str] | None:
     return [*out, *reversed(stack)]
 
 
-def evaluate(polish: list[str]) -> tuple[set[str], float]:
-    """The families that an expression names, and its permissiveness."""
-    stack: list[tuple[set[str], float]] = []
+def evaluate(polish: list[str]) -> tuple[set[str], float | None]:
+    """The labels that an expression names, and its permissiveness, None if no part of it has one."""
+    stack: list[tuple[set[str], float | None]] = []
     for token in polish:
         if token in PRIORITY:
             (right, b), (left, a) = stack.pop(), stack.pop()
             if token == "with":
-                stack.append((left, a + (1 - a) / 2))
+                stack.append((left, None if a is None else a + (1 - a) / 2))
             else:
-                stack.append((left | right, max(a, b) if token == "or" else min(a, b)))
+                known = [x for x in (a, b) if x is not None]
+                stack.append((left | right, (max if token == "or" else min)(known) if known else None))
         else:
-            family = next(((f, p) for prefix, f, p in FAMILIES if token.startswith(prefix)), None)
-            stack.append(({family[0]}, family[1]) if family else (set(), 0.0))
+            family = next(((f, p) for prefix, f, p in FAMILIES if re.match(rf"{re.escape(prefix)}(?![a-z])", token)), None)
+            stack.append(({family[0]}, family[1]) if family else ({token} if UNKNOWN.fullmatch(token) else set(), None))
     return stack[0]
 
 
@@ -148,9 +137,11 @@ def scan(text: str | None, found: ahocorasick.Automaton) -> tuple:
     for m in EXPRESSION.finditer(lowered) if tagged else ():
         if polish := to_polish(m[1]):
             families, value = evaluate(polish)
+            if not families:
+                continue  # prose after the tag
             labels |= families
             expressions.append(" ".join(polish))
-            permissive = value if permissive is None else min(permissive, value)
+            permissive = value if permissive is None else permissive if value is None else min(permissive, value)
     score = 1 - 0.5 ** min(50, notices + 2 * len(expressions))
     return len(words), len(starts), *at, ",".join(sorted(base)), ",".join(sorted(labels)), score, expressions, permissive
 
