@@ -32,6 +32,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, scorer)
 
 
+#: Numbers of texts (partition and row) need less than this beyond the largest id, or below the smallest.
+ROOM = 1 << 62
+
+
 def repeated_ids(docs: DataFrame) -> DataFrame:
     return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1").select("doc_id")
 
@@ -44,7 +48,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = keyed.join(groups.dropDuplicates(["doc_id", "__text_digest"]), on, "left_semi")
     if repeated_ids(docs).isEmpty():
         return kept.select(*docs.columns)
-    return kept.groupBy("doc_id", "__text_digest").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    # A column that has no order (a map, or what holds one) only breaks ties between rows that are equal otherwise.
+    ordered = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString() and docs.schema[c].dataType.simpleString() != "variant"]
+    return kept.groupBy("doc_id", "__text_digest").agg(F.min_by(F.struct(*docs.columns), F.struct(*ordered)).alias("__row")).select("__row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,9 +67,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_copies_by_text(docs: DataFrame, again: DataFrame) -> DataFrame:
     keyed = docs.withColumn("__text_digest", exact_dedup.text_digest(F.col("text")))
-    largest = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
+    key = F.col("doc_id").cast("long")
+    smallest, largest = docs.agg(F.min(key), F.max(key)).first()
     texts = keyed.join(again, "doc_id", "left_semi").select("doc_id", "__text_digest").distinct()
-    ids = reliable(texts.withColumn("__text_id", F.lit(largest + 1) + F.monotonically_increasing_id()))
+    number = F.monotonically_increasing_id()
+    if largest < ROOM:
+        fresh = F.lit(largest + 1) + number
+    elif smallest > -ROOM:
+        fresh = F.lit(smallest - 1) - number
+    else:
+        raise ValueError("the ids of documents reach both ends of 64 bits and leave no room for ids of texts")
+    ids = reliable(texts.withColumn("__text_id", fresh))
     keyed = written(keyed.join(ids, ["doc_id", "__text_digest"], "left").withColumn("__text_id", F.coalesce("__text_id", F.col("doc_id").cast("long"))), "texts")
     groups = minhash_dedup.near_groups(keyed.select(F.col("__text_id").alias("doc_id"), "text"), words=5, percent=80)
     return keyed.join(groups.where(~F.col("kept")).select(F.col("doc_id").alias("__text_id")).distinct(), "__text_id", "left_anti").select(*docs.columns)
