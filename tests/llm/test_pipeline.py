@@ -43,7 +43,7 @@ def test_stages_keep_one_row_of_repeated_ones_and_decide_by_text(spark, tmp_path
     assert len({(2, text(2)), (3, text(2) + " more")} & set(left)) == 1
 
 
-def test_stages_pass_clashing_columns_and_empty_tables(spark):
+def test_stages_pass_clashing_columns_and_empty_tables(spark, tmp_path):
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
     rows = [(1, text(1), "a", 11, 21), (1, text(1), "b", 12, 22), (2, text(1).upper(), "c", 13, 23), (3, text(3), "d", 14, 24), (3, text(4), "e", 15, 25), (None, None, "f", 16, 26)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _sha string, _id long, _n long")
@@ -52,5 +52,33 @@ def test_stages_pass_clashing_columns_and_empty_tables(spark):
     apart = corpus_pipeline.drop_near_copies(spark, once, "")
     assert sorted((r._sha, r._id, r._n) for r in apart.collect()) == [("c", 13, 23), ("d", 14, 24), ("e", 15, 25), ("f", 16, 26)]
     assert corpus_pipeline.mask_secrets(spark, docs, "").columns == docs.columns
+    spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    judged = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert judged.columns == docs.columns and {r._sha for r in judged.collect()} <= set("abcdef")
+    assert corpus_pipeline.drop_toxic(spark, docs.where("false"), str(tmp_path)).count() == 0
     for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies, corpus_pipeline.mask_secrets, corpus_pipeline.pack_windows):
         assert stage(spark, docs.where("false"), "").count() == 0
+
+
+def test_toxic_rows_share_one_fate_and_ties_dont_crash(spark, tmp_path):
+    bad, good = "you idiot trash loser stupid fool", "the river runs past quiet fields"
+    rows = [(i, f"{bad if i % 2 else good} {i % 7}", "x") for i in range(200)]
+    rows += [(1000 + i, f"{bad} 3", "x") for i in range(3)] * 2 + [(2000, f"{good} 3", "x")] * 3 + [(None, f"{bad} 5", "x"), (2001, None, "x"), (2002, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic string")
+    spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    left = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == docs.columns and not [t for _, t in left if t and "idiot" in t]
+    assert left.count((2000, f"{good} 3")) == 3 and len([t for _, t in left if t and "river" in t]) == 103
+
+
+def test_maps_and_ids_at_the_ends(spark, tmp_path):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    docs = spark.sql("SELECT * FROM VALUES (7L, 'same text', map('a', 1)), (7L, 'same text', map('b', 2)), (8L, 'other', map('c', 3)) AS t(doc_id, text, m)")
+    once = corpus_pipeline.drop_copies(spark, docs, "")
+    assert once.columns == docs.columns and sorted(r.doc_id for r in once.collect()) == [7, 8]
+    for ids in ((2**63 - 1, 5), (-(2**63), 5)):
+        rows = [(ids[0], text(1)), (ids[0], text(2)), (ids[1], text(3)), (ids[1], text(1) + " more")]
+        apart = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+        left = [tuple(r) for r in apart.collect()]
+        assert len(left) == 3 and {(ids[0], text(2)), (ids[1], text(3))} <= set(left)
