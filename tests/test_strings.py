@@ -41,3 +41,16 @@ def test_score_clusters(spark):
     rows = [("k", i, s) for i, s in enumerate([0.9, 0.87, 0.84, 0.8, 0.5])] + [("l", 9, 0.1)]
     got = sorted((r.key, r.id, r.cluster) for r in rules.score_clusters(spark.createDataFrame(rows, "key string, id long, score double")).collect())
     assert got == [("k", 0, 1), ("k", 1, 1), ("k", 2, 2), ("k", 3, 2), ("k", 4, 3), ("l", 9, 1)]
+
+
+def test_normal_form(spark):
+    import unicodedata
+
+    texts = [None, "", "Ñandú “Ça” – naïve… © ™ a_b? x;y:z. (w) #1", "e\u0301 \u0301 क् ½ ﬁ ß İ", "tab\t\n x  ", "a: \"'\", b"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    for r in frame.select("i", S.normal_form(F.col("t")).alias("f")).collect():
+        t = texts[r.i] or ""
+        for found, plain in S.PLAIN_CHARACTERS.items():
+            t = t.replace(found, plain)
+        t = "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+        assert r.f == " ".join(re.sub(r"[^\w\s.,;:?]", " ", t).split()).lower()

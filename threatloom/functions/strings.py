@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -31,9 +32,25 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[.!?]+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
+# Characters and what stands for them in a normal form; the fifth is replaced as it stands.
+PLAIN_CHARACTERS = {"“": '"', ": \"'\", ": "'", "–": "-", "—": "-", "…": "...", "©": "(c)", "®": "(r)", "™": "(tm)"}
+
+
+def accents() -> tuple[str, str]:
+    """Characters of the basic plane that are one other without their marks, with that; then marks alone, which go. Hangul, which takes apart into letters, stays."""
+    bare = lambda c: "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+    changed = [(c, bare(c)) for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000 and bare(c) != c and len(bare(c)) <= 1]
+    changed.sort(key=lambda x: not x[1])
+    return "".join(c for c, _ in changed), "".join(b for _, b in changed)
+
+
 def normal_form(text: Column) -> Column:
-    """Lower case, with everything but letters, digits and white space as one blank."""
-    return F.lower(collapse_whitespace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}\s]+", " ")))
+    """Lower case without accents, typographic characters as plain ones; everything but letters, digits, white space and . , ; : ? as blanks, and those single."""
+    c = F.coalesce(text, F.lit(""))
+    for found, plain in PLAIN_CHARACTERS.items():
+        c = F.replace(c, F.lit(found), F.lit(plain))
+    c = F.translate(c, *accents())
+    return F.lower(collapse_whitespace(F.regexp_replace(c, r"[^\p{L}\p{N}_\s.,;:?]", " ")))
 
 
 def content_hash_normalised(title: Column, content: Column) -> Column:

@@ -32,7 +32,13 @@ def summaries(spark, sf):
     return _docs(spark, sf).select("doc_id", S.summary(F.col("text")).alias("summary"))
 
 
-@query("normal_form", rf"SELECT doc_id, lower({_FLAT.format(c=chr(114) + 'egexp_replace(coalesce(text, ' + chr(39) * 2 + '), ' + chr(39) + '[^' + chr(92) + 'p{L}' + chr(92) + 'p{N} ' + chr(92) + 't' + chr(92) + 'r' + chr(92) + 'n' + chr(92) + 'f' + chr(92) + 'v]+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}) AS form FROM documents")
+_PLAIN = "coalesce(text, '')"
+for _found, _as in S.PLAIN_CHARACTERS.items():
+    _PLAIN = f"replace({_PLAIN}, '{_found.replace(chr(39), chr(39) * 2)}', '{_as.replace(chr(39), chr(39) * 2)}')"
+_PLAIN = rf"regexp_replace(strip_accents({_PLAIN}), '[^\p{{L}}\p{{N}}_ \t\r\n\f\v.,;:?]', ' ', 'g')"
+
+
+@query("normal_form", f"SELECT doc_id, lower({_FLAT.replace('{c}', _PLAIN)}) AS form FROM documents")
 def normal_form(spark, sf):
     return _docs(spark, sf).select("doc_id", S.normal_form(F.col("text")).alias("form"))
 
