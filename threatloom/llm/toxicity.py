@@ -10,7 +10,7 @@ The sample's vectors lie in blocks of BLOCK. Rare terms have plain postings; a f
 block, and the largest of each block. A batch of queries adds up their rare terms, bounds each block by what their frequent
 terms can add there, and visits blocks in the order of their bounds, each query only those that reach its k-th best similarity. So
 the neighbours are exact. Votes are weighted by squared similarity with a weak prior, and a logistic curve fitted on the
-sample's leave-one-out votes calibrates them. Scoring runs where a document lies; only the index (bounded by TRAIN_ROWS
+votes that each half of the sample gives the other calibrates them. Scoring runs where a document lies; only the index (bounded by TRAIN_ROWS
 and SAMPLE_BYTES) is sent to the tasks.
 
 Defined cases: a null or empty text, or one without a term of the sample, has no neighbours and gets the calibrated
@@ -37,7 +37,7 @@ TRAIN_ROWS = 2_400
 SAMPLE_BYTES = 64 << 20
 #: Chi-square at which a term gets half of its weight.
 RELEVANCE = 30.0
-PREFIXES = (4,)
+PREFIXES = (4, 6)
 NEIGHBOURS = 15
 BLOCK = 32
 #: A term is frequent if one in so many examples holds it.
@@ -247,23 +247,47 @@ class BlockMaxIndex:
 class Scorer:
     """What tasks need to score texts: the terms with their weights, the index and its calibration."""
 
-    def __init__(self, terms: list[str], weight: np.ndarray, ids: list[int], labels: list[int], examples: Terms):
-        self.terms, self.weight = terms, weight
+    def __init__(self, terms: list[str], idf: np.ndarray, ids: list[int], labels: list[int], examples: Terms):
+        self.terms = terms
         self.prior = (sum(labels) + 0.5) / (len(labels) + 1) if labels else 0.0
         self.curve, self.index = (1.0, 0.0), None
-        vectors = examples.weighted(weight)
-        full = np.unique(vectors.text)
-        if len(full):
+        truth, every = np.array(labels, dtype=float), np.arange(len(ids))
+        # The curve is fitted on votes by one half of the examples for the other: those neither chose the weights nor stand in the index.
+        votes, judged = [], []
+        for half in (0, 1) if len(ids) > 1 else ():
+            self.learn(idf, ids, truth, examples, every[every % 2 != half])
+            if self.index is None:
+                continue
+            asked = self.part(examples, every[every % 2 == half]).weighted(self.weight)
+            for at in range(0, asked.texts, FIT_ROWS):
+                some = slice(*np.searchsorted(asked.text, [at, at + FIT_ROWS]))
+                rows = Terms(min(FIT_ROWS, asked.texts - at), asked.text[some] - at, asked.term[some], asked.n[some])
+                votes += [self.vote(*x) if len(x[0]) else self.prior for x in self.index.nearest(rows, NEIGHBOURS)]
+            judged += truth[every % 2 == half].tolist()
+        self.learn(idf, ids, truth, examples, every)
+        if votes:
+            self.curve = logistic(logit(np.array(votes)), np.array(judged))
+
+    @staticmethod
+    def part(examples: Terms, rows: np.ndarray) -> Terms:
+        """The examples of some rows, numbered anew."""
+        number = np.full(examples.texts, -1, dtype=np.int64)
+        number[rows] = np.arange(len(rows))
+        text = number[examples.text]
+        return Terms(len(rows), text[text >= 0], examples.term[text >= 0], examples.n[text >= 0])
+
+    def learn(self, idf: np.ndarray, ids: list[int], truth: np.ndarray, examples: Terms, rows: np.ndarray) -> None:
+        """Weights and index of these rows of the examples."""
+        vectors, y = self.part(examples, rows), truth[rows]
+        n1 = np.bincount(vectors.term, y[vectors.text], len(self.terms))
+        both = np.bincount(vectors.term, minlength=len(self.terms)).astype(float)
+        toxic = y.sum() / max(1, len(rows))
+        chi = sum((n - both * share) ** 2 / np.maximum(both * share, 1e-9) for n, share in ((n1, toxic), (both - n1, 1 - toxic)))
+        self.weight, self.index = idf * (1 + chi) / (RELEVANCE + chi), None
+        vectors = vectors.weighted(self.weight)
+        if len(full := np.unique(vectors.text)):
             vectors.texts, vectors.text = len(full), np.searchsorted(full, vectors.text)
-            self.index = BlockMaxIndex([ids[i] for i in full], [labels[i] for i in full], vectors, len(terms))
-            where = {int(i): p for p, i in enumerate(self.index.ids)}
-            votes = []
-            for at in range(0, len(full), FIT_ROWS):
-                some = slice(*np.searchsorted(vectors.text, [at, at + FIT_ROWS]))
-                part = Terms(min(FIT_ROWS, len(full) - at), vectors.text[some] - at, vectors.term[some], vectors.n[some])
-                skip = np.array([where[ids[i]] for i in full[at : at + FIT_ROWS]])
-                votes += [self.vote(*x) for x in self.index.nearest(part, NEIGHBOURS, skip)]
-            self.curve = logistic(logit(np.array(votes)), np.array([labels[i] for i in full], dtype=float))
+            self.index = BlockMaxIndex([ids[rows[i]] for i in full], [int(y[i]) for i in full], vectors, len(self.terms))
 
     def vote(self, at: np.ndarray, sims: np.ndarray) -> float:
         strength = sims**2
@@ -322,17 +346,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) ->
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[str, list[int]] = {}
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for f in set(chain.from_iterable(map(terms_of, set(WORD.findall(text.lower()))))):
-                    seen.setdefault(f, [0, 0])[y] += 1
-            cols = [pa.array(list(seen), pa.string()), *(pa.array([c[i] for c in seen.values()], pa.int64()) for i in (0, 1))]
-            yield pa.RecordBatch.from_arrays(cols, names=["term", "n0", "n1"])
-
-    counted = map_batches(rows.select("text", "y"), split, "term string, n0 long, n1 long")
-    counted = counted.groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).orderBy("term").toArrow()
-    terms = counted.column("term").to_pylist()
-    n0, n1 = (counted.column(c).to_numpy().astype(float) for c in ("n0", "n1"))
+            words = {w for text in batch.column(0).to_pylist() for w in WORD.findall(text.lower())}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(set(chain.from_iterable(map(terms_of, words)))), pa.string())], names=["term"])
+
+    terms = map_batches(rows.select("text"), split, "term string").distinct().orderBy("term").toArrow().column("term").to_pylist()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TermCounter(terms)
@@ -361,10 +378,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) ->
     ids, labels = drawn.column("doc_id").to_pylist(), drawn.column("y").to_pylist()
     sizes = pc.list_value_length(drawn.column("terms")).to_numpy()
     examples = Terms(len(ids), np.repeat(np.arange(len(ids)), sizes), *(pc.list_flatten(drawn.column(c)).to_numpy().astype(np.int64) for c in ("terms", "counts")))
-    toxic, total = sum(labels), max(1, len(labels))
-    expected = [(n0 + n1) * share for share in (1 - toxic / total, toxic / total)]
-    chi = sum((n - e) ** 2 / np.maximum(e, 1e-9) for n, e in zip((n0, n1), expected, strict=True))
-    return Scorer(terms, idf * (1 + chi) / (RELEVANCE + chi), ids, labels, examples)
+    return Scorer(terms, idf, ids, labels, examples)
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
