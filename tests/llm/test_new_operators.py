@@ -171,3 +171,33 @@ def test_repair_shrinks_and_reads_any_range(spark, tmp_path):
 def test_token_output_query(spark):
     rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect())
     assert sorted(tuple(r) for r in queries.op13_token_output(spark, DATA).collect()) == brute_tokens(rows)
+
+
+def test_minhash_groups_equal_all_pairs_on_a_driver_table(spark):
+    """op8 over sf0.01: every document's set size and component, against the intersections of all pairs of sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets = {}
+    for r in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        sets[r.doc_id] = {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
+    ids = sorted(sets)
+    holders = {}
+    for i in ids:
+        for s in sets[i]:
+            holders.setdefault(s, []).append(i)
+    shared = Counter()
+    for held in holders.values():
+        shared.update((a, b) for x, a in enumerate(held) for b in held[x + 1 :])
+    head = {i: i for i in ids}
+
+    def root(x):
+        while head[x] != x:
+            x = head[x]
+        return x
+
+    for (a, b), n in shared.items():
+        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+            p, q = sorted((root(a), root(b)))
+            head[q] = p
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in queries.op8_minhash_dedup(spark, "/root/testdata/sf0.01").collect()}
+    assert got == {i: (len(sets[i]), root(i), root(i) == i) for i in ids}
