@@ -319,6 +319,30 @@ def test_secret_network_sees_runs_that_base_spans_cover_in_part():
         assert secret_scan.find_all([text], Sure())[0] == secret_scan.base_spans(text)
 
 
+def test_secret_network_judges_every_candidate_in_its_context():
+    """Every uncovered run reaches the network, plain words and numbers too, with the characters before it."""
+    texts = ["plainword 12345678 é中🙂 another-word", None, "", "x" * 100 + " tail/word token=Abc12345xyz"]
+    seen = []
+
+    class Judge:
+        threshold = 0.5
+
+        def passes(self, data, starts, ends):
+            return np.zeros(len(starts), dtype=bool)
+
+        def probability(self, codes):
+            seen.extend(np.array(codes)[:, : secret_scan.CONTEXT + secret_scan.TILE])
+            return np.ones(len(codes))
+
+    Judge.sieve = Judge.network = Judge()
+    spans = secret_scan.find_all(texts, Judge())
+    assert [(a, z) for a, k, z in spans[0] if k == 3] == [(0, 9), (10, 18), (23, 35)] and spans[1] == spans[2] == []
+    assert [(a, z) for a, k, z in spans[3] if k == 3] == [(0, 100), (101, 110)]
+    parts = [p for text, found in zip(texts, spans, strict=True) for a, k, z in found if k == 3 for p in secret_scan.tiles(text, a, z)]
+    want = secret_scan.encode([(before, inner, "") for before, inner, _ in parts])[:, : secret_scan.CONTEXT + secret_scan.TILE]
+    assert np.array_equal(np.array(seen), want)
+
+
 def test_every_run_of_key_characters_is_a_candidate():
     rng = np.random.default_rng(2)
     for _ in range(200):
