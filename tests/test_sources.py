@@ -21,6 +21,14 @@ def test_page():
     assert pages.read_page("<script type='application/ld+json'>{broken</script>plain")[0] == "plain"
 
 
+def test_only_whole_references_are_decoded():
+    page = """<title>a&amp b &amp;&lt; R&D &nosuch; &#65; &#65 x&amp</title><script type="application/ld+json">{"@type": "Article", "headline": "q&amp r&b"}</script>
+<article><p>cut off in a reference, and longer than fifty characters: and&amp</p><a href="/?a=1&copy=2&amp;b">&copy c &copy;</a></article>"""
+    text, title, *_, headline, _ = pages.read_page(page)
+    assert title == "a&amp b &< R&D &nosuch; A &#65 x&amp" and headline == "q&amp r&b"
+    assert "characters: and&amp\n" in text and text.rstrip().endswith("&copy c")
+
+
 def test_pages_of_a_frame(spark):
     frame = spark.createDataFrame([(1, PAGE), (2, None)], "page_id long, html string")
     out = {r.page_id: r for r in pages.read_pages(frame).collect()}
