@@ -81,6 +81,10 @@ TREE_STRONG = (
 EXE_SHAPE = r"\b[a-zA-Z0-9_\-]+\.(?:exe|dll|scr|com|bat|cmd|ps1)\b"
 PATH_MARK = r"[A-Za-z]:\\|\\\\[\w\-]+|\"[^\"]*\.(?:exe|dll|scr|com|bat|cmd|ps1)\"|(?<![A-Za-z0-9])\\[A-Za-z0-9_\-]{2,}\.(?:exe|dll|scr|com|bat|cmd|ps1)"
 LINEAGE = r"\b(?:parent|child|spawn(?:s|ed|ing)?|inject(?:s|ed|ing)?|launch(?:es|ed|ing)?|execut(?:e|es|ed|ing)|creat(?:e|es|ed|ing)|lineage|tree|ancestor|descendant)\b"
+#: One of these stands in what the patterns match: shapes of executables, lineage, weak patterns.
+EXTENSIONS = (".exe", ".dll", ".scr", ".com", ".bat", ".cmd", ".ps1")
+LINEAGE_WORDS = ("parent", "child", "spawn", "inject", "launch", "execut", "creat", "lineage", "tree", "ancestor", "descendant")
+WEAK_WORDS = ("spawn", "launch", "execut", "invok", "start", "creat", "ran", "run", "call", "load", "child", "context")
 TREE_GLYPHS = ("→", "->", "-->", "==>", "└─", "├─", "└──", "├──", "└>", "\\->", "|-")
 TREE_PREFIXES = ("└", "├", "\\->", "|-", "│")
 PROCESS_NUMBER = r"\b(?:p?pid|process\s*id|parent\s*pid)\s*[:=]?\s*\d{2,}"
@@ -109,8 +113,18 @@ def any_of(conditions: list[Column]) -> Column:
 
 
 def holds(line: Column, words: tuple[str, ...]) -> Column:
-    lowered = F.lower(line)
-    return any_of([F.contains(lowered, F.lit(w.lower())) for w in words])
+    return once(F.lower(line), words)
+
+
+def once(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether text holds one of the words; as an element of an array it is computed once for all of them."""
+    return F.exists(F.array(text), lambda x: any_of([F.contains(x, F.lit(w.lower())) for w in words]))
+
+
+def mentions(line: Column, *words: str) -> Column:
+    """Whether a line holds one of the words in any case that a pattern heeds: a cheap condition that stands before a costly pattern."""
+    folded = F.lower(F.translate(line, "\u017f\u212a\u0131\u0130", "skii"))
+    return once(folded, words)
 
 
 def found(pattern: str, line: str) -> Iterator[re.Match]:
@@ -136,12 +150,8 @@ def command_rules(words: tuple[str, ...] = COMMAND_WORDS, patterns: tuple[str, .
         # The word behind the executable, without one closing mark.
         word = F.regexp_replace(F.regexp_extract(line, "(?iuU)(?:[^\\s\"]+\\.exe|\"[^\"]*\\.exe\")\\s+([^(\\s\\[\\{]\\S*)", 1), r"[,.;:]$", "")
         verb = F.regexp_extract(line, "(?iuU)" + EXE_AND_WORD, 1)
-        return (
-            (like(line, EXE_AND_ARGUMENT) & ~F.array_contains(narrative, F.lower(word)))
-            | like(line, QUOTED_EXE)
-            | ((verb != "") & ~F.array_contains(narrative, F.lower(verb)))
-            | (F.regexp_count(line, F.lit("(?iU)" + WINDOWS_PATH)) >= 2)
-        )
+        executable = (like(line, EXE_AND_ARGUMENT) & ~F.array_contains(narrative, F.lower(word))) | like(line, QUOTED_EXE) | ((verb != "") & ~F.array_contains(narrative, F.lower(verb)))
+        return (mentions(line, ".exe") & executable) | (F.contains(line, F.lit(":\\")) & (F.regexp_count(line, F.lit("(?iU)" + WINDOWS_PATH)) >= 2))
 
     def story(line: Column) -> Column:
         lowered = F.lower(line)
@@ -152,7 +162,8 @@ def command_rules(words: tuple[str, ...] = COMMAND_WORDS, patterns: tuple[str, .
 
     def tells(line: Column) -> Column:
         plain = F.replace(line, F.lit("^"), F.lit(""))
-        return any_of([holds(x, words) | like(x, *patterns) | shape(x) for x in (line, plain)]) & ~story(line)
+        anchored = lambda x: holds(x, words) | like(x, *patterns) | shape(x)
+        return (anchored(line) | (F.contains(line, F.lit("^")) & anchored(plain))) & ~story(line)
 
     def places(line: str) -> Places:
         out = [m.span() for p in patterns for m in found(p, line)]
@@ -174,19 +185,24 @@ def tree_rules(words: tuple[str, ...] = TREE_WORDS) -> Rules:
 
     def strong(line: Column) -> Column:
         near = F.regexp_extract(line, f"(?isuU)(.{{0,60}}{EXE_SHAPE}.*{EXE_SHAPE}.{{0,60}})", 1)  # from 60 characters before the first executable to 60 behind the last
+        lineage = mentions(line, *LINEAGE_WORDS) & like(line, LINEAGE)
+        two_shapes = mentions(line, *EXTENSIONS) & (F.regexp_count(line, F.lit(r"(?iu)[a-z0-9_\-]\.(?:exe|dll|scr|com|bat|cmd|ps1)")) >= 2)
         return (
             holds(line, words)
-            | like(line, *TREE_STRONG)
-            | like(near, LINEAGE)
-            | (like(line, PATH_MARK) & like(line, LINEAGE))
-            | (like(line, r"\bParentImage\b") & like(line, r"\bImage\b"))
-            | (like(line, r"\bParentCommandLine\b") & like(line, r"\bCommandLine\b"))
-            | (F.regexp_count(line, F.lit("(?iuU)" + PROCESS_NUMBER)) >= 2)
+            | (mentions(line, "parent", "child", ".exe") & like(line, *TREE_STRONG))
+            | (lineage & ((path(line) & like(line, PATH_MARK)) | (two_shapes & like(near, LINEAGE))))
+            | (mentions(line, "parentimage") & like(line, r"\bParentImage\b") & like(line, r"\bImage\b"))
+            | (mentions(line, "parentcommandline") & like(line, r"\bParentCommandLine\b") & like(line, r"\bCommandLine\b"))
+            | (mentions(line, "pid", "process") & (F.regexp_count(line, F.lit("(?iuU)" + PROCESS_NUMBER)) >= 2))
         )
 
+    def path(line: Column) -> Column:
+        return F.contains(line, F.lit("\\")) | (F.contains(line, F.lit('"')) & mentions(line, *EXTENSIONS))
+
     def tells(line: Column) -> Column:
         glyph = any_of([F.contains(line, F.lit(g)) for g in TREE_GLYPHS])
-        return strong(line) | (like(line, *TREE_WEAK) & (like(line, EXE_SHAPE) | like(line, PATH_MARK) | glyph))
+        named = glyph | (mentions(line, *EXTENSIONS) & like(line, EXE_SHAPE)) | (path(line) & like(line, PATH_MARK))
+        return strong(line) | (mentions(line, *WEAK_WORDS) & named & like(line, *TREE_WEAK))
 
     def reach(line: Column) -> Column:
         begins = any_of([F.startswith(F.regexp_replace(line, r"(?U)^\s+", ""), F.lit(p)) for p in TREE_PREFIXES])
