@@ -423,6 +423,16 @@ def test_chat_format(spark):
     assert chat_format.expand(formatted).count() == 4 and chat_format.read_back(chat_format.format_conversations(frame.where("false"))).count() == 0
 
 
+def test_expanded_examples_hold_their_prefix(spark):
+    rows = [(1, 0, "user", "a[b"), (1, 1, "assistant", "r1"), (1, 2, "user", "c"), (1, 3, "assistant", "r<2"), (1, 4, "user", "tail")]
+    formatted = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    segment = lambda role, text: f"{chat_format.START}{role}{chat_format.SEP}{text}{chat_format.END}"
+    segments = [segment("user", "a\\sb"), segment("assistant", "r1"), segment("user", "c"), segment("assistant", "r\\l2")]
+    out = chat_format.expand(formatted).orderBy("example").collect()
+    assert [r.text for r in out] == ["".join(segments[:2]), "".join(segments)]
+    assert [r.text[r.loss_start - 1 :][: r.loss_chars] for r in out] == ["r1", "r\\l2"]
+
+
 def brute_groups(texts, words, percent):
     sets = []
     for t in texts:

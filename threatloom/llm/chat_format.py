@@ -3,10 +3,9 @@
 A conversation becomes one transcript, written turn by turn as a segment
 `<|im_start|>role<|im_sep|>text<|im_end|>`. Roles and texts are escaped reversibly: a backslash, `<`
 and `[` become `\\b`, `\\l` and `\\s`, so no control string of this or another template can stand in
-a text. Every assistant turn is an example of its own: all segments before it are its context, and
-only its text is under the loss mask. An example refers to its context by the number of segments of the
-transcript, since written-out prefixes grow with the square of a conversation;
-written_out() gives them as text.
+a text. Every assistant turn is an example of its own: all segments before it are its prefix, the turn
+is its target, and only the target's text is under the loss mask. expand() writes each example out in a
+row of its own, which grows with the square of a conversation's turns; no row is kept beyond its step.
 
 Defined cases: turns are ordered by turn, then role, then text, nulls first; a null text or role is
 empty; a null conv_id is a conversation of its own; repeated rows are repeated turns; a conversation
@@ -71,32 +70,31 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     )
 
 
-def expand(formatted: DataFrame) -> DataFrame:
-    """A row for each example, by reference: conv_id, example, context_turns, target segment, loss mask."""
+def written_out(formatted: DataFrame) -> DataFrame:
+    """A row for each example with its context as text; the loss mask counts inside the target."""
     return formatted.select("conv_id", "segments", F.posexplode("examples").alias("example", "e")).select(
         "conv_id",
         "example",
-        F.col("e.target").alias("context_turns"),
+        F.array_join(F.slice("segments", F.lit(1), F.col("e.target")), "").alias("context"),
         F.element_at("segments", F.col("e.target") + 1).alias("target"),
         F.col("e.loss_start").alias("loss_start"),
         F.col("e.loss_chars").alias("loss_chars"),
     )
 
 
-def written_out(formatted: DataFrame) -> DataFrame:
-    """A row for each example with its context as text. Grows with the square of a conversation's turns."""
-    return formatted.select("conv_id", "segments", F.posexplode("examples").alias("example", "e")).select(
+def expand(formatted: DataFrame) -> DataFrame:
+    """The training examples: conv_id, example, text (prefix and target written out), and the loss mask in it (from 1). Grows with the square of a conversation's turns."""
+    return written_out(formatted).select(
         "conv_id",
         "example",
-        F.array_join(F.slice("segments", F.lit(1), F.col("e.target")), "").alias("context"),
-        F.element_at("segments", F.col("e.target") + 1).alias("target"),
-        F.col("e.loss_start").alias("loss_start"),
-        F.col("e.loss_chars").alias("loss_chars"),
+        F.concat("context", "target").alias("text"),
+        (F.length("context") + F.col("loss_start")).alias("loss_start"),
+        "loss_chars",
     )
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of what the formatted segments and, from one row for each expanded example, the loss masks hold, unescaped."""
+    """Digests of what the formatted segments and, from the text of each expanded example, the loss masks hold, unescaped."""
 
     def turn(segment: Column) -> Column:
         body = F.substring(segment, F.lit(len(START) + 1), F.length(segment) - len(START) - len(END))
@@ -104,7 +102,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         text = unescape(F.substring_index(body, SEP, -1))
         return F.concat(role, F.lit("\n"), text, F.lit("\n"))
 
-    loss = unescape(F.substring("target", F.col("loss_start"), F.col("loss_chars")))
+    loss = unescape(F.substring("text", F.col("loss_start"), F.col("loss_chars")))
     examples = expand(formatted).select("conv_id", F.struct("example", loss.alias("loss")).alias("e")).groupBy("conv_id")
     examples = examples.agg(F.array_sort(F.collect_list("e")).alias("e"), F.count(F.lit(1)).alias("n_examples"))
     examples = examples.select(F.col("conv_id").alias("_conv"), F.array_join("e.loss", "").alias("_loss"), "n_examples")
