@@ -76,6 +76,34 @@ PLAIN = {
     "marketing_v1": r"\b(demo|free trial|book a demo|managed service|platform)\b",
     "thanks": r"\b(acknowledgement|gratitude|thank you|appreciate|contact)\b",
 }
+# What a text must hold, in lower case, for a pattern to be found: all words of one of the rows. The cheap condition stands before the pattern.
+NEEDED = {
+    "registry": [("hkey_",), ("hklm",), ("hkcu",), ("hku\\",), ("hkcr",), ("hkcc",)],
+    "lineage": [("→",), ("->",), ("spawned",), ("parent",), ("child process",), (".exe",)],
+    "service": [("-service",), *(("sc", w) for w in ("create", "delete", "config", "start", "stop", "description"))],
+    "task": [("schtasks",), ("scheduledtask",), ("<triggers>",), ("<actions>",), ("<principals>",)],
+    "yara_rule": [("rule", "{", "strings")],
+    "yara_strings": [("fullword",), ("uint",)],
+    "suricata": [("alert", "msg"), *(("et", w) for w in ("malware", "policy", "scan", "hunting", "info", "trojan"))],
+    "attacker_path": [("c:\\",), ("%public%",), ("%programdata%",), ("%temp%",), ("%appdata%",), ("/tmp/",), ("~/library",)],
+    "beacon": [(w,) for w in BEACON_KEYS],
+    "defanged": [("[.]",)],
+    "url": [("://",)],
+    "path": [("/",), (":\\\\",)],
+    "path_v1": [("/",), (":\\\\",)],
+    "code": [("`",)],
+    "command_words": [("command:",), ("cleartext:",)],
+    "cve": [("CVE-",)],
+    "process": [(".exe",)],
+    "process_v1": [(".exe",)],
+}
+# The same as patterns over the lower-cased text.
+SHAPED = {
+    "hash": r"[a-f0-9]{32}",
+    "cmdline": r"(?U)\.exe|powershell|cmd|(?:reg|sc|net|wmic|certutil|bitsadmin|schtasks|mshta|rundll32|regsvr32)\.?(?:exe)?\s",
+}
+# Letters that match s, k or i without regard to case, but aren't these in lower case.
+ODD_LETTERS = "\u017f\u212a\u0131\u0130"
 
 
 def _sum(parts: list[Column]) -> Column:
@@ -84,7 +112,16 @@ def _sum(parts: list[Column]) -> Column:
 
 def _count(text: Column, name: str) -> Column:
     """How often a pattern stands in the text; . stops at line feeds only, as \\s, \\w and \\b follow Unicode."""
-    return F.regexp_count(text, F.lit(("(?iudU)" + ANY_CASE[name]) if name in ANY_CASE else "(?dU)" + PLAIN[name]))
+    found = F.regexp_count(text, F.lit(("(?iudU)" + ANY_CASE[name]) if name in ANY_CASE else "(?dU)" + PLAIN[name]))
+    return F.when(_possible(text, name), found).otherwise(0) if name in NEEDED or name in SHAPED else found
+
+
+def _possible(text: Column, name: str) -> Column:
+    """Whether a text holds what a pattern needs; texts with odd letters always do, where case doesn't count."""
+    lowered = text if name == "cve" else F.lower(text)
+    either = lambda parts: reduce(lambda a, b: a | b, parts)
+    shown = F.rlike(lowered, F.lit(SHAPED[name])) if name in SHAPED else either([reduce(lambda a, b: a & b, (F.contains(lowered, F.lit(w)) for w in words)) for words in NEEDED[name]])
+    return shown | either([F.contains(text, F.lit(c)) for c in ODD_LETTERS]) if name in ANY_CASE else shown
 
 
 def _terms(lowered: Column, terms: tuple[str, ...]) -> Column:
@@ -161,7 +198,7 @@ def v2(text: Column, registry: dict[str, list[str]] = KEYWORDS) -> dict[str, Col
     return {
         **{f"{k}_count": c for k, c in counted.items()},
         "url_count": _count(text, "url"),
-        "file_path_count": _count(F.regexp_replace(text, "(?U)" + PLAIN["url"], ""), "path"),
+        "file_path_count": _count(F.when(_possible(text, "url"), F.regexp_replace(text, "(?U)" + PLAIN["url"], "")).otherwise(text), "path"),
         "ip_count": _count(text, "ipv4"),
         "cve_count": _count(lowered, "cve"),
         "process_count": _count(lowered, "process"),
