@@ -70,3 +70,12 @@ def test_filtered_chunks_keep_articles_without_any(spark):
     cut = spark.createDataFrame([(1, 1, "b token = 1"), (1, 0, "a token = 1"), (1, 2, "idiot"), (2, 0, "plain")], "article_id long, chunk int, chunk_text string")
     got = {r.article_id: (r.chunks, r.kept, r.kept_chars, r.kept_text) for r in filtered_chunks(cut, threshold=0.5).collect()}
     assert got == {1: (3, 2, 22, "a token = 1\n\nb token = 1"), 2: (1, 0, 0, "")}
+
+
+def test_trimmed_lines_are_cut_once(spark):
+    """White space is no pattern, and the lines of a text are split in one place of the plan only; a next-line sign isn't the end of a line."""
+    df = spark.createDataFrame([("  the start \t\x0b\r\nab \x85\n\n" + "x" * 120 + "\nend",), (None,)], "t string")
+    found = df.select(labels.trimmed_lines(F.col("t"), start=["the"], banner=["b"], footer=["end"]).alias("x"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "regexp_replace" not in plan
+    assert [r.x for r in found.collect()] == ["the start\n\nab \x85\n\n" + "x" * 120, None]

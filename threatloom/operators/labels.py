@@ -152,15 +152,25 @@ def trimmed_lines(content: Column, *, start: list[str], banner: list[str], foote
 
     Empty lines go; a banner line before the start never ends the text. A result under least characters gives the content back.
     """
-    lines = F.filter(F.transform(F.split(content, "\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(content, "\n"), lambda s: F.btrim(s, F.lit(" \t\x0b\f\r"))), lambda s: s != "")
     has = lambda s, words: reduce(lambda a, b: a | b, (F.contains(s, F.lit(w)) for w in words), F.lit(False))
-    first = F.array_position(F.transform(lines, lambda s: has(F.lower(s), start)), F.lit(True)).cast("int")
-    ended_before = F.exists(F.slice(lines, F.lit(1), F.greatest(first - 1, F.lit(0))), lambda s: has(s, footer) & ~has(s, banner))
-    tail = F.slice(lines, F.greatest(first, F.lit(1)), F.size(lines))
-    end = F.array_position(F.transform(tail, lambda s: has(s, footer)), F.lit(True)).cast("int")
-    inside = F.slice(tail, F.lit(1), F.when(end == 0, F.size(lines)).otherwise(end - 1))
-    kept = F.when((first == 0) | ended_before, "").otherwise(F.array_join(inside, "\n\n"))
-    return F.when(F.length(F.trim(kept)) < least, content).otherwise(kept)
+    # As the only element of an array, what several expressions use is computed once.
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+
+    def cut(lines: Column, first: Column) -> Column:
+        ended_before = F.exists(F.slice(lines, F.lit(1), F.greatest(first - 1, F.lit(0))), lambda s: has(s, footer) & ~has(s, banner))
+
+        def ended(tail: Column) -> Column:
+            end = F.array_position(F.transform(tail, lambda s: has(s, footer)), F.lit(True)).cast("int")
+            return once(end, lambda end: F.array_join(F.slice(tail, F.lit(1), F.when(end == 0, F.size(tail)).otherwise(end - 1)), "\n\n"))
+
+        return F.when((first == 0) | ended_before, "").otherwise(once(F.slice(lines, F.greatest(first, F.lit(1)), F.size(lines)), ended))
+
+    def started(lines: Column) -> Column:
+        first = F.array_position(F.transform(lines, lambda s: has(F.lower(s), start)), F.lit(True)).cast("int")
+        return once(first, lambda first: cut(lines, first))
+
+    return once(once(lines, started), lambda kept: F.when(F.length(F.trim(kept)) < least, content).otherwise(kept))
 
 
 def author_names(authors: Column, *, most: int = 5) -> Column:
