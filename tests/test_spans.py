@@ -93,3 +93,15 @@ def test_gold_metrics_equal_plain_python(spark):
     failures = {(r.article_id, r.failure_type): r.n for r in S.failure_rows(rows).collect()}
     assert {k: n for (k, f), n in failures.items() if f == "hallucination_on_empty"} == {k: v[3] for k, v in got.items() if not v[0] and v[3]}
     assert {k: n for (k, f), n in failures.items() if f == "merged_commands"} == {k: v[4] for k, v in got.items() if v[4]}
+
+
+def test_spans_are_shuffled_once(spark, capsys):
+    gold, pred = frames(spark, {1: ([(0, "a b")], [(0, "a b")])})
+    gold, pred = gold.where("idx >= 0"), pred.where("idx >= 0")
+    S.token_pairs(gold, pred, threshold=0.5).explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
+    began = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    S.span_metrics(gold, pred)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == began  # no rounds that write tables
+    S.gold_metrics(gold, pred).explain()
+    assert capsys.readouterr().out.count("Exchange") <= 12

@@ -1,17 +1,19 @@
-"""Matching of annotated and predicted spans: token overlap, a greedy one-to-one match as rounds over rows, relaxed and strict measures.
+"""Matching of annotated and predicted spans: token overlap, a greedy one-to-one match in one pass over sorted rows, relaxed and strict measures.
 
-Spans are rows (article_id, idx, text); idx orders the spans of an article.
+Spans are rows (article_id, idx, text); idx orders the spans of an article. They are shuffled once, by article; what follows sorts, groups and
+counts within the article's partition (Spark spills what is too large), so neither words nor texts are shuffled again.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatloom.functions.strings import span_form
-from threatloom.session import written
+from threatloom.session import map_rows
 
 
 def tokens(text: Column) -> Column:
@@ -19,45 +21,70 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.split(span_form(text), " "))
 
 
+#: Tasks for each of the session's shuffle partitions: an article's spans grow much when they are cut into words, long after the shuffle.
+SPREAD = 4
+
+
+def by_article(rows: DataFrame) -> DataFrame:
+    """The rows with each article's in one partition; the number of partitions is given, as their size says little about the work."""
+    return rows.repartition(SPREAD * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "article_id")
+
+
+def both_sides(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """The spans of both sides (article_id, is_gold, idx, text), each article's in one partition."""
+    side = lambda rows, is_gold: rows.select("article_id", F.lit(is_gold).alias("is_gold"), "idx", "text")
+    return by_article(side(gold, True).unionByName(side(predicted, False)))
+
+
 def token_pairs(gold: DataFrame, predicted: DataFrame, *, threshold: float) -> DataFrame:
     """article_id, gold, pred (their idx), overlap and delta (in characters) of spans whose words have a Jaccard similarity of threshold or more.
 
     Prefix filtering: of each span's words, rarest of the article first, only as many are looked up as two similar spans must share one of.
+    Words are numbered by that order within their article, so that spans meet and are compared as sets of numbers.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0, and 1 at most")
-    both = gold.select("article_id", F.lit(True).alias("is_gold"), "idx", "text").unionByName(predicted.select("article_id", F.lit(False).alias("is_gold"), "idx", "text"))
-    spans = both.select("article_id", "is_gold", "idx", F.length(span_form(F.col("text"))).alias("chars"), tokens(F.col("text")).alias("set"))
-    words = spans.select("article_id", "is_gold", "idx", F.explode("set").alias("word"))
-    often = words.groupBy("article_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    ordered = words.join(often, ["article_id", "word"]).groupBy("article_id", "is_gold", "idx").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("s"))
+    spans = both_sides(gold, predicted).select("article_id", "is_gold", "idx", F.length(span_form(F.col("text"))).alias("chars"), tokens(F.col("text")).alias("set"))
+    words = spans.select("article_id", "is_gold", "idx", "chars", F.explode("set").alias("word"))
+    often = words.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("article_id", "word")))
+    numbered = often.select("article_id", "is_gold", "idx", "chars", F.dense_rank().over(Window.partitionBy("article_id").orderBy("n", "word")).alias("word"))
+    sets = numbered.groupBy("article_id", "is_gold", "idx").agg(F.first("chars").alias("chars"), F.array_sort(F.collect_list("word")).alias("s"))
     size = F.size("s")
     # Rounded first, so that 0.8 * 5 isn't taken for more than 4.
-    keys = ordered.select("article_id", "is_gold", "idx", F.explode(F.slice("s", F.lit(1), size - F.ceil(F.round(size * threshold, 9)).cast("int") + 1)).alias("key"))
-    side = lambda rows, is_gold, name: rows.where(F.col("is_gold") if is_gold else ~F.col("is_gold")).withColumnRenamed("idx", name).drop("is_gold")
-    met = side(keys, True, "gold").join(side(keys, False, "pred"), ["article_id", "key"]).select("article_id", "gold", "pred").distinct()
-    own = lambda is_gold, name: side(spans, is_gold, name).withColumnsRenamed({"set": f"{name}_set", "chars": f"{name}_chars"})
-    full = met.join(own(True, "gold"), ["article_id", "gold"]).join(own(False, "pred"), ["article_id", "pred"])
-    shared, either = F.size(F.array_intersect("gold_set", "pred_set")), F.size(F.array_union("gold_set", "pred_set"))
-    return full.where(shared >= F.round(either * threshold, 9)).select("article_id", "gold", "pred", (shared / either).alias("overlap"), (F.col("pred_chars") - F.col("gold_chars")).alias("delta"))
+    keys = sets.select("article_id", "is_gold", F.struct("idx", "chars", "s").alias("span"), F.explode(F.slice("s", F.lit(1), size - F.ceil(F.round(size * threshold, 9)).cast("int") + 1)).alias("key"))
+    lists = keys.groupBy("article_id", "key").agg(*(F.collect_list(F.when(F.col("is_gold") == is_gold, F.col("span"))).alias(name) for name, is_gold in (("gold", True), ("pred", False))))
+    met = lists.select("article_id", "key", F.explode("gold").alias("g"), "pred").select("article_id", "key", "g", F.explode("pred").alias("p"))
+    shared = F.array_intersect("g.s", "p.s")
+    both = F.size(shared)
+    either = F.size("g.s") + F.size("p.s") - both
+    # A pair counts at the first word that it shares: similar spans share one within both of their prefixes, and the first such is their first of all.
+    pairs = met.where((F.col("key") == F.array_min(shared)) & (both >= F.round(either * threshold, 9)))
+    return pairs.select("article_id", F.col("g.idx").alias("gold"), F.col("p.idx").alias("pred"), (both / either).alias("overlap"), (F.col("p.chars") - F.col("g.chars")).alias("delta"))
 
 
 def greedy(pairs: DataFrame) -> DataFrame:
     """Of pairs (article_id, gold, pred, overlap, ...) those that a greedy match takes: in order, each gold span takes the best pred that is left.
 
-    Ties go to the first pred. Rounds of mutual choice give the same: a gold span is settled with its best pred as soon as no
-    earlier one can still take that; settled spans leave, and the rest choose again. Every round settles at least the first span of each article.
+    Ties go to the first pred. An article's pairs come sorted by gold span, the best first, so one pass takes each pair of which neither side
+    is taken; a task only holds the preds taken in the article that it is at.
     """
-    found, left = [], written(pairs, "span-pairs")
-    mine, theirs = Window.partitionBy("article_id", "gold"), Window.partitionBy("article_id", "pred")
-    while not left.isEmpty():
-        best = F.min(F.struct((-F.col("overlap")).alias("o"), F.col("pred").alias("p"))).over(mine)
-        chosen = left.withColumn("__best", best["p"] == F.col("pred")).withColumn("__taken", F.col("__best") & (F.min("gold").over(theirs) == F.col("gold")))
-        gone = chosen.withColumn("__gone", F.max("__taken").over(theirs)).withColumn("__gone", F.col("__gone") | F.max("__taken").over(mine))
-        step = written(gone, "span-round")
-        found.append(step.where("__taken").select(*pairs.columns))
-        left = step.where("NOT __gone").select(*pairs.columns)
-    return reduce(DataFrame.unionByName, found) if found else left
+    named = pairs.withColumns({"__article": F.col("article_id").cast("string"), "__gold": F.col("gold").cast("string"), "__pred": F.col("pred").cast("string")})
+    ordered = by_article(named).sortWithinPartitions("article_id", "gold", F.desc("overlap"), "pred")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        article, last, taken = object(), object(), set()
+        for batch in batches:
+            keep = []
+            for a, g, p in zip(*(batch.column(name).to_pylist() for name in ("__article", "__gold", "__pred")), strict=True):
+                if a != article:
+                    article, last, taken = a, object(), set()
+                keep.append(g != last and p not in taken)
+                if keep[-1]:
+                    last = g
+                    taken.add(p)
+            yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["__article", "__gold", "__pred"])
+
+    return map_rows(ordered, run, pairs.schema)
 
 
 def mean(total: Column, n: Column, digits: int) -> Column:
@@ -101,47 +128,50 @@ def gold_metrics(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     argument_hallucinations the predictions of more than three words whose words neither hold nor are held by those of any gold span.
     An article without gold spans only has hallucinations. (Matched spans are equal, so over- and under-extraction are always 0.)
     """
-    form = span_form(F.col("text"), strict=True)
-    nth = lambda rows: rows.select("article_id", "idx", form.alias("form")).withColumn("k", F.row_number().over(Window.partitionBy("article_id", "form").orderBy("idx")))
-    g, p = nth(gold), nth(predicted)
-    on = ["article_id", "form", "k"]
-    g = g.join(p.select(*on, F.lit(True).alias("hit")), on, "left").select("article_id", "idx", F.length("form").alias("chars"), "form", F.coalesce("hit", F.lit(False)).alias("hit"))
+    rows = both_sides(gold, predicted).select("article_id", "is_gold", "idx", span_form(F.col("text"), strict=True).alias("form"))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("article_id", "is_gold", "form").orderBy("idx")))
+    same = Window.partitionBy("article_id", "form", "k")  # one gold span and one prediction at most
+    is_gold = F.col("is_gold")
+    rows = rows.withColumns({"hit": F.count(F.lit(1)).over(same) > 1, "until": F.max(F.when(is_gold, F.col("idx"))).over(same)})
     # A prediction is left until the gold span that it matches has had its turn, and for good if it matches none.
-    q = p.join(nth(gold).select(*on, F.col("idx").alias("until")), on, "left").select("article_id", "idx", F.length("form").alias("chars"), "form", "until")
-    events = g.where("NOT hit").select("article_id", F.col("idx").alias("at"), "chars", F.lit(True).alias("is_gold")).unionByName(
-        q.select("article_id", F.coalesce("until", F.lit(2**62)).cast("long").alias("at"), "chars", F.lit(False).alias("is_gold"))
-    )
-    later = Window.partitionBy("article_id").orderBy(F.desc("at"), "is_gold").rowsBetween(Window.unboundedPreceding, 0)
-    longest = F.max(F.when(~F.col("is_gold"), F.col("chars"))).over(later)
-    merged = events.withColumn("longest", longest).where("is_gold").groupBy("article_id").agg(F.count_if(F.col("longest") > F.col("chars") * 1.5).alias("merged"))
-    shortest = q.groupBy("article_id").agg(F.count(F.lit(1)).alias("n_pred"), F.min("chars").alias("shortest"))
-    own = g.join(shortest.select("article_id", "shortest"), "article_id", "left").groupBy("article_id").agg(
-        F.count(F.lit(1)).alias("n_gold"), F.count_if("hit").alias("exact"), F.count_if(F.col("shortest") < F.col("chars") * 0.7).alias("truncated")
-    )
-    odd = unheld(g, q).groupBy("article_id").agg(F.count(F.lit(1)).alias("argument_hallucinations"))
-    rows = own.join(shortest.drop("shortest"), "article_id", "full").join(merged, "article_id", "left").join(odd, "article_id", "left").fillna(0)
-    rows = rows.select("article_id", "n_gold", "n_pred", "exact", (F.col("n_pred") - F.col("exact")).alias("hallucinations"), "merged", "truncated", F.when(F.col("n_gold") > 0, F.col("argument_hallucinations")).otherwise(0).cast("long").alias("argument_hallucinations"))
-    return rows.withColumn("zero_fp_pass", F.col("hallucinations") == 0)
-
-
-def unheld(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """article_id and idx of predictions (form) with more than three words that neither hold nor are held by any gold span's.
-
-    A set that is held meets its holder at each of its words, so at the rarest one of its article.
+    turns = rows.select("article_id", "is_gold", "hit", F.length("form").alias("chars"), F.coalesce("until", F.lit(2**62)).cast("long").alias("at"))
+    own = Window.partitionBy("article_id")
+    later = own.orderBy(F.desc("at"), "is_gold").rowsBetween(Window.unboundedPreceding, 0)
+    predicted_chars = F.when(~is_gold, F.col("chars"))
+    turns = turns.withColumn("longest", F.max(predicted_chars).over(later)).withColumn("shortest", F.min(predicted_chars).over(own))
+    counted = turns.groupBy("article_id").agg(
+        F.count_if(is_gold).alias("n_gold"), F.count_if(~is_gold).alias("n_pred"), F.count_if(is_gold & F.col("hit")).alias("exact"),
+        F.count_if(is_gold & ~F.col("hit") & (F.col("longest") > F.col("chars") * 1.5)).alias("merged"), F.count_if(is_gold & (F.col("shortest") < F.col("chars") * 0.7)).alias("truncated"),
+    )
+    odd = unheld(rows).groupBy("article_id").agg(F.count(F.lit(1)).alias("argument_hallucinations"))
+    measured = counted.join(odd, "article_id", "left").fillna(0)
+    measured = measured.select("article_id", "n_gold", "n_pred", "exact", (F.col("n_pred") - F.col("exact")).alias("hallucinations"), "merged", "truncated", F.when(F.col("n_gold") > 0, F.col("argument_hallucinations")).otherwise(0).cast("long").alias("argument_hallucinations"))
+    return measured.withColumn("zero_fp_pass", F.col("hallucinations") == 0)
+
+
+def unheld(rows: DataFrame) -> DataFrame:
+    """article_id and idx of predictions with more than three words that neither hold nor are held by any gold span's. rows: both sides by article, with form and hit.
+
+    A set that is held meets its holder at each of its words, so at the rarest one of its article. What matches a gold span is held by it.
     """
-    words = lambda rows: rows.select("article_id", "idx", F.array_distinct(F.filter(F.split("form", r"\s+"), lambda w: w != "")).alias("words"))
-    g, p = words(gold), words(predicted).where("size(words) > 3")
-    each = lambda rows: rows.select("article_id", "idx", F.explode("words").alias("word"))
-    often = each(g).unionByName(each(p)).groupBy("article_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    rarest = lambda rows: each(rows).join(often, ["article_id", "word"]).groupBy("article_id", "idx").agg(F.min(F.struct("n", "word")).alias("m")).select("article_id", "idx", F.col("m.word").alias("word"))
-    inside = rarest(p).withColumnRenamed("idx", "pred").join(each(g).withColumnRenamed("idx", "gold"), ["article_id", "word"])
-    around = rarest(g).withColumnRenamed("idx", "gold").join(each(p).withColumnRenamed("idx", "pred"), ["article_id", "word"])
-    met = inside.select("article_id", "gold", "pred").unionByName(around.select("article_id", "gold", "pred")).distinct()
-    full = met.join(g.select("article_id", F.col("idx").alias("gold"), F.col("words").alias("a")), ["article_id", "gold"]).join(p.select("article_id", F.col("idx").alias("pred"), F.col("words").alias("b")), ["article_id", "pred"])
-    held = full.where((F.size(F.array_except("a", "b")) == 0) | (F.size(F.array_except("b", "a")) == 0)).select("article_id", F.col("pred").alias("idx"))
+    words = F.array_distinct(F.filter(F.split("form", r"\s+"), lambda w: w != ""))
+    sets = rows.select("article_id", "is_gold", "idx", "hit", words.alias("words"))
+    sets = sets.withColumn("every", F.max(F.col("is_gold") & (F.size("words") == 0)).over(Window.partitionBy("article_id")))
     # A gold span without words is held by every prediction of its article.
-    every = g.where("size(words) = 0").select("article_id").distinct()
-    return p.join(held.distinct(), ["article_id", "idx"], "left_anti").join(every, "article_id", "left_anti").select("article_id", "idx")
+    sets = sets.where(~F.col("every") & (F.col("is_gold") | (~F.col("hit") & (F.size("words") > 3))))
+    often = sets.select("article_id", "is_gold", "idx", F.explode("words").alias("word")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("article_id", "word")))
+    numbered = often.select("article_id", "is_gold", "idx", F.dense_rank().over(Window.partitionBy("article_id").orderBy("n", "word")).alias("word"))
+    sets = numbered.groupBy("article_id", "is_gold", "idx").agg(F.array_sort(F.collect_list("word")).alias("s"))
+    each = sets.select("article_id", "is_gold", "idx", F.col("s")[0].alias("rarest"), F.explode("s").alias("word"))
+    listed = lambda is_gold, rare: F.collect_list(F.when((F.col("is_gold") == is_gold) & (F.col("rarest") == F.col("word") if rare else F.lit(True)), F.col("idx")))
+    lists = each.groupBy("article_id", "word").agg(listed(True, False).alias("golds"), listed(True, True).alias("rare_golds"), listed(False, False).alias("preds"), listed(False, True).alias("rare_preds"))
+    crossed = lambda golds, preds: F.flatten(F.transform(preds, lambda p: F.transform(golds, lambda g: F.struct(g.alias("gold"), p.alias("pred")))))
+    met = lists.select("article_id", F.inline(F.concat(crossed("golds", "rare_preds"), crossed("rare_golds", "preds")))).distinct()
+    side = lambda is_gold, name, held: sets.where(F.col("is_gold") == is_gold).select("article_id", F.col("idx").alias(name), F.col("s").alias(held))
+    full = met.join(side(True, "gold", "a"), ["article_id", "gold"]).join(side(False, "pred", "b"), ["article_id", "pred"])
+    both = F.size(F.array_intersect("a", "b"))
+    held = full.where((both == F.size("a")) | (both == F.size("b"))).select("article_id", F.col("pred").alias("idx")).distinct()
+    return sets.where(~F.col("is_gold")).select("article_id", "idx").join(held, ["article_id", "idx"], "left_anti")
 
 
 def gold_totals(metrics: DataFrame) -> DataFrame:
