@@ -83,6 +83,20 @@ def test_resolved_spans_equal_plain_python(spark):
     assert K.resolved(frame.where("false"), registry).count() == K.resolved(frame, {}).count() == 0
 
 
+def test_spans_and_texts_are_not_shuffled(spark, capsys):
+    registry = {"perfect": ["a b"], "good": ["b a", "|"], "negative": ["a"]}
+    texts = [None, "", "|||", "a b a | a", "no", "b a||b a"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "article_id long, content string")
+    spans = K.resolved(frame, registry)
+    assert sorted(K.highlights(frame, registry).collect()) == sorted(K.highlighted(frame, spans).collect())
+    assert sorted(K.panel(frame, registry).collect()) == sorted(K.panel_items(frame, spans).collect())
+    for rows, exchanges in ((spans, 0), (K.highlights(frame, registry), 0), (K.panel(frame, registry), 1)):
+        capsys.readouterr()
+        rows.explain()
+        out = capsys.readouterr().out
+        assert out.count("Exchange") == exchanges and "Window" not in out
+
+
 def test_titles(spark):
     row = spark.range(1).select(
         K.title(F.lit("good"), F.array(F.lit("good"))).alias("a"), K.title(F.lit("good"), F.array(F.lit("good"), F.lit("lolbas"))).alias("b"), K.title(F.lit("lolbas"), F.array(F.lit("good"), F.lit("lolbas"))).alias("c"),

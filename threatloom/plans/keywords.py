@@ -48,10 +48,6 @@ def _counts(c="counts"):
     return F.array_join(F.transform(c, lambda x: F.concat(x["category"], F.lit(":"), x["n"].cast("string"))), ",").alias("counts")
 
 
-def _resolved(spark, sf):
-    return K.resolved(articles(spark, sf), WORDS)
-
-
 @query("keyword_raw_spans", f"WITH {_RAW} SELECT * FROM raw")
 def keyword_raw_spans(spark, sf):
     return K.raw_spans(articles(spark, sf), WORDS)
@@ -59,7 +55,7 @@ def keyword_raw_spans(spark, sf):
 
 @query("keyword_spans", f"WITH RECURSIVE {_RESOLVED} SELECT * FROM resolved")
 def keyword_spans(spark, sf):
-    return _resolved(spark, sf).select("article_id", "start", "end", "category", F.array_join("sources", ",").alias("sources"), _counts(), K.title(F.col("category"), F.col("sources")).alias("title"))
+    return K.resolved(articles(spark, sf), WORDS).select("article_id", "start", "end", "category", F.array_join("sources", ",").alias("sources"), _counts(), K.title(F.col("category"), F.col("sources")).alias("title"))
 
 
 @query("keyword_highlights", f"""WITH RECURSIVE {_RESOLVED}, q AS (SELECT article_id, start, '<span class="keyword-highlight keyword-highlight--' || category || '" data-keyword-category="' || category || '" data-source-categories="' || sources || '" title="' || resolved.title || '">' || {_ESCAPED('substr(content, start + 1, "end" - start)')} || '</span>' AS shown,
@@ -67,7 +63,7 @@ def keyword_spans(spark, sf):
     h AS (SELECT article_id, string_agg({_ESCAPED("substr(content, prev + 1, start - prev)")} || shown, '' ORDER BY start) || any_value({_ESCAPED('substr(content, e + 1)')}) AS html FROM (SELECT *, max("end") OVER (PARTITION BY article_id) AS e FROM q) GROUP BY 1)
     SELECT article_id, coalesce(html, {_ESCAPED("coalesce(content, '')")}) AS html FROM articles LEFT JOIN h USING (article_id)""")
 def keyword_highlights(spark, sf):
-    return K.highlighted(articles(spark, sf), _resolved(spark, sf))
+    return K.highlights(articles(spark, sf), WORDS)
 
 
 @query("keyword_panel", f"""WITH RECURSIVE {_RESOLVED}, q AS (SELECT article_id, category, start, trim(substr(content, start + 1, "end" - start)) AS text, unnest(string_split(counts, ',')) AS part FROM resolved JOIN articles USING (article_id)),
@@ -75,4 +71,4 @@ def keyword_highlights(spark, sf):
     f AS (SELECT article_id, category, lower(text) AS key, arg_min(text, start) AS text FROM q WHERE text <> '' GROUP BY 1, 2, 3)
     SELECT article_id, category, any_value(text) AS text, string_agg(source, ',' ORDER BY CASE source {_RANK} END) AS sources, string_agg(source || ':' || n, ',' ORDER BY source) AS counts FROM p JOIN f USING (article_id, category, key) GROUP BY article_id, category, key""")
 def keyword_panel(spark, sf):
-    return K.panel_items(articles(spark, sf), _resolved(spark, sf)).select("article_id", "category", "text", F.array_join("sources", ",").alias("sources"), _counts())
+    return K.panel(articles(spark, sf), WORDS).select("article_id", "category", "text", F.array_join("sources", ",").alias("sources"), _counts())
