@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from threatloom.llm import exact_dedup, minhash_dedup, packing, secret_scan, toxicity
 from threatloom.llm.common import reliable, shared_folder, table, written
+from threatloom.llm.minhash_dedup import BROADCAST_IDS
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -53,6 +54,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.groupBy("doc_id", "__text_digest").agg(F.min_by(F.struct(*docs.columns), F.struct(*ordered)).alias("__row")).select("__row.*")
 
 
+def dropped(groups: DataFrame, name: str) -> DataFrame:
+    """The ids that aren't kept. So few as BROADCAST_IDS are sent to where the texts lie, so that these aren't shuffled."""
+    ids = reliable(groups.where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct())
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
 
@@ -62,7 +69,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     if not again.isEmpty():
         return drop_near_copies_by_text(docs, again)
     groups = minhash_dedup.near_groups(docs, words=5, percent=80)
-    return docs.join(groups.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped(groups, "doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_near_copies_by_text(docs: DataFrame, again: DataFrame) -> DataFrame:
@@ -80,7 +87,7 @@ def drop_near_copies_by_text(docs: DataFrame, again: DataFrame) -> DataFrame:
     ids = reliable(texts.withColumn("__text_id", fresh))
     keyed = written(keyed.join(ids, ["doc_id", "__text_digest"], "left").withColumn("__text_id", F.coalesce("__text_id", F.col("doc_id").cast("long"))), "texts")
     groups = minhash_dedup.near_groups(keyed.select(F.col("__text_id").alias("doc_id"), "text"), words=5, percent=80)
-    return keyed.join(groups.where(~F.col("kept")).select(F.col("doc_id").alias("__text_id")).distinct(), "__text_id", "left_anti").select(*docs.columns)
+    return keyed.join(dropped(groups, "__text_id"), "__text_id", "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each stage on a small table, and the whole."""
 
 import corpus_pipeline
+from threatloom.llm import components
 
 
 def test_stages(spark, tmp_path):
@@ -82,3 +83,37 @@ def test_maps_and_ids_at_the_ends(spark, tmp_path):
         apart = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
         left = [tuple(r) for r in apart.collect()]
         assert len(left) == 3 and {(ids[0], text(2)), (ids[1], text(3))} <= set(left)
+
+
+def test_small_tables_of_links_take_few_tasks(spark):
+    tracker, held = spark.sparkContext.statusTracker(), {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (102, 101)], "a long, b long")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("few-tasks", "")
+    try:
+        got = {r.node: r.component for r in components.components(links).collect()}
+    finally:
+        for k in ("spark.jobGroup.id", "spark.job.description"):
+            spark.sparkContext.setLocalProperty(k, None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102)}
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("few-tasks")]
+    stages = [tracker.getStageInfo(s) for j in jobs for s in j.stageIds]
+    tasks = sum(s.numCompletedTasks for s in stages if s)
+    assert 0 < tasks < 1500
+
+
+def test_near_copies_are_dropped_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    docs = spark.createDataFrame([(k, text(k % 5) + " end" * (k > 4)) for k in range(8)], "doc_id long, text string")
+    for most, join in ((10, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+        monkeypatch.setattr(corpus_pipeline, "BROADCAST_IDS", most)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            left = corpus_pipeline.drop_near_copies(spark, docs, "")
+            assert sorted(r.doc_id for r in left.collect()) == [0, 1, 2, 3, 4]
+            assert join in left._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -142,13 +142,14 @@ def may_link(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, percent: int) ->
     return shared >= (t * m if whole else t * m - SLACK * math.sqrt(m * t * (1 - t)))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b): those that pass the estimate and, on full sets, the threshold."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b): those that pass the estimate and, on full sets, the threshold. A full set begins with its sketch."""
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, na, nb, sa, sb = (c.to_pylist() for c in batch.columns)
-            keep = [may_link(np.array(x), np.array(y), i, j, percent) for x, y, i, j in zip(sa, sb, na, nb, strict=True)]
+            na, nb = (c.to_pylist() for c in batch.columns[2:4])
+            sa, sb = ([np.frombuffer(z.as_buffer(), dtype=np.int64) for z in c] for c in batch.columns[4:])
+            keep = [may_link(x, y, i, j, percent) for x, y, i, j in zip(sa, sb, na, nb, strict=True)]
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
@@ -162,8 +163,7 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    left = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-    right = classes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
+    left, right = (sets.select(F.col("rep").alias(x), (F.length("full") / 8).cast("long").alias("n" + x), F.substring("full", 1, 8 * SKETCH).alias("s" + x)) for x in "ab")
     likely = map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb"), estimate, "a long, b long")
     full_a, full_b = (sets.select(F.col("rep").alias(x), F.col("full").alias("f" + x)) for x in "ab")
     return map_batches(likely.join(full_a, "a").join(full_b, "b").select("a", "b", "fa", "fb"), exact, "a long, b long")
@@ -254,7 +254,7 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFr
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     sets = reliable(full_sets(texts, words).join(wanted, ["rep", "digest"]).dropDuplicates(["rep", "digest"]))
-    linked = reliable(verified(stars, classes, sets, percent))
+    linked = reliable(verified(stars, sets, percent))
 
     near = components(linked)
     placed = listed.join(near.select(F.col("node").alias("rep"), "component"), "rep", "left").select("v", "rep", "n_shingles", "len", F.coalesce("component", "rep").alias("comp"))
@@ -265,9 +265,11 @@ def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFr
     rest = apart.where(F.col("comp") != F.col("core"))
     other = apart.where(F.col("len") <= SHORT_LIST).select("v", F.col("rep").alias("other"), F.col("comp").alias("comp2"))
     short = rest.where(F.col("len") <= SHORT_LIST).join(other, "v").where(F.col("comp") != F.col("comp2"))
-    pairs = short.select(*ordered("rep", "other")).distinct()
+    pairs = reliable(short.select(*ordered("rep", "other")).distinct())
     hot = rest.where(F.col("len") > SHORT_LIST)
-    further = verified(pairs, classes, sets, percent)
+    paired = reliable(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct())
+    paired = F.broadcast(paired) if paired.count() <= BROADCAST_IDS else paired
+    further = verified(pairs, sets.join(paired, "rep", "left_semi"), percent)
     if not hot.isEmpty():
         long = apart.where(F.col("len") > SHORT_LIST).select("core", "rep", "comp").distinct()
         held = sets.join(long.select("rep").distinct(), "rep", "left_semi").select("rep", "full")
