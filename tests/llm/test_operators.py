@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -111,6 +112,38 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, hot, shard):
     assert suffix_dedup.remove_repeats(frame.where("false")).count() == 0
 
 
+def test_suffix_dedup_sorts_only_what_may_repeat(monkeypatch):
+    rng = np.random.default_rng(6)
+    some = lambda n: bytes(rng.choice(np.frombuffer(b"abcdefgh ", dtype=np.uint8), n))
+    anchor, line, sorted_ = some(48), some(100), []
+    texts = [some(152) + anchor + some(152) for _ in range(50)] + [some(60) + line + anchor + some(int(n)) for n in (60, 90)] + [(some(101) + anchor) * 4]
+    key = int(suffix_dedup.gram_hashes(np.frombuffer(anchor, dtype=np.uint8), 48).view(np.int64)[0])
+    assert suffix_dedup.shares_core(texts[:50], np.full(50, key), 200).sum() == 0
+    assert suffix_dedup.shares_core(texts, np.full(len(texts), key), 200).sum() == 1  # two share 148 bytes, which is no window
+    texts[51] = texts[50][58:260] + some(40)
+    rows = pd.DataFrame([(i, i, key, 0, i == 52, t) for i, t in enumerate(texts)], columns=["id", "k1", "fp", "start", "again", "piece"])
+    repeats = suffix_dedup.repeats_of_shard
+    monkeypatch.setattr(suffix_dedup, "repeats_of_shard", lambda pieces, *rest: sorted_.extend(pieces) or repeats(pieces, *rest))
+    got = suffix_dedup.spans_of_shard(rows, 200)
+    assert sorted(sorted_) == sorted(texts[50:])
+    assert sorted(zip(got.id, got.a, got.z, strict=True)) == sorted((rows.id[w], a, z) for w, a, z in zip(*repeats(texts, np.zeros(len(texts), dtype=bool), 200), strict=True))
+    assert {50, 51, 52} == set(got.id)
+
+
+@pytest.mark.parametrize("hot", [3, 4000])
+def test_suffix_dedup_cuts_texts_once(spark, monkeypatch, hot):
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    passage, line = word(450), word(230)
+    texts = [word(150) + passage + word(90) for _ in range(6)] + [word(120) + line + word(60) for _ in range(2)]
+    calls, cut_rows = [], suffix_dedup.piece_rows
+    monkeypatch.setattr(suffix_dedup, "HOT_PIECES", hot)
+    monkeypatch.setattr(suffix_dedup, "piece_rows", lambda texts: calls.append(1) or cut_rows(texts))
+    got = sorted(tuple(r) for r in suffix_dedup.digests(suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect())
+    assert got == [(i, *e) for i, e in enumerate(brute_removed([t.encode() for t in texts], 200))]
+    assert len(calls) == 1
+
+
 def test_suffix_dedup_of_long_periodic_texts(spark):
     rng = np.random.default_rng(4)
     unit = "".join(rng.choice(list("abcdefgh"), 301))

@@ -13,20 +13,27 @@ import numpy as np
 
 
 def counted_order(keys: np.ndarray) -> np.ndarray:
-    """A stable order of keys (not negative) by counting, one pass for each 16-bit digit."""
-    order = np.argsort(keys.astype(np.uint16), kind="stable")
+    """A stable order of keys (not negative) by counting, one pass for each 16-bit digit; few keys are compared."""
+    if len(keys) < 64:
+        return keys.argsort(kind="stable")
+    order = keys.astype(np.uint16).argsort(kind="stable")
     rest = keys >> 16
     while rest.any():
-        order, rest = order[np.argsort(rest[order].astype(np.uint16), kind="stable")], rest >> 16
+        order, rest = order[rest[order].astype(np.uint16).argsort(kind="stable")], rest >> 16
     return order
 
 
-def _ranks_in_order(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A stable order by character, with the characters present and how many each has."""
+def _ranks_in_order(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A stable order by character, with the characters present, where each begins in it and how many each has."""
     order = counted_order(chars)
     ranked = chars[order]
-    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    return order, ranked[first], np.diff(np.append(first, len(ranked)))
+    fresh = np.ones(len(ranked), dtype=bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=fresh[1:])
+    first = fresh.nonzero()[0]
+    counts = np.empty_like(first)
+    counts[:-1] = first[1:] - first[:-1]
+    counts[-1] = len(ranked) - first[-1]
+    return order, ranked[first], first, counts
 
 
 def _induce(s: np.ndarray, k: int, seeds: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -36,15 +43,14 @@ def _induce(s: np.ndarray, k: int, seeds: np.ndarray, wanted: np.ndarray) -> np.
     """
     offsets = np.append(0, np.cumsum(np.bincount(s[wanted], minlength=k)))
     out, head = np.zeros(offsets[-1], dtype=np.int64), offsets[:-1].copy()
-    seed_at = np.searchsorted(s[seeds], np.arange(k + 1))
+    seed_at, places = np.searchsorted(s[seeds], np.arange(k + 1)), np.arange(len(s))
 
     def place(before: np.ndarray) -> None:
         if len(before):
-            order, present, counts = _ranks_in_order(s[before])
-            first = np.cumsum(counts) - counts
-            spots = np.repeat(head[present] - first, counts) + np.arange(len(before))
-            out[spots] = before[order]
-            head[present] += counts
+            order, present, first, counts = _ranks_in_order(s[before])
+            at = head[present]
+            out[(at - first).repeat(counts) + places[: len(before)]] = before[order]
+            head[present] = at + counts
 
     def predecessors(entries: np.ndarray) -> np.ndarray:
         before = entries[entries > 0] - 1

@@ -7,7 +7,8 @@ cover are removed from every text.
    one key make a piece; so each window of a text lies in one piece, and equal windows lie in pieces of one key. Keys
    whose string stands once only can't hold a repeated one: their pieces are never cut out.
 2. One text of each group of equal ones is cut into the other pieces, which are dealt by key to shards of a bounded
-   number of bytes. In a shard equal pieces become one, counted twice; its suffix array is built by induced sorting, and
+   number of bytes. In a shard equal pieces become one, counted twice; those that share too few bytes around the key's
+   string with any other place are left out; the suffix array of the rest is built by induced sorting, and
    permuted common prefixes give the runs of suffixes that share WINDOW bytes. A run of two places marks its windows.
 3. The pieces of a key that stands at more than HOT_PIECES places (at a passage in very many texts) would not fit in a
    shard. Equal ones are merged by a pre-aggregated grouping first; the others are cut into parts of STEP windows,
@@ -136,9 +137,9 @@ def key_rows(texts: DataFrame, window: int) -> DataFrame:
 
 
 def piece_rows(texts: DataFrame) -> DataFrame:
-    """The bytes of pieces. texts: id, k1, text, marks array<struct<fp, start, size, again>>."""
-    names = ["id", "k1", "fp", "start", "again", "piece"]
-    kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
+    """The bytes of pieces. texts: id, k1, text, marks array<struct<fp, start, size, again, hot>>."""
+    names = ["id", "k1", "fp", "start", "again", "hot", "piece"]
+    kinds = [pa.int64()] * 4 + [pa.bool_(), pa.bool_(), pa.binary()]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True)) or [[] for _ in names]
@@ -148,19 +149,43 @@ def piece_rows(texts: DataFrame) -> DataFrame:
         for batch in batches:
             marks = batch.column(3)
             edges = marks.offsets.to_numpy()
-            fps, starts, sizes, again = (marks.values.field(n).to_numpy(zero_copy_only=False).tolist() for n in ("fp", "start", "size", "again"))
+            fps, starts, sizes, again, hot = (marks.values.field(n).to_numpy(zero_copy_only=False).tolist() for n in ("fp", "start", "size", "again", "hot"))
             rows, held = [], 0
             for i, (ident, k1, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
                 raw = text.encode()
                 for j in range(edges[i], edges[i + 1]):
-                    rows.append((ident, k1, fps[j], starts[j], again[j], raw[starts[j] : starts[j] + sizes[j]]))
+                    rows.append((ident, k1, fps[j], starts[j], again[j], hot[j], raw[starts[j] : starts[j] + sizes[j]]))
                     held += sizes[j]
                     if held > OUT_BYTES:
                         yield batch_of(rows)
                         rows, held = [], 0
             yield batch_of(rows)
 
-    return map_batches(texts.select("id", "k1", "text", "marks"), run, "id long, k1 long, fp long, start long, again boolean, piece binary")
+    return map_batches(texts.select("id", "k1", "text", "marks"), run, "id long, k1 long, fp long, start long, again boolean, hot boolean, piece binary")
+
+
+def shares_core(pieces: list[bytes], keys: np.ndarray, window: int) -> np.ndarray:
+    """Which pieces may hold a window that stands at two places; all others hold none.
+
+    Equal windows hold their key's string equally far from their start, so they share all bytes that any windows with it
+    STEP places further or less hold. A piece none of whose strings of these bytes stands again need not be sorted.
+    """
+    sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+    buf, first = np.frombuffer(b"".join(pieces), dtype=np.uint8), np.cumsum(sizes) - sizes
+    h = gram_hashes(buf, ANCHOR).view(np.int64)
+    owner = np.repeat(np.arange(len(pieces)), sizes)[: len(h)]
+    spot = np.flatnonzero((h == keys[owner]) & (np.arange(len(h)) + ANCHOR <= (first + sizes)[owner]))
+    owner = owner[spot]
+    up, down = _powers(1 << len(buf).bit_length())
+    sums = np.append(np.uint64(0), np.cumsum(_BYTES[buf] * up[: len(buf)]))
+    out = np.zeros(len(pieces), dtype=bool)
+    for least in range(0, window - ANCHOR + 1, STEP):
+        most = min(least + STEP - 1, window - ANCHOR)
+        fits = (spot - least >= first[owner]) & (spot - most + window <= (first + sizes)[owner])
+        begin, end = spot[fits] - least, spot[fits] - most + window
+        _, core, places = np.unique((sums[end] - sums[begin]) * down[begin], return_inverse=True, return_counts=True)
+        out[owner[fits][places[core] > 1]] = True
+    return out
 
 
 def repeats_of_shard(pieces: list[bytes], many: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,6 +226,7 @@ def spans_of_shard(rows: pd.DataFrame, window: int) -> pd.DataFrame:
     again[kind] = rows["again"].to_numpy().astype(bool)
     _, key, kinds = np.unique(key_of_kind, return_inverse=True, return_counts=True)
     sort = np.flatnonzero((kinds[key] > 1) | again)
+    sort = sort[(of_kind[sort] > 1) | shares_core([pieces[i] for i in sort], key_of_kind[sort], window)]
     equal = np.flatnonzero((kinds[key] == 1) & ~again & (of_kind > 1))
     who, a, z = repeats_of_shard([pieces[i] for i in sort], of_kind[sort] > 1, window) if len(sort) else (np.zeros(0, dtype=np.int64),) * 3
     who, a, z = np.append(sort[who], equal), np.append(a, np.zeros(len(equal), dtype=np.int64)), np.append(z, [len(pieces[i]) for i in equal]).astype(np.int64)
@@ -250,8 +276,7 @@ def part_rows(kinds: DataFrame, window: int, step: int) -> DataFrame:
 
 
 def hot_spans(pieces: DataFrame, window: int) -> DataFrame:
-    """The same as spans_of_shard for pieces of hot keys: id, k1, a, z."""
-    pieces = written(pieces.withColumn("ph", F.unhex(F.md5("piece"))), "hot-pieces")
+    """The same as spans_of_shard for pieces of hot keys (with ph, the piece's MD5): id, k1, a, z."""
     place, count = F.xxhash64("id", "k1", "start"), F.count(F.lit(1)).alias("n")
     kinds = reliable(pieces.groupBy("ph").agg(F.first("piece").alias("piece"), (F.min(place) != F.max(place)).alias("many"), count))
     parts = written(part_rows(kinds, window, STEP), "hot-parts")
@@ -291,14 +316,14 @@ def repeated_spans(large: DataFrame, texts: DataFrame, window: int) -> DataFrame
     marks = written(marks.join(texts.select("id", "k1"), ["id", "k1"], "left_semi"), "marks")
     size = {r["hot"]: r["size"] for r in marks.groupBy("hot").agg(F.sum("size").alias("size")).collect()}
 
-    def pieces(hot: bool) -> DataFrame:
-        of_text = marks.where(F.col("hot") == hot).groupBy("id", "k1").agg(F.collect_list(F.struct("fp", "start", "size", "again")).alias("marks"))
-        wanted = texts.join(of_text, ["id", "k1"])
-        return piece_rows(large.join(wanted, ["id", "k1", "k2"]))
-
-    spans = in_shards(pieces(False), "fp", size.get(False, 0), lambda pdf: spans_of_shard(pdf, window), "id long, k1 long, a long, z long")
+    of_text = marks.groupBy("id", "k1").agg(F.collect_list(F.struct("fp", "start", "size", "again", "hot")).alias("marks"))
+    pieces = piece_rows(large.join(texts.join(of_text, ["id", "k1"]), ["id", "k1", "k2"]))
+    if True in size:  # written once for both ways, so that texts are shuffled and cut once
+        pieces = written(pieces.withColumn("ph", F.when(F.col("hot"), F.unhex(F.md5("piece")))), "pieces")
+    plain = pieces.where("NOT hot").select("id", "k1", "fp", "start", "again", "piece")
+    spans = in_shards(plain, "fp", size.get(False, 0), lambda pdf: spans_of_shard(pdf, window), "id long, k1 long, a long, z long")
     if True in size:
-        spans = spans.unionByName(hot_spans(pieces(True), window))
+        spans = spans.unionByName(hot_spans(pieces.where("hot").select("id", "k1", "start", "piece", "ph"), window))
     return spans.groupBy("id", "k1").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
 
 
