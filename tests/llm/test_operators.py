@@ -130,18 +130,19 @@ def test_suffix_dedup_sorts_only_what_may_repeat(monkeypatch):
     assert {50, 51, 52} == set(got.id)
 
 
-@pytest.mark.parametrize("hot", [3, 4000])
-def test_suffix_dedup_cuts_texts_once(spark, monkeypatch, hot):
+@pytest.mark.parametrize("sent", [0, 100])
+def test_suffix_dedup_sends_marks_of_hot_pieces(spark, monkeypatch, sent):
     rng = np.random.default_rng(5)
     word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
     passage, line = word(450), word(230)
     texts = [word(150) + passage + word(90) for _ in range(6)] + [word(120) + line + word(60) for _ in range(2)]
-    calls, cut_rows = [], suffix_dedup.piece_rows
-    monkeypatch.setattr(suffix_dedup, "HOT_PIECES", hot)
-    monkeypatch.setattr(suffix_dedup, "piece_rows", lambda texts: calls.append(1) or cut_rows(texts))
+    plans, cut_rows = [], suffix_dedup.piece_rows
+    monkeypatch.setattr(suffix_dedup, "HOT_PIECES", 3)
+    monkeypatch.setattr(suffix_dedup, "SENT_TEXTS", sent)
+    monkeypatch.setattr(suffix_dedup, "piece_rows", lambda texts: plans.append(texts._jdf.queryExecution().optimizedPlan().toString()) or cut_rows(texts))
     got = sorted(tuple(r) for r in suffix_dedup.digests(suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect())
     assert got == [(i, *e) for i, e in enumerate(brute_removed([t.encode() for t in texts], 200))]
-    assert len(calls) == 1
+    assert ["strategy=broadcast" in p for p in plans] == [False, sent > 0]
 
 
 def test_suffix_dedup_of_long_periodic_texts(spark):

@@ -43,6 +43,8 @@ WINDOW = 200
 ANCHOR = 48
 #: Bytes of the pieces of a shard, on average; places of one key that may meet in one.
 SHARD_BYTES, HOT_PIECES = 1_000_000, 4_000
+#: The marks of so many texts that hold hot pieces are sent to where the texts lie; more are joined by a shuffle.
+SENT_TEXTS = 200_000
 #: Windows in a part of a hot piece.
 STEP = 13
 #: Windows of a text that are hashed at once, and bytes of pieces in one Arrow batch.
@@ -137,9 +139,9 @@ def key_rows(texts: DataFrame, window: int) -> DataFrame:
 
 
 def piece_rows(texts: DataFrame) -> DataFrame:
-    """The bytes of pieces. texts: id, k1, text, marks array<struct<fp, start, size, again, hot>>."""
-    names = ["id", "k1", "fp", "start", "again", "hot", "piece"]
-    kinds = [pa.int64()] * 4 + [pa.bool_(), pa.bool_(), pa.binary()]
+    """The bytes of pieces. texts: id, k1, text, marks array<struct<fp, start, size, again>>."""
+    names = ["id", "k1", "fp", "start", "again", "piece"]
+    kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True)) or [[] for _ in names]
@@ -149,19 +151,19 @@ def piece_rows(texts: DataFrame) -> DataFrame:
         for batch in batches:
             marks = batch.column(3)
             edges = marks.offsets.to_numpy()
-            fps, starts, sizes, again, hot = (marks.values.field(n).to_numpy(zero_copy_only=False).tolist() for n in ("fp", "start", "size", "again", "hot"))
+            fps, starts, sizes, again = (marks.values.field(n).to_numpy(zero_copy_only=False).tolist() for n in ("fp", "start", "size", "again"))
             rows, held = [], 0
             for i, (ident, k1, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
                 raw = text.encode()
                 for j in range(edges[i], edges[i + 1]):
-                    rows.append((ident, k1, fps[j], starts[j], again[j], hot[j], raw[starts[j] : starts[j] + sizes[j]]))
+                    rows.append((ident, k1, fps[j], starts[j], again[j], raw[starts[j] : starts[j] + sizes[j]]))
                     held += sizes[j]
                     if held > OUT_BYTES:
                         yield batch_of(rows)
                         rows, held = [], 0
             yield batch_of(rows)
 
-    return map_batches(texts.select("id", "k1", "text", "marks"), run, "id long, k1 long, fp long, start long, again boolean, hot boolean, piece binary")
+    return map_batches(texts.select("id", "k1", "text", "marks"), run, "id long, k1 long, fp long, start long, again boolean, piece binary")
 
 
 def shares_core(pieces: list[bytes], keys: np.ndarray, window: int) -> np.ndarray:
@@ -276,7 +278,8 @@ def part_rows(kinds: DataFrame, window: int, step: int) -> DataFrame:
 
 
 def hot_spans(pieces: DataFrame, window: int) -> DataFrame:
-    """The same as spans_of_shard for pieces of hot keys (with ph, the piece's MD5): id, k1, a, z."""
+    """The same as spans_of_shard for pieces of hot keys: id, k1, a, z."""
+    pieces = written(pieces.withColumn("ph", F.unhex(F.md5("piece"))), "hot-pieces")
     place, count = F.xxhash64("id", "k1", "start"), F.count(F.lit(1)).alias("n")
     kinds = reliable(pieces.groupBy("ph").agg(F.first("piece").alias("piece"), (F.min(place) != F.max(place)).alias("many"), count))
     parts = written(part_rows(kinds, window, STEP), "hot-parts")
@@ -316,14 +319,17 @@ def repeated_spans(large: DataFrame, texts: DataFrame, window: int) -> DataFrame
     marks = written(marks.join(texts.select("id", "k1"), ["id", "k1"], "left_semi"), "marks")
     size = {r["hot"]: r["size"] for r in marks.groupBy("hot").agg(F.sum("size").alias("size")).collect()}
 
-    of_text = marks.groupBy("id", "k1").agg(F.collect_list(F.struct("fp", "start", "size", "again", "hot")).alias("marks"))
-    pieces = piece_rows(large.join(texts.join(of_text, ["id", "k1"]), ["id", "k1", "k2"]))
-    if True in size:  # written once for both ways, so that texts are shuffled and cut once
-        pieces = written(pieces.withColumn("ph", F.when(F.col("hot"), F.unhex(F.md5("piece")))), "pieces")
-    plain = pieces.where("NOT hot").select("id", "k1", "fp", "start", "again", "piece")
-    spans = in_shards(plain, "fp", size.get(False, 0), lambda pdf: spans_of_shard(pdf, window), "id long, k1 long, a long, z long")
+    def pieces(hot: bool) -> DataFrame:
+        of_text = marks.where(F.col("hot") == hot).groupBy("id", "k1").agg(F.collect_list(F.struct("fp", "start", "size", "again")).alias("marks"))
+        wanted = texts.join(of_text, ["id", "k1"])
+        if hot:  # a query of its own, which else shuffles all texts once more
+            wanted = reliable(wanted)
+            wanted = F.broadcast(wanted) if wanted.count() <= SENT_TEXTS else wanted
+        return piece_rows(large.join(wanted, ["id", "k1", "k2"]))
+
+    spans = in_shards(pieces(False), "fp", size.get(False, 0), lambda pdf: spans_of_shard(pdf, window), "id long, k1 long, a long, z long")
     if True in size:
-        spans = spans.unionByName(hot_spans(pieces.where("hot").select("id", "k1", "start", "piece", "ph"), window))
+        spans = spans.unionByName(hot_spans(pieces(True), window))
     return spans.groupBy("id", "k1").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
 
 
