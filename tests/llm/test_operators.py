@@ -377,6 +377,44 @@ def test_secret_network_judges_every_candidate_in_its_context():
     assert np.array_equal(np.array(seen), want)
 
 
+def test_secret_network_sees_what_stands_behind_a_run():
+    """The judged codes hold it, for every tile and at the end of a text; filters, gradients and training use it."""
+    texts = ["plainword 12345678 é中🙂 another-word", "x" * 100 + " tail/word, next", "only-this"]
+    seen = []
+
+    class Judge:
+        threshold = 0.5
+
+        def probability(self, codes):
+            seen.extend(np.array(codes))
+            return np.ones(len(codes))
+
+    Judge.network = Judge()
+    spans = secret_scan.find_all(texts, Judge())
+    parts = [p for text, found in zip(texts, spans, strict=True) for a, _, z in found for p in secret_scan.tiles(text, a, z)]
+    codes = secret_scan.encode(parts)
+    assert [p[2] for p in parts[3:6]] == ["x" * 24, "x" * 4 + " tail/word, next", " tail/word, next"] and np.array_equal(np.array(seen), codes)
+
+    network = secret_scan.CharCNN(np.random.default_rng(1), np.zeros((len(secret_scan.ALPHABET) + 2,) * 2))
+    network.p["c"] = np.random.default_rng(3).normal(0, 0.1, secret_scan.FILTERS)
+    assert np.allclose(network.forward(codes)[0], network.logits(codes), atol=1e-4)
+    y = np.arange(len(codes)) % 2.0
+    loss = lambda: float(np.mean(np.logaddexp(0, network.forward(codes)[0]) - y * network.forward(codes)[0]))
+    gradients = network.gradients(codes, y)
+    for name, at in (("h", (3 * secret_scan.FILTERS + 5, 3)), ("w", (7, 4)), ("c", (2,)), ("e", (secret_scan.CODE["t"], 1))):
+        kept, sides = network.p[name][at], []
+        for step in (1e-5, -1e-5):
+            network.p[name][at] = kept + step
+            sides.append(loss())
+        network.p[name][at] = kept
+        assert abs((sides[0] - sides[1]) / 2e-5 - gradients[name][at]) < 1e-6, name
+
+    ends = [("see ", "Abcdefgh", " secret!" if i % 2 else " nothing") for i in range(64)]
+    y = np.arange(64) % 2.0
+    network.train(secret_scan.encode(ends), y, np.random.default_rng(2), epochs=60, batch=16)
+    assert ((network.logits(secret_scan.encode(ends)) > 0) == (y > 0)).all()
+
+
 def test_every_run_of_key_characters_is_a_candidate():
     rng = np.random.default_rng(2)
     for _ in range(200):
